@@ -75,3 +75,168 @@ SQL["dataset_meta"] = f"""
         FROM p GROUP BY dataset)
   SELECT s.dataset, s.n, cls.classes, cls.n_classes, round(s.mean_words, 6) AS mean_words
   FROM s JOIN cls ON s.dataset = cls.dataset"""
+
+
+# ---- catalogue, prompts, logits ----------------------------------------------
+
+def _lit(v):
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    return repr(v)
+
+
+def _catalogue_sql() -> str:
+    from probelab.sources.catalog import default_rows
+    rows = ", ".join("(" + ", ".join(_lit(x) for x in r[:6]) + ", " +
+                     (f"CAST({r[6]!r} AS DOUBLE)" if r[6] is not None else "CAST(NULL AS DOUBLE)") + ")"
+                     for r in default_rows())
+    return (f"(SELECT * FROM (VALUES {rows}) AS t(q_idx, qid, sense, predicate, question, set, "
+            "a_priori_metaphoricity))")
+
+
+CAT = _catalogue_sql()
+LOW_QIDS = [r[1] for r in __import__("probelab.sources.catalog", fromlist=["x"]).default_rows() if r[5] == "SYN_LOW"]
+ALL_QIDS = [r[1] for r in __import__("probelab.sources.catalog", fromlist=["x"]).default_rows()]
+
+TEXTS = f"""
+  SELECT dataset, row_id, text FROM (
+    SELECT dataset, row_id, {CLEAN.format(t='text')} AS text FROM ({RAW_LANG}) WHERE text IS NOT NULL)
+  WHERE length(text) > 0"""
+
+PROMPTS = f"""
+  SELECT t.dataset, t.row_id, c.qid,
+         t.text || chr(10) || chr(10) || 'Question: ' || c.question || chr(10) ||
+         'Answer with only ''yes'' or ''no''.' AS prompt
+  FROM ({TEXTS}) t CROSS JOIN {CAT} c"""
+
+VARIANTS = ("(SELECT * FROM (VALUES ('yes','yes'),('yes',' yes'),('yes','Yes'),('yes',' Yes'),"
+            "('yes','YES'),('yes',' YES'),('no','no'),('no',' no'),('no','No'),('no',' No'),"
+            "('no','NO'),('no',' NO')) AS v(answer, token))")
+
+
+def hash_logit_sql(*parts: str) -> str:
+    key = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT / 4294967296.0 * 20 - 10)"
+
+
+def hash_unit_sql(*parts: str) -> str:
+    key = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT / 4294967296.0)"
+
+
+LOGITS = f"""
+  SELECT t.dataset, t.row_id, c.qid, v.answer, v.token,
+         {hash_logit_sql('t.row_id', 'c.qid', 'v.token')} AS logit
+  FROM ({TEXTS}) t CROSS JOIN {CAT} c CROSS JOIN {VARIANTS} v"""
+
+LSE = f"""
+  SELECT dataset, row_id, qid, answer, max(m) + ln(sum(exp(logit - m))) AS lse
+  FROM (SELECT *, max(logit) OVER (PARTITION BY dataset, row_id, qid, answer) AS m FROM ({LOGITS}))
+  GROUP BY dataset, row_id, qid, answer"""
+
+YN = f"""
+  SELECT dataset, row_id, qid, max(lse) FILTER (WHERE answer = 'yes') AS ly,
+         max(lse) FILTER (WHERE answer = 'no') AS ln
+  FROM ({LSE}) GROUP BY dataset, row_id, qid"""
+
+SQL["catalog_sets"] = f"""
+  WITH e AS (SELECT vec_id, embedding FROM embeddings),
+  l AS (SELECT c.set, c.sense, CAST(e.embedding[c.q_idx + 1] AS DOUBLE) AS value
+        FROM e CROSS JOIN {CAT} c
+        WHERE c.set IN ('SYN_LOW', 'SYN_HIGH') AND NOT starts_with(c.qid, 'gib_'))
+  SELECT set, sense, count(*) AS n_values, round(avg(value), 6) AS mean_value FROM l GROUP BY set, sense"""
+
+SQL["prompts"] = f"""
+  SELECT dataset, row_id, qid, prompt, CAST(len(string_split(prompt, ' ')) AS BIGINT) AS prompt_len
+  FROM ({PROMPTS})"""
+
+SQL["rating_prompts"] = f"""
+  SELECT c.qid, 'When the adjective "' || c.predicate || '" is used in everyday English, is it often '
+         || 'used figuratively or metaphorically to describe something non-physical (for example a '
+         || 'mood, a person, or a situation)?' || chr(10) || 'Answer with only ''yes'' or ''no''.' AS prompt,
+         (SELECT count(*) FROM embeddings) AS n_values
+  FROM {CAT} c"""
+
+SQL["logsumexp_diff"] = f"SELECT dataset, row_id, qid, round(ly - ln, 6) AS value FROM ({YN})"
+
+SQL["prob_diff"] = f"""
+  SELECT dataset, row_id, qid,
+         round((exp(ly - greatest(ly, ln)) - exp(ln - greatest(ly, ln))) /
+               (exp(ly - greatest(ly, ln)) + exp(ln - greatest(ly, ln))), 6) AS value
+  FROM ({YN})"""
+
+SQL["top_tokens"] = f"""
+  SELECT dataset, row_id, qid, rank, token, round(prob, 6) AS prob FROM (
+    SELECT dataset, row_id, qid, token,
+           CAST(row_number() OVER (PARTITION BY dataset, row_id, qid ORDER BY logit DESC, token) AS BIGINT) AS rank,
+           exp(logit - m) / sum(exp(logit - m)) OVER (PARTITION BY dataset, row_id, qid) AS prob
+    FROM (SELECT *, max(logit) OVER (PARTITION BY dataset, row_id, qid) AS m FROM ({LOGITS})))
+  WHERE rank <= 5"""
+
+SQL["features_long"] = SQL["logsumexp_diff"]
+
+EMB_LONG = f"""
+  SELECT 'embeddings' AS dataset, e.vec_id AS row_id, c.qid, CAST(e.embedding[c.q_idx + 1] AS DOUBLE) AS value
+  FROM embeddings e CROSS JOIN {CAT} c"""
+
+SQL["features_wide"] = ("SELECT 'embeddings' AS dataset, vec_id AS row_id, " +
+                        ", ".join(f'round(CAST(embedding[{i + 1}] AS DOUBLE), 6) AS "{q}"'
+                                  for i, q in enumerate(ALL_QIDS)) + " FROM embeddings")
+
+SQL["unpivot"] = f"SELECT dataset, row_id, qid, round(value, 6) AS value FROM ({EMB_LONG})"
+
+SQL["resume_antijoin"] = f"""
+  SELECT p.dataset, p.row_id, p.qid FROM ({PROMPTS}) p JOIN documents d ON p.row_id = d.doc_id
+  WHERE d.lang IS DISTINCT FROM 'en'"""
+
+SQL["feature_spread"] = f"""
+  SELECT dataset, qid, round(stddev_samp(value), 6) AS spread FROM ({EMB_LONG}) GROUP BY dataset, qid"""
+
+SQL["spread_summary"] = f"""
+  SELECT dataset, round(min(spread), 6) AS spread_min, round(median(spread), 6) AS spread_median,
+         round(max(spread), 6) AS spread_max
+  FROM (SELECT dataset, qid, stddev_samp(value) AS spread FROM ({EMB_LONG}) GROUP BY dataset, qid)
+  GROUP BY dataset"""
+
+LABELLED = f"""
+  SELECT 'embeddings' AS dataset, vec_id AS row_id, label FROM embeddings
+  UNION ALL SELECT dataset, row_id, label FROM ({RAW_LANG})"""
+
+
+def folds_sql(labelled: str) -> str:
+    return f"""
+  WITH b AS ({labelled}),
+  c AS (SELECT dataset, label, count(*) AS n FROM b GROUP BY dataset, label),
+  o AS (SELECT dataset, label, coalesce(sum(n) OVER (PARTITION BY dataset ORDER BY label
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM c)
+  SELECT b.dataset, b.row_id, b.label,
+         CAST((o.off + row_number() OVER (PARTITION BY b.dataset, b.label
+               ORDER BY md5('0:f' || CAST(b.row_id AS VARCHAR)), b.row_id) - 1) % 5 AS INTEGER) AS fold
+  FROM b JOIN o ON b.dataset = o.dataset AND b.label = o.label"""
+
+
+SQL["stratified_folds"] = folds_sql(LABELLED)
+
+EMB_FOLDS = folds_sql("SELECT 'embeddings' AS dataset, vec_id AS row_id, label FROM embeddings")
+
+SQL["fold_scaling"] = f"""
+  WITH f AS ({EMB_FOLDS}), l AS ({EMB_LONG}),
+  h AS (SELECT unnest(range(0, 5)) AS held)
+  SELECT l.dataset, CAST(h.held AS INTEGER) AS held, l.qid, count(*) AS n_train,
+         round(avg(l.value), 6) AS mean, round(stddev_pop(l.value), 6) AS std
+  FROM l JOIN f ON l.dataset = f.dataset AND l.row_id = f.row_id
+  JOIN h ON f.fold <> h.held
+  GROUP BY l.dataset, h.held, l.qid"""
+
+SQL["feature_orders"] = f"""
+  WITH d AS (SELECT DISTINCT dataset FROM ({LABELLED})),
+  g AS (SELECT d.dataset, p.perm, q.qid FROM d
+        CROSS JOIN (SELECT unnest(range(0, 10)) AS perm) p
+        CROSS JOIN (SELECT unnest([{", ".join(_lit(q) for q in LOW_QIDS)}]) AS qid) q)
+  SELECT dataset, CAST(perm AS INTEGER) AS perm,
+         CAST(row_number() OVER (PARTITION BY dataset, perm
+              ORDER BY md5('0:' || dataset || ':' || CAST(perm AS VARCHAR) || ':' || qid), qid) AS BIGINT) AS k,
+         qid
+  FROM g"""

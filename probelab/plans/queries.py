@@ -14,6 +14,10 @@ from probelab.functions.text import clean_text, collapse_whitespace, strip_break
 from probelab.operators import prepare as P
 from probelab.plans import inputs
 from probelab.sources.tables import read_table
+from probelab.sources import catalog as C
+from probelab.operators import scoring as S
+from probelab.operators import features as FE
+from probelab.operators import folds as FO
 
 R = 6  # rounding digits of every double in a registered query
 
@@ -67,6 +71,134 @@ def dataset_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _r(F.col("mean_words"), "mean_words"))
 
 
+
+# ---- catalogue, prompts, logits ----------------------------------------------
+
+def _cat(spark):
+    return C.catalogue(spark)
+
+
+def _qids(spark=None):
+    return [r[1] for r in C.default_rows()]
+
+
+def _texts(spark, sf_dir):
+    """All cleaned documents (whole table, no sampling)."""
+    return P.clean(inputs.raw_lang(spark, sf_dir))
+
+
+def _emb_long(spark, sf_dir):
+    return FE.embeddings_long(read_table(spark, sf_dir, "embeddings"), _qids())
+
+
+def catalog_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = C.select_qids(_cat(spark), sets=[C.LOW, C.HIGH], exclude_prefix="gib_")
+    j = _emb_long(spark, sf_dir).join(F.broadcast(cat.select("qid", "set", "sense")), "qid")
+    return j.groupBy("set", "sense").agg(F.count(F.lit(1)).alias("n_values"),
+                                         _r(F.avg("value"), "mean_value"))
+
+
+def prompts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = S.prompts(_texts(spark, sf_dir), _cat(spark))
+    return p.select(*S.KEY, "prompt", F.col("prompt_len").cast("bigint").alias("prompt_len"))
+
+
+def rating_prompts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M14 prompts joined to the features they rate (grows with the table)."""
+    r = S.rating_prompts(_cat(spark)).select("qid", "prompt")
+    n = _emb_long(spark, sf_dir).groupBy("qid").agg(F.count(F.lit(1)).alias("n_values"))
+    return r.join(n, "qid").select("qid", "prompt", "n_values")
+
+
+def _hash_logits(spark, sf_dir):
+    return S.hash_logits(S.prompts(_texts(spark, sf_dir), _cat(spark)))
+
+
+def logsumexp_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = S.feature_from_logits(_hash_logits(spark, sf_dir))
+    return f.select(*S.KEY, _r(F.col("value"), "value"))
+
+
+def prob_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = S.feature_from_logits(_hash_logits(spark, sf_dir), mode="prob")
+    return f.select(*S.KEY, _r(F.col("value"), "value"))
+
+
+def top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = S.top_tokens(_hash_logits(spark, sf_dir), 5)
+    return t.select(*S.KEY, F.col("rank").cast("bigint").alias("rank"), "token", _r(F.col("prob"), "prob"))
+
+
+def features_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M11 through the scorer contract (mapInPandas, budget batches)."""
+    f = S.score(S.prompts(_texts(spark, sf_dir), _cat(spark)))
+    return f.select(*S.KEY, _r(F.col("value"), "value"))
+
+
+def features_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qids = _qids()
+    w = FE.to_wide(_emb_long(spark, sf_dir), qids)
+    return w.select("dataset", "row_id", *[_r(F.col(f"`{q}`"), q) for q in qids])
+
+
+def unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qids = _qids()
+    emb = read_table(spark, sf_dir, "embeddings")
+    wide = emb.select(F.lit("embeddings").alias("dataset"), F.col("vec_id").alias("row_id"),
+                      *[F.col("embedding")[i].cast("double").alias(q) for i, q in enumerate(qids)])
+    return FE.wide_to_long(wide, qids).select("dataset", "row_id", "qid", _r(F.col("value"), "value"))
+
+
+def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = S.score(S.prompts(_texts(spark, sf_dir), _cat(spark)))
+    return f.select(*S.KEY, "batch_id", "batch_rows", "batch_maxlen")
+
+
+def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A previous run wrote the English documents; only the rest is pending."""
+    texts = _texts(spark, sf_dir)
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "lang")
+    p = S.prompts(texts, _cat(spark))
+    done = S.feature_from_logits(S.hash_logits(p.join(docs.filter(F.col("lang") == "en"), "row_id")
+                                               .select(*S.KEY)))
+    return S.pending(p, done).select(*S.KEY)
+
+
+def feature_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = FE.feature_spread(_emb_long(spark, sf_dir))
+    return s.select("dataset", "qid", _r(F.col("spread"), "spread"))
+
+
+def spread_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = FE.spread_summary(FE.feature_spread(_emb_long(spark, sf_dir)))
+    return s.select("dataset", *[_r(F.col(c), c) for c in ("spread_min", "spread_median", "spread_max")])
+
+
+def _labelled_rows(spark, sf_dir):
+    """Labelled rows of the two analysis datasets: embeddings (10 classes)
+    and documents by language (4 classes)."""
+    emb = FE.embeddings_labels(read_table(spark, sf_dir, "embeddings"))
+    lang = P.index_labels(inputs.raw_lang(spark, sf_dir)).select("dataset", "row_id", "label")
+    return emb.unionByName(lang)
+
+
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FO.stratified_folds(_labelled_rows(spark, sf_dir))
+
+
+def fold_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folds = FO.stratified_folds(FE.embeddings_labels(read_table(spark, sf_dir, "embeddings")))
+    s = FE.fold_scaling(_emb_long(spark, sf_dir), folds)
+    return s.select("dataset", F.col("held").cast("int").alias("held"), "qid", "n_train",
+                    _r(F.col("mean"), "mean"), _r(F.col("std"), "std"))
+
+
+def feature_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = [r[1] for r in C.default_rows() if r[5] == C.LOW]
+    o = FO.feature_orders(_labelled_rows(spark, sf_dir), low)
+    return o.select("dataset", "perm", F.col("k").cast("bigint").alias("k"), "qid")
+
+
 REGISTRY = {
     "clean_truncate": clean_truncate,
     "strip_breaks": strip_breaks_q,
@@ -76,4 +208,20 @@ REGISTRY = {
     "class_distribution": class_distribution,
     "chance": chance,
     "dataset_meta": dataset_meta,
+    "catalog_sets": catalog_sets,
+    "prompts": prompts_q,
+    "rating_prompts": rating_prompts_q,
+    "logsumexp_diff": logsumexp_diff,
+    "prob_diff": prob_diff,
+    "top_tokens": top_tokens,
+    "features_long": features_long,
+    "features_wide": features_wide,
+    "unpivot": unpivot,
+    "batch_plan": batch_plan,
+    "resume_antijoin": resume_antijoin,
+    "feature_spread": feature_spread,
+    "spread_summary": spread_summary,
+    "stratified_folds": stratified_folds,
+    "fold_scaling": fold_scaling,
+    "feature_orders": feature_orders,
 }
