@@ -177,6 +177,8 @@ def score(prompts_df: DataFrame, scorer: Callable | None = None,
     prompts spreads over many partitions); M12 forms budget batches inside
     each partition; the scorer sees one batch at a time."""
     scorer = scorer or HashScorer()
+    from probelab.session import ship_package
+    ship_package(prompts_df.sparkSession)
     yes_tokens = yes_tokens or [t for a, t, _ in variant_rows({"yes": YES_WORDS})]
     no_tokens = no_tokens or [t for a, t, _ in variant_rows({"no": NO_WORDS})]
     keys = ["prompt_len", *KEY]

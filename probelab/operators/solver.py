@@ -1,0 +1,201 @@
+"""Per-task numerics of the classifiers (M1, M2, M10), in NumPy.
+
+These run inside Spark tasks (``mapInPandas`` / ``applyInPandas``); Spark
+decides where. The logistic model is the L2 form
+``min 0.5/C * |coef|^2 + sum_i loss_i`` with an unpenalised intercept:
+binary with one weight vector (class 1 positive), multinomial (softmax)
+otherwise, solved by Newton steps with backtracking.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+INTERCEPT_RIDGE = 1e-9   # multinomial intercepts are shift-invariant; pins the shift
+
+
+def standardize_fit(X: np.ndarray, eps: float = 1e-12):
+    """M1: mean and population std; a constant column gets scale 1."""
+    mu = X.mean(axis=0)
+    sd = X.std(axis=0)
+    scale = np.where(sd > eps * np.maximum(1.0, np.abs(mu)), sd, 1.0)
+    return mu, scale
+
+
+def _design(Z: np.ndarray) -> np.ndarray:
+    return np.hstack([Z, np.ones((Z.shape[0], 1))])
+
+
+def n_params(d: int, K: int) -> int:
+    return (d + 1) if K == 2 else K * (d + 1)
+
+
+def _penalty_diag(d: int, K: int, lam: float) -> np.ndarray:
+    one = np.concatenate([np.full(d, lam), [0.0 if K == 2 else INTERCEPT_RIDGE]])
+    return one if K == 2 else np.tile(one, K)
+
+
+def data_terms(w: np.ndarray, A: np.ndarray, yi: np.ndarray, K: int, hessian: bool = True):
+    """Loss, gradient and Hessian of the data term at ``w`` for design ``A``
+    (intercept column last) and class indices ``yi``."""
+    n, p = A.shape
+    if K == 2:
+        eta = A @ w
+        t = (yi == 1).astype(float)
+        loss = float(np.sum(np.logaddexp(0.0, eta) - t * eta))
+        pr = 0.5 * (1.0 + np.tanh(0.5 * eta))
+        g = A.T @ (pr - t)
+        H = (A.T * (pr * (1 - pr))) @ A if hessian else None
+        return loss, g, H
+    W = w.reshape(K, p)
+    eta = A @ W.T
+    m = eta.max(axis=1, keepdims=True)
+    lse = (m + np.log(np.exp(eta - m).sum(axis=1, keepdims=True))).ravel()
+    loss = float(np.sum(lse - eta[np.arange(n), yi]))
+    P = np.exp(eta - lse[:, None])
+    Y = np.zeros_like(P)
+    Y[np.arange(n), yi] = 1.0
+    g = ((P - Y).T @ A).ravel()
+    H = None
+    if hessian:
+        H = np.empty((K * p, K * p))
+        for k in range(K):
+            for l in range(k, K):
+                wt = P[:, k] * ((1.0 if k == l else 0.0) - P[:, l])
+                blk = (A.T * wt) @ A
+                H[k * p:(k + 1) * p, l * p:(l + 1) * p] = blk
+                if l != k:
+                    H[l * p:(l + 1) * p, k * p:(k + 1) * p] = blk.T
+    return loss, g, H
+
+
+def objective(w, A, yi, K, lam):
+    d = A.shape[1] - 1
+    loss = data_terms(w, A, yi, K, hessian=False)[0]
+    return loss + 0.5 * float(np.sum(_penalty_diag(d, K, lam) * w * w))
+
+
+def newton_direction(w, g, H, d, K, lam):
+    """Regularised Newton direction from summed data terms."""
+    pen = _penalty_diag(d, K, lam)
+    G = g + pen * w
+    Hr = H + np.diag(pen)
+    try:
+        step = np.linalg.solve(Hr, G)
+    except np.linalg.LinAlgError:
+        step = np.linalg.lstsq(Hr, G, rcond=None)[0]
+    return step, G
+
+
+def fit_logreg(Z: np.ndarray, yi: np.ndarray, K: int, C: float = 1.0,
+               tol: float = 1e-10, max_iter: int = 100) -> np.ndarray:
+    """M2 in one task: damped Newton to a tight tolerance."""
+    A = _design(Z)
+    d = Z.shape[1]
+    lam = 1.0 / C
+    w = np.zeros(n_params(d, K))
+    f = objective(w, A, yi, K, lam)
+    for _ in range(max_iter):
+        _, g, H = data_terms(w, A, yi, K)
+        step, G = newton_direction(w, g, H, d, K, lam)
+        t = 1.0
+        while True:
+            w_new = w - t * step
+            f_new = objective(w_new, A, yi, K, lam)
+            if f_new <= f - 1e-4 * t * float(G @ step) or t < 1e-10:
+                break
+            t *= 0.5
+        done = np.max(np.abs(t * step)) < tol or abs(f - f_new) <= 1e-15 * max(1.0, abs(f))
+        w, f = w_new, f_new
+        if done:
+            break
+    return w
+
+
+def decision(w: np.ndarray, Z: np.ndarray, K: int) -> np.ndarray:
+    A = _design(Z)
+    if K == 2:
+        return A @ w
+    return A @ w.reshape(K, A.shape[1]).T
+
+
+def predict_index(w: np.ndarray, Z: np.ndarray, K: int) -> np.ndarray:
+    """Class index; ties go to the lowest class (first maximum)."""
+    s = decision(w, Z, K)
+    if K == 2:
+        return (s > 0).astype(np.int64)
+    return np.argmax(s, axis=1)
+
+
+# ---- M10: one-hidden-layer perceptron (ReLU, Adam) --------------------------
+
+def fit_mlp(Z: np.ndarray, yi: np.ndarray, K: int, hidden: int = 64, max_iter: int = 1000,
+            alpha: float = 1e-4, lr: float = 1e-3, batch: int = 200, tol: float = 1e-4,
+            n_no_change: int = 10, seed: int = 0):
+    """ReLU hidden layer, softmax (or logistic for two classes) output, Adam on
+    shuffled mini-batches, L2 ``alpha``; stops after ``n_no_change`` epochs
+    without a ``tol`` improvement of the training loss."""
+    rng = np.random.default_rng(seed)
+    n, d = Z.shape
+    out = 1 if K == 2 else K
+
+    def glorot(fi, fo):
+        b = np.sqrt(6.0 / (fi + fo))
+        return rng.uniform(-b, b, (fi, fo)), rng.uniform(-b, b, fo)
+
+    W1, b1 = glorot(d, hidden)
+    W2, b2 = glorot(hidden, out)
+    params = [W1, b1, W2, b2]
+    m = [np.zeros_like(p) for p in params]
+    v = [np.zeros_like(p) for p in params]
+    b1m, b2m, eps = 0.9, 0.999, 1e-8
+    Y = (yi == 1).astype(float)[:, None] if K == 2 else np.eye(K)[yi]
+    bs = min(batch, n)
+    best, stall, step = np.inf, 0, 0
+    for _ in range(max_iter):
+        idx = rng.permutation(n)
+        tot = 0.0
+        for s in range(0, n, bs):
+            j = idx[s:s + bs]
+            x, y = Z[j], Y[j]
+            h = np.maximum(x @ W1 + b1, 0.0)
+            o = h @ W2 + b2
+            if K == 2:
+                pr = 0.5 * (1 + np.tanh(0.5 * o))
+                loss = float(np.sum(np.logaddexp(0, o) - y * o)) / len(j)
+            else:
+                mo = o.max(axis=1, keepdims=True)
+                lse = mo + np.log(np.exp(o - mo).sum(axis=1, keepdims=True))
+                pr = np.exp(o - lse)
+                loss = float(np.sum(lse.ravel() - np.sum(o * y, axis=1))) / len(j)
+            loss += 0.5 * alpha * (np.sum(W1 * W1) + np.sum(W2 * W2)) / len(j)
+            tot += loss * len(j)
+            do = (pr - y) / len(j)
+            gW2 = h.T @ do + alpha * W2 / len(j)
+            gb2 = do.sum(axis=0)
+            dh = (do @ W2.T) * (h > 0)
+            gW1 = x.T @ dh + alpha * W1 / len(j)
+            gb1 = dh.sum(axis=0)
+            step += 1
+            for i, gr in enumerate((gW1, gb1, gW2, gb2)):
+                m[i] = b1m * m[i] + (1 - b1m) * gr
+                v[i] = b2m * v[i] + (1 - b2m) * gr * gr
+                lr_t = lr * np.sqrt(1 - b2m ** step) / (1 - b1m ** step)
+                params[i] -= lr_t * m[i] / (np.sqrt(v[i]) + eps)
+        epoch_loss = tot / n
+        if epoch_loss > best - tol:
+            stall += 1
+        else:
+            stall = 0
+        best = min(best, epoch_loss)
+        if stall > n_no_change:
+            break
+    return params
+
+
+def predict_mlp(params, Z: np.ndarray, K: int) -> np.ndarray:
+    W1, b1, W2, b2 = params
+    o = np.maximum(Z @ W1 + b1, 0.0) @ W2 + b2
+    if K == 2:
+        return (o.ravel() > 0).astype(np.int64)
+    return np.argmax(o, axis=1)

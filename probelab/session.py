@@ -63,3 +63,22 @@ def cut_lineage(df):
     """Materialise ``df`` in the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``probelab`` importable in Python workers (what ``--py-files``
+    does at submit time). Idempotent per application."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="probelab-pyfiles-", dir="/tmp")
+    archive = shutil.make_archive(os.path.join(out, "probelab"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="probelab")
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
