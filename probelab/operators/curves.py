@@ -24,7 +24,7 @@ def gain_summary(gains: DataFrame) -> DataFrame:
     return gains.groupBy("dataset").agg(
         F.min_by("mean", "k").alias("first"), F.max_by("mean", "k").alias("last"),
         F.avg("gain").alias("mean_step"),
-        F.avg(F.when(F.col("gain").isNotNull(), (F.col("gain") > 0).cast("double"))).alias("share_positive"))
+        F.avg(F.when(F.col("gain").isNotNull(), (F.round("gain", 12) > 0).cast("double"))).alias("share_positive"))
 
 
 def curve_lists(band: DataFrame) -> DataFrame:

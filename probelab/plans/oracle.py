@@ -240,3 +240,252 @@ SQL["feature_orders"] = f"""
               ORDER BY md5('0:' || dataset || ':' || CAST(perm AS VARCHAR) || ':' || qid), qid) AS BIGINT) AS k,
          qid
   FROM g"""
+
+
+# ---- stand-in predictions: metrics, curves, statistics -------------------------
+
+FOLDED = f"""
+  SELECT f.*, k.n_classes FROM ({folds_sql(LABELLED)}) f
+  JOIN (SELECT dataset, count(DISTINCT label) AS n_classes FROM ({LABELLED}) GROUP BY dataset) k
+  ON f.dataset = k.dataset"""
+
+
+def hash_pred_sql(keys: list[str]) -> str:
+    arr = ", ".join(_lit(k) for k in keys)
+    return f"""
+  SELECT f.dataset || '|' || q.key AS config_id, f.dataset, q.key, f.row_id, f.fold, f.label,
+         CAST(floor({hash_unit_sql('f.dataset', 'q.key', 'f.row_id')} * f.n_classes) AS INTEGER) AS pred
+  FROM ({FOLDED}) f CROSS JOIN (SELECT unnest([{arr}]) AS key) q"""
+
+
+def conf_sql(pred: str) -> str:
+    return f"SELECT config_id, fold, label, pred, count(*) AS n FROM ({pred}) GROUP BY config_id, fold, label, pred"
+
+
+QCONF = conf_sql(hash_pred_sql(ALL_QIDS))
+
+
+def fold_acc_sql(conf: str) -> str:
+    return f"""SELECT config_id, fold, sum(CASE WHEN label = pred THEN n ELSE 0 END) / sum(n) AS acc, sum(n) AS n
+               FROM ({conf}) GROUP BY config_id, fold"""
+
+
+def cv_acc_sql(conf: str) -> str:
+    return f"""SELECT config_id, avg(acc) AS acc, stddev_pop(acc) AS acc_std, count(*) AS n_folds
+               FROM ({fold_acc_sql(conf)}) GROUP BY config_id"""
+
+
+SQL["confusion"] = QCONF
+SQL["fold_accuracy"] = f"SELECT config_id, fold, round(acc, 6) AS acc, n FROM ({fold_acc_sql(QCONF)})"
+SQL["macro_f1"] = f"""
+  WITH c AS ({QCONF}),
+  t AS (SELECT config_id, fold, label AS cls, sum(n) AS n_true FROM c GROUP BY 1, 2, 3),
+  p AS (SELECT config_id, fold, pred AS cls, sum(n) AS n_pred FROM c GROUP BY 1, 2, 3),
+  tp AS (SELECT config_id, fold, label AS cls, sum(n) AS tp FROM c WHERE label = pred GROUP BY 1, 2, 3),
+  j AS (SELECT coalesce(t.config_id, p.config_id) AS config_id, coalesce(t.fold, p.fold) AS fold,
+               coalesce(t.cls, p.cls) AS cls, coalesce(n_true, 0) AS n_true, coalesce(n_pred, 0) AS n_pred
+        FROM t FULL OUTER JOIN p ON t.config_id = p.config_id AND t.fold = p.fold AND t.cls = p.cls),
+  f AS (SELECT j.config_id, j.fold, j.cls,
+               CASE WHEN n_true + n_pred > 0 THEN 2.0 * coalesce(tp.tp, 0) / (n_true + n_pred) ELSE 0 END AS f1
+        FROM j LEFT JOIN tp ON j.config_id = tp.config_id AND j.fold = tp.fold AND j.cls = tp.cls),
+  pf AS (SELECT config_id, fold, avg(f1) AS f1 FROM f GROUP BY 1, 2)
+  SELECT config_id, round(avg(f1), 6) AS f1 FROM pf GROUP BY config_id"""
+
+ORDERS = f"""
+  WITH d AS (SELECT DISTINCT dataset FROM ({LABELLED})),
+  g AS (SELECT d.dataset, p.perm, q.qid FROM d
+        CROSS JOIN (SELECT unnest(range(0, 10)) AS perm) p
+        CROSS JOIN (SELECT unnest([{", ".join(_lit(q) for q in LOW_QIDS)}]) AS qid) q)
+  SELECT dataset, CAST(perm AS INTEGER) AS perm,
+         CAST(row_number() OVER (PARTITION BY dataset, perm
+              ORDER BY md5('0:' || dataset || ':' || CAST(perm AS VARCHAR) || ':' || qid), qid) AS INTEGER) AS k
+  FROM g"""
+
+CURVES = f"""
+  WITH o AS ({ORDERS}), f AS ({FOLDED}),
+  p AS (SELECT f.dataset || '|' || CAST(o.perm AS VARCHAR) || '|' || CAST(o.k AS VARCHAR) AS config_id,
+               f.fold, f.label,
+               CAST(floor({hash_unit_sql('f.dataset', 'o.perm', 'o.k', 'f.row_id')} * f.n_classes) AS INTEGER) AS pred
+        FROM f JOIN o ON f.dataset = o.dataset),
+  a AS ({cv_acc_sql(conf_sql('SELECT * FROM p'))})
+  SELECT split_part(config_id, '|', 1) AS dataset, CAST(split_part(config_id, '|', 2) AS INTEGER) AS perm,
+         CAST(split_part(config_id, '|', 3) AS INTEGER) AS k, acc FROM a"""
+
+BAND = f"""SELECT dataset, k, avg(acc) AS mean, stddev_pop(acc) AS std, count(*) AS n_orders
+           FROM ({CURVES}) GROUP BY dataset, k"""
+GAIN = f"SELECT *, mean - lag(mean) OVER (PARTITION BY dataset ORDER BY k) AS gain FROM ({BAND})"
+
+SQL["curve_band"] = f"SELECT dataset, k, round(mean, 6) AS mean, round(std, 6) AS std, n_orders FROM ({BAND})"
+SQL["marginal_gain"] = f"SELECT dataset, k, round(mean, 6) AS mean, round(gain, 6) AS gain FROM ({GAIN})"
+SQL["gain_summary"] = f"""
+  SELECT dataset, round(arg_min(mean, k), 6) AS first, round(arg_max(mean, k), 6) AS last,
+         round(avg(gain), 6) AS mean_step,
+         round(avg(CASE WHEN gain IS NULL THEN NULL WHEN round(gain, 12) > 0 THEN 1.0 ELSE 0.0 END), 6) AS share_positive
+  FROM ({GAIN}) GROUP BY dataset"""
+
+CHANCE_F = f"""SELECT dataset, max(n) / sum(n) AS chance FROM
+               (SELECT dataset, label, count(*) AS n FROM ({FOLDED}) GROUP BY 1, 2) GROUP BY dataset"""
+
+UNI = f"""
+  SELECT split_part(a.config_id, '|', 1) AS dataset, split_part(a.config_id, '|', 2) AS qid,
+         a.acc AS uni_acc, c.chance, a.acc - c.chance AS over
+  FROM ({cv_acc_sql(QCONF)}) a JOIN ({CHANCE_F}) c ON split_part(a.config_id, '|', 1) = c.dataset"""
+
+RATING = f"""
+  WITH l AS (SELECT c.qid, v.answer, {hash_logit_sql('-1', 'c.qid', 'v.token')} AS logit
+             FROM {CAT} c CROSS JOIN {VARIANTS} v),
+  m AS (SELECT *, max(logit) OVER (PARTITION BY qid, answer) AS mx FROM l),
+  s AS (SELECT qid, answer, max(mx) + ln(sum(exp(logit - mx))) AS lse FROM m GROUP BY qid, answer)
+  SELECT qid, max(lse) FILTER (WHERE answer = 'yes') - max(lse) FILTER (WHERE answer = 'no') AS llm_metaphoricity
+  FROM s GROUP BY qid"""
+
+UTILITY = f"""
+  WITH u AS ({UNI}),
+  pq AS (SELECT u.*, c.set, c.sense, c.predicate, c.a_priori_metaphoricity AS metaphoricity
+         FROM u JOIN {CAT} c ON u.qid = c.qid WHERE c.a_priori_metaphoricity IS NOT NULL),
+  agg AS (SELECT qid, set, sense, predicate, metaphoricity, avg(over) AS utility
+          FROM pq GROUP BY qid, set, sense, predicate, metaphoricity)
+  SELECT agg.*, r.llm_metaphoricity FROM agg LEFT JOIN ({RATING}) r ON agg.qid = r.qid"""
+
+SQL["question_utility"] = f"""
+  SELECT qid, set, sense, predicate, metaphoricity, round(utility, 6) AS utility,
+         round(llm_metaphoricity, 6) AS llm_metaphoricity FROM ({UTILITY})"""
+
+SQL["set_means"] = f"""
+  SELECT set, round(avg(utility), 6) AS mean_utility, round(min(utility), 6) AS min_utility
+  FROM ({UTILITY}) GROUP BY set"""
+
+SQL["all_above"] = f"""
+  WITH c AS (SELECT avg(over) AS control_mean FROM ({UNI}) WHERE starts_with(qid, 'gib_')),
+  l AS (SELECT min(utility) AS low_min FROM ({UTILITY}) WHERE set = 'SYN_LOW')
+  SELECT round(c.control_mean, 6) AS control_mean, CAST(l.low_min > c.control_mean AS INTEGER) AS low_all_above
+  FROM c, l"""
+
+PAIRS = f"""
+  SELECT 'a_priori' AS covariate, metaphoricity AS x, utility AS y, set FROM ({UTILITY})
+  UNION ALL SELECT 'llm', llm_metaphoricity, utility, set FROM ({UTILITY})"""
+
+SQL["pearson"] = f"SELECT covariate, round(corr(x, y), 6) AS r, count(*) AS n FROM ({PAIRS}) GROUP BY covariate"
+
+SQL["spearman"] = f"""
+  SELECT covariate, round(corr(rx, ry), 6) AS rho, count(*) AS n FROM (
+    SELECT covariate,
+           rank() OVER (PARTITION BY covariate ORDER BY round(x, 12)) + (count(*) OVER (PARTITION BY covariate, round(x, 12)) - 1) / 2.0 AS rx,
+           rank() OVER (PARTITION BY covariate ORDER BY round(y, 12)) + (count(*) OVER (PARTITION BY covariate, round(y, 12)) - 1) / 2.0 AS ry
+    FROM ({PAIRS})) GROUP BY covariate"""
+
+SQL["mann_whitney"] = f"""
+  WITH u AS (SELECT utility, set FROM ({UTILITY}) WHERE set IN ('SYN_LOW', 'SYN_HIGH')),
+  r AS (SELECT *, rank() OVER (ORDER BY round(utility, 12)) + (count(*) OVER (PARTITION BY round(utility, 12)) - 1) / 2.0 AS rk FROM u),
+  t AS (SELECT sum(t * t * t - t) AS tie FROM (SELECT count(*) AS t FROM u GROUP BY round(utility, 12))),
+  s AS (SELECT sum(CASE WHEN set = 'SYN_LOW' THEN 1 ELSE 0 END) AS n1,
+               sum(CASE WHEN set = 'SYN_LOW' THEN 0 ELSE 1 END) AS n2,
+               sum(CASE WHEN set = 'SYN_LOW' THEN rk ELSE 0 END) AS r1 FROM r),
+  v AS (SELECT n1, n2, r1 - n1 * (n1 + 1) / 2.0 AS u1, tie FROM s, t)
+  SELECT 'low_vs_high' AS test, round(u1, 6) AS u_low, round(n1 * n2 - u1, 6) AS u_high,
+         round((greatest(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5) /
+               sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie / ((n1 + n2) * (n1 + n2 - 1)))), 6) AS z
+  FROM v"""
+
+SQL["linear_fit"] = f"""
+  WITH f AS (SELECT covariate, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept,
+                    min(x) AS lo, max(x) AS hi FROM ({PAIRS}) GROUP BY covariate),
+  g AS (SELECT f.*, CAST(unnest(range(0, 50)) AS INTEGER) AS i FROM f)
+  SELECT covariate, i, round(lo + (hi - lo) * i / 49.0, 6) AS x,
+         round(intercept + slope * (lo + (hi - lo) * i / 49.0), 6) AS y FROM g"""
+
+SENSES = ["sight", "taste", "touch", "hearing", "smell"]
+SENSE_ACC = f"""
+  SELECT split_part(a.config_id, '|', 1) AS dataset, split_part(a.config_id, '|', 2) AS sense,
+         a.acc - c.chance AS v
+  FROM ({cv_acc_sql(conf_sql(hash_pred_sql(SENSES)))}) a
+  JOIN ({CHANCE_F}) c ON split_part(a.config_id, '|', 1) = c.dataset"""
+SQL["sense_matrix"] = (f"SELECT dataset, " + ", ".join(
+    f"round(max(v) FILTER (WHERE sense = '{s}'), 6) AS {s}" for s in SENSES) +
+    f" FROM ({SENSE_ACC}) GROUP BY dataset")
+
+SQL["dataset_correlations"] = f"""
+  WITH d AS (SELECT u.dataset, c.a_priori_metaphoricity AS x, u.over AS y
+             FROM ({UNI}) u JOIN {CAT} c ON u.qid = c.qid WHERE c.a_priori_metaphoricity IS NOT NULL),
+  r AS (SELECT dataset,
+               rank() OVER (PARTITION BY dataset ORDER BY round(x, 12)) + (count(*) OVER (PARTITION BY dataset, round(x, 12)) - 1) / 2.0 AS rx,
+               rank() OVER (PARTITION BY dataset ORDER BY round(y, 12)) + (count(*) OVER (PARTITION BY dataset, round(y, 12)) - 1) / 2.0 AS ry
+        FROM d)
+  SELECT p.dataset, round(p.r, 6) AS pearson_r, round(s.rho, 6) AS spearman_r, p.n FROM
+    (SELECT dataset, corr(x, y) AS r, count(*) AS n FROM d GROUP BY dataset) p
+    JOIN (SELECT dataset, corr(rx, ry) AS rho FROM r GROUP BY dataset) s ON p.dataset = s.dataset"""
+
+# ---- zero-shot ------------------------------------------------------------------
+
+ZS_OPTS = ("(SELECT * FROM (VALUES ('en', 'English', 0, 'A'), ('fr', 'French', 1, 'B'), "
+           "('de', 'German', 2, 'C'), ('es', 'Spanish', 3, 'D')) AS o(label_text, display, option, letter))")
+
+
+def _lse2(a: str, b: str) -> str:
+    return f"(greatest({a}, {b}) + ln(exp({a} - greatest({a}, {b})) + exp({b} - greatest({a}, {b}))))"
+
+
+ZS_SCORES = f"""
+  SELECT t.dataset, t.row_id, l.label_text, o.option,
+         {_lse2(hash_logit_sql('t.row_id', "'mc'", 'o.letter'), hash_logit_sql('t.row_id', "'mc'", "' ' || o.letter"))} AS score
+  FROM ({TEXTS}) t JOIN documents l0 ON t.row_id = l0.doc_id
+  JOIN (SELECT doc_id, lang AS label_text FROM documents) l ON t.row_id = l.doc_id
+  CROSS JOIN {ZS_OPTS} o"""
+
+ZS_PRED = f"""
+  WITH s AS ({ZS_SCORES}),
+  b AS (SELECT dataset, row_id, label_text, arg_max(option, struct_pack(score := score, neg := -option)) AS pred
+        FROM s GROUP BY dataset, row_id, label_text)
+  SELECT b.dataset, b.row_id, b.label_text, o.option AS gold, CAST(b.pred AS INTEGER) AS pred
+  FROM b JOIN {ZS_OPTS} o ON b.label_text = o.label_text"""
+
+SQL["zero_shot_pred"] = ZS_PRED
+SQL["zero_shot_hist"] = f"""
+  SELECT 'lang' AS dataset, o.letter, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+  FROM {ZS_OPTS} o LEFT JOIN (SELECT pred, count(*) AS n FROM ({ZS_PRED}) GROUP BY pred) c ON o.option = c.pred"""
+
+SQL["comparison"] = f"""
+  WITH zs AS (SELECT dataset, avg(CASE WHEN pred = gold THEN 1.0 ELSE 0.0 END) AS zero_shot
+              FROM ({ZS_PRED}) GROUP BY dataset),
+  g AS ({cv_acc_sql(conf_sql(hash_pred_sql(['SYN_LOW', 'SYN_ALL'])))}),
+  gp AS (SELECT split_part(config_id, '|', 1) AS dataset,
+                max(acc) FILTER (WHERE split_part(config_id, '|', 2) = 'SYN_LOW') AS low_acc,
+                max(acc) FILTER (WHERE split_part(config_id, '|', 2) = 'SYN_ALL') AS all_acc
+         FROM g GROUP BY 1)
+  SELECT c.dataset, round(c.chance, 6) AS chance, round(zs.zero_shot, 6) AS zero_shot,
+         round(gp.low_acc, 6) AS low_acc, round(gp.all_acc, 6) AS all_acc
+  FROM ({CHANCE_F}) c JOIN zs ON c.dataset = zs.dataset JOIN gp ON c.dataset = gp.dataset"""
+
+# ---- TF-IDF ---------------------------------------------------------------------------
+
+TF_COUNTS = f"""
+  WITH f AS ({folds_sql(RAW_LANG)}),
+  d AS (SELECT t.dataset, t.row_id, f.fold,
+               regexp_extract_all(lower(t.text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS tok
+        FROM ({TEXTS}) t JOIN f ON t.dataset = f.dataset AND t.row_id = f.row_id),
+  e AS (SELECT dataset, row_id, fold, unnest(tok || list_transform(range(1, len(tok)),
+               lambda i: tok[i] || ' ' || tok[i + 1])) AS term FROM d)
+  SELECT dataset, row_id, fold, term, count(*) AS tf FROM e GROUP BY dataset, row_id, fold, term"""
+
+TF_VOCAB = f"""
+  WITH c AS ({TF_COUNTS}),
+  h AS (SELECT unnest(range(0, 5)) AS held),
+  tr AS (SELECT c.dataset, h.held, c.term, sum(c.tf) AS tf, count(*) AS df
+         FROM c JOIN h ON c.fold <> h.held GROUP BY c.dataset, h.held, c.term),
+  nt AS (SELECT d.dataset, h.held, count(*) AS n_train
+         FROM (SELECT DISTINCT dataset, row_id, fold FROM c) d JOIN h ON d.fold <> h.held GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY dataset, held ORDER BY tf DESC, term) AS rank FROM tr)
+  SELECT r.*, nt.n_train FROM r JOIN nt ON r.dataset = nt.dataset AND r.held = nt.held WHERE rank <= 5000"""
+
+SQL["tfidf_vocab"] = f"""
+  SELECT dataset, CAST(held AS INTEGER) AS held, term, tf, df, CAST(rank AS BIGINT) AS rank FROM ({TF_VOCAB})"""
+
+SQL["tfidf_weights"] = f"""
+  WITH c AS ({TF_COUNTS}), v AS ({TF_VOCAB}),
+  w AS (SELECT c.dataset, v.held, c.row_id,
+               (1 + ln(c.tf)) * (ln((1.0 + v.n_train) / (1.0 + v.df)) + 1) AS w
+        FROM c JOIN v ON c.dataset = v.dataset AND c.term = v.term),
+  n AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY dataset, held, row_id)) AS weight FROM w)
+  SELECT dataset, CAST(held AS INTEGER) AS held, row_id, count(*) AS n_terms,
+         round(sum(weight), 6) AS weight_sum, round(sum(weight * weight), 6) AS norm2
+  FROM n GROUP BY dataset, held, row_id"""

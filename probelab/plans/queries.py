@@ -18,6 +18,13 @@ from probelab.sources import catalog as C
 from probelab.operators import scoring as S
 from probelab.operators import features as FE
 from probelab.operators import folds as FO
+from probelab.operators import metrics as M
+from probelab.operators import curves as CV
+from probelab.operators import stats as ST
+from probelab.operators import tfidf as TF
+from probelab.operators import zeroshot as ZS
+from probelab.operators import selection as SEL
+from probelab.functions.logits import hash_unit
 
 R = 6  # rounding digits of every double in a registered query
 
@@ -199,6 +206,308 @@ def feature_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("dataset", "perm", F.col("k").cast("bigint").alias("k"), "qid")
 
 
+
+# ---- stand-in predictions: metrics, curves, statistics -------------------------
+# A fixed md5 "classifier" stands in for model output where a SQL twin is
+# needed: pred = floor(md5unit(dataset:key:row_id) * n_classes). The real
+# classifiers run in the cv_* / greedy / random_order queries (no SQL twin).
+
+def _folded(spark, sf_dir):
+    rows = _labelled_rows(spark, sf_dir)
+    k = rows.groupBy("dataset").agg(F.countDistinct("label").alias("n_classes"))
+    return FO.stratified_folds(rows).join(k, "dataset")
+
+
+def _hash_predictions(folded, keys: list[str], tag_cols=None):
+    """One prediction per (row, key): ``config_id = dataset|key``."""
+    arr = F.array(*[F.lit(x) for x in keys])
+    p = folded.withColumn("key", F.explode(arr))
+    pred = F.floor(hash_unit(F.col("dataset"), F.col("key"), F.col("row_id")) * F.col("n_classes")).cast("int")
+    return p.select(F.concat_ws("|", "dataset", "key").alias("config_id"), "dataset", "key",
+                    "row_id", "fold", "label", pred.alias("pred"))
+
+
+def _qid_conf(spark, sf_dir):
+    pred = _hash_predictions(_folded(spark, sf_dir), _qids())
+    return M.confusion_from_predictions(pred)
+
+
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _qid_conf(spark, sf_dir)
+
+
+def fold_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = M.fold_accuracy(_qid_conf(spark, sf_dir))
+    return a.select("config_id", "fold", _r(F.col("acc"), "acc"), "n")
+
+
+def macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = M.macro_f1(_qid_conf(spark, sf_dir))
+    return f.select("config_id", _r(F.col("f1"), "f1"))
+
+
+def _curves(spark, sf_dir):
+    folded = _folded(spark, sf_dir)
+    low = [r[1] for r in C.default_rows() if r[5] == C.LOW]
+    orders = FO.feature_orders(folded, low)
+    configs = orders.select("dataset", "perm", "k")
+    p = folded.join(configs, "dataset")
+    pred = F.floor(hash_unit(F.col("dataset"), F.col("perm"), F.col("k"), F.col("row_id"))
+                   * F.col("n_classes")).cast("int")
+    p = p.select(F.concat_ws("|", "dataset", "perm", "k").alias("config_id"), "fold", "label", pred.alias("pred"))
+    acc = M.cv_accuracy(M.confusion_from_predictions(p))
+    parts = F.split("config_id", r"\|")
+    return acc.select(parts[0].alias("dataset"), parts[1].cast("int").alias("perm"),
+                      parts[2].cast("int").alias("k"), "acc")
+
+
+def curve_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = CV.curve_band(_curves(spark, sf_dir))
+    return b.select("dataset", "k", _r(F.col("mean"), "mean"), _r(F.col("std"), "std"), "n_orders")
+
+
+def marginal_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = CV.marginal_gain(CV.curve_band(_curves(spark, sf_dir)))
+    return g.select("dataset", "k", _r(F.col("mean"), "mean"), _r(F.col("gain"), "gain"))
+
+
+def gain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = CV.gain_summary(CV.marginal_gain(CV.curve_band(_curves(spark, sf_dir))))
+    return s.select("dataset", *[_r(F.col(c), c) for c in ("first", "last", "mean_step", "share_positive")])
+
+
+def _chance_of(folded):
+    per = folded.groupBy("dataset", "label").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("dataset").agg((F.max("n") / F.sum("n")).alias("chance"))
+
+
+def _uni(spark, sf_dir):
+    """M5 stand-in: per (dataset, qid) CV accuracy, chance and over-chance."""
+    folded = _folded(spark, sf_dir)
+    acc = M.cv_accuracy(_qid_conf(spark, sf_dir))
+    parts = F.split("config_id", r"\|")
+    uni = acc.select(parts[0].alias("dataset"), parts[1].alias("qid"), F.col("acc").alias("uni_acc"))
+    return uni.join(_chance_of(folded), "dataset").withColumn("over", F.col("uni_acc") - F.col("chance"))
+
+
+def _rating(spark):
+    """M14 with the stand-in scorer: covariate per predicate."""
+    f = S.feature_from_logits(S.hash_logits(S.rating_prompts(_cat(spark))))
+    return f.select("qid", F.col("value").alias("llm_metaphoricity"))
+
+
+def _utility(spark, sf_dir):
+    """A7 + J2 + J5: mean over-chance utility per probe joined to its covariates."""
+    cat = _cat(spark).select("qid", "set", "sense", "predicate",
+                             F.col("a_priori_metaphoricity").alias("metaphoricity"))
+    per_q = _uni(spark, sf_dir).join(F.broadcast(cat), "qid").filter(F.col("metaphoricity").isNotNull())
+    agg = per_q.groupBy("qid", "set", "sense", "predicate", "metaphoricity").agg(F.avg("over").alias("utility"))
+    return agg.join(F.broadcast(_rating(spark)), "qid", "left")
+
+
+def question_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = _utility(spark, sf_dir)
+    return u.select("qid", "set", "sense", "predicate", "metaphoricity", _r(F.col("utility"), "utility"),
+                    _r(F.col("llm_metaphoricity"), "llm_metaphoricity"))
+
+
+def set_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = _utility(spark, sf_dir)
+    return u.groupBy("set").agg(_r(F.avg("utility"), "mean_utility"), _r(F.min("utility"), "min_utility"))
+
+
+def all_above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A9 + A10: control reference (mean over-chance of the control probes over
+    datasets) and whether every low probe lies above it (min > reference)."""
+    ctrl = _uni(spark, sf_dir).filter(F.col("qid").startswith("gib_")) \
+        .agg(F.avg("over").alias("control_mean"), F.lit(None).cast("double").alias("low_min"))
+    low = _utility(spark, sf_dir).filter(F.col("set") == C.LOW) \
+        .agg(F.lit(None).cast("double").alias("control_mean"), F.min("utility").alias("low_min"))
+    both = ctrl.unionByName(low).agg(F.max("control_mean").alias("c"), F.max("low_min").alias("m"))
+    return both.select(_r(F.col("c"), "control_mean"), (F.col("m") > F.col("c")).cast("int").alias("low_all_above"))
+
+
+def _pairs(spark, sf_dir):
+    """Long (covariate, x, y) pairs for the statistics."""
+    u = _utility(spark, sf_dir)
+    a = u.select(F.lit("a_priori").alias("covariate"), F.col("metaphoricity").alias("x"),
+                 F.col("utility").alias("y"), "set")
+    b = u.select(F.lit("llm").alias("covariate"), F.col("llm_metaphoricity").alias("x"),
+                 F.col("utility").alias("y"), "set")
+    return a.unionByName(b)
+
+
+def pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = ST.pearson(_pairs(spark, sf_dir), ["covariate"], "x", "y", with_p=False)
+    return r.select("covariate", _r(F.col("r"), "r"), "n")
+
+
+def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = ST.spearman(_pairs(spark, sf_dir), ["covariate"], "x", "y", with_p=False)
+    return r.select("covariate", _r(F.col("rho"), "rho"), "n")
+
+
+def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = _utility(spark, sf_dir).filter(F.col("set").isin(C.LOW, C.HIGH)).withColumn("test", F.lit("low_vs_high"))
+    m = ST.mann_whitney(u, ["test"], "utility", "set", C.LOW, with_p=False)
+    return m.select("test", _r(F.col("u_first"), "u_low"), _r(F.col("u_second"), "u_high"), _r(F.col("z"), "z"))
+
+
+def linear_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, pts = ST.linear_fit(_pairs(spark, sf_dir), ["covariate"], "x", "y")
+    return pts.select("covariate", F.col("i").cast("int").alias("i"), _r(F.col("x"), "x"), _r(F.col("y"), "y"))
+
+
+def sense_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-sense accuracy over chance, one column per sense."""
+    folded = _folded(spark, sf_dir)
+    acc = M.cv_accuracy(M.confusion_from_predictions(_hash_predictions(folded, list(C.SENSES))))
+    parts = F.split("config_id", r"\|")
+    a = acc.select(parts[0].alias("dataset"), parts[1].alias("sense"), "acc").join(_chance_of(folded), "dataset")
+    m = a.groupBy("dataset").pivot("sense", list(C.SENSES)).agg(F.first(F.col("acc") - F.col("chance")))
+    return m.select("dataset", *[_r(F.col(x), x) for x in C.SENSES])
+
+
+def dataset_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per dataset, covariate vs over-chance utility of the 40 probes."""
+    cat = _cat(spark).select("qid", F.col("a_priori_metaphoricity").alias("x"))
+    d = _uni(spark, sf_dir).join(F.broadcast(cat), "qid").filter(F.col("x").isNotNull())
+    p = ST.pearson(d, ["dataset"], "x", "over", with_p=False)
+    s = ST.spearman(d, ["dataset"], "x", "over", with_p=False)
+    return p.join(s.drop("n"), "dataset").select("dataset", _r(F.col("r"), "pearson_r"),
+                                                 _r(F.col("rho"), "spearman_r"), "n")
+
+
+# ---- zero-shot ------------------------------------------------------------------
+
+def _zs_config(spark):
+    rows = [("lang", "Which language is this text written in? Choose one of: English, French, German, Spanish.",
+             i, lt, disp) for i, (lt, disp) in enumerate([("en", "English"), ("fr", "French"),
+                                                           ("de", "German"), ("es", "Spanish")])]
+    return spark.createDataFrame(rows, ZS.ZS_SCHEMA)
+
+
+def _zs_pred(spark, sf_dir):
+    cfg = _zs_config(spark)
+    texts = P.clean(inputs.raw_lang(spark, sf_dir))
+    return ZS.predict(ZS.hash_letter_scores(ZS.prompts(texts, cfg)), cfg)
+
+
+def zero_shot_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _zs_pred(spark, sf_dir)
+
+
+def zero_shot_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ZS.histogram(_zs_pred(spark, sf_dir), _zs_config(spark))
+
+
+def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chance, zero-shot accuracy and group accuracies per dataset."""
+    folded = _folded(spark, sf_dir)
+    zs = M.accuracy(_zs_pred(spark, sf_dir)).select("dataset", F.col("acc").alias("zero_shot"))
+    acc = M.cv_accuracy(M.confusion_from_predictions(_hash_predictions(folded, [C.LOW, "SYN_ALL"])))
+    parts = F.split("config_id", r"\|")
+    g = acc.select(parts[0].alias("dataset"), parts[1].alias("grp"), "acc") \
+           .groupBy("dataset").pivot("grp", [C.LOW, "SYN_ALL"]).agg(F.first("acc"))
+    out = _chance_of(folded).join(zs, "dataset").join(g, "dataset")
+    return out.select("dataset", _r(F.col("chance"), "chance"), _r(F.col("zero_shot"), "zero_shot"),
+                      _r(F.col(C.LOW), "low_acc"), _r(F.col("SYN_ALL"), "all_acc"))
+
+
+# ---- TF-IDF -------------------------------------------------------------------------
+
+def _tfidf_counts(spark, sf_dir):
+    texts = P.clean(inputs.raw_lang(spark, sf_dir))
+    folds = FO.stratified_folds(P.index_labels(inputs.raw_lang(spark, sf_dir)))
+    return TF.doc_term_counts(texts.join(folds.select("dataset", "row_id", "fold"), ["dataset", "row_id"]))
+
+
+def tfidf_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = TF.vocabulary(_tfidf_counts(spark, sf_dir))
+    return v.select("dataset", F.col("held").cast("int").alias("held"), "term", "tf", "df",
+                    F.col("rank").cast("bigint").alias("rank"))
+
+
+def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _tfidf_counts(spark, sf_dir)
+    w = TF.weights(counts, TF.vocabulary(counts))
+    per_doc = w.groupBy("dataset", "held", "row_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), _r(F.sum("weight"), "weight_sum"),
+        _r(F.sum(F.col("weight") * F.col("weight")), "norm2"))
+    return per_doc.select("dataset", F.col("held").cast("int").alias("held"), "row_id", "n_terms",
+                          "weight_sum", "norm2")
+
+
+def tfidf_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _tfidf_counts(spark, sf_dir)
+    labels = P.index_labels(inputs.raw_lang(spark, sf_dir)).select("dataset", "row_id", "label")
+    pred = TF.cv_predictions(TF.weights(counts, TF.vocabulary(counts)), labels)
+    conf = M.confusion_from_predictions(pred.withColumn("config_id", F.concat_ws("|", "dataset", F.lit("TFIDF")))
+                                            .withColumnRenamed("held", "fold"))
+    return M.cv_summary(conf)
+
+
+# ---- model-based cross-validation (no SQL twin) ------------------------------------
+
+def _cat_rows():
+    names = ["q_idx", "qid", "sense", "predicate", "question", "set", "a_priori_metaphoricity"]
+    return [dict(zip(names, r)) for r in C.default_rows()]
+
+
+def _emb_matrix(spark, sf_dir):
+    from probelab.operators import evaluate as EV
+    emb = read_table(spark, sf_dir, "embeddings")
+    folds = FO.stratified_folds(FE.embeddings_labels(emb))
+    return EV.build_matrix(FE.embeddings_long(emb, _qids()), folds, _qids())
+
+
+def cv_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M4: LOW, HIGH, ALL, control groups - acc, std, macro F1."""
+    res = SEL.run_configs(_emb_matrix(spark, sf_dir), SEL.group_configs(["embeddings"], _cat_rows()))
+    return SEL.split_id(res, ("dataset", "grp"))
+
+
+def cv_univariate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: one logistic model per probe."""
+    res = SEL.run_configs(_emb_matrix(spark, sf_dir), SEL.univariate_configs(["embeddings"], _cat_rows()))
+    return SEL.split_id(res, ("dataset", "qid"))
+
+
+def cv_sense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6: the four low probes of each sense."""
+    res = SEL.run_configs(_emb_matrix(spark, sf_dir), SEL.sense_configs(["embeddings"], _cat_rows()))
+    return SEL.split_id(res, ("dataset", "sense"))
+
+
+def greedy_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M7: full greedy forward paths of the LOW and HIGH sets."""
+    rows = _cat_rows()
+    cols = SEL.columns_by_set(rows)
+    chains = {("embeddings", C.LOW): cols[C.LOW], ("embeddings", C.HIGH): cols[C.HIGH]}
+    return SEL.greedy_forward(_emb_matrix(spark, sf_dir), chains, {r["q_idx"]: r["qid"] for r in rows})
+
+
+def random_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: 10 random orders x 20 prefixes of the LOW set, then A15."""
+    rows = _cat_rows()
+    low = [r["qid"] for r in rows if r["set"] == C.LOW]
+    m = _emb_matrix(spark, sf_dir)
+    orders = FO.feature_orders(m.select("dataset").distinct(), low)
+    curves = SEL.random_order_curves(m, orders, {r["qid"]: r["q_idx"] for r in rows})
+    return CV.curve_band(curves)
+
+
+def mlp_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10 + M15: logistic and perceptron on LOW and ALL, side by side."""
+    from probelab.operators import evaluate as EV
+    m = _emb_matrix(spark, sf_dir)
+    cfg = [c for c in SEL.group_configs(["embeddings"], _cat_rows(), groups=(C.LOW, "SYN_ALL"))]
+    lr = M.cv_accuracy(EV.evaluate_many(m, EV.config_frame(spark, cfg))).withColumn("model", F.lit("lr"))
+    mlp = M.cv_accuracy(EV.evaluate_many(m, EV.config_frame(spark, cfg), classifier="mlp")) \
+           .withColumn("model", F.lit("mlp"))
+    return SEL.split_id(lr.unionByName(mlp), ("dataset", "grp"))
+
+
 REGISTRY = {
     "clean_truncate": clean_truncate,
     "strip_breaks": strip_breaks_q,
@@ -224,4 +533,31 @@ REGISTRY = {
     "stratified_folds": stratified_folds,
     "fold_scaling": fold_scaling,
     "feature_orders": feature_orders,
+    "confusion": confusion,
+    "fold_accuracy": fold_accuracy,
+    "macro_f1": macro_f1,
+    "curve_band": curve_band,
+    "marginal_gain": marginal_gain,
+    "gain_summary": gain_summary,
+    "question_utility": question_utility,
+    "set_means": set_means,
+    "all_above": all_above,
+    "pearson": pearson,
+    "spearman": spearman,
+    "mann_whitney": mann_whitney,
+    "linear_fit": linear_fit,
+    "sense_matrix": sense_matrix,
+    "dataset_correlations": dataset_correlations,
+    "zero_shot_pred": zero_shot_pred,
+    "zero_shot_hist": zero_shot_hist,
+    "comparison": comparison,
+    "tfidf_vocab": tfidf_vocab,
+    "tfidf_weights": tfidf_weights,
+    "tfidf_cv": tfidf_cv,
+    "cv_groups": cv_groups,
+    "cv_univariate": cv_univariate,
+    "cv_sense": cv_sense,
+    "greedy_forward": greedy_forward,
+    "random_order": random_order,
+    "mlp_check": mlp_check,
 }
