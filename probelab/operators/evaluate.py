@@ -100,17 +100,36 @@ def _fit_predict(X, y, fold, held, cols, classifier, C, mlp_kw):
     return classes[SV.predict_index(w, Zte, K)]
 
 
-def _broadcast_path(matrix, fits, classifier, C, output, mlp_kw, num_tasks):
+def broadcast_matrix(matrix: DataFrame, small_bytes: int = SMALL_BYTES):
+    """Ship a size-checked matrix to the executors once; reuse the handle
+    across many ``evaluate_many`` calls (e.g. greedy rounds). Raises when
+    the matrix is above the limit - use the distributed strategy then."""
     spark = matrix.sparkSession
     from probelab.session import ship_package
     ship_package(spark)
+    nbytes = _matrix_bytes(matrix)
+    if nbytes > small_bytes:
+        raise ValueError(f"matrix of ~{nbytes} bytes exceeds the broadcast limit {small_bytes}")
     pdf = matrix.select("dataset", "row_id", "label", "fold", "x").toPandas()
     data = {}
     for ds, g in pdf.groupby("dataset"):
         data[ds] = (np.stack(g["x"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy()),
                     g["label"].to_numpy(np.int64), g["fold"].to_numpy(np.int64),
                     g["row_id"].to_numpy(np.int64))
-    bc = spark.sparkContext.broadcast(data)
+    return spark.sparkContext.broadcast(data)
+
+
+def _matrix_bytes(matrix: DataFrame) -> int:
+    sz = matrix.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).collect()
+    return sum(int(r["n"]) * (int(r["d"] or 0) + 4) * 8 for r in sz)
+
+
+def _broadcast_path(matrix, fits, classifier, C, output, mlp_kw, num_tasks, bc=None):
+    spark = matrix.sparkSession
+    from probelab.session import ship_package
+    ship_package(spark)
+    if bc is None:
+        bc = broadcast_matrix(matrix, small_bytes=1 << 62)
 
     def run(it):
         local = bc.value
@@ -325,16 +344,20 @@ def _newton_chunk(cached, chunk, classes, stats, lam, tol, max_iter, sc):
 def evaluate_many(matrix: DataFrame, configs: DataFrame, *, k: int = 5, classifier: str = "logreg",
                   C: float = 1.0, output: str = "confusion", strategy: str | None = None,
                   small_bytes: int = SMALL_BYTES, mlp_kw: dict | None = None,
-                  num_tasks: int | None = None) -> DataFrame:
-    """M3: fit every config on k-1 folds and predict the held fold, for all k."""
+                  num_tasks: int | None = None, local=None) -> DataFrame:
+    """M3: fit every config on k-1 folds and predict the held fold, for all k.
+
+    ``local`` is a handle from ``broadcast_matrix`` (skips the size check and
+    the shipping)."""
     fits = configs.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    if local is not None:
+        strategy = "broadcast"
     if strategy is None:
-        sz = matrix.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"),
-                                           F.max(F.size("x")).alias("d")).collect()
-        nbytes = sum(int(r["n"]) * (int(r["d"] or 0) + 4) * 8 for r in sz)
-        strategy = "broadcast" if nbytes <= small_bytes else "distributed"
-    if strategy == "broadcast" or classifier != "logreg":
-        # the perceptron has no data-parallel form here; it always takes the checked path
-        return _broadcast_path(matrix, fits, classifier, C, output, mlp_kw, num_tasks)
+        strategy = "broadcast" if _matrix_bytes(matrix) <= small_bytes else "distributed"
+    if classifier == "mlp" and strategy != "broadcast":
+        raise ValueError("the perceptron check runs on the broadcast strategy only; "
+                         "the matrix is above the size limit")
+    if strategy == "broadcast":
+        return _broadcast_path(matrix, fits, classifier, C, output, mlp_kw, num_tasks, local)
     fits_pd = fits.toPandas()   # design table: configs x folds
     return _distributed_path(matrix, fits_pd, k, C, output)

@@ -69,6 +69,11 @@ def greedy_forward(matrix: DataFrame, chains: dict[tuple[str, str], Sequence[int
     forward path ``(dataset, set, k, acc, qid)``; ties go to the earliest
     candidate (W8)."""
     spark = matrix.sparkSession
+    if "local" not in kw and kw.get("strategy") in (None, "broadcast"):
+        try:
+            kw["local"] = EV.broadcast_matrix(matrix)      # one size check, one shipment
+        except ValueError:
+            kw["strategy"] = "distributed"
     chosen = {c: [] for c in chains}
     remaining = {c: list(v) for c, v in chains.items()}
     curve = []
