@@ -68,7 +68,7 @@ def label_name(label: Column, names: Sequence[str] | None = None,
     if given is not None:
         parts.append(given)
     if names:
-        parts.append(F.element_at(F.array(*[F.lit(n) for n in names]), label + 1))
+        parts.append(F.try_element_at(F.array(*[F.lit(n) for n in names]), label + 1))
     parts.append(label.cast("string"))
     return F.coalesce(*parts)
 
