@@ -52,8 +52,8 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, group: str,
     normal approximation with tie correction and continuity correction.
     ``u_first`` is U of the first sample; the test uses max(U1, U2)."""
     ranked = df.withColumn("_r", average_rank(keys, value))
-    ties = (df.groupBy(*keys, F.round(F.col(value), TIE_DIGITS).alias("_v")).agg(F.count(F.lit(1)).alias("t"))
-              .groupBy(*keys).agg(F.sum(F.col("t") ** 3 - F.col("t")).alias("tie")))
+    ties = (df.groupBy(*keys, F.round(F.col(value), TIE_DIGITS).alias("_v")).agg(F.count(F.lit(1)).alias("_t"))
+              .groupBy(*keys).agg(F.sum(F.col("_t") ** 3 - F.col("_t")).alias("_tie")))
     is1 = F.col(group) == F.lit(first)
     s = ranked.groupBy(*keys).agg(
         F.sum(F.when(is1, 1).otherwise(0)).alias("n1"), F.sum(F.when(is1, 0).otherwise(1)).alias("n2"),
@@ -62,7 +62,7 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, group: str,
     n = F.col("n1") + F.col("n2")
     u1 = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0
     u2 = F.col("n1") * F.col("n2") - u1
-    sigma = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("tie") / (n * (n - 1))))
+    sigma = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("_tie") / (n * (n - 1))))
     z = (F.greatest(u1, u2) - F.col("n1") * F.col("n2") / 2.0 - 0.5) / sigma
     out = s.select(*keys, u1.alias("u_first"), u2.alias("u_second"), z.alias("z"))
     if with_p:
