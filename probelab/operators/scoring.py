@@ -1,12 +1,14 @@
 """Probe scoring job.
 
-texts x questions (a generator over the size-checked catalogue, no join and
-no shuffle) -> prompt -> range-partition by length (hot lengths are split by
-the row key) -> ``mapInPandas``: token-budget batches -> scorer -> feature.
+texts (spread by the expansion factor, a shuffle of the small side only) x
+questions (a generator over the size-checked catalogue, no join) -> prompt
+-> sort by length within each partition -> ``mapInArrow``: token-budget
+batches as zero-copy slices -> scorer -> feature.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable, Sequence
 
@@ -19,6 +21,7 @@ from pyspark.sql import types as T
 from probelab.functions.logits import (NO_WORDS, YES_WORDS, hash_logit, hash_logit_py, logit_diff,
                                        np_lse, prob_diff_from_lse, variant_rows)
 from probelab.functions.prompts import length_proxy, rating_prompt, yes_no_prompt
+from probelab.functions.text import space_count
 from probelab.sources.catalog import local_list
 
 KEY = ["dataset", "row_id", "qid"]
@@ -31,12 +34,36 @@ def prompts(texts: DataFrame, cat: DataFrame) -> DataFrame:
     table (size-checked on the driver), so the product is a map-side
     generator: no join, no shuffle."""
     qs = local_list(cat)
-    arr = F.array(*[F.struct(F.lit(q["qid"]).alias("qid"), F.lit(q["question"]).alias("question"))
-                    for q in qs])
-    p = (texts.select("dataset", "row_id", "text", F.explode(arr).alias("q"))
-              .select("dataset", "row_id", F.col("q.qid").alias("qid"),
-                      yes_no_prompt(F.col("text"), F.col("q.question")).alias("prompt")))
-    return p.withColumn("prompt_len", length_proxy(F.col("prompt")))
+    texts = spread_before_expansion(texts, len(qs))
+    # pieces of the prompt = spaces + 1; the text's spaces are counted once
+    # per text, the template's once per question (no per-prompt scan)
+    arr = F.array(*[F.struct(F.lit(q["qid"]).alias("qid"), F.lit(q["question"]).alias("question"),
+                             F.lit(template_spaces(q["question"])).alias("sp")) for q in qs])
+    return (texts.select("dataset", "row_id", "text", space_count(F.col("text")).alias("_sp"),
+                         F.explode(arr).alias("q"))
+                 .select("dataset", "row_id", F.col("q.qid").alias("qid"),
+                         yes_no_prompt(F.col("text"), F.col("q.question")).alias("prompt"),
+                         (F.col("_sp") + F.col("q.sp") + 1).alias("prompt_len")))
+
+
+def spread_before_expansion(texts: DataFrame, factor: int, per_part: int = 8) -> DataFrame:
+    """Every text becomes ``factor`` prompts inside its partition; spread the
+    (small) text side first so prompt partitions keep a workable size:
+    partitions x ceil(factor / per_part), hashed on the unique row key (no
+    skew possible, deterministic on retry)."""
+    spark = texts.sparkSession
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if texts.isStreaming:
+        return texts.repartition(base, "dataset", "row_id")
+    n_in = texts.rdd.getNumPartitions()
+    n = max(base, n_in * -(-factor // per_part))
+    return texts.repartition(n, "dataset", "row_id")
+
+
+def template_spaces(question: str) -> int:
+    """Spaces the yes/no template adds around a text for one question."""
+    from probelab.functions.prompts import ANSWER_YES_NO
+    return ("\n\nQuestion: " + question + ANSWER_YES_NO).count(" ")
 
 
 def rating_prompts(cat: DataFrame) -> DataFrame:
@@ -86,33 +113,34 @@ def top_tokens(logits: DataFrame, k: int = 5) -> DataFrame:
     return ranked.filter(F.col("rank") <= k).select(*KEY, "rank", "token", "prob")
 
 
-# ---- scorer path (mapInPandas) ----------------------------------------------
+# ---- scorer path (mapInArrow) -----------------------------------------------
 
 class HashScorer:
     """Stand-in scorer with the scorer contract: ``(batch, tokens) -> logits``
-    where ``batch`` is a pandas frame of prompts (one budget batch) and the
-    result is an array ``len(batch) x len(tokens)``."""
+    where ``batch`` is a ``pyarrow.RecordBatch`` of prompts (one budget batch:
+    ``dataset, row_id, qid, prompt, prompt_len``) and the result is an array
+    ``num_rows x len(tokens)``. A model scorer reads ``prompt``; this one
+    reads only the key columns, so prompt strings never become Python
+    objects."""
 
-    def __call__(self, batch: pd.DataFrame, tokens: Sequence[str]) -> np.ndarray:
-        out = np.empty((len(batch), len(tokens)))
-        for i, (rid, qid) in enumerate(zip(batch["row_id"].tolist(), batch["qid"].tolist())):
-            for j, t in enumerate(tokens):
-                out[i, j] = hash_logit_py(rid, qid, t)
-        return out
+    def __call__(self, batch, tokens: Sequence[str]) -> np.ndarray:
+        keys = [f"{r}:{q}:" for r, q in zip(batch.column("row_id").to_pylist(),
+                                            batch.column("qid").to_pylist())]
+        md5 = hashlib.md5
+        u = np.array([[int(md5((k + t).encode()).hexdigest()[:8], 16) for t in tokens] for k in keys],
+                     dtype=np.float64).reshape(len(keys), len(tokens))
+        return u / 4294967296.0 * 20.0 - 10.0
 
 
 def budget_batches(lengths: Sequence[int], budget: int = TOKEN_BUDGET) -> list[int]:
     """Batch number of each row of a length-sorted run: a batch grows
     while rows x longest <= budget; a single row above the budget is its own
     batch."""
-    ids, b, n, mx = [], 0, 0, 0
-    for L in lengths:
-        cand = max(mx, L)
-        if n >= 1 and (n + 1) * cand > budget:
-            b, n, mx, cand = b + 1, 0, 0, L
-        ids.append(b)
-        n, mx = n + 1, cand
-    return ids
+    bounds, open_at = _batch_bounds(list(lengths), budget)
+    ids = []
+    for b, (a, e) in enumerate(bounds):
+        ids += [b] * (e - a)
+    return ids + [len(bounds)] * (len(lengths) - open_at)
 
 
 SCORED_SCHEMA = T.StructType([
@@ -123,69 +151,80 @@ SCORED_SCHEMA = T.StructType([
 ])
 
 
+def _batch_bounds(lengths, budget):
+    """M12 on a length-sorted run: ``(closed batches [(start, end)], start of
+    the open batch)``. The open batch may continue in the next Arrow batch."""
+    bounds, start, n, mx = [], 0, 0, 0
+    for i, L in enumerate(lengths):
+        cand = L if L > mx else mx
+        if n and (n + 1) * cand > budget:
+            bounds.append((start, i))
+            start, n, cand = i, 0, L
+        n += 1
+        mx = cand
+    return bounds, start
+
+
 def _score_partitions(scorer, yes_tokens, no_tokens, budget, mode):
     tokens = list(yes_tokens) + list(no_tokens)
     ny = len(yes_tokens)
 
     def run(it):
+        import pyarrow as pa
         from pyspark import TaskContext
         ctx = TaskContext.get()
         part = ctx.partitionId() if ctx else 0
-        pending = []           # rows of the open batch (carried across Arrow batches)
-        seq = [0]
-
-        def flush(rows):
-            pdf = pd.DataFrame(rows, columns=["dataset", "row_id", "qid", "prompt", "prompt_len"])
-            lg = np.asarray(scorer(pdf, tokens), dtype=np.float64)
-            ly = np_lse(lg[:, :ny]) if ny else np.full(len(pdf), np.nan)
-            ln = np_lse(lg[:, ny:]) if len(tokens) > ny else np.full(len(pdf), np.nan)
+        seq = 0
+
+        def flush(rb, seq):
+            lg = np.asarray(scorer(rb, tokens), dtype=np.float64).reshape(rb.num_rows, len(tokens))
+            ly = np_lse(lg[:, :ny]) if ny else np.full(rb.num_rows, np.nan)
+            ln = np_lse(lg[:, ny:]) if len(tokens) > ny else np.full(rb.num_rows, np.nan)
             if mode == "prob":
                 m = np.maximum(ly, ln)
                 a, b = np.exp(ly - m), np.exp(ln - m)
                 val = (a - b) / (a + b)
             else:
                 val = ly - ln
-            out = pdf[["dataset", "row_id", "qid"]].copy()
-            out["value"] = val
-            out["batch_id"] = f"{part}-{seq[0]}"
-            out["batch_rows"] = len(pdf)
-            out["batch_maxlen"] = int(pdf["prompt_len"].max())
-            seq[0] += 1
-            return out
-
-        mx = 0
-        for pdf in it:
-            for row in pdf[["dataset", "row_id", "qid", "prompt", "prompt_len"]].itertuples(index=False):
-                L = int(row.prompt_len)
-                cand = max(mx, L)
-                if pending and (len(pending) + 1) * cand > budget:
-                    yield flush(pending)
-                    pending, cand = [], L
-                pending.append(tuple(row))
-                mx = cand
-        if pending:
-            yield flush(pending)
+            n = rb.num_rows
+            mx = int(np.max(rb.column("prompt_len").to_numpy(zero_copy_only=False)))
+            return pa.RecordBatch.from_arrays(
+                [rb.column("dataset"), rb.column("row_id"), rb.column("qid"), pa.array(val, pa.float64()),
+                 pa.array([f"{part}-{seq}"] * n, pa.string()), pa.array(np.full(n, n, np.int32)),
+                 pa.array(np.full(n, mx, np.int32))],
+                names=["dataset", "row_id", "qid", "value", "batch_id", "batch_rows", "batch_maxlen"])
+
+        carry = None
+        for rb in it:
+            if carry is not None and carry.num_rows:
+                rb = pa.concat_batches([carry, rb])
+            lens = rb.column("prompt_len").to_numpy(zero_copy_only=False).tolist()
+            bounds, open_at = _batch_bounds(lens, budget)
+            for a, b in bounds:
+                yield flush(rb.slice(a, b - a), seq)
+                seq += 1
+            carry = rb.slice(open_at)
+        if carry is not None and carry.num_rows:
+            yield flush(carry, seq)
     return run
 
 
 def score(prompts_df: DataFrame, scorer: Callable | None = None,
           yes_tokens: Sequence[str] | None = None, no_tokens: Sequence[str] | None = None,
-          budget: int = TOKEN_BUDGET, mode: str = "logit",
-          num_partitions: int | None = None) -> DataFrame:
-    """The scoring job. T1 sorts prompts by length inside range
-    partitions (key = length then prompt key, so a length shared by many
-    prompts spreads over many partitions); M12 forms budget batches inside
-    each partition; the scorer sees one batch at a time."""
+          budget: int = TOKEN_BUDGET, mode: str = "logit") -> DataFrame:
+    """The scoring job. T1 sorts prompts by length inside each
+    partition - batches never span partitions, so a global sort would buy
+    no padding and cost a shuffle of every prompt text; M12 forms budget
+    batches in that order (an open batch carries over Arrow batches); the
+    scorer sees one batch at a time."""
     scorer = scorer or HashScorer()
     from probelab.session import ship_package
     ship_package(prompts_df.sparkSession)
     yes_tokens = yes_tokens or [t for a, t, _ in variant_rows({"yes": YES_WORDS})]
     no_tokens = no_tokens or [t for a, t, _ in variant_rows({"no": NO_WORDS})]
-    keys = ["prompt_len", *KEY]
     p = prompts_df.select(*KEY, "prompt", F.col("prompt_len").cast("int"))
-    p = (p.repartitionByRange(num_partitions, *keys) if num_partitions else
-         p.repartitionByRange(*keys)).sortWithinPartitions(*keys)
-    return p.mapInPandas(_score_partitions(scorer, yes_tokens, no_tokens, budget, mode), SCORED_SCHEMA)
+    p = p.sortWithinPartitions("prompt_len", *KEY)
+    return p.mapInArrow(_score_partitions(scorer, yes_tokens, no_tokens, budget, mode), SCORED_SCHEMA)
 
 
 # ---- S9: resume -------------------------------------------------------------

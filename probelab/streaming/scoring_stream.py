@@ -1,7 +1,7 @@
 """The scoring job as an incremental stream.
 
 Texts arriving as files are crossed with the catalogue (stateless map-side
-generator), scored by the scorer contract in ``mapInPandas`` batches and
+generator), scored by the scorer contract in ``mapInArrow`` batches and
 appended to the feature store. ``trigger(availableNow=True)`` processes
 what has arrived and stops; the checkpoint records which input files are
 done, so a rerun scores only new texts (the stream form of S9).
@@ -31,7 +31,7 @@ def score_stream(spark: SparkSession, texts: DataFrame, cat: DataFrame, out_path
     scorer = scorer or S.HashScorer()
     yes = [t for _, t, _ in S.variant_rows({"yes": S.YES_WORDS})]
     no = [t for _, t, _ in S.variant_rows({"no": S.NO_WORDS})]
-    scored = prompts.mapInPandas(S._score_partitions(scorer, yes, no, budget, "logit"), S.SCORED_SCHEMA) \
+    scored = prompts.mapInArrow(S._score_partitions(scorer, yes, no, budget, "logit"), S.SCORED_SCHEMA) \
                     .select(*S.KEY, "value")
     return (scored.writeStream.format("parquet").option("path", out_path)
                   .option("checkpointLocation", checkpoint).partitionBy("dataset")
