@@ -41,6 +41,14 @@ def clean_text(col, max_words: int = MAX_WORDS) -> Column:
     return first_words(collapse_whitespace(strip_breaks(col)), max_words)
 
 
+def has_content(col) -> Column:
+    """P4 decided on the raw text: cleaning leaves something exactly when the
+    text holds a character that is neither whitespace nor part of a
+    line-break tag. Anchored, so a normal text is decided at its first
+    character, before any cleaning runs."""
+    return ~_c(col).rlike(r"(?U)^(?:[\s\x1c-\x1f]|<br\s*/?>)*$")
+
+
 def word_count(col) -> Column:
     """number of words of a cleaned text (0 for an empty text)."""
     c = _c(col)

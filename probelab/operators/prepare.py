@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probelab.functions.text import MAX_WORDS, clean_text, word_count
+from probelab.functions.text import MAX_WORDS, clean_text, has_content, word_count
 
 # The reference's sample size and sampling seed.
 N_TOTAL = 500
@@ -74,10 +74,13 @@ def label_name(label: Column, names: Sequence[str] | None = None,
 
 
 def clean(df: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """P3 -> F1/F2/F3 -> P4: drop null text, clean and truncate, drop empty."""
+    """P3 -> P4 -> F1/F2/F3: drop null text, drop text that cleaning would
+    empty, clean and truncate. P4 is tested on the raw text (same rows as
+    ``length(cleaned) > 0``): a filter on the cleaned column would be pushed
+    below the projection and run the cleaning twice."""
     return (df.na.drop(subset=["text"])
-              .withColumn("text", clean_text(F.col("text"), max_words))
-              .filter(F.length("text") > 0))
+              .filter(has_content(F.col("text")))
+              .withColumn("text", clean_text(F.col("text"), max_words)))
 
 
 def index_labels(df: DataFrame) -> DataFrame:

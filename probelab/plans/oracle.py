@@ -472,8 +472,10 @@ TF_VOCAB = f"""
   h AS (SELECT unnest(range(0, 5)) AS held),
   tr AS (SELECT c.dataset, h.held, c.term, sum(c.tf) AS tf, count(*) AS df
          FROM c JOIN h ON c.fold <> h.held GROUP BY c.dataset, h.held, c.term),
+  docs AS (SELECT t.dataset, t.row_id, f.fold FROM ({TEXTS}) t
+           JOIN ({folds_sql(RAW_LANG)}) f ON t.dataset = f.dataset AND t.row_id = f.row_id),
   nt AS (SELECT d.dataset, h.held, count(*) AS n_train
-         FROM (SELECT DISTINCT dataset, row_id, fold FROM c) d JOIN h ON d.fold <> h.held GROUP BY 1, 2),
+         FROM docs d JOIN h ON d.fold <> h.held GROUP BY 1, 2),
   r AS (SELECT *, row_number() OVER (PARTITION BY dataset, held ORDER BY tf DESC, term) AS rank FROM tr)
   SELECT r.*, nt.n_train FROM r JOIN nt ON r.dataset = nt.dataset AND r.held = nt.held WHERE rank <= 5000"""
 

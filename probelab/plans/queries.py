@@ -416,21 +416,29 @@ def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- TF-IDF -------------------------------------------------------------------------
 
-def _tfidf_counts(spark, sf_dir):
+def _tfidf_docs(spark, sf_dir):
     texts = P.clean(inputs.raw_lang(spark, sf_dir))
     folds = FO.stratified_folds(P.index_labels(inputs.raw_lang(spark, sf_dir)))
-    return TF.doc_term_counts(texts.join(folds.select("dataset", "row_id", "fold"), ["dataset", "row_id"]))
+    return texts.join(folds.select("dataset", "row_id", "fold"), ["dataset", "row_id"])
+
+
+def _tfidf_counts(spark, sf_dir):
+    return TF.doc_term_counts(_tfidf_docs(spark, sf_dir))
+
+
+def _tfidf_vocab(spark, sf_dir, counts):
+    return TF.vocabulary(counts, docs=_tfidf_docs(spark, sf_dir).select("dataset", "row_id", "fold"))
 
 
 def tfidf_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = TF.vocabulary(_tfidf_counts(spark, sf_dir))
+    v = _tfidf_vocab(spark, sf_dir, _tfidf_counts(spark, sf_dir))
     return v.select("dataset", F.col("held").cast("int").alias("held"), "term", "tf", "df",
                     F.col("rank").cast("bigint").alias("rank"))
 
 
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _tfidf_counts(spark, sf_dir)
-    w = TF.weights(counts, TF.vocabulary(counts))
+    w = TF.weights(counts, _tfidf_vocab(spark, sf_dir, counts))
     per_doc = w.groupBy("dataset", "held", "row_id").agg(
         F.count(F.lit(1)).alias("n_terms"), _r(F.sum("weight"), "weight_sum"),
         _r(F.sum(F.col("weight") * F.col("weight")), "norm2"))
@@ -441,7 +449,7 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tfidf_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _tfidf_counts(spark, sf_dir)
     labels = P.index_labels(inputs.raw_lang(spark, sf_dir)).select("dataset", "row_id", "label")
-    pred = TF.cv_predictions(TF.weights(counts, TF.vocabulary(counts)), labels)
+    pred = TF.cv_predictions(TF.weights(counts, _tfidf_vocab(spark, sf_dir, counts)), labels)
     conf = M.confusion_from_predictions(pred.withColumn("config_id", F.concat_ws("|", "dataset", F.lit("TFIDF")))
                                             .withColumnRenamed("held", "fold"))
     return M.cv_summary(conf)
