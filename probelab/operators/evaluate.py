@@ -107,10 +107,14 @@ def broadcast_matrix(matrix: DataFrame, small_bytes: int = SMALL_BYTES):
     spark = matrix.sparkSession
     from probelab.session import ship_package
     ship_package(spark)
-    nbytes = _matrix_bytes(matrix)
-    if nbytes > small_bytes:
-        raise ValueError(f"matrix of ~{nbytes} bytes exceeds the broadcast limit {small_bytes}")
-    pdf = matrix.select("dataset", "row_id", "label", "fold", "x").toPandas()
+    m = matrix.select("dataset", "row_id", "label", "fold", "x").persist()   # check and ship read it once
+    try:
+        nbytes = _matrix_bytes(m)
+        if nbytes > small_bytes:
+            raise ValueError(f"matrix of ~{nbytes} bytes exceeds the broadcast limit {small_bytes}")
+        pdf = m.toPandas()
+    finally:
+        m.unpersist()
     data = {}
     for ds, g in pdf.groupby("dataset"):
         data[ds] = (np.stack(g["x"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy()),
@@ -353,11 +357,23 @@ def evaluate_many(matrix: DataFrame, configs: DataFrame, *, k: int = 5, classifi
     if local is not None:
         strategy = "broadcast"
     if strategy is None:
-        strategy = "broadcast" if _matrix_bytes(matrix) <= small_bytes else "distributed"
+        try:
+            local = broadcast_matrix(matrix, small_bytes)
+            strategy = "broadcast"
+        except ValueError:
+            strategy = "distributed"
     if classifier == "mlp" and strategy != "broadcast":
         raise ValueError("the perceptron check runs on the broadcast strategy only; "
                          "the matrix is above the size limit")
     if strategy == "broadcast":
-        return _broadcast_path(matrix, fits, classifier, C, output, mlp_kw, num_tasks, local)
-    fits_pd = fits.toPandas()   # design table: configs x folds
-    return _distributed_path(matrix, fits_pd, k, C, output)
+        res = _broadcast_path(matrix, fits, classifier, C, output, mlp_kw, num_tasks, local)
+    else:
+        fits_pd = fits.toPandas()   # design table: configs x folds
+        res = _distributed_path(matrix, fits_pd, k, C, output)
+    if output == "oof":
+        return res
+    # Confusion counts are configs x folds x classes^2 rows whatever the row
+    # count; materialise them once so accuracy and F1 do not refit.
+    res = res.persist()
+    res.count()
+    return res

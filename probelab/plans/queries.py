@@ -328,13 +328,13 @@ def all_above(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark, sf_dir):
-    """Long (covariate, x, y) pairs for the statistics."""
+    """Long (covariate, x, y) pairs for the statistics (one pass over the
+    utility table, both covariates from it)."""
     u = _utility(spark, sf_dir)
-    a = u.select(F.lit("a_priori").alias("covariate"), F.col("metaphoricity").alias("x"),
-                 F.col("utility").alias("y"), "set")
-    b = u.select(F.lit("llm").alias("covariate"), F.col("llm_metaphoricity").alias("x"),
-                 F.col("utility").alias("y"), "set")
-    return a.unionByName(b)
+    c = F.explode(F.array(F.struct(F.lit("a_priori").alias("covariate"), F.col("metaphoricity").alias("x")),
+                          F.struct(F.lit("llm").alias("covariate"), F.col("llm_metaphoricity").alias("x"))))
+    return u.select(c.alias("c"), F.col("utility").alias("y"), "set") \
+            .select("c.covariate", "c.x", "y", "set")
 
 
 def pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
