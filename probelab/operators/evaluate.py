@@ -39,6 +39,8 @@ from probelab.operators import solver as SV
 
 SMALL_BYTES = 256 << 20
 HESSIAN_BUDGET = 64 << 20
+# Newton ships partitions x sum(p^2) doubles per step; above this, L-BFGS (p doubles)
+NEWTON_SHUFFLE_BUDGET = 2 << 30
 
 CONFIG_SCHEMA = T.StructType([
     T.StructField("config_id", T.StringType(), False),
@@ -191,7 +193,7 @@ STEP_SCHEMA = T.StructType([
 ])
 
 
-def _distributed_path(matrix, fits_pd, k, C, output, tol=1e-9, max_iter=60):
+def _distributed_path(matrix, fits_pd, k, C, output, tol=1e-9, max_iter=60, solver="auto"):
     spark = matrix.sparkSession
     from probelab.session import ship_package
     ship_package(spark)
@@ -221,8 +223,14 @@ def _distributed_path(matrix, fits_pd, k, C, output, tol=1e-9, max_iter=60):
     cached = matrix.select("dataset", "row_id", "label", "fold", "x").persist()
     final_w = {}
     try:
+        n_parts = cached.rdd.getNumPartitions()
         for chunk in chunks:
-            final_w.update(_newton_chunk(cached, chunk, classes, stats, lam, tol, max_iter, sc))
+            volume = n_parts * sum(f["p"] ** 2 for f in chunk) * 8
+            use = solver if solver != "auto" else ("newton" if volume <= NEWTON_SHUFFLE_BUDGET else "lbfgs")
+            if use == "newton":
+                final_w.update(_newton_chunk(cached, chunk, classes, stats, lam, tol, max_iter, sc))
+            else:
+                final_w.update(_lbfgs_chunk(cached, chunk, classes, stats, lam, tol, 20 * max_iter, sc))
         bw = sc.broadcast(final_w)
         meta = sc.broadcast({f["fit_id"]: f for f in fits})
         bst = sc.broadcast(stats)
@@ -266,6 +274,41 @@ def _distributed_path(matrix, fits_pd, k, C, output, tol=1e-9, max_iter=60):
         pass
 
 
+def _pass_fn(meta, bst, bcl, bw, hessian):
+    """One data pass: per partition, loss / gradient (/ Hessian) of its
+    training rows for every active fit."""
+    def partial(it):
+        acc = {}
+        W = bw.value
+        for pdf in it:
+            for ds, g in pdf.groupby("dataset"):
+                X = np.stack(g["x"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
+                y, fold = g["label"].to_numpy(), g["fold"].to_numpy()
+                for fid, w in W.items():
+                    f = meta.value[fid]
+                    if f["dataset"] != ds:
+                        continue
+                    tr = fold != f["held"]
+                    if not tr.any():
+                        continue
+                    mu, s = bst.value[(ds, f["held"])]
+                    Z = (X[tr][:, f["cols"]] - mu[f["cols"]]) / s[f["cols"]]
+                    yi = np.searchsorted(bcl.value[ds], y[tr])
+                    A = np.hstack([Z, np.ones((Z.shape[0], 1))])
+                    loss, gr, H = SV.data_terms(w, A, yi, f["K"], hessian=hessian)
+                    if fid in acc:
+                        a = acc[fid]
+                        acc[fid] = (a[0] + loss, a[1] + gr, a[2] + H if hessian else None)
+                    else:
+                        acc[fid] = (loss, gr, H)
+        if acc:
+            yield pd.DataFrame({"fit_id": list(acc), "loss": [v[0] for v in acc.values()],
+                                "g": [v[1].tobytes() for v in acc.values()],
+                                "h": [v[2].tobytes() if hessian else b"" for v in acc.values()]}
+                               ).astype({"fit_id": np.int32})
+    return partial
+
+
 def _newton_chunk(cached, chunk, classes, stats, lam, tol, max_iter, sc):
     state = {}
     for f in chunk:
@@ -281,35 +324,6 @@ def _newton_chunk(cached, chunk, classes, stats, lam, tol, max_iter, sc):
             break
         bw = sc.broadcast({i: state[i]["w_cur"] for i in active})
 
-        def partial(it):
-            acc = {}
-            W = bw.value
-            for pdf in it:
-                for ds, g in pdf.groupby("dataset"):
-                    X = np.stack(g["x"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-                    y, fold = g["label"].to_numpy(), g["fold"].to_numpy()
-                    for fid, w in W.items():
-                        f = meta.value[fid]
-                        if f["dataset"] != ds:
-                            continue
-                        tr = fold != f["held"]
-                        if not tr.any():
-                            continue
-                        mu, s = bst.value[(ds, f["held"])]
-                        Z = (X[tr][:, f["cols"]] - mu[f["cols"]]) / s[f["cols"]]
-                        yi = np.searchsorted(bcl.value[ds], y[tr])
-                        A = np.hstack([Z, np.ones((Z.shape[0], 1))])
-                        loss, gr, H = SV.data_terms(w, A, yi, f["K"])
-                        if fid in acc:
-                            a = acc[fid]
-                            acc[fid] = (a[0] + loss, a[1] + gr, a[2] + H)
-                        else:
-                            acc[fid] = (loss, gr, H)
-            if acc:
-                yield pd.DataFrame({"fit_id": list(acc), "loss": [v[0] for v in acc.values()],
-                                    "g": [v[1].tobytes() for v in acc.values()],
-                                    "h": [v[2].tobytes() for v in acc.values()]}).astype({"fit_id": np.int32})
-
         def reduce(pdf):
             fid = int(pdf["fit_id"].iloc[0])
             f = meta.value[fid]
@@ -324,7 +338,7 @@ def _newton_chunk(cached, chunk, classes, stats, lam, tol, max_iter, sc):
             return pd.DataFrame({"fit_id": [fid], "f": [fval], "step": [step.tobytes()],
                                  "gstep": [float(G @ step)]}).astype({"fit_id": np.int32})
 
-        rows = (cached.mapInPandas(partial, PARTIAL_SCHEMA)
+        rows = (cached.mapInPandas(_pass_fn(meta, bst, bcl, bw, True), PARTIAL_SCHEMA)
                       .groupBy("fit_id").applyInPandas(reduce, STEP_SCHEMA).collect())
         bw.unpersist()
         for r in rows:
@@ -345,10 +359,94 @@ def _newton_chunk(cached, chunk, classes, stats, lam, tol, max_iter, sc):
     return out
 
 
+GRAD_SCHEMA = T.StructType([
+    T.StructField("fit_id", T.IntegerType()), T.StructField("f", T.DoubleType()),
+    T.StructField("g", T.BinaryType()),
+])
+
+
+def _two_loop(g, S, Y):
+    """L-BFGS direction -H g from the stored pairs (oldest first)."""
+    q = g.copy()
+    alphas = []
+    for s, y in reversed(list(zip(S, Y))):
+        a = float(s @ q) / float(y @ s)
+        alphas.append(a)
+        q -= a * y
+    if S:
+        q *= float(S[-1] @ Y[-1]) / float(Y[-1] @ Y[-1])
+    else:
+        q /= max(1.0, float(np.max(np.abs(g))))
+    for (s, y), a in zip(zip(S, Y), reversed(alphas)):
+        b = float(y @ q) / float(y @ s)
+        q += (a - b) * s
+    return -q
+
+
+def _lbfgs_chunk(cached, chunk, classes, stats, lam, tol, max_iter, sc, memory=10, gtol=1e-7):
+    """Gradient-only passes: each partition ships ``p`` numbers per fit (no
+    Hessian), so the shuffle per pass is partitions x sum(p) doubles. Armijo
+    backtracking is lagged across passes like the Newton strategy."""
+    state = {f["fit_id"]: dict(w_cur=np.zeros(f["p"]), w_acc=None, f_acc=None, g_acc=None, d=None,
+                               t=1.0, S=[], Y=[]) for f in chunk}
+    meta = sc.broadcast({f["fit_id"]: f for f in chunk})
+    bst = sc.broadcast(stats)
+    bcl = sc.broadcast(classes)
+    active = set(state)
+    out = {}
+    for _ in range(max_iter):
+        if not active:
+            break
+        bw = sc.broadcast({i: state[i]["w_cur"] for i in active})
+
+        def reduce(pdf):
+            fid = int(pdf["fit_id"].iloc[0])
+            f = meta.value[fid]
+            w = bw.value[fid]
+            pen = SV._penalty_diag(len(f["cols"]), f["K"], lam)
+            g = np.sum([np.frombuffer(b) for b in pdf["g"]], axis=0) + pen * w
+            fval = float(pdf["loss"].sum()) + 0.5 * float(np.sum(pen * w * w))
+            return pd.DataFrame({"fit_id": [fid], "f": [fval], "g": [g.tobytes()]}).astype({"fit_id": np.int32})
+
+        rows = (cached.mapInPandas(_pass_fn(meta, bst, bcl, bw, False), PARTIAL_SCHEMA)
+                      .groupBy("fit_id").applyInPandas(reduce, GRAD_SCHEMA).collect())
+        bw.unpersist()
+        for r in rows:
+            fid, st = r["fit_id"], state[r["fit_id"]]
+            g = np.frombuffer(r["g"]).copy()
+            f_cur = r["f"]
+            if st["w_acc"] is not None and not (f_cur <= st["f_acc"] + 1e-4 * st["t"] * float(st["g_acc"] @ st["d"])
+                                               or st["t"] < 1e-12):
+                st["t"] *= 0.5                                   # backtrack
+                st["w_cur"] = st["w_acc"] + st["t"] * st["d"]
+                continue
+            if st["w_acc"] is not None:
+                s_vec, y_vec = st["w_cur"] - st["w_acc"], g - st["g_acc"]
+                if float(s_vec @ y_vec) > 1e-12:
+                    st["S"].append(s_vec)
+                    st["Y"].append(y_vec)
+                    if len(st["S"]) > memory:
+                        st["S"].pop(0)
+                        st["Y"].pop(0)
+                done = (float(np.max(np.abs(g))) < gtol * max(1.0, abs(f_cur))
+                        or float(np.max(np.abs(s_vec))) < tol
+                        or abs(st["f_acc"] - f_cur) <= 1e-15 * max(1.0, abs(f_cur)))
+                if done:
+                    out[fid] = st["w_cur"]
+                    active.discard(fid)
+                    continue
+            st.update(w_acc=st["w_cur"], f_acc=f_cur, g_acc=g, t=1.0)
+            st["d"] = _two_loop(g, st["S"], st["Y"])
+            st["w_cur"] = st["w_acc"] + st["d"]
+    for i in active:
+        out[i] = state[i]["w_acc"] if state[i]["w_acc"] is not None else state[i]["w_cur"]
+    return out
+
+
 def evaluate_many(matrix: DataFrame, configs: DataFrame, *, k: int = 5, classifier: str = "logreg",
                   C: float = 1.0, output: str = "confusion", strategy: str | None = None,
                   small_bytes: int = SMALL_BYTES, mlp_kw: dict | None = None,
-                  num_tasks: int | None = None, local=None) -> DataFrame:
+                  num_tasks: int | None = None, local=None, solver: str = "auto") -> DataFrame:
     """M3: fit every config on k-1 folds and predict the held fold, for all k.
 
     ``local`` is a handle from ``broadcast_matrix`` (skips the size check and
@@ -369,7 +467,7 @@ def evaluate_many(matrix: DataFrame, configs: DataFrame, *, k: int = 5, classifi
         res = _broadcast_path(matrix, fits, classifier, C, output, mlp_kw, num_tasks, local)
     else:
         fits_pd = fits.toPandas()   # design table: configs x folds
-        res = _distributed_path(matrix, fits_pd, k, C, output)
+        res = _distributed_path(matrix, fits_pd, k, C, output, solver=solver)
     if output == "oof":
         return res
     # Confusion counts are configs x folds x classes^2 rows whatever the row

@@ -171,3 +171,12 @@ def test_golden_p_values():
     sigma = math.sqrt(n1 * n2 / 12 * (n1 + n2 + 1))
     z = (330 - n1 * n2 / 2 - 0.5) / sigma
     assert abs(normal_two_sided(z) - 4.600727270090418e-4) < 1e-12
+
+
+def test_lbfgs_strategy_agrees(spark):
+    m, X, y = _matrix(spark, n=200, seed=5)
+    cfg = EV.config_frame(spark, [("a", "d", [0, 1]), ("b", "d", [1, 2, 3, 5])])
+    r1 = {(r.config_id, r.fold, r.label, r.pred): r.n for r in EV.evaluate_many(m, cfg, strategy="broadcast").collect()}
+    r2 = {(r.config_id, r.fold, r.label, r.pred): r.n
+          for r in EV.evaluate_many(m, cfg, strategy="distributed", solver="lbfgs").collect()}
+    assert r1 == r2
