@@ -446,7 +446,8 @@ def _lbfgs_chunk(cached, chunk, classes, stats, lam, tol, max_iter, sc, memory=1
 def evaluate_many(matrix: DataFrame, configs: DataFrame, *, k: int = 5, classifier: str = "logreg",
                   C: float = 1.0, output: str = "confusion", strategy: str | None = None,
                   small_bytes: int = SMALL_BYTES, mlp_kw: dict | None = None,
-                  num_tasks: int | None = None, local=None, solver: str = "auto") -> DataFrame:
+                  num_tasks: int | None = None, local=None, solver: str = "auto",
+                  materialize: bool = True) -> DataFrame:
     """M3: fit every config on k-1 folds and predict the held fold, for all k.
 
     ``local`` is a handle from ``broadcast_matrix`` (skips the size check and
@@ -468,7 +469,7 @@ def evaluate_many(matrix: DataFrame, configs: DataFrame, *, k: int = 5, classifi
     else:
         fits_pd = fits.toPandas()   # design table: configs x folds
         res = _distributed_path(matrix, fits_pd, k, C, output, solver=solver)
-    if output == "oof":
+    if output == "oof" or not materialize:
         return res
     # Confusion counts are configs x folds x classes^2 rows whatever the row
     # count; materialise them once so accuracy and F1 do not refit.

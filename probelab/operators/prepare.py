@@ -148,14 +148,14 @@ def chance(prepared: DataFrame) -> DataFrame:
 
 
 def dataset_meta(prepared: DataFrame) -> DataFrame:
-    """A3 + A4 + T4: n, sorted class names, n_classes, distribution map, mean words."""
-    per_class = prepared.groupBy("dataset", "label_text").agg(F.count(F.lit(1)).alias("n"))
-    classes = per_class.groupBy("dataset").agg(
-        F.sort_array(F.collect_list("label_text")).alias("classes"),
-        F.map_from_entries(F.collect_list(F.struct("label_text", "n"))).alias("dist"))
-    sizes = prepared.groupBy("dataset").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(word_count(F.col("text"))).alias("mean_words"))
-    return (sizes.join(classes, "dataset")
-                 .withColumn("n_classes", F.size("classes").cast("bigint"))
-                 .select("dataset", "n", "classes", "n_classes", "dist", "mean_words"))
+    """A3 + A4 + T4: n, sorted class names, n_classes, distribution map, mean
+    words - one scan: per-class counts and word sums, then per dataset."""
+    per_class = prepared.groupBy("dataset", "label_text").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(word_count(F.col("text"))).alias("words"))
+    return (per_class.groupBy("dataset").agg(
+                F.sum("n").alias("n"),
+                F.sort_array(F.collect_list("label_text")).alias("classes"),
+                F.map_from_entries(F.collect_list(F.struct("label_text", "n"))).alias("dist"),
+                (F.sum("words") / F.sum("n")).alias("mean_words"))
+            .withColumn("n_classes", F.size("classes").cast("bigint"))
+            .select("dataset", "n", "classes", "n_classes", "dist", "mean_words"))

@@ -115,3 +115,22 @@ def test_lse_edges(spark):
 def test_variants_single_piece_only():
     rows = variant_rows({"yes": ["yes", "Yes"]}, pieces=lambda s: 2 if s.startswith(" Y") else 1)
     assert [t for _, t, _ in rows] == [" yes", "Yes", "yes"]
+
+
+def test_scoring_plan_has_no_prompt_shuffle(spark):
+    texts = spark.createDataFrame([("d", i, f"text {i}") for i in range(50)],
+                                  "dataset string, row_id long, text string")
+    plan = S.score(S.prompts(texts, C.catalogue(spark)))._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan.lower()
+    assert plan.count("Exchange") <= 1          # only the spread of the (small) text side
+
+
+def test_two_stage_top_k_equals_window(spark):
+    from probelab.operators.tfidf import top_k
+    df = spark.range(0, 20000).select((F.col("id") % 3).alias("g"), F.col("id").cast("string").alias("term"),
+                                      (F.col("id") * 7919 % 1000).alias("tf"))
+    got = {(r.g, r.term, r["rank"]) for r in top_k(df, ["g"], [F.desc("tf"), F.col("term")], 50, key="term",
+                                                    buckets=7).collect()}
+    w = Window.partitionBy("g").orderBy(F.desc("tf"), F.col("term"))
+    want = {(r.g, r.term, r.rn) for r in df.withColumn("rn", F.row_number().over(w)).filter("rn <= 50").collect()}
+    assert got == want
