@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import time
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -147,7 +148,7 @@ SCORED_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType()), T.StructField("row_id", T.LongType()),
     T.StructField("qid", T.StringType()), T.StructField("value", T.DoubleType()),
     T.StructField("batch_id", T.StringType()), T.StructField("batch_rows", T.IntegerType()),
-    T.StructField("batch_maxlen", T.IntegerType()),
+    T.StructField("batch_maxlen", T.IntegerType()), T.StructField("batch_seconds", T.DoubleType()),
 ])
 
 
@@ -177,7 +178,9 @@ def _score_partitions(scorer, yes_tokens, no_tokens, budget, mode):
         seq = 0
 
         def flush(rb, seq):
+            t0 = time.perf_counter()
             lg = np.asarray(scorer(rb, tokens), dtype=np.float64).reshape(rb.num_rows, len(tokens))
+            secs = time.perf_counter() - t0
             ly = np_lse(lg[:, :ny]) if ny else np.full(rb.num_rows, np.nan)
             ln = np_lse(lg[:, ny:]) if len(tokens) > ny else np.full(rb.num_rows, np.nan)
             if mode == "prob":
@@ -191,8 +194,9 @@ def _score_partitions(scorer, yes_tokens, no_tokens, budget, mode):
             return pa.RecordBatch.from_arrays(
                 [rb.column("dataset"), rb.column("row_id"), rb.column("qid"), pa.array(val, pa.float64()),
                  pa.array([f"{part}-{seq}"] * n, pa.string()), pa.array(np.full(n, n, np.int32)),
-                 pa.array(np.full(n, mx, np.int32))],
-                names=["dataset", "row_id", "qid", "value", "batch_id", "batch_rows", "batch_maxlen"])
+                 pa.array(np.full(n, mx, np.int32)), pa.array(np.full(n, secs / max(n, 1)))],
+                names=["dataset", "row_id", "qid", "value", "batch_id", "batch_rows", "batch_maxlen",
+                       "batch_seconds"])
 
         carry = None
         for rb in it:
@@ -227,6 +231,16 @@ def score(prompts_df: DataFrame, scorer: Callable | None = None,
     return p.mapInArrow(_score_partitions(scorer, yes_tokens, no_tokens, budget, mode), SCORED_SCHEMA)
 
 
+def scoring_metrics(scored: DataFrame) -> DataFrame:
+    """Prompts, batches, scorer seconds and prompts per second per
+    dataset (``batch_seconds`` holds each row's share of its batch's time)."""
+    return (scored.groupBy("dataset")
+                  .agg(F.count(F.lit(1)).alias("n_prompts"), F.countDistinct("batch_id").alias("n_batches"),
+                       F.sum("batch_seconds").alias("scorer_seconds"),
+                       F.sum("batch_maxlen").alias("padded_tokens"))
+                  .withColumn("prompts_per_sec", F.col("n_prompts") / F.col("scorer_seconds")))
+
+
 # ---- S9: resume -------------------------------------------------------------
 
 def pending(prompts_df: DataFrame, done: DataFrame) -> DataFrame:

@@ -157,8 +157,10 @@ def unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 + M12: the batch of every prompt with its size, padded length and
+    share of scorer time (A20 aggregates these: ``scoring.scoring_metrics``)."""
     f = S.score(S.prompts(_texts(spark, sf_dir), _cat(spark)))
-    return f.select(*S.KEY, "batch_id", "batch_rows", "batch_maxlen")
+    return f.select(*S.KEY, "batch_id", "batch_rows", "batch_maxlen", "batch_seconds")
 
 
 def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,3 +134,14 @@ def test_two_stage_top_k_equals_window(spark):
     w = Window.partitionBy("g").orderBy(F.desc("tf"), F.col("term"))
     want = {(r.g, r.term, r.rn) for r in df.withColumn("rn", F.row_number().over(w)).filter("rn <= 50").collect()}
     assert got == want
+
+
+def test_scoring_metrics(spark):
+    texts = spark.createDataFrame([("d", i, " ".join(["w"] * (i % 5 + 1))) for i in range(40)],
+                                  "dataset string, row_id long, text string")
+    scored = S.score(S.prompts(texts, C.catalogue(spark).limit(4)), budget=200).persist()
+    m = S.scoring_metrics(scored).first()
+    assert m.n_prompts == 160
+    assert m.n_batches == scored.select("batch_id").distinct().count()
+    assert m.padded_tokens == sum(r.batch_maxlen for r in scored.collect())
+    assert m.scorer_seconds > 0 and m.prompts_per_sec > 0
