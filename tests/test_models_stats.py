@@ -180,3 +180,12 @@ def test_lbfgs_strategy_agrees(spark):
     r2 = {(r.config_id, r.fold, r.label, r.pred): r.n
           for r in EV.evaluate_many(m, cfg, strategy="distributed", solver="lbfgs").collect()}
     assert r1 == r2
+
+
+def test_mlp_above_broadcast_limit_uses_spark_ml(spark):
+    m, X, y = _matrix(spark, n=150)
+    cfg = EV.config_frame(spark, [("a", "d", [0, 1])])
+    conf = EV.evaluate_many(m, cfg, classifier="mlp", strategy="distributed", mlp_kw={"max_iter": 50})
+    acc = M.cv_accuracy(conf).first()
+    assert 0.0 <= acc.acc <= 1.0 and acc.n_folds == 5
+    assert sum(r.n for r in conf.collect()) == 150
