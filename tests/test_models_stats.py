@@ -189,3 +189,23 @@ def test_mlp_above_broadcast_limit_uses_spark_ml(spark):
     acc = M.cv_accuracy(conf).first()
     assert 0.0 <= acc.acc <= 1.0 and acc.n_folds == 5
     assert sum(r.n for r in conf.collect()) == 150
+
+
+@pytest.mark.parametrize("K", [2, 4])
+def test_sparse_lbfgs_equals_dense_newton(K):
+    rng = np.random.default_rng(10 + K)
+    n, D = 150, 12
+    dense = rng.random((n, D)) * (rng.random((n, D)) < 0.3)
+    yi = rng.integers(0, K, n)
+    dense[:, 0] += 0.5 * yi
+    r, c = np.nonzero(dense)
+    W, b = SV.fit_sparse_logreg(r, c, dense[r, c], n, D, yi, K)
+    w = SV.fit_logreg(dense, yi, K)
+    if K == 2:
+        assert np.max(np.abs(W[:, 0] - w[:D])) < 1e-5 and abs(b[0] - w[D]) < 1e-5
+    else:
+        Wd = w.reshape(K, D + 1)
+        assert np.max(np.abs(W.T - Wd[:, :D])) < 1e-5
+        assert np.max(np.abs((b - b.mean()) - (Wd[:, D] - Wd[:, D].mean()))) < 1e-5
+    pred = SV.predict_sparse(W, b, r, c, dense[r, c], n, K)
+    assert (pred == SV.predict_index(w, dense, K)).mean() > 0.99
