@@ -9,7 +9,6 @@ batches as zero-copy slices -> scorer -> feature.
 from __future__ import annotations
 
 import hashlib
-import os
 import time
 from collections.abc import Callable, Sequence
 
@@ -262,8 +261,8 @@ def run_resumable(prompts_df: DataFrame, out_path: str, scorer: Callable | None
 
 
 def _exists(spark, path: str) -> bool:
+    """Whether an output path exists (any Hadoop file system)."""
     jvm = spark.sparkContext._jvm
     jpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(jpath)) and bool(fs.exists(jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS"))) or
-                                           len(fs.listStatus(jpath)) > 0)
+    return bool(fs.exists(jpath))
