@@ -71,7 +71,8 @@ def stratified_folds(labelled: DataFrame, k: int = K_FOLDS, seed: str = FOLD_SEE
     counts = base.groupBy("dataset", "label").agg(F.count(F.lit(1)).alias("_c"))
     earlier = Window.partitionBy("dataset").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(earlier), F.lit(0))).drop("_c")
-    return (ranked.join(offsets, ["dataset", "label"])
+    from probelab.operators.joins import checked_broadcast_join
+    return (checked_broadcast_join(ranked, offsets, ["dataset", "label"])
                   .withColumn("fold", F.pmod(F.col("_off") + F.col("rn") - 1, F.lit(k)).cast("int"))
                   .drop("_off", "rn"))
 

@@ -85,14 +85,16 @@ def clean(df: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
 
 def index_labels(df: DataFrame) -> DataFrame:
     """Give string-labelled rows an INT ``label``: the position of the
-    class in the sorted class list of its dataset. The class table is tiny;
-    adaptive execution broadcasts it after measuring it."""
+    class in the sorted class list of its dataset. The class table is
+    broadcast after a count proves it small, so a hot class never decides a
+    shuffle partition."""
     if "label" in df.columns:
         return df
     classes = (df.select("dataset", "label_text").distinct()
                  .withColumn("label", (F.dense_rank().over(
                      Window.partitionBy("dataset").orderBy("label_text")) - 1).cast("int")))
-    return df.join(classes, ["dataset", "label_text"])
+    from probelab.operators.joins import checked_broadcast_join
+    return checked_broadcast_join(df, classes, ["dataset", "label_text"])
 
 
 def seeded_order(seed: str, tag: str = "") -> Column:
