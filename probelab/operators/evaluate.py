@@ -26,7 +26,6 @@ Two physical strategies, chosen by a size check of the matrix:
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np

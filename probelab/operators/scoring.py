@@ -13,12 +13,11 @@ import time
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probelab.functions.logits import (NO_WORDS, YES_WORDS, hash_logit, hash_logit_py, logit_diff,
+from probelab.functions.logits import (NO_WORDS, YES_WORDS, hash_logit, logit_diff,
                                        np_lse, prob_diff_from_lse, variant_rows)
 from probelab.functions.prompts import length_proxy, rating_prompt, yes_no_prompt
 from probelab.functions.text import space_count

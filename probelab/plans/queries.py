@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probelab.functions.text import clean_text, collapse_whitespace, strip_breaks, word_count
+from probelab.functions.text import collapse_whitespace, strip_breaks, word_count
 from probelab.operators import prepare as P
 from probelab.plans import inputs
 from probelab.sources.tables import read_table

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from probelab.operators import curves as CV
 from probelab.operators import evaluate as EV
 from probelab.operators import folds as FO
-from probelab.operators import metrics as M
 from probelab.operators import selection as SEL
 from probelab.operators import stats as ST
 from probelab.sources.catalog import CONTROL, HIGH, LOW, SENSES
