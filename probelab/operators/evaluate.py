@@ -51,6 +51,10 @@ CONFUSION_SCHEMA = T.StructType([
     T.StructField("label", T.IntegerType()), T.StructField("pred", T.IntegerType()),
     T.StructField("n", T.LongType()),
 ])
+FOLD_ACC_SCHEMA = T.StructType([
+    T.StructField("config_id", T.StringType()), T.StructField("fold", T.IntegerType()),
+    T.StructField("acc", T.DoubleType()),
+])
 OOF_SCHEMA = T.StructType([
     T.StructField("config_id", T.StringType()), T.StructField("dataset", T.StringType()),
     T.StructField("row_id", T.LongType()), T.StructField("fold", T.IntegerType()),
@@ -151,7 +155,30 @@ def _broadcast_path(matrix, fits, classifier, C, output, mlp_kw, num_tasks, bc=N
             if outs:
                 yield pd.concat(outs, ignore_index=True)
 
+    def run_acc(it):
+        # one accuracy per fit; fits stay spread round-robin for balance
+        local = bc.value
+        for part in it:
+            ids, folds, accs = [], [], []
+            for r in part.itertuples(index=False):
+                if r.dataset not in local:
+                    continue
+                X, y, fold, rid = local[r.dataset]
+                cols = np.asarray(r.cols, dtype=np.int64)
+                pred = _fit_predict(X, y, fold, int(r.held), cols, classifier, C, mlp_kw)
+                te = fold == int(r.held)
+                if te.any():
+                    ids.append(r.config_id)
+                    folds.append(int(r.held))
+                    accs.append(float(np.mean(pred == y[te])))
+            if ids:
+                yield pd.DataFrame({"config_id": ids, "fold": np.asarray(folds, np.int32), "acc": accs})
+
     n = num_tasks or max(1, spark.sparkContext.defaultParallelism * 2)
+    if output == "acc":
+        per_fold = fits.repartition(n).mapInPandas(run_acc, FOLD_ACC_SCHEMA)
+        return per_fold.groupBy("config_id").agg(F.avg("acc").alias("acc"), F.stddev_pop("acc").alias("acc_std"),
+                                                 F.count(F.lit(1)).alias("n_folds"))
     schema = OOF_SCHEMA if output == "oof" else CONFUSION_SCHEMA
     return fits.repartition(n).mapInPandas(run, schema)
 
@@ -494,6 +521,10 @@ def evaluate_many(matrix: DataFrame, configs: DataFrame, *, k: int = 5, classifi
                   materialize: bool = True) -> DataFrame:
     """M3: fit every config on k-1 folds and predict the held fold, for all k.
 
+    ``output``: ``confusion`` (default), ``oof`` (one prediction per row and
+    config) or ``acc`` (``config_id, acc, acc_std, n_folds``; in the broadcast
+    strategy each fit emits its fold accuracy, reduced in one small aggregate).
+
     ``local`` is a handle from ``broadcast_matrix`` (skips the size check and
     the shipping)."""
     fits = configs.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
@@ -505,14 +536,22 @@ def evaluate_many(matrix: DataFrame, configs: DataFrame, *, k: int = 5, classifi
             strategy = "broadcast"
         except ValueError:
             strategy = "distributed"
+    acc_from_confusion = output == "acc" and strategy != "broadcast"
+    if acc_from_confusion:
+        output = "confusion"
     if classifier == "mlp" and strategy != "broadcast":
         res = _spark_ml_mlp_path(matrix, fits.toPandas(), k, output, mlp_kw or {})
     elif strategy == "broadcast":
         res = _broadcast_path(matrix, fits, classifier, C, output, mlp_kw, num_tasks, local)
+        if output == "acc":
+            return res
     elif classifier == "logreg":
         fits_pd = fits.toPandas()   # design table: configs x folds
         res = _distributed_path(matrix, fits_pd, k, C, output, solver=solver)
-    if output == "oof" or not materialize:
+    if acc_from_confusion:
+        from probelab.operators.metrics import cv_accuracy
+        return cv_accuracy(res)
+    if output in ("oof", "acc") or not materialize:
         return res
     # Confusion counts are configs x folds x classes^2 rows whatever the row
     # count; materialise them once so accuracy and F1 do not refit.

@@ -87,7 +87,7 @@ def greedy_forward(matrix: DataFrame, chains: dict[tuple[str, str], Sequence[int
                 rows.append((f"{ds}|{st}|{j}|{pos}", ds, chosen[(ds, st)] + [j]))
         if not rows:
             break
-        acc = M.cv_accuracy(EV.evaluate_many(matrix, EV.config_frame(spark, rows), materialize=False, **kw))
+        acc = EV.evaluate_many(matrix, EV.config_frame(spark, rows), output="acc", **kw)
         parts = F.split(F.col("config_id"), r"\|")
         scored = acc.select(parts[0].alias("dataset"), parts[1].alias("set"),
                             parts[2].cast("int").alias("col"), parts[3].cast("int").alias("col_idx"), "acc")

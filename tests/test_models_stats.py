@@ -209,3 +209,17 @@ def test_sparse_lbfgs_equals_dense_newton(K):
         assert np.max(np.abs((b - b.mean()) - (Wd[:, D] - Wd[:, D].mean()))) < 1e-5
     pred = SV.predict_sparse(W, b, r, c, dense[r, c], n, K)
     assert (pred == SV.predict_index(w, dense, K)).mean() > 0.99
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "distributed"])
+def test_acc_output_equals_confusion_metrics(spark, strategy):
+    m, X, y = _matrix(spark, seed=7)
+    cfg = EV.config_frame(spark, [("a", "d", [0, 1]), ("b", "d", [1, 2, 3])])
+    direct = {r.config_id: (r.acc, r.acc_std, r.n_folds)
+              for r in EV.evaluate_many(m, cfg, output="acc", strategy=strategy).collect()}
+    via = {r.config_id: (r.acc, r.acc_std, r.n_folds)
+           for r in M.cv_accuracy(EV.evaluate_many(m, cfg, strategy="broadcast")).collect()}
+    assert direct.keys() == via.keys()
+    for c in via:
+        assert abs(direct[c][0] - via[c][0]) < 1e-12 and abs(direct[c][1] - via[c][1]) < 1e-12
+        assert direct[c][2] == via[c][2] == 5
