@@ -266,7 +266,8 @@ QCONF = conf_sql(hash_pred_sql(ALL_QIDS))
 
 
 def fold_acc_sql(conf: str) -> str:
-    return f"""SELECT config_id, fold, sum(CASE WHEN label = pred THEN n ELSE 0 END) / sum(n) AS acc, sum(n) AS n
+    return f"""SELECT config_id, fold, sum(CASE WHEN label = pred THEN n ELSE 0 END) / sum(n) AS acc,
+                      CAST(sum(n) AS BIGINT) AS n
                FROM ({conf}) GROUP BY config_id, fold"""
 
 
@@ -470,7 +471,7 @@ TF_COUNTS = f"""
 TF_VOCAB = f"""
   WITH c AS ({TF_COUNTS}),
   h AS (SELECT unnest(range(0, 5)) AS held),
-  tr AS (SELECT c.dataset, h.held, c.term, sum(c.tf) AS tf, count(*) AS df
+  tr AS (SELECT c.dataset, h.held, c.term, CAST(sum(c.tf) AS BIGINT) AS tf, count(*) AS df
          FROM c JOIN h ON c.fold <> h.held GROUP BY c.dataset, h.held, c.term),
   docs AS (SELECT t.dataset, t.row_id, f.fold FROM ({TEXTS}) t
            JOIN ({folds_sql(RAW_LANG)}) f ON t.dataset = f.dataset AND t.row_id = f.row_id),

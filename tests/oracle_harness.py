@@ -59,6 +59,13 @@ def compare(spark, name, qfn, sql, sf_dir):
     d_cols_raw = [d[0] for d in res.description]
     d_cols, d_rows = normalise(d_cols_raw, res.fetchall())
     problems = []
+    # column types: Spark's names mapped to DuckDB's (a schema check, not only values)
+    spark_to_duck = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                     "float": "FLOAT", "boolean": "BOOLEAN"}
+    d_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE ({sql})").fetchall()}
+    for c, t in sdf.dtypes:
+        if c in d_types and spark_to_duck.get(t, t) != d_types[c]:
+            problems.append(f"type of {c}: spark={t} duck={d_types[c]}")
     if s_cols != d_cols:
         problems.append(f"columns spark={s_cols} duck={d_cols}")
     if len(s_rows) != len(d_rows):
