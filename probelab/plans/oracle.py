@@ -317,7 +317,8 @@ BAND = f"""SELECT dataset, k, avg(acc) AS mean, stddev_pop(acc) AS std, count(*)
 GAIN = f"SELECT *, mean - lag(mean) OVER (PARTITION BY dataset ORDER BY k) AS gain FROM ({BAND})"
 
 SQL["curve_band"] = f"SELECT dataset, k, round(mean, 6) AS mean, round(std, 6) AS std, n_orders FROM ({BAND})"
-SQL["marginal_gain"] = f"SELECT dataset, k, round(mean, 6) AS mean, round(gain, 6) AS gain FROM ({GAIN})"
+SQL["marginal_gain"] = (f"SELECT dataset, k, round(mean, 6) AS mean, round(gain, 6) + 0.0 AS gain "
+                        f"FROM ({GAIN})")   # + 0.0: -0.0 -> 0.0 as in Spark's decimal rounding
 SQL["gain_summary"] = f"""
   SELECT dataset, round(arg_min(mean, k), 6) AS first, round(arg_max(mean, k), 6) AS last,
          round(avg(gain), 6) AS mean_step,

@@ -1,7 +1,9 @@
 """Run a registered query in Spark and its SQL twin in DuckDB; compare.
 
 Both results are compared as multisets of rows after sorting columns by
-name, rounding doubles to 6 digits and casting integers to int.
+name; doubles (already rounded by the queries) must match bit-exactly, as
+a value hash would require; integers compare as ints; column types must
+correspond.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6) + 0.0
+        return v            # queries round to 6 digits themselves; compare bit-exactly
     if isinstance(v, int):
         return int(v)
     if hasattr(v, "__int__") and type(v).__name__ in ("Decimal",):
