@@ -145,3 +145,15 @@ def test_scoring_metrics(spark):
     assert m.n_batches == scored.select("batch_id").distinct().count()
     assert m.padded_tokens == sum(r.batch_maxlen for r in scored.collect())
     assert m.scorer_seconds > 0 and m.prompts_per_sec > 0
+
+
+def test_checked_broadcast_join_both_branches(spark):
+    from probelab.operators.joins import checked_broadcast_join
+    big = spark.range(0, 5000).select((F.col("id") % 4).alias("k"), F.col("id").alias("v"))
+    small = spark.createDataFrame([(i, f"c{i}") for i in range(4)], "k long, name string")
+    under = checked_broadcast_join(big, small, ["k"], max_rows=10)
+    over = checked_broadcast_join(big, small, ["k"], max_rows=2)
+    assert "BroadcastHashJoin" in under._jdf.queryExecution().executedPlan().toString()
+    assert "broadcast" not in over._jdf.queryExecution().logical().toString().lower()
+    assert sorted(map(tuple, under.collect())) == sorted(map(tuple, over.collect()))
+    assert under.count() == 5000
