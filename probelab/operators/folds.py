@@ -30,7 +30,10 @@ def group_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Seque
     and the sort key is total, so recomputation after a lost executor yields
     the same numbers."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # explicit (never coalesced) count sized by the input: up to 4 range
+    # partitions per input split, capped by the shuffle-partition setting
+    n = num_partitions or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                     4 * df.rdd.getNumPartitions()))
     keyed = df
     order_names = []
     for i, c in enumerate(order_cols):
