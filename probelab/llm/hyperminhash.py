@@ -11,14 +11,18 @@ Steps, all distributed:
 1. sketch and set key of every document (one scan, narrow result);
 2. equal sets form a class, of which the smallest doc_id goes on;
 3. bands of registers are bucket keys; within a bucket, every member is
-   compared with the smallest one only (a star, linear in the bucket);
-4. a collision-corrected Jaccard estimate of the sketches drops pairs that
-   cannot reach the threshold, the full shingle sets decide the others;
-5. connected components of the links. Where a bucket still holds several
-   components, the pairs of members across them that the star left open are
-   compared too. The triangle inequality of the Jaccard distance rules out
-   pairs of a member linked to the star's centre and one at more than twice
-   the distance, so a hot bucket is not squared.
+   compared with the smallest one, its head: a star, linear in the bucket. The
+   members not linked to the head form a star of their own, ``ROUNDS`` times;
+4. a collision-corrected Jaccard estimate of the sketches settles the pairs
+   that are far apart, the full shingle sets decide all others;
+5. connected components of the links. What is left are pairs of members in
+   different components. The triangle inequality of the Jaccard distance rules
+   out a member linked to the head with one at more than twice the distance.
+   Two members nearer to the head can only reach the threshold through
+   shingles that the head lacks: an index of these gives the pairs that share
+   enough of them, which are compared in full. Members far from every head are
+   compared directly. So no link between two documents of a bucket is lost,
+   and a hot bucket is not squared.
 
 Defined results: null or blank text has an empty set, links with nothing and
 is its own component. Repeated rows with one doc_id count as copies. Null
@@ -38,6 +42,8 @@ BUCKETS, MANTISSA = 128, 10
 ROWS, BANDS = 5, 25
 #: Standard deviations of the estimate below which a pair is left out.
 SIGMAS = 5.0
+#: Stars per bucket, each among the members not linked to the head before.
+ROUNDS = 4
 _P = BUCKETS.bit_length() - 1
 _VALUE_BITS = 64 - _P
 _WALK = np.stack([mix64(np.arange(BUCKETS, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(97 * step + 1))
@@ -152,29 +158,62 @@ def _with_both(pairs: DataFrame, table: DataFrame, columns: dict[str, str]) -> D
     return pairs
 
 
-def _compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
-    """zone of every pair: 'link', 'mid', or 'far' (farther apart than twice
-    the linking distance). Exact where the estimate leaves a link possible."""
-    t = threshold / 100
+def _deltas(batches):
+    """Shingles of a star's member that its head lacks."""
+    for b in batches:
+        out = [np.setdiff1d(np.frombuffer(y, np.int64), np.frombuffer(x, np.int64), assume_unique=True)
+               for x, y in zip(texts(b, "sa"), texts(b, "sb"))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], ["a", "b", "delta"])
+
+
+def _compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(zones, sets): the zone of every pair - 'link', 'mid' or 'far', farther
+    apart than twice the linking distance - with na, nb and the intersection
+    where it is not far; and the shingle sets of the documents looked at. The
+    estimate only ever decides 'far'."""
+    nearest = 2 * threshold / 100 - 1
     est = (_with_both(pairs.select("a", "b"), classes, {"n_shingles": "n", "sketch": "s"})
            .select("a", "b", "na", "nb", "sa", "sb")
            .mapInArrow(_estimates, "a long, b long, na long, nb long, est double"))
-    seen = F.least(F.lit(BUCKETS), "na", "nb")
-    error = SIGMAS * F.sqrt(0.25 / seen)
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * threshold
-    est = written(est.select("a", "b", "est", error.alias("error"), (fits & (F.col("est") + error >= t)).alias("open")))
+    error = SIGMAS * F.sqrt(0.25 / F.least(F.lit(BUCKETS), "na", "nb"))
+    est = written(est.select("a", "b", "na", "nb", (F.col("est") + error >= nearest).alias("open")))
     ids = written(est.where("open").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     sets = written(join_keys(docs, ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
                    .mapInArrow(_sets(n_words), "id long, shingles binary"))
     exact = (_with_both(est.where("open").select("a", "b"), sets, {"shingles": "s"}).select("a", "b", "sa", "sb")
              .mapInArrow(_exact, "a long, b long, inter long, uni long"))
     zone = (F.when(F.col("inter") * 100 >= F.col("uni") * threshold, "link")
-            .when(F.col("inter") < F.col("uni") * (2 * t - 1), "far").otherwise("mid"))
-    shut = F.when(F.col("est") + F.col("error") < 2 * t - 1, "far").otherwise("mid")
-    return written(exact.select("a", "b", zone.alias("zone")).union(est.where("not open").select("a", "b", shut.alias("zone"))))
+            .when(F.col("inter") * 100 < F.col("uni") * (2 * threshold - 100), "far").otherwise("mid"))
+    shut = est.where("not open").select("a", "b", F.lit("far"), F.lit(None).cast("long"))
+    zones = exact.select("a", "b", zone.alias("zone"), "inter").union(shut)
+    return written(zones.join(est.select("a", "b", "na", "nb"), ["a", "b"])), sets
+
+
+def _beside(zones: DataFrame, sets: DataFrame, component: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of members of one star, at least one in the middle zone,
+    that may link although in different components. Of a member only the
+    intersection with the head is in the head; two members x and y share at
+    most min(hx, hy) shingles within it, so what they need beyond must be
+    among the shingles that the head lacks, which are matched by an index."""
+    near = (zones.where("zone <> 'far'").select(F.col("a").alias("head"), F.col("b").alias("id"), "zone", F.col("nb").alias("n"), F.col("inter").alias("h"))
+            .join(component, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    mixed = (near.groupBy("head").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.col("zone") == "mid").alias("mid"))
+             .where("lo < hi and mid").select("head"))
+    near = written(near.join(mixed, "head", "left_semi"))
+    deltas = (_with_both(near.select(F.col("head").alias("a"), F.col("id").alias("b")), sets, {"shingles": "s"}).select("a", "b", "sa", "sb")
+              .mapInArrow(_deltas, "a long, b long, delta array<long>"))
+    index = written(near.join(deltas.toDF("head", "id", "delta"), ["head", "id"]).withColumn("g", F.explode("delta")).drop("delta"))
+    apart = (F.col("l.component") != F.col("r.component")) & ((F.col("r.zone") == "link") | (F.col("l.id") < F.col("r.id")))
+    need = F.lit(threshold / (100 + threshold)) * (F.col("l.n") + F.col("r.n")) - F.least("l.h", "r.h") - 1e-6
+    ends = F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")
+    shared = (index.alias("l").where("l.zone = 'mid'").join(index.alias("r"), (F.col("l.head") == F.col("r.head")) & (F.col("l.g") == F.col("r.g")) & apart)
+              .groupBy("l.head", *ends).agg(F.count("*").alias("c"), F.min(need).alias("need")).where("c >= need").select("a", "b"))
+    within = (near.alias("l").where("l.zone = 'mid'").join(near.alias("r"), (F.col("l.head") == F.col("r.head")) & apart & (need <= 0))
+              .select(*ends))
+    return shared.union(within)
 
 
-def near_duplicates(docs: DataFrame, n_words: int = 5, threshold: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, n_words: int = 5, threshold: int = 80, rounds: int = ROUNDS) -> DataFrame:
     """``docs(doc_id long, text string, ...)`` to one row per document:
     doc_id, n_shingles, component_id, kept. Links are pairs with
     100 x intersection >= threshold x union of their shingle sets."""
@@ -182,26 +221,38 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, threshold: int = 80) -> D
     sketches = written(docs.mapInArrow(_sketches(n_words), "doc_id long, n_shingles long, key binary, sketch binary"))
     classes = written(sketches.where("key is not null and doc_id is not null").groupBy("key")
                       .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
-    bands = written(classes.select("id", "sketch").mapInArrow(_bands, "bucket long, id long"))
-    heads = written(bands.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head"))
-    members = written(bands.join(heads, "bucket").where("id <> head"))
-    star = _compared(members.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), classes, docs, n_words, threshold)
-    links = star.where("zone = 'link'").select("a", "b")
-    found = written(components(links))
-    # what the stars leave open: members of one bucket in different components
-    zoned = (members.join(star.select(F.col("a").alias("head"), F.col("b").alias("id"), "zone"), ["head", "id"])
-             .join(found.withColumnRenamed("node", "id"), "id", "left")
-             .select("bucket", "id", "zone", F.coalesce("component", "id").alias("component")))
-    mixed = zoned.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    zoned = written(zoned.join(mixed, "bucket", "left_semi"))
-    l, r = zoned.alias("l"), zoned.alias("r")
-    apart = F.col("l.component") != F.col("r.component")
-    rest = (l.where("l.zone = 'mid'").join(r, (F.col("l.bucket") == F.col("r.bucket")) & apart)
-            .union(l.where("l.zone = 'far'").join(r.where("r.zone = 'far'"), (F.col("l.bucket") == F.col("r.bucket")) & apart & (F.col("l.id") < F.col("r.id"))))
-            .select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct())
-    rest = written(rest)
-    if not rest.isEmpty():
-        more = _compared(rest, classes, docs, n_words, threshold).where("zone = 'link'").select("a", "b")
+    active = written(classes.select("id", "sketch").mapInArrow(_bands, "bucket long, id long"))
+    stars, links = [], None
+    while True:
+        heads = written(active.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head"))
+        members = written(active.select("bucket", "id").join(heads, "bucket").where("id <> head"))
+        zones, sets = _compared(members.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), classes, docs, n_words, threshold)
+        stars.append((zones, sets))
+        found = zones.where("zone = 'link'").select("a", "b")
+        links = found if links is None else links.union(found)
+        if members.isEmpty():
+            break
+        # members that are not linked to the head go on to the next star
+        active = written(members.join(zones.where("zone <> 'link'").select(F.col("a").alias("head"), F.col("b").alias("id"), "zone"), ["head", "id"])
+                         .select("bucket", "id", "zone"))
+        if len(stars) == rounds:
+            break
+    component = written(components(links)).withColumnRenamed("node", "id")
+    left = None
+    for zones, sets in stars:
+        some = _beside(zones, sets, component, threshold)
+        left = some if left is None else left.union(some)
+    if "zone" in active.columns:
+        # what no star has settled: members far from every head of their bucket
+        open_ = active.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        l, r = open_.alias("l"), open_.alias("r")
+        left = left.union(l.where("l.zone = 'far'").join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") != F.col("r.component"))
+                                                         & ((F.col("r.zone") == "mid") | (F.col("l.id") < F.col("r.id"))))
+                          .select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")))
+    left = written(left.distinct())
+    found = component.withColumnRenamed("id", "node")
+    if not left.isEmpty():
+        more = _compared(left, classes, docs, n_words, threshold)[0].where("zone = 'link'").select("a", "b")
         if not more.isEmpty():
             found = written(components(links.union(more)))
     named = classes.select("key", "id").join(found.select(F.col("node").alias("id"), "component"), "id", "left") \
