@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probelab.llm.shared import join_keys, written
+from probelab.llm.shared import bucketed, join_keys, written
 
 ORDER, BATCH_BYTES, CHUNK = 5, 16 << 20, 4 << 20
 START, END = 0xFF, 0xFE
@@ -134,7 +134,7 @@ def _batches_of(order: int, batch_bytes: int):
                         counts = np.bincount(inv, np.concatenate([counts, n]), len(u)).astype(np.int64)
                         keys = u
             top = np.unique(np.concatenate(every))
-            return {"batch": part << 32 | number, "docs": zstandard.compress(sink.getvalue().to_pybytes(), 6),
+            return {"batch": part << 32 | number, "docs": zstandard.compress(sink.getvalue().to_pybytes(), 9),
                     "top": _pack_keys(top), "learnt": _pack_keys(keys), "counts": zstandard.compress(counts.tobytes(), 3)}
         for b in batches:
             for lo, some in _chunks(b.column("text").to_pylist(), batch_bytes):
@@ -157,6 +157,17 @@ def _learnt(batches):
             yield pa.RecordBatch.from_arrays([pa.array(_unpack_keys(keys)), pa.array(np.frombuffer(zstandard.decompress(counts), np.int64))], ["key", "n"])
 
 
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """The modified Kneser-Ney discounts for counts of one, two, and three or
+    more; a half, one and one and a half where the counts of counts give none."""
+    if n1 and n2 and n3:
+        y = n1 / (n1 + 2 * n2)
+        d = 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3
+        if all(0 < x < c for x, c in zip(d, (1, 2, 3))):
+            return d
+    return 0.5, 1.0, 1.5
+
+
 def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
     """``counts(key, n)`` of the highest order to the model's entries
     (key, alpha, gamma), key tagged with its order: alpha is the discounted
@@ -168,10 +179,7 @@ def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
             level = level.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("key")).agg(F.count("*").alias("n"))
         level = written(level)
         n1, n2, n3, n4 = (x or 0 for x in level.agg(*(F.count_if(F.col("n") == c) for c in (1, 2, 3, 4))).first())
-        y = n1 / (n1 + 2 * n2) if n1 else 0.0
-        d1 = min(max(1 - 2 * y * n2 / n1, 0.0), 1.0) if n1 else 0.0
-        d2 = min(max(2 - 3 * y * n3 / n2, 0.0), 2.0) if n2 else d1
-        d3 = min(max(3 - 4 * y * n4 / n3, 0.0), 3.0) if n3 else d2
+        d1, d2, d3 = discounts(n1, n2, n3, n4)
         discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         history = F.shiftright("key", 8)
         totals = level.groupBy(history.alias("history")).agg(F.sum("n").alias("total"), F.sum(discount).alias("left"))
@@ -278,7 +286,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, batch_
     held = F.pmod(F.xxhash64(F.lit(HELD), "doc_id"), F.lit(HELD)) == 0
     known = F.coalesce("trusted", F.lit(False))
     rows = join_keys(rows, flags, "doc_id", "left").select("doc_id", "text", "lang", (known & held).alias("held"), (known & ~held).alias("teaches"))
-    packed = written(rows.mapInArrow(_batches_of(order, batch_bytes), "batch long, docs binary, top binary, learnt binary, counts binary"))
+    packed = bucketed(rows.mapInArrow(_batches_of(order, batch_bytes), "batch long, docs binary, top binary, learnt binary, counts binary"), "batch")
     counts = packed.select("learnt", "counts").mapInArrow(_learnt, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     model = written(kneser_ney(counts, order))
     if shards is None:
