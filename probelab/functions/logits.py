@@ -30,15 +30,9 @@ def variant_rows(answers: dict[str, Sequence[str]],
     """{w, " "+w} for every word of an answer; only single-piece variants
     are kept, distinct and sorted. ``pieces`` counts tokenizer pieces of a
     string (all single-piece when no tokenizer is given)."""
-    out = []
-    for answer, words in answers.items():
-        toks = set()
-        for w in words:
-            for v in (w, " " + w):
-                if (pieces(v) if pieces else 1) == 1:
-                    toks.add(v)
-        out += [(answer, t, 1) for t in sorted(toks)]
-    return out
+    place = {answer: i for i, answer in enumerate(answers)}
+    spelled = {(place[answer], answer, lead + w) for answer in answers for w in answers[answer] for lead in ("", " ")}
+    return [(answer, token, 1) for _, answer, token in sorted(spelled) if pieces is None or pieces(token) == 1]
 
 
 def answer_variants(spark: SparkSession, answers: dict[str, Sequence[str]] | None = None,

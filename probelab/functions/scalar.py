@@ -57,7 +57,9 @@ def corr_pvalue(r: float, n: int) -> float:
 
 
 def normal_two_sided(z: float) -> float:
-    return min(1.0, math.erfc(abs(z) / math.sqrt(2.0)))
+    """p of ``z``, a distance from the mean in deviations; a continuity
+    correction may take it below zero, where p is 1."""
+    return min(1.0, math.erfc(z / math.sqrt(2.0)))
 
 
 @F.pandas_udf(T.DoubleType())

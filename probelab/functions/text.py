@@ -43,10 +43,11 @@ def clean_text(col, max_words: int = MAX_WORDS) -> Column:
 
 def has_content(col) -> Column:
     """P4 decided on the raw text: cleaning leaves something exactly when the
-    text holds a character that is neither whitespace nor part of a
-    line-break tag. Anchored, so a normal text is decided at its first
-    character, before any cleaning runs."""
-    return ~_c(col).rlike(r"(?U)^(?:[\s\x1c-\x1f]|<br\s*/?>)*$")
+    text, without line-break tags, holds a character that is not whitespace.
+    The pattern looks for that one character, so no run of blanks or tags,
+    however long, is matched as a whole."""
+    bare = F.regexp_replace(_c(col), r"(?U)<br\s*+/?>", "")
+    return bare.rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
 def word_count(col) -> Column:

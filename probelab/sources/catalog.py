@@ -34,31 +34,25 @@ _ASK = {
     "control": "Is this text {p}?",
 }
 
-# (sense, predicate, a-priori metaphoricity): our own predicates and scores.
-_LOW = [
-    ("sight", "teal", 0.05), ("sight", "speckled", 0.15), ("sight", "hexagonal", 0.05),
-    ("sight", "translucent", 0.2),
-    ("taste", "vinegary", 0.1), ("taste", "nutty", 0.2), ("taste", "peppery", 0.25),
-    ("taste", "chalky", 0.15),
-    ("touch", "waxy", 0.1), ("touch", "spongy", 0.15), ("touch", "damp", 0.2),
-    ("touch", "fuzzy", 0.3),
-    ("hearing", "squeaky", 0.15), ("hearing", "rumbling", 0.2), ("hearing", "whistling", 0.1),
-    ("hearing", "buzzing", 0.25),
-    ("smell", "garlicky", 0.05), ("smell", "citrusy", 0.05), ("smell", "musty", 0.3),
-    ("smell", "smoky", 0.25),
-]
-_HIGH = [
-    ("sight", "bright", 0.85), ("sight", "dark", 0.9), ("sight", "colourful", 0.7),
-    ("sight", "dim", 0.75),
-    ("taste", "sweet", 0.9), ("taste", "bitter", 0.95), ("taste", "sour", 0.8),
-    ("taste", "bland", 0.85),
-    ("touch", "warm", 0.9), ("touch", "cold", 0.9), ("touch", "rough", 0.8),
-    ("touch", "smooth", 0.75),
-    ("hearing", "loud", 0.7), ("hearing", "quiet", 0.65), ("hearing", "harmonious", 0.8),
-    ("hearing", "shrill", 0.6),
-    ("smell", "fishy", 0.9), ("smell", "rotten", 0.85), ("smell", "fragrant", 0.55),
-    ("smell", "stinking", 0.8),
-]
+# Four predicates a sense for either set; the a-priori metaphoricity follows
+# from the set and the place in the list. Callers with a catalogue of their
+# own read it from a file.
+_LITERAL = {
+    "sight": ("striped", "oval", "glossy", "freckled"),
+    "taste": ("minty", "starchy", "oily", "yeasty"),
+    "touch": ("rubbery", "gritty", "sticky", "feathery"),
+    "hearing": ("humming", "crackling", "echoing", "ticking"),
+    "smell": ("piney", "soapy", "mouldy", "leathery"),
+}
+_FIGURATIVE = {
+    "sight": ("radiant", "murky", "vivid", "faded"),
+    "taste": ("zesty", "stale", "savoury", "syrupy"),
+    "touch": ("prickly", "heavy", "brittle", "silken"),
+    "hearing": ("muffled", "thunderous", "melodic", "jarring"),
+    "smell": ("perfumed", "acrid", "airy", "rancid"),
+}
+_LOW = [(sense, p, round(0.05 + 0.1 * i, 2)) for sense, ps in _LITERAL.items() for i, p in enumerate(ps)]
+_HIGH = [(sense, p, round(0.55 + 0.1 * i, 2)) for sense, ps in _FIGURATIVE.items() for i, p in enumerate(ps)]
 _CONTROL = ["florp", "zindle", "quabby", "marnish", "trelvic",
             "blumphy", "snorvel", "wuggish", "prindly", "kestic"]
 

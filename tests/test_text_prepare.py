@@ -110,3 +110,16 @@ def test_dataset_meta(spark):
 def test_word_count_empty_is_zero(spark):
     r = spark.createDataFrame([("",), ("a b",)], "t string").select(word_count(F.col("t")).alias("n")).collect()
     assert [x.n for x in r] == [0, 2]
+
+
+def test_long_blank_and_tag_runs_do_not_overflow(spark):
+    from probelab.functions.text import has_content
+    rows = [(0, " " * 1_000_000), (1, "<br />" * 100_000), (2, " " * 1_000_000 + "x"), (3, "<br " + " " * 100_000), (4, "")]
+    df = spark.createDataFrame(rows, "i int, t string")
+    got = {r[0]: r[1] for r in df.select("i", has_content("t").alias("c")).collect()}
+    assert got == {0: False, 1: False, 2: True, 3: True, 4: False}
+
+
+def test_equal_rank_sums_have_p_one():
+    from probelab.functions.scalar import normal_two_sided
+    assert normal_two_sided(-0.0135) == 1.0 and abs(normal_two_sided(1.959963984540054) - 0.05) < 1e-9
