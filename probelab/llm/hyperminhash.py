@@ -20,9 +20,13 @@ Steps, all distributed:
    out a member linked to the head with one at more than twice the distance.
    Two members nearer to the head can only reach the threshold through
    shingles that the head lacks: an index of these gives the pairs that share
-   enough of them, which are compared in full. Members far from every head are
-   compared directly. So no link between two documents of a bucket is lost,
-   and a hot bucket is not squared.
+   enough of them, which are compared in full. Members far from every head
+   meet through a prefix index: two sets of the wanted similarity share one of
+   their first n - ceil(t n) + 1 shingles in any order that all sets use. The
+   order is by how often a shingle's cell of 2^16 occurs among these members,
+   so the few edits of their own come first and what a hot bucket shares is
+   not indexed. So no link between two documents of a bucket is lost, and a
+   hot bucket is not squared.
 
 Defined results: null or blank text has an empty set, links with nothing and
 is its own component. Repeated rows with one doc_id count as copies. Null
@@ -166,6 +170,52 @@ def _deltas(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], ["a", "b", "delta"])
 
 
+def _cell_counts(batches):
+    """How often the cells (the first 16 bits) of shingles occur in a task's sets."""
+    n = np.zeros(1 << 16, np.int64)
+    for b in batches:
+        for raw in texts(b, "shingles"):
+            n += np.bincount((np.frombuffer(raw, np.uint64) >> np.uint64(48)).astype(np.int64), minlength=1 << 16)
+    cell = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n[cell])], ["cell", "n"])
+
+
+def _prefixes(counts, threshold: int):
+    """The first n - ceil(threshold % of n) + 1 shingles of a set, rare cells first."""
+    def run(batches):
+        of = counts.value
+        for b in batches:
+            size, out = [], []
+            for raw in texts(b, "shingles"):
+                s = np.frombuffer(raw, np.uint64)
+                first = len(s) + threshold * len(s) // -100 + 1
+                size.append(len(s))
+                out.append(s[np.lexsort((s, of[(s >> np.uint64(48)).astype(np.int64)]))[:first]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["id", "n", "prefix"])
+    return run
+
+
+def _far_pairs(members: DataFrame, docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
+    """Pairs (a, b) of ``members(id, fars, opens, component)`` - the buckets
+    where a member is far from every head, and all its unsettled ones - in
+    different components that meet in a bucket where one of them is far, share
+    a shingle of their prefixes and have sizes that allow a link."""
+    spark = docs.sparkSession
+    sets = written(join_keys(docs, members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+                   .select("doc_id", "text").mapInArrow(_sets(n_words), "id long, shingles binary"))
+    counts = np.zeros(1 << 16, np.int64)        # at most 65,536 numbers, whatever the input
+    for cell, n in sets.select("shingles").mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+        counts[cell] = n
+    index = written(sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), threshold), "id long, n long, prefix array<long>")
+                    .join(members, "id").select("id", "n", "fars", "opens", "component", F.explode("prefix").alias("g")))
+    l, r = index.alias("l"), index.alias("r")
+    return (l.where("size(l.fars) > 0").join(r, (F.col("l.g") == F.col("r.g")) & (F.col("l.component") != F.col("r.component"))
+                                             & (F.col("l.n") * 100 >= F.col("r.n") * threshold) & (F.col("r.n") * 100 >= F.col("l.n") * threshold)
+                                             & F.arrays_overlap("l.fars", "r.opens")
+                                             & ((F.col("l.id") < F.col("r.id")) | ~F.arrays_overlap("r.fars", "l.opens")))
+            .select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct())
+
+
 def _compared(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int, threshold: int) -> tuple[DataFrame, DataFrame]:
     """(zones, sets): the zone of every pair - 'link', 'mid' or 'far', farther
     apart than twice the linking distance - with na, nb and the intersection
@@ -244,11 +294,9 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, threshold: int = 80, roun
         left = some if left is None else left.union(some)
     if "zone" in active.columns:
         # what no star has settled: members far from every head of their bucket
-        open_ = active.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        l, r = open_.alias("l"), open_.alias("r")
-        left = left.union(l.where("l.zone = 'far'").join(r, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") != F.col("r.component"))
-                                                         & ((F.col("r.zone") == "mid") | (F.col("l.id") < F.col("r.id"))))
-                          .select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")))
+        open_ = (active.groupBy("id").agg(F.collect_set(F.when(F.col("zone") == "far", F.col("bucket"))).alias("fars"), F.collect_set("bucket").alias("opens")).join(component, "id", "left")
+                 .withColumn("component", F.coalesce("component", "id")))
+        left = left.union(_far_pairs(written(open_), docs, n_words, threshold))
     left = written(left.distinct())
     found = component.withColumnRenamed("id", "node")
     if not left.isEmpty():

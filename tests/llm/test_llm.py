@@ -65,6 +65,35 @@ def test_near_duplicates_match_brute_force(spark, n, threshold):
     assert got == brute_components(texts, n, threshold)
 
 
+def chain(seed=4, links=40, length=150):
+    """Texts in which each is a near copy of the one before only, in mixed order."""
+    rng, words = np.random.default_rng(seed), vocabulary(seed, 4000)
+    t, out = list(rng.choice(words, length)), []
+    for _ in range(links):
+        out.append(" ".join(t))
+        for i in rng.choice(length, 5, replace=False):
+            t[i] = str(rng.choice(words))
+    return [out[i] for i in rng.permutation(links)]
+
+
+def test_members_far_from_the_head_are_linked(spark):
+    texts = chain() + near_copies(seed=5, groups=2, copies=20)
+    got = {r[0]: tuple(r)[1:] for r in hyperminhash.near_duplicates(table(spark, texts), 3, 80, rounds=1).collect()}
+    assert got == brute_components(texts, 3, 80)
+
+
+@pytest.mark.parametrize("threshold", [60, 80, 85])
+def test_prefix_index_loses_no_link(spark, threshold):
+    texts = chain() + near_copies(seed=6, groups=2, copies=12)
+    sets = [set(hyperminhash.shingle_set(t, 3).tolist()) for t in texts]
+    members = spark.createDataFrame([(i, [7], [7], i) for i in range(len(texts))], "id long, fars array<long>, opens array<long>, component long")
+    got = {tuple(r) for r in hyperminhash._far_pairs(members, table(spark, texts).select("doc_id", "text"), 3, threshold).collect()}
+    linked = {(i, j) for j in range(len(texts)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])}
+    assert linked <= got and len(got) < len(texts) * (len(texts) - 1) // 2
+    apart = members.selectExpr("id", "if(id % 2 = 0, array(7L), array()) as fars", "array(id % 2 + 6) as opens", "component")
+    assert all((a % 2, b % 2) in ((0, 1), (1, 0)) for a, b in hyperminhash._far_pairs(apart, table(spark, texts).select("doc_id", "text"), 3, threshold).collect())
+
+
 def test_near_duplicates_of_nothing(spark):
     assert hyperminhash.near_duplicates(table(spark, [])).count() == 0
 
