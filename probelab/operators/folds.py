@@ -2,10 +2,10 @@
 row number within groups.
 
 ``row_number() OVER (PARTITION BY class ...)`` sends a whole class to one
-task; a class may hold a third of all rows. ``group_row_number`` instead
-range-partitions on (group, order) so a hot group spans many partitions,
-numbers rows inside each sorted partition, and adds the count of the group's
-rows in earlier partitions from a small (partitions x groups) table.
+task; a class may hold a third of all rows. ``group_row_number`` orders by a
+hexadecimal hash, so its leading digits cut every group into buckets of equal
+width: rows are numbered inside their bucket, and the counts of the earlier
+buckets are added from a small (group, bucket) table.
 """
 
 from __future__ import annotations
@@ -20,39 +20,28 @@ K_FOLDS = 5
 FOLD_SEED = "0"
 
 
-def group_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str],
-                     out: str = "rn", num_partitions: int | None = None) -> DataFrame:
-    """Exact 1-based row number within ``group_cols`` ordered by ``order_cols``
-    (which must make the order total, e.g. end with a unique key).
-
-    The partition count is explicit so every use of the sorted data sees the
-    same partitions (adaptive coalescing never applies to an explicit count),
-    and the sort key is total, so recomputation after a lost executor yields
-    the same numbers."""
-    spark = df.sparkSession
-    # explicit (never coalesced) count sized by the input: up to 4 range
-    # partitions per input split, capped by the shuffle-partition setting
-    n = num_partitions or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                                     4 * df.rdd.getNumPartitions()))
-    keyed = df
-    order_names = []
-    for i, c in enumerate(order_cols):
-        if isinstance(c, str):
-            order_names.append(c)
-        else:
-            keyed = keyed.withColumn(f"_o{i}", c)
-            order_names.append(f"_o{i}")
-    keys = [*group_cols, *order_names]
-    s = (keyed.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_pid", F.shiftright("_mid", 33)))
-    stats = s.groupBy(*group_cols, "_pid").agg(F.min("_mid").alias("_first"),
-                                               F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    res = s.join(stats.drop("_n"), [*group_cols, "_pid"])
-    res = res.withColumn(out, F.col("_mid") - F.col("_first") + F.col("_before") + 1)
-    return res.drop("_mid", "_pid", "_first", "_before", *[c for c in order_names if c.startswith("_o")])
+#: Hexadecimal digits of the bucket: 65,536 buckets a group.
+BUCKET_DIGITS = 4
+
+
+def group_row_number(df: DataFrame, group_cols: Sequence[str], hash_key: Column, tie_col: str,
+                     within: Sequence[str] = (), out: str = "rn", digits: int = BUCKET_DIGITS) -> DataFrame:
+    """Exact 1-based row number within ``group_cols`` ordered by ``within``,
+    then ``hash_key`` (an evenly spread hexadecimal string), then ``tie_col``.
+
+    Bucket and number are functions of the rows alone, so the result depends
+    neither on partitioning nor on which exchanges Spark reuses, and a task
+    that is run again gives the same numbers. Null groups are groups."""
+    bucket = [*group_cols, *within, "_b"]
+    keyed = df.withColumn("_h", hash_key).withColumn("_b", F.substring("_h", 1, digits))
+    stats = keyed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*group_cols).orderBy(*within, "_b").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.select(*(F.col(c).alias(f"_s{i}") for i, c in enumerate(bucket)),
+                         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    ranked = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy(*bucket).orderBy("_h", tie_col)))
+    same = [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(bucket)]
+    return (ranked.join(stats, same).withColumn(out, F.col("_before") + F.col("_rn"))
+                  .drop("_h", "_b", "_rn", "_before", *(f"_s{i}" for i in range(len(bucket)))))
 
 
 def fold_order(seed: str = FOLD_SEED) -> Column:
@@ -70,14 +59,8 @@ def stratified_folds(labelled: DataFrame, k: int = K_FOLDS, seed: str = FOLD_SEE
     base = labelled.select("dataset", "row_id", "label")
     if mode == "hash":
         return base.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col("row_id")), F.lit(k)).cast("int"))
-    ranked = group_row_number(base, ["dataset", "label"], [fold_order(seed), "row_id"])
-    counts = base.groupBy("dataset", "label").agg(F.count(F.lit(1)).alias("_c"))
-    earlier = Window.partitionBy("dataset").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(earlier), F.lit(0))).drop("_c")
-    from probelab.operators.joins import checked_broadcast_join
-    return (checked_broadcast_join(ranked, offsets, ["dataset", "label"])
-                  .withColumn("fold", F.pmod(F.col("_off") + F.col("rn") - 1, F.lit(k)).cast("int"))
-                  .drop("_off", "rn"))
+    ranked = group_row_number(base, ["dataset"], fold_order(seed), "row_id", within=["label"])
+    return ranked.withColumn("fold", F.pmod(F.col("rn") - 1, F.lit(k)).cast("int")).drop("rn")
 
 
 def feature_orders(datasets: DataFrame, qids: Sequence[str], n_perm: int = 10,

@@ -43,13 +43,26 @@ def test_group_row_number_equals_window(spark):
     df = df.union(spark.range(0, 5000).select(F.lit("d").alias("g"), F.lit(9).cast("long").alias("c"),
                                               (F.col("id") + 10000).alias("row_id")))  # hot group
     key = F.md5(F.col("row_id").cast("string"))
-    got = FO.group_row_number(df, ["g", "c"], [key, "row_id"], num_partitions=7)
+    got = FO.group_row_number(df, ["g", "c"], key, "row_id")
     w = Window.partitionBy("g", "c").orderBy(key, "row_id")
     want = df.withColumn("rn2", F.row_number().over(w))
     bad = got.join(want, ["g", "c", "row_id"]).filter("rn <> rn2").count()
     assert bad == 0 and got.count() == 8000
 
 
+def test_row_numbers_without_exchange_reuse(spark):
+    df = spark.range(60_000).select((F.col("id") % 3).alias("g"), F.col("id").alias("row_id"), F.repeat(F.lit("x"), 20).alias("payload"))
+    df = df.union(spark.createDataFrame([(None, 60_000, "a"), (None, 60_001, "b")], "g long, row_id long, payload string"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = FO.group_row_number(df, ["g"], F.md5(F.col("row_id").cast("string")), "row_id", digits=2)
+        per = {r["g"]: tuple(r)[1:] for r in got.groupBy("g").agg(F.count("*"), F.countDistinct("rn"), F.min("rn"), F.max("rn")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert per == {0: (20_000, 20_000, 1, 20_000), 1: (20_000, 20_000, 1, 20_000), 2: (20_000, 20_000, 1, 20_000), None: (2, 2, 1, 2)}
+    assert got.columns == ["g", "row_id", "payload", "rn"]
+
+
 def test_hash_mode_folds(spark):
     f = FO.stratified_folds(_labelled(spark, {0: 500, 1: 500}), mode="hash")
     assert set(r.fold for r in f.select("fold").distinct().collect()) == set(range(5))
