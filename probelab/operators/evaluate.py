@@ -391,24 +391,6 @@ GRAD_SCHEMA = T.StructType([
 ])
 
 
-def _two_loop(g, S, Y):
-    """L-BFGS direction -H g from the stored pairs (oldest first)."""
-    q = g.copy()
-    alphas = []
-    for s, y in reversed(list(zip(S, Y))):
-        a = float(s @ q) / float(y @ s)
-        alphas.append(a)
-        q -= a * y
-    if S:
-        q *= float(S[-1] @ Y[-1]) / float(Y[-1] @ Y[-1])
-    else:
-        q /= max(1.0, float(np.max(np.abs(g))))
-    for (s, y), a in zip(zip(S, Y), reversed(alphas)):
-        b = float(y @ q) / float(y @ s)
-        q += (a - b) * s
-    return -q
-
-
 def _lbfgs_chunk(cached, chunk, classes, stats, lam, tol, max_iter, sc, memory=10, gtol=1e-7):
     """Gradient-only passes: each partition ships ``p`` numbers per fit (no
     Hessian), so the shuffle per pass is partitions x sum(p) doubles. Armijo
@@ -462,7 +444,7 @@ def _lbfgs_chunk(cached, chunk, classes, stats, lam, tol, max_iter, sc, memory=1
                     active.discard(fid)
                     continue
             st.update(w_acc=st["w_cur"], f_acc=f_cur, g_acc=g, t=1.0)
-            st["d"] = _two_loop(g, st["S"], st["Y"])
+            st["d"] = SV.two_loop(g, st["S"], st["Y"])
             st["w_cur"] = st["w_acc"] + st["d"]
     for i in active:
         out[i] = state[i]["w_acc"] if state[i]["w_acc"] is not None else state[i]["w_cur"]

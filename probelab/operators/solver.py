@@ -219,82 +219,3 @@ def two_loop(g: np.ndarray, S, Y) -> np.ndarray:
         b = float(y @ q) / float(y @ s)
         q += (a - b) * s
     return -q
-
-
-def _sp_dot(rows, cols, vals, n, W):
-    """X @ W for X given as coordinate triples (n rows)."""
-    return np.stack([np.bincount(rows, weights=vals * W[cols, j], minlength=n) for j in range(W.shape[1])], axis=1)
-
-
-def _sp_tdot(rows, cols, vals, D, G):
-    """X.T @ G."""
-    return np.stack([np.bincount(cols, weights=vals * G[rows, j], minlength=D) for j in range(G.shape[1])], axis=1)
-
-
-def fit_sparse_logreg(rows, cols, vals, n, D, yi, K, C=1.0, max_iter=1000, gtol=1e-8, memory=10):
-    """Binary (one vector) or multinomial L2 logistic regression with an
-    unpenalised intercept on sparse rows; returns ``(W [D x m], b [m])``."""
-    m = 1 if K == 2 else K
-    lam = 1.0 / C
-    t = (yi == 1).astype(float)
-    Y = None if K == 2 else np.eye(K)[yi]
-
-    def fg(theta):
-        W = theta[:D * m].reshape(D, m)
-        b = theta[D * m:]
-        eta = _sp_dot(rows, cols, vals, n, W) + b
-        if K == 2:
-            e = eta[:, 0]
-            loss = float(np.sum(np.logaddexp(0.0, e) - t * e))
-            G = (0.5 * (1.0 + np.tanh(0.5 * e)) - t)[:, None]
-            rb = 0.0
-        else:
-            mx = eta.max(axis=1, keepdims=True)
-            lse = mx + np.log(np.exp(eta - mx).sum(axis=1, keepdims=True))
-            loss = float(np.sum(lse.ravel() - eta[np.arange(n), yi]))
-            G = np.exp(eta - lse) - Y
-            rb = INTERCEPT_RIDGE
-        gW = _sp_tdot(rows, cols, vals, D, G) + lam * W
-        gb = G.sum(axis=0) + rb * b
-        f = loss + 0.5 * lam * float(np.sum(W * W)) + 0.5 * rb * float(np.sum(b * b))
-        return f, np.concatenate([gW.ravel(), gb])
-
-    theta = np.zeros(D * m + m)
-    f, g = fg(theta)
-    S, Yl = [], []
-    scale = max(1.0, float(n))
-    for _ in range(max_iter):
-        if float(np.max(np.abs(g))) <= gtol * scale:
-            break
-        d = two_loop(g, S, Yl)
-        gd = float(g @ d)
-        if gd >= 0:                         # not a descent direction: restart
-            S, Yl = [], []
-            d = -g / max(1.0, float(np.max(np.abs(g))))
-            gd = float(g @ d)
-        step = 1.0
-        while True:
-            th_new = theta + step * d
-            f_new, g_new = fg(th_new)
-            if f_new <= f + 1e-4 * step * gd or step < 1e-12:
-                break
-            step *= 0.5
-        s_vec, y_vec = th_new - theta, g_new - g
-        if float(s_vec @ y_vec) > 1e-12:
-            S.append(s_vec)
-            Yl.append(y_vec)
-            if len(S) > memory:
-                S.pop(0)
-                Yl.pop(0)
-        done = abs(f - f_new) <= 1e-15 * max(1.0, abs(f_new))
-        theta, f, g = th_new, f_new, g_new
-        if done:
-            break
-    return theta[:D * m].reshape(D, m), theta[D * m:]
-
-
-def predict_sparse(W, b, rows, cols, vals, n, K):
-    eta = _sp_dot(rows, cols, vals, n, W) + b
-    if K == 2:
-        return (eta[:, 0] > 0).astype(np.int64)
-    return np.argmax(eta, axis=1)

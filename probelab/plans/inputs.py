@@ -33,7 +33,7 @@ def raw_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = read_table(spark, sf_dir, "conversations")
-    conv = conv.withColumn("turn_id", F.col("conv_id") * 1000 + F.col("turn"))
+    conv = conv.withColumn("turn_id", F.col("conv_id") * F.lit(1 << 31) + F.col("turn"))
     return P.labelled_text(conv, "role", id_col="turn_id", label_col="role")
 
 

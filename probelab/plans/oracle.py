@@ -20,7 +20,7 @@ RAW_QUALITY = """
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
 
 RAW_ROLE = """
-  SELECT 'role' AS dataset, conv_id * 1000 + turn AS row_id, text, role AS label_text,
+  SELECT 'role' AS dataset, conv_id * 2147483648 + turn AS row_id, text, role AS label_text,
          CAST(dense_rank() OVER (ORDER BY role) - 1 AS INTEGER) AS label
   FROM conversations"""
 
@@ -489,7 +489,11 @@ SQL["tfidf_weights"] = f"""
   w AS (SELECT c.dataset, v.held, c.row_id,
                (1 + ln(c.tf)) * (ln((1.0 + v.n_train) / (1.0 + v.df)) + 1) AS w
         FROM c JOIN v ON c.dataset = v.dataset AND c.term = v.term),
-  n AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY dataset, held, row_id)) AS weight FROM w)
-  SELECT dataset, CAST(held AS INTEGER) AS held, row_id, count(*) AS n_terms,
-         round(sum(weight), 6) AS weight_sum, round(sum(weight * weight), 6) AS norm2
-  FROM n GROUP BY dataset, held, row_id"""
+  n AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY dataset, held, row_id)) AS weight FROM w),
+  d AS (SELECT dataset, row_id, h.range AS held
+        FROM (SELECT dataset, row_id, {CLEAN.format(t='text')} AS text FROM ({RAW_LANG}) WHERE text IS NOT NULL),
+             range(5) h WHERE length(text) > 0)
+  SELECT d.dataset, CAST(d.held AS INTEGER) AS held, d.row_id, count(n.weight) AS n_terms,
+         round(coalesce(sum(n.weight), 0), 6) AS weight_sum, round(coalesce(sum(n.weight * n.weight), 0), 6) AS norm2
+  FROM d LEFT JOIN n ON n.dataset = d.dataset AND n.held = d.held AND n.row_id = d.row_id
+  GROUP BY d.dataset, d.held, d.row_id"""

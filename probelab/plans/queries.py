@@ -442,16 +442,21 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _tfidf_counts(spark, sf_dir)
     w = TF.weights(counts, _tfidf_vocab(spark, sf_dir, counts))
     per_doc = w.groupBy("dataset", "held", "row_id").agg(
-        F.count(F.lit(1)).alias("n_terms"), _r(F.sum("weight"), "weight_sum"),
-        _r(F.sum(F.col("weight") * F.col("weight")), "norm2"))
-    return per_doc.select("dataset", F.col("held").cast("int").alias("held"), "row_id", "n_terms",
-                          "weight_sum", "norm2")
+        F.count(F.lit(1)).alias("n_terms"), F.sum("weight").alias("weight_sum"),
+        F.sum(F.col("weight") * F.col("weight")).alias("norm2"))
+    # a document without a kept term is a zero vector
+    every = _tfidf_docs(spark, sf_dir).select("dataset", "row_id", F.explode(F.sequence(F.lit(0), F.lit(FO.K_FOLDS - 1))).alias("held"))
+    zero = F.lit(0)
+    return every.join(per_doc, ["dataset", "held", "row_id"], "left").select(
+        "dataset", "held", "row_id", F.coalesce("n_terms", zero.cast("bigint")).alias("n_terms"),
+        _r(F.coalesce("weight_sum", zero.cast("double")), "weight_sum"), _r(F.coalesce("norm2", zero.cast("double")), "norm2"))
 
 
 def tfidf_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _tfidf_counts(spark, sf_dir)
     labels = P.index_labels(inputs.raw_lang(spark, sf_dir)).select("dataset", "row_id", "label")
-    pred = TF.cv_predictions(TF.weights(counts, _tfidf_vocab(spark, sf_dir, counts)), labels)
+    docs = _tfidf_docs(spark, sf_dir).select("dataset", "row_id", "fold").join(labels, ["dataset", "row_id"])
+    pred = TF.cv_predictions(TF.weights(counts, _tfidf_vocab(spark, sf_dir, counts)), docs)
     conf = M.confusion_from_predictions(pred.withColumn("config_id", F.concat_ws("|", "dataset", F.lit("TFIDF")))
                                             .withColumnRenamed("held", "fold"))
     return M.cv_summary(conf)

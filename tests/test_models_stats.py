@@ -191,24 +191,25 @@ def test_mlp_above_broadcast_limit_uses_spark_ml(spark):
     assert sum(r.n for r in conf.collect()) == 150
 
 
-@pytest.mark.parametrize("K", [2, 4])
-def test_sparse_lbfgs_equals_dense_newton(K):
+@pytest.mark.parametrize("K", [2, 3])
+def test_tfidf_classifier_predicts_every_document(spark, K):
+    from probelab.operators import tfidf as TF
     rng = np.random.default_rng(10 + K)
-    n, D = 150, 12
-    dense = rng.random((n, D)) * (rng.random((n, D)) < 0.3)
-    yi = rng.integers(0, K, n)
-    dense[:, 0] += 0.5 * yi
-    r, c = np.nonzero(dense)
-    W, b = SV.fit_sparse_logreg(r, c, dense[r, c], n, D, yi, K)
-    w = SV.fit_logreg(dense, yi, K)
-    if K == 2:
-        assert np.max(np.abs(W[:, 0] - w[:D])) < 1e-5 and abs(b[0] - w[D]) < 1e-5
-    else:
-        Wd = w.reshape(K, D + 1)
-        assert np.max(np.abs(W.T - Wd[:, :D])) < 1e-5
-        assert np.max(np.abs((b - b.mean()) - (Wd[:, D] - Wd[:, D].mean()))) < 1e-5
-    pred = SV.predict_sparse(W, b, r, c, dense[r, c], n, K)
-    assert (pred == SV.predict_index(w, dense, K)).mean() > 0.99
+    n, D = 60, 8
+    dense = rng.random((n, D)) * (rng.random((n, D)) < 0.4)
+    y = rng.integers(0, K, n)
+    dense[np.arange(n), y] += 0.8
+    dense[[3, 17]] = 0                      # documents without a kept term
+    w = spark.createDataFrame([("d", h, int(i), int(c), float(dense[i, c])) for h in range(2) for i, c in zip(*np.nonzero(dense))],
+                              "dataset string, held int, row_id long, col int, weight double")
+    docs = spark.createDataFrame([("d", i, i % 2, int(y[i])) for i in range(n)], "dataset string, row_id long, fold int, label int")
+    got = {r.row_id: r for r in TF.cv_predictions(w, docs, cap=D, k=2).collect()}
+    assert sorted(got) == list(range(n))
+    for h in range(2):
+        train, held = np.arange(n) % 2 != h, np.flatnonzero(np.arange(n) % 2 == h)
+        want = SV.predict_index(SV.fit_logreg(dense[train], y[train], K), dense[held], K)
+        assert [got[i].pred for i in held] == want.tolist()
+        assert all(got[i].held == h and got[i].label == y[i] for i in held)
 
 
 @pytest.mark.parametrize("strategy", ["broadcast", "distributed"])
