@@ -25,8 +25,9 @@ Steps, all distributed:
    their first n - ceil(t n) + 1 shingles in any order that all sets use. The
    order is by how often a shingle's cell of 2^16 occurs among these members,
    so the few edits of their own come first and what a hot bucket shares is
-   not indexed. So no link between two documents of a bucket is lost, and a
-   hot bucket is not squared.
+   not indexed. A pair is taken only where a common shingle has enough behind it
+   in both sets, which holds for the first one of every link. So no link between two documents of a
+   bucket is lost, and a hot bucket is not squared.
 
 Defined results: null or blank text has an empty set, links with nothing and
 is its own component. Repeated rows with one doc_id count as copies. Null
@@ -198,8 +199,8 @@ def _prefixes(counts, threshold: int):
 def _far_pairs(members: DataFrame, docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
     """Pairs (a, b) of ``members(id, fars, opens, component)`` - the buckets
     where a member is far from every head, and all its unsettled ones - in
-    different components that meet in a bucket where one of them is far, share
-    a shingle of their prefixes and have sizes that allow a link."""
+    different components that meet in a bucket where one of them is far and
+    share a shingle of their prefixes, at positions that allow a link."""
     spark = docs.sparkSession
     sets = written(join_keys(docs, members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
                    .select("doc_id", "text").mapInArrow(_sets(n_words), "id long, shingles binary"))
@@ -207,11 +208,12 @@ def _far_pairs(members: DataFrame, docs: DataFrame, n_words: int, threshold: int
     for cell, n in sets.select("shingles").mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
         counts[cell] = n
     index = written(sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), threshold), "id long, n long, prefix array<long>")
-                    .join(members, "id").select("id", "n", "fars", "opens", "component", F.explode("prefix").alias("g")))
+                    .join(members, "id").select("id", "n", "fars", "opens", "component", F.posexplode("prefix").alias("at", "g")))
     l, r = index.alias("l"), index.alias("r")
+    # two sets share at most what follows their first common shingle
+    enough = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) * (100 + threshold) >= (F.col("l.n") + F.col("r.n")) * threshold
     return (l.where("size(l.fars) > 0").join(r, (F.col("l.g") == F.col("r.g")) & (F.col("l.component") != F.col("r.component"))
-                                             & (F.col("l.n") * 100 >= F.col("r.n") * threshold) & (F.col("r.n") * 100 >= F.col("l.n") * threshold)
-                                             & F.arrays_overlap("l.fars", "r.opens")
+                                             & enough & F.arrays_overlap("l.fars", "r.opens")
                                              & ((F.col("l.id") < F.col("r.id")) | ~F.arrays_overlap("r.fars", "l.opens")))
             .select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct())
 
