@@ -19,8 +19,8 @@ Steps, all distributed:
    different components. The triangle inequality of the Jaccard distance rules
    out a member linked to the head with one at more than twice the distance.
    Two members nearer to the head can only reach the threshold through
-   shingles that the head lacks: an index of these gives the pairs that share
-   enough of them, which are compared in full. Members far from every head
+   shingles that the head lacks: a prefix index of these gives the pairs that
+   may share enough of them, which are compared in full. Members far from every head
    meet through a prefix index: two sets of the wanted similarity share one of
    their first n - ceil(t n) + 1 shingles in any order that all sets use. The
    order is by how often a shingle's cell of 2^16 occurs among these members,
@@ -166,9 +166,9 @@ def _with_both(pairs: DataFrame, table: DataFrame, columns: dict[str, str]) -> D
 def _deltas(batches):
     """Shingles of a star's member that its head lacks."""
     for b in batches:
-        out = [np.setdiff1d(np.frombuffer(y, np.int64), np.frombuffer(x, np.int64), assume_unique=True)
+        out = [np.setdiff1d(np.frombuffer(y, np.uint64), np.frombuffer(x, np.uint64), assume_unique=True).tobytes()
                for x, y in zip(texts(b, "sa"), texts(b, "sb"))]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], ["a", "b", "delta"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["a", "b", "shingles"])
 
 
 def _cell_counts(batches):
@@ -182,33 +182,43 @@ def _cell_counts(batches):
 
 
 def _prefixes(counts, threshold: int):
-    """The first n - ceil(threshold % of n) + 1 shingles of a set, rare cells first."""
+    """Instead of ``shingles``: their number, and the first n - ceil(threshold
+    % of n) + 1 of them, rare cells first, where n is the size of the whole set."""
     def run(batches):
         of = counts.value
         for b in batches:
             size, out = [], []
-            for raw in texts(b, "shingles"):
+            for n, raw in zip(b.column("n").to_pylist(), texts(b, "shingles")):
                 s = np.frombuffer(raw, np.uint64)
-                first = len(s) + threshold * len(s) // -100 + 1
                 size.append(len(s))
-                out.append(s[np.lexsort((s, of[(s >> np.uint64(48)).astype(np.int64)]))[:first]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["id", "n", "prefix"])
+                out.append(s[np.lexsort((s, of[(s >> np.uint64(48)).astype(np.int64)]))[:n + threshold * n // -100 + 1]].view(np.int64))
+            rest = b.drop_columns(["shingles"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(size, pa.int64()), pa.array(out, pa.list_(pa.int64()))],
+                                             [*rest.schema.names, "size", "prefix"])
     return run
 
 
+def _prefix_index(sets: DataFrame, threshold: int) -> DataFrame:
+    """``sets(..., n, shingles)`` with a row (..., n, size, at, g) for every shingle g of a prefix."""
+    counts = np.zeros(1 << 16, np.int64)        # at most 65,536 numbers, whatever the input
+    for cell, n in sets.select("shingles").mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
+        counts[cell] = n
+    rest = [c for c in sets.columns if c != "shingles"]
+    schema = ", ".join(f"{c} {sets.schema[c].dataType.simpleString()}" for c in rest)
+    return (sets.select(*rest, "shingles").mapInArrow(_prefixes(sets.sparkSession.sparkContext.broadcast(counts), threshold),
+                                                      f"{schema}, size long, prefix array<long>")
+            .select(*rest, "size", F.posexplode("prefix").alias("at", "g")))
+
+
 def _far_pairs(members: DataFrame, docs: DataFrame, n_words: int, threshold: int) -> DataFrame:
     """Pairs (a, b) of ``members(id, fars, opens, component)`` - the buckets
     where a member is far from every head, and all its unsettled ones - in
     different components that meet in a bucket where one of them is far and
     share a shingle of their prefixes, at positions that allow a link."""
-    spark = docs.sparkSession
     sets = written(join_keys(docs, members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-                   .select("doc_id", "text").mapInArrow(_sets(n_words), "id long, shingles binary"))
-    counts = np.zeros(1 << 16, np.int64)        # at most 65,536 numbers, whatever the input
-    for cell, n in sets.select("shingles").mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
-        counts[cell] = n
-    index = written(sets.mapInArrow(_prefixes(spark.sparkContext.broadcast(counts), threshold), "id long, n long, prefix array<long>")
-                    .join(members, "id").select("id", "n", "fars", "opens", "component", F.posexplode("prefix").alias("at", "g")))
+                   .select("doc_id", "text").mapInArrow(_sets(n_words), "id long, shingles binary")
+                   .withColumn("n", F.expr("cast(octet_length(shingles) / 8 as long)")))
+    index = written(_prefix_index(sets, threshold).join(members, "id").select("id", "n", "fars", "opens", "component", "at", "g"))
     l, r = index.alias("l"), index.alias("r")
     # two sets share at most what follows their first common shingle
     enough = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) * (100 + threshold) >= (F.col("l.n") + F.col("r.n")) * threshold
@@ -246,20 +256,24 @@ def _beside(zones: DataFrame, sets: DataFrame, component: DataFrame, threshold:
     that may link although in different components. Of a member only the
     intersection with the head is in the head; two members x and y share at
     most min(hx, hy) shingles within it, so what they need beyond must be
-    among the shingles that the head lacks, which are matched by an index."""
+    among the shingles that the head lacks: a prefix index of these, rare ones
+    first. A linked y holds ceil(t n) of x's n shingles, so at least
+    ceil(t n) - hx of those that the head lacks, and one of the first
+    n - ceil(t n) + 1."""
     near = (zones.where("zone <> 'far'").select(F.col("a").alias("head"), F.col("b").alias("id"), "zone", F.col("nb").alias("n"), F.col("inter").alias("h"))
             .join(component, "id", "left").withColumn("component", F.coalesce("component", "id")))
     mixed = (near.groupBy("head").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.col("zone") == "mid").alias("mid"))
              .where("lo < hi and mid").select("head"))
     near = written(near.join(mixed, "head", "left_semi"))
     deltas = (_with_both(near.select(F.col("head").alias("a"), F.col("id").alias("b")), sets, {"shingles": "s"}).select("a", "b", "sa", "sb")
-              .mapInArrow(_deltas, "a long, b long, delta array<long>"))
-    index = written(near.join(deltas.toDF("head", "id", "delta"), ["head", "id"]).withColumn("g", F.explode("delta")).drop("delta"))
+              .mapInArrow(_deltas, "a long, b long, shingles binary"))
+    index = written(_prefix_index(written(near.join(deltas.toDF("head", "id", "shingles"), ["head", "id"])), threshold))
     apart = (F.col("l.component") != F.col("r.component")) & ((F.col("r.zone") == "link") | (F.col("l.id") < F.col("r.id")))
     need = F.lit(threshold / (100 + threshold)) * (F.col("l.n") + F.col("r.n")) - F.least("l.h", "r.h") - 1e-6
     ends = F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")
-    shared = (index.alias("l").where("l.zone = 'mid'").join(index.alias("r"), (F.col("l.head") == F.col("r.head")) & (F.col("l.g") == F.col("r.g")) & apart)
-              .groupBy("l.head", *ends).agg(F.count("*").alias("c"), F.min(need).alias("need")).where("c >= need").select("a", "b"))
+    enough = F.least(F.col("l.size") - F.col("l.at"), F.col("r.size") - F.col("r.at")) >= need
+    shared = (index.alias("l").where("l.zone = 'mid'").join(index.alias("r"), (F.col("l.head") == F.col("r.head")) & (F.col("l.g") == F.col("r.g")) & apart & enough)
+              .select(*ends).distinct())
     within = (near.alias("l").where("l.zone = 'mid'").join(near.alias("r"), (F.col("l.head") == F.col("r.head")) & apart & (need <= 0))
               .select(*ends))
     return shared.union(within)
