@@ -4,9 +4,15 @@ Base identifiers are found in the text as it stands. A chain of transducers
 then rewrites the text - homoglyphs and full-width forms to ASCII, invisible
 characters to nothing, spelled digits to digits, written-out at and dot to
 ``@`` and ``.`` - and every step keeps, for each output character, the source
-range it stands for. Identifiers found in the rewritten text are mapped back
-through these ranges to source characters. Spans that overlap a base span are
-left out, so base spans stay as they are.
+range it stands for. Identifiers found after any step are mapped back through
+these ranges to source characters. Base spans stay as they are; a mapped span
+is added unless a base span of its kind covers it, so an address of which only
+a part is plain is found whole, beside its plain part. Redaction covers the
+union of overlapping spans.
+
+Spelled digits are those of English, French, German and Spanish. A spoken
+address needs its language's at and dot and an ending in use (``ENDINGS``, or a
+country code); an ending that is also a word counts only where no word follows.
 
 One narrow pass over the rows, no shuffle. Null text counts as empty.
 """
@@ -15,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,17 +89,43 @@ HOMOGLYPHS |= {chr(0xFF21 + i): chr(0x41 + i) for i in range(26)}
 HOMOGLYPHS |= {chr(0xFF41 + i): chr(0x61 + i) for i in range(26)}
 HOMOGLYPHS |= {chr(0x0660 + i): chr(0x30 + i) for i in range(10)}
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6",
-               "seven": "7", "eight": "8", "nine": "9", "plus": "+"}
+DIGIT_WORDS = {w: d for words in (
+    "zero oh|one|two|three|four|five|six|seven|eight|nine|plus",
+    "zéro|un une|deux|trois|quatre|cinq|six|sept|huit|neuf|plus",
+    "null|eins ein|zwei zwo|drei|vier|fünf fuenf|sechs|sieben|acht|neun|plus",
+    "cero|uno una|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|más mas")
+    for d, same in zip("0123456789+", words.split("|")) for w in same.split()}
+ENDINGS = "com org net edu gov mil int info biz io app dev ai eu example test invalid".split()
+COUNTRIES = """ac ad ae af ag al ao aq ar au aw ax az ba bb bd bf bg bh bi bj bm bn bo br bs bt bw bz ca cc cd cf cg ch ci ck cl
+cm cn co cr cu cv cw cx cy cz de dj dk dm dz ec ee eg er es et fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw
+gy hk hm hn hr ht hu id ie il iq ir je jm jo jp ke kg kh ki km kn kp kr kw ky kz lb lc li lk lr ls lt lu lv ly ma mc md mg mh
+mk ml mm mn mo mp mq mr ms mt mu mv mw mx mz na nc ne nf ng ni nl np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa
+ro rs ru rw sa sb sc sd sg sh si sj sk sl sm sn sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn tr tt tv tw tz ua ug uk
+uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw""".split()
+WORD_ENDINGS = "am as at be by do in is it la me my no re se so to us".split()
 
 _GLYPH = re.compile(f"[{re.escape(''.join(HOMOGLYPHS) + INVISIBLE)}]")
-_NUMBER = re.compile(r"\b(?:" + "|".join(DIGIT_WORDS) + r")\b(?:[\x20-](?=(?:" + "|".join(DIGIT_WORDS) + r")\b))?", re.I)
-_AT = re.compile(r"\x20?[\[({<]\x20?(?:at|@)\x20?[\])}>]\x20?", re.I)
+
+
+def _any(words) -> str:
+    """An alternation grouped by first letter."""
+    by: dict = {}
+    for w in sorted(words):
+        by.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items()) + ")"
+
+
+_DIGIT = _any(DIGIT_WORDS)
+_NUMBER = re.compile(rf"\b{_DIGIT}\b(?:[\x20-](?={_DIGIT}\b))?", re.I)
+_BEFORE = re.compile(rf"(?:[0-9]|\b{_DIGIT})[\x20-]$", re.I)
+_REACH = max(map(len, DIGIT_WORDS)) + 2     # a word, its separator and the character before it
+_AT = re.compile(r"\x20?[\[({<]\x20?(?:at|ät|arobase|arroba|@)\x20?[\])}>]\x20?", re.I)
 _DOT = re.compile(r"\x20?[\[({<]\x20?(?:dot|punto|point|punkt|\.)\x20?[\])}>]\x20?", re.I)
 # bare words only in the full shape of an address
-_SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(\x20at\x20)[A-Za-z0-9-]{1,63}((?:(?:\x20dot\x20|\.)[A-Za-z0-9-]{1,63})*)(\x20dot\x20)"
-                     r"(?:com|org|net|edu|gov|info|io|co|de|fr|es|uk|example|test|invalid)\b", re.I)
-_WORD_DOT = re.compile(r"\x20dot\x20", re.I)
+_SPOKEN = [(re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(\x20{at}\x20)[A-Za-z0-9-]{{1,63}}((?:(?:\x20{dot}\x20|\.)[A-Za-z0-9-]{{1,63}})*)(\x20{dot}\x20)"
+                       rf"(?:{_any(ENDINGS + COUNTRIES)}\b|{_any(WORD_ENDINGS)}\b(?!\x20\w))", re.I), re.compile(rf"\x20{at}\x20", re.I), re.compile(rf"\x20{dot}\x20", re.I))
+           for at, dot in (("arobase", "(?:point|dot)"), ("(?:at|ät)", "(?:punkt|dot)"), ("arroba", "(?:punto|dot)"))]
+
 
 
 class Tape:
@@ -121,48 +154,52 @@ class Tape:
         return (lo, hi) if self.start is None else (self.start[lo], self.end[hi - 1])
 
 
-def normalised(text: str) -> Tape | None:
-    """The tape of a text after all transducers; None where none applies."""
+def normalised(text: str) -> Iterator[Tape]:
+    """The tape after each transducer that changes the text: a later step may
+    hide what an earlier one shows (a number word before a disguised card)."""
     tape = Tape(text)
     if not text.isascii() and _GLYPH.search(text):
         tape.rewrite([(*m.span(), HOMOGLYPHS.get(m.group(), "")) for m in _GLYPH.finditer(text)])
-    number = list(_NUMBER.finditer(tape.text))
-    if number:
-        tape.rewrite([(*m.span(), DIGIT_WORDS[re.match("[a-z]+", m.group().lower()).group()]) for m in number
-                      if _in_number(tape.text, m)])
+        yield tape
+    if edits := [(*m.span(), DIGIT_WORDS[re.match(r"\w+", m.group().lower()).group()]) for m in _NUMBER.finditer(tape.text)
+                 if _in_number(tape.text, m)]:
+        tape.rewrite(edits)
+        yield tape
     if re.search(r"[\[({<]", tape.text):
+        before = tape.text
         tape.rewrite([(*m.span(), "@") for m in _AT.finditer(tape.text)])
         tape.rewrite([(*m.span(), ".") for m in _DOT.finditer(tape.text)])
-    if " dot " in tape.text.lower():
+        if tape.text != before:
+            yield tape
+    for spoken, at, dot in _SPOKEN:
+        if not (dot.search(tape.text) and at.search(tape.text)):
+            continue
         edits = []
-        for m in _SPOKEN.finditer(tape.text):
+        for m in spoken.finditer(tape.text):
             edits.append((*m.span(1), "@"))
-            edits += [(x.start() + m.start(2), x.end() + m.start(2), ".") for x in _WORD_DOT.finditer(m.group(2))]
+            edits += [(x.start() + m.start(2), x.end() + m.start(2), ".") for x in dot.finditer(m.group(2))]
             edits.append((*m.span(3), "."))
-        tape.rewrite(edits)
-    return None if tape.start is None else tape
+        if edits:
+            tape.rewrite(edits)
+            yield tape
 
 
 def _in_number(text: str, m: re.Match) -> bool:
     """A spelled digit counts beside another one or a digit, so that a lone
     "one" in prose stays a word."""
     joined = m.group()[-1] in " -"
-    before = re.search(r"(?:[0-9]|\b(?:" + "|".join(DIGIT_WORDS) + r"))[\x20-]$", text[max(0, m.start() - 7):m.start()], re.I)
-    return bool(joined or before or re.match(r"[\x20-]?[0-9]", text[m.end():m.end() + 2]))
+    return bool(joined or _BEFORE.search(text[max(0, m.start() - _REACH):m.start()]) or re.match(r"[\x20-]?[0-9]", text[m.end():m.end() + 2]))
 
 
 def added(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans that only the rewritten text shows, in source characters."""
-    tape = normalised(text)
-    if tape is None:
-        return []
-    taken = sorted((s, e) for _, s, e in base)
+    """Spans that only the rewritten text shows, in source characters: those
+    that no base span and no longer added span of their kind covers."""
+    found = {(kind, *tape.source(lo, hi)) for tape in normalised(text) for kind, lo, hi in identifiers(tape.text)}
     out = []
-    for kind, lo, hi in identifiers(tape.text):
-        s, e = tape.source(lo, hi)
-        if not any(a < e and s < b for a, b in taken):
+    for kind, s, e in sorted(found.difference(base), key=lambda x: (x[0], x[1] - x[2], x[1])):
+        if not any(k == kind and a <= s and e <= b for k, a, b in base + out):
             out.append((kind, s, e))
-    return out
+    return _ordered(out)
 
 
 def _line(spans) -> str:

@@ -243,6 +243,21 @@ def test_disguises_map_back_to_the_source(text, kind, found):
         assert text[spans[0][1]:spans[0][2]] == found
 
 
+@pytest.mark.parametrize("text,whole,redacted", [
+    ("to jоhn@site.org now", "jоhn@site.org", "to <EMAIL> now"), ("to jo\u200bhn@site.org now", "jo\u200bhn@site.org", "to <EMAIL> now"),
+    ("to a@mail.site.оrg now", "a@mail.site.оrg", "to <EMAIL> now"), ("call +44 20 7946 095 eight now", "+44 20 7946 095 eight", "call <PHONE> now"),
+    ("tel plus trois trois un deux trois quatre cinq six sept huit.", "plus trois trois un deux trois quatre cinq six sept huit", "tel <PHONE>."),
+    ("Tel plus vier neun acht null sieben sechs fünf vier drei.", "plus vier neun acht null sieben sechs fünf vier drei", "Tel <PHONE>."),
+    ("tel más tres cuatro uno dos tres cuatro cinco seis siete.", "más tres cuatro uno dos tres cuatro cinco seis siete", "tel <PHONE>."),
+    ("to jo at site dot it.", "jo at site dot it", "to <EMAIL>."), ("to jo arobase site point ch now", "jo arobase site point ch", "to <EMAIL> now"),
+    ("un 4111–1111–1111–1111", "4111–1111–1111–1111", "un <CARD>"), ("look at a dot in the sky", None, "look at a dot in the sky")])
+def test_partly_disguised_identifiers_are_whole(text, whole, redacted):
+    base = pii.identifiers(text)
+    spans = pii.added(text, base)
+    assert [text[s:e] for _, s, e in spans] == ([whole] if whole else [])
+    assert not set(base) & set(spans) and pii.redact_text(text) == redacted
+
+
 def test_pii_rows_and_redaction(spark):
     docs = table(spark, [None, "", "a@b.cd x", "y" * 300_000])
     assert {r.doc_id: r.n_email for r in pii.find_pii(docs).collect()} == {0: 0, 1: 0, 2: 1, 3: 0}
