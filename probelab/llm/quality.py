@@ -8,31 +8,36 @@ marks and one end mark (bytes that UTF-8 never uses).
 1. Batches: documents are packed, compressed, into rows of about
    ``batch_bytes`` of text. Each row also lists its distinct n-grams.
 2. Counting: the n-grams of trusted documents are counted per batch and
-   summed by key. Lower orders use continuation counts, every order its own
-   three discounts.
+   summed by key and fold. Trusted texts fall into ``HELD`` folds by a hash of
+   the text, so copies share a fold. Model 0 takes all folds, model f all but
+   fold f. Lower orders use continuation counts, every order its own three
+   discounts.
 3. Sharded count joins: the distinct n-grams of every batch go, packed, to
    the shard of their key and meet the model's entries there; the answers
    come back per batch. What is sent grows with the corpus, never a model
    with the whole corpus in one place.
 4. Scoring: a batch turns its answers into one log-probability per distinct
    n-gram by the interpolation p_k = alpha_k + gamma_k p_(k-1) and sums them
-   over its documents.
-5. Thresholds: per language, the quantiles of the log-perplexity of trusted
-   documents that the model has not seen (one in ``HELD``, by a hash of
-   doc_id), read off an exact count in steps of 1/``STEPS``. A short text says
-   little about itself: before the comparison each log-perplexity is joined
-   by ``PRIOR`` tokens of its language's mean.
+   over its documents. Trusted documents are scored by model 0 and by the
+   model that has not seen their fold, in one job.
+5. Thresholds: per language, the quantiles of the log-perplexity of all
+   trusted documents, each by the model that has not seen it, read off an
+   exact count in steps of 1/``STEPS``. A short text says little about itself:
+   before the comparison each log-perplexity is joined by ``PRIOR`` tokens of
+   its language's mean.
 
 Defined results: a null text has a null perplexity and is rejected; an empty
 text is the end mark alone and scored like any other. Null languages are one
-language. A language without held-out trusted documents takes the bounds of
-all of them; without any, nothing is rejected but null texts. Rows that repeat are scored alike.
+language. A language without trusted documents takes the bounds of all of
+them; without any, nothing is rejected but null texts. A fold that holds all
+trusted text has an empty model. Rows that repeat are scored alike.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,14 +113,17 @@ def _unpack_keys(raw: bytes) -> np.ndarray:
 
 
 def _batches_of(order: int, batch_bytes: int):
-    """Rows (batch, docs, top, learnt, counts): compressed documents, their
-    distinct n-grams, and those of the documents that teach, with counts."""
+    """Rows (batch, fold, docs, top, learnt, counts): compressed documents of
+    one fold (0: not trusted), their distinct n-grams, and those of the
+    documents that teach, with counts."""
     def run(batches):
         from pyspark import TaskContext
-        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, number, held, size = TaskContext.get().partitionId(), 0, {}, {}
 
-        def packed():
-            table = pa.Table.from_batches(held)
+        def packed(fold):
+            nonlocal number
+            table = pa.Table.from_batches(held.pop(fold))
+            size.pop(fold)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as w:
                 w.write_table(table)
@@ -134,27 +142,39 @@ def _batches_of(order: int, batch_bytes: int):
                         counts = np.bincount(inv, np.concatenate([counts, n]), len(u)).astype(np.int64)
                         keys = u
             top = np.unique(np.concatenate(every))
-            return {"batch": part << 32 | number, "docs": zstandard.compress(sink.getvalue().to_pybytes(), 9),
+            number += 1
+            return {"batch": part << 32 | number - 1, "fold": fold, "docs": zstandard.compress(sink.getvalue().to_pybytes(), 9),
                     "top": _pack_keys(top), "learnt": _pack_keys(keys), "counts": zstandard.compress(counts.tobytes(), 3)}
         for b in batches:
-            for lo, some in _chunks(b.column("text").to_pylist(), batch_bytes):
-                held.append(b.slice(lo, len(some)))
-                size += sum(len(t or "") + 8 for t in some)
-                if size >= batch_bytes:
-                    yield pa.RecordBatch.from_pylist([packed()], schema=_BATCH)
-                    held, size, number = [], 0, number + 1
-        if held:
-            yield pa.RecordBatch.from_pylist([packed()], schema=_BATCH)
+            folds = b.column("fold").to_numpy()
+            for fold in np.unique(folds).tolist():
+                own = b.filter(pa.array(folds == fold))
+                for lo, some in _chunks(own.column("text").to_pylist(), batch_bytes):
+                    held.setdefault(fold, []).append(own.slice(lo, len(some)))
+                    size[fold] = size.get(fold, 0) + sum(len(t or "") + 8 for t in some)
+                    if size[fold] >= batch_bytes:
+                        yield pa.RecordBatch.from_pylist([packed(fold)], schema=_BATCH)
+        for fold in sorted(held):
+            yield pa.RecordBatch.from_pylist([packed(fold)], schema=_BATCH)
     return run
 
 
-_BATCH = pa.schema([("batch", pa.int64()), ("docs", pa.binary()), ("top", pa.binary()), ("learnt", pa.binary()), ("counts", pa.binary())])
+_BATCH = pa.schema([("batch", pa.int64()), ("fold", pa.int64()), ("docs", pa.binary()), ("top", pa.binary()), ("learnt", pa.binary()), ("counts", pa.binary())])
 
 
 def _learnt(batches):
     for b in batches:
-        for keys, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(_unpack_keys(keys)), pa.array(np.frombuffer(zstandard.decompress(counts), np.int64))], ["key", "n"])
+        for fold, keys, counts in zip(*(c.to_pylist() for c in b.columns)):
+            own = _unpack_keys(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), fold)), pa.array(own), pa.array(np.frombuffer(zstandard.decompress(counts), np.int64))],
+                                             ["fold", "key", "n"])
+
+
+def leave_one_out(counts: DataFrame, folds: int) -> DataFrame:
+    """``counts(fold, key, n)``, folds from 1, to (key, n0, n1, ...): model 0
+    counts all folds, model f all but fold f."""
+    by = counts.groupBy("key").agg(F.sum("n").alias("n0"), *(F.sum(F.when(F.col("fold") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(1, folds + 1)))
+    return by.select("key", "n0", *((F.col("n0") - F.col(f"n{f}")).alias(f"n{f}") for f in range(1, folds + 1)))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -169,27 +189,31 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 
 def kneser_ney(counts: DataFrame, order: int) -> DataFrame:
-    """``counts(key, n)`` of the highest order to the model's entries
-    (key, alpha, gamma), key tagged with its order: alpha is the discounted
-    share of an n-gram after its history, gamma the weight that its history
-    leaves to the next lower order."""
-    level, entries = counts, None
+    """``counts(key, n0, n1, ...)`` of the highest order, one count a model, to
+    the models' entries (key, history, share), key tagged with its order and
+    share one value a model: the discounted share of an n-gram after its
+    history, or (``history``) the weight that a history leaves to the next
+    lower order. What a model lacks has the values of an unknown key, 0 and 1."""
+    level, entries, models = counts, None, range(len(counts.columns) - 1)
     for k in range(order, 0, -1):
         if k < order:       # distinct one-token extensions to the left
-            level = level.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("key")).agg(F.count("*").alias("n"))
+            level = level.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("key")).agg(*(F.count_if(F.col(f"n{m}") > 0).alias(f"n{m}") for m in models))
         level = written(level)
-        n1, n2, n3, n4 = (x or 0 for x in level.agg(*(F.count_if(F.col("n") == c) for c in (1, 2, 3, 4))).first())
-        d1, d2, d3 = discounts(n1, n2, n3, n4)
-        discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+        found = level.agg(*(F.count_if(F.col(f"n{m}") == c) for m in models for c in (1, 2, 3, 4))).first()
+        discount = []
+        for m in models:
+            n, (d1, d2, d3) = F.col(f"n{m}"), discounts(*(x or 0 for x in found[4 * m:4 * m + 4]))
+            discount.append(F.when(n == 0, 0.0).when(n == 1, d1).when(n == 2, d2).otherwise(d3))
         history = F.shiftright("key", 8)
-        totals = level.groupBy(history.alias("history")).agg(F.sum("n").alias("total"), F.sum(discount).alias("left"))
+        totals = level.groupBy(history.alias("history")).agg(*(F.sum(f"n{m}").alias(f"total{m}") for m in models), *(F.sum(discount[m]).alias(f"left{m}") for m in models))
+        share = lambda over, m, none: F.when(F.col(f"total{m}") > 0, over / F.col(f"total{m}")).otherwise(none).cast("float")
         alpha = level.withColumn("history", history).join(totals, "history").select(
-            F.col("key").bitwiseOR(F.lit(k << 56)).alias("key"), ((F.col("n") - discount) / F.col("total")).alias("alpha"), F.lit(None).cast("double").alias("gamma"))
-        gamma = totals.select(F.col("history").bitwiseOR(F.lit((k - 1) << 56)).alias("key"), F.lit(None).cast("double").alias("alpha"),
-                              (F.col("left") / F.col("total")).alias("gamma"))
+            F.col("key").bitwiseOR(F.lit(k << 56)).alias("key"), F.lit(False).alias("history"), F.array(*(share(F.col(f"n{m}") - discount[m], m, 0.0) for m in models)).alias("share"))
+        gamma = totals.select(F.col("history").bitwiseOR(F.lit((k - 1) << 56)).alias("key"), F.lit(True).alias("history"),
+                              F.array(*(share(F.col(f"left{m}"), m, 1.0) for m in models)).alias("share"))
         both = alpha.union(gamma)
         entries = both if entries is None else entries.union(both)
-    return entries.groupBy("key").agg(F.coalesce(F.max("alpha"), F.lit(0.0)).alias("alpha"), F.coalesce(F.max("gamma"), F.lit(1.0)).alias("gamma"))
+    return entries
 
 
 def _asked(top: np.ndarray, order: int) -> np.ndarray:
@@ -200,46 +224,63 @@ def _asked(top: np.ndarray, order: int) -> np.ndarray:
     return np.concatenate([_tag(x, k) for k, x in enumerate(own)])
 
 
+def _models(fold: int, seen: bool) -> list[int]:
+    """The models that score a fold: its own, and with ``seen`` that of all."""
+    return sorted({fold, 0}) if seen else [fold]
+
+
 def _questions(order: int, shards: int):
     def run(batches):
         for b in batches:
-            for batch, top in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for batch, fold, top in zip(*(c.to_pylist() for c in b.columns)):
                 keys = _asked(_unpack_keys(top), order)
                 shard = keys % shards
                 by = np.argsort(shard, kind="stable")       # keys stay ascending within a shard
                 names, at = np.unique(shard[by], return_index=True)
-                rows = [(s, batch, _pack_keys(k)) for s, k in zip(names.tolist(), np.split(keys[by], at[1:]))]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["shard", "batch", "keys"])
+                rows = [(s, batch, fold, _pack_keys(k)) for s, k in zip(names.tolist(), np.split(keys[by], at[1:]))]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                                                 ["shard", "batch", "fold", "keys"])
     return run
 
 
-def _answers(key, asked, model):
-    """One shard: each batch's keys with alpha and gamma (0 and 1 if unknown)."""
-    known = model.column("key").to_numpy()
-    order = np.argsort(known)
-    known, alpha, gamma = known[order], model.column("alpha").to_numpy()[order], model.column("gamma").to_numpy()[order]
-    out = []
-    for batch, raw in zip(asked.column("batch").to_pylist(), asked.column("keys").to_pylist()):
-        keys = _unpack_keys(raw)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            hit = known[at] == keys
-            a, g = np.where(hit, alpha[at], 0.0), np.where(hit, gamma[at], 1.0)
-        else:
-            a, g = np.zeros(len(keys)), np.ones(len(keys))
-        out.append((batch, key[0].as_py(), raw, zstandard.compress(np.concatenate([a, g]).astype(np.float32).view(np.uint8).reshape(-1, 4).T.tobytes(), 3)))
-    return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
-                                names=["batch", "shard", "keys", "values"])
-
-
-def _lookup(order: int, answers: list) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of the highest order, log-probabilities) from a batch's answers."""
-    keys = np.concatenate([_unpack_keys(a["keys"]) for a in answers])
-    values = [np.ascontiguousarray(np.frombuffer(zstandard.decompress(a["values"]), np.uint8).reshape(4, -1).T).view(np.float32)[:, 0] for a in answers]
-    alpha = np.concatenate([v[:len(v) // 2] for v in values]).astype(float)
-    gamma = np.concatenate([v[len(v) // 2:] for v in values]).astype(float)
+def _answers(seen: bool):
+    """One shard: each batch's keys with alpha and gamma (0 and 1 if unknown)
+    of each model that scores the batch."""
+    def run(key, asked, entries):
+        sides = []
+        for history, unknown in ((False, 0.0), (True, 1.0)):
+            own = entries.filter(pc.equal(entries.column("history"), history))
+            known = own.column("key").to_numpy()
+            by = np.argsort(known)
+            share = pc.list_flatten(own.column("share")).to_numpy().reshape(len(known), -1 if len(known) else 1)
+            sides.append((known[by], share[by], unknown))
+        out = []
+        for batch, fold, raw in zip(*(asked.column(c).to_pylist() for c in ("batch", "fold", "keys"))):
+            keys, values = _unpack_keys(raw), []
+            for m in _models(fold, seen):
+                for known, share, unknown in sides:
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                        values.append(np.where(known[at] == keys, share[at, m], np.float32(unknown)))
+                    else:
+                        values.append(np.full(len(keys), unknown, np.float32))
+            out.append((batch, key[0].as_py(), raw, zstandard.compress(np.concatenate(values).view(np.uint8).reshape(-1, 4).T.tobytes(), 3)))
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))],
+                                    names=["batch", "shard", "keys", "values"])
+    return run
+
+
+def _lookup(order: int, models: list[int], answers: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(keys of the highest order, log-probabilities) by model from a batch's answers."""
+    keys = [_unpack_keys(a["keys"]) for a in answers]
+    values = [np.ascontiguousarray(np.frombuffer(zstandard.decompress(a["values"]), np.uint8).reshape(4, -1).T).view(np.float32).reshape(2 * len(models), len(k))
+              for a, k in zip(answers, keys)]
+    keys, values = np.concatenate(keys), np.concatenate(values, axis=1)
     by = np.argsort(keys)
-    keys, alpha, gamma = keys[by], alpha[by], gamma[by]
+    return {m: _interpolated(order, keys[by], values[2 * i][by].astype(float), values[2 * i + 1][by].astype(float)) for i, m in enumerate(models)}
+
+
+def _interpolated(order: int, keys: np.ndarray, alpha: np.ndarray, gamma: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cut = np.searchsorted(keys, [k << 56 for k in range(order + 2)])
     body = (1 << 56) - 1
     below_keys, below = np.zeros(1, np.int64), np.full(1, 1 / VOCABULARY)      # order 0
@@ -255,49 +296,52 @@ def _lookup(order: int, answers: list) -> tuple[np.ndarray, np.ndarray]:
     return below_keys, np.log(below)
 
 
-def _scored(order: int):
+def _scored(order: int, seen: bool):
     def run(batches):
         for b in batches:
-            for docs, answers in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for fold, docs, answers in zip(*(c.to_pylist() for c in b.columns)):
                 table = pa.ipc.open_stream(zstandard.decompress(docs)).read_all()
                 texts = table.column("text").to_pylist()
-                known, logp = _lookup(order, answers)
-                total, tokens = np.zeros(len(texts)), np.zeros(len(texts))
+                models = _lookup(order, _models(fold, seen), answers)
+                total, tokens = {m: np.zeros(len(texts)) for m in models}, np.zeros(len(texts))
                 for lo, some in _chunks(texts):
                     keys, doc = ngrams(some, order)
-                    p = logp[np.searchsorted(known, keys)]
-                    total[lo:lo + len(some)] = np.bincount(doc, p, len(some))
+                    for m, (known, logp) in models.items():
+                        total[m][lo:lo + len(some)] = np.bincount(doc, logp[np.searchsorted(known, keys)], len(some))
                     tokens[lo:lo + len(some)] = np.bincount(doc, minlength=len(some))
-                entropy = pa.array([None if t is None else float(x) for t, x in zip(texts, -total / tokens)], pa.float64())
-                kept = [table.column(c) for c in table.column_names if c != "text"]
-                yield from pa.Table.from_arrays([*kept, entropy, pa.array(tokens.astype(np.int64))],
-                                                names=[*(c for c in table.column_names if c != "text"), "entropy", "tokens"]).to_batches()
+                entropy, unseen = (pa.array([None if t is None or m not in total else float(x) for t, x in zip(texts, -total.get(m, tokens) / tokens)], pa.float64())
+                                   for m in (0, fold or -1))
+                yield from pa.Table.from_arrays([table.column("doc_id"), table.column("lang"), pa.array([fold > 0] * len(texts)), entropy, unseen, pa.array(tokens.astype(np.int64))],
+                                                names=["doc_id", "lang", "teaches", "entropy", "unseen", "tokens"]).to_batches()
     return run
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, batch_bytes: int = BATCH_BYTES, shards: int | None = None) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, batch_bytes: int = BATCH_BYTES, shards: int | None = None,
+                 seen: bool = True) -> DataFrame:
     """``docs(doc_id, text, lang)`` scored by a model of the documents whose
-    id is in ``trusted(doc_id)``: doc_id, lang, held and teaches (its part in
-    the trusted text, if any), entropy (log-perplexity a token, in nats) and
-    tokens. One row per input row; written."""
+    id is in ``trusted(doc_id)``: doc_id, lang, teaches (whether it is one of
+    them), entropy (log-perplexity a token, in nats), unseen (of those that
+    teach, the same by the model without their fold) and tokens. Without
+    ``seen``, entropy is null for those that teach. One row per input row;
+    written."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     flags = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
-    held = F.pmod(F.xxhash64(F.lit(HELD), "doc_id"), F.lit(HELD)) == 0
-    known = F.coalesce("trusted", F.lit(False))
-    rows = join_keys(rows, flags, "doc_id", "left").select("doc_id", "text", "lang", (known & held).alias("held"), (known & ~held).alias("teaches"))
-    packed = bucketed(rows.mapInArrow(_batches_of(order, batch_bytes), "batch long, docs binary, top binary, learnt binary, counts binary"), "batch")
-    counts = packed.select("learnt", "counts").mapInArrow(_learnt, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    fold = F.when(F.col("trusted"), F.pmod(F.xxhash64(F.lit(HELD), "text"), F.lit(HELD)) + 1).otherwise(0)
+    rows = join_keys(rows, flags, "doc_id", "left").select("doc_id", "text", "lang", fold.cast("long").alias("fold"), F.col("trusted").isNotNull().alias("teaches"))
+    packed = bucketed(rows.mapInArrow(_batches_of(order, batch_bytes), "batch long, fold long, docs binary, top binary, learnt binary, counts binary"), "batch")
+    learnt = packed.where("fold > 0").select("fold", "learnt", "counts").mapInArrow(_learnt, "fold long, key long, n long")
+    counts = leave_one_out(learnt, HELD)
     model = written(kneser_ney(counts, order))
     if shards is None:
-        # a shard holds about a million model entries and the questions of about 16 batches
+        # a shard holds about a million entries, one value a model, and the questions of about 16 batches
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), model.count() >> 20, packed.count() // 16) | 1
-    asked = packed.select("batch", "top").mapInArrow(_questions(order, shards), "shard long, batch long, keys binary")
+    asked = packed.select("batch", "fold", "top").mapInArrow(_questions(order, shards), "shard long, batch long, fold long, keys binary")
     sharded = model.withColumn("shard", F.pmod("key", F.lit(shards)))
-    answers = asked.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(_answers, "batch long, shard long, keys binary, values binary")
+    answers = asked.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(_answers(seen), "batch long, shard long, keys binary, values binary")
     per_batch = answers.groupBy("batch").agg(F.collect_list(F.struct("keys", "values")).alias("answers"))
-    return written(packed.select("batch", "docs").join(per_batch, "batch").select("docs", "answers")
-                   .mapInArrow(_scored(order), "doc_id long, lang string, held boolean, teaches boolean, entropy double, tokens long"))
+    return written(packed.select("batch", "fold", "docs").join(per_batch, "batch").select("fold", "docs", "answers")
+                   .mapInArrow(_scored(order, seen), "doc_id long, lang string, teaches boolean, entropy double, unseen double, tokens long"))
 
 
 def _language(lang: str = "lang"):
@@ -314,19 +358,19 @@ def _by_language(scores: DataFrame, table: DataFrame, columns: list[str]) -> Dat
 
 
 def means(scores: DataFrame) -> DataFrame:
-    """Mean log-perplexity of held-out trusted documents by language key, and
-    of all of them in the row with a null key (sums of whole steps: exact)."""
-    step = F.floor(F.col("entropy") * STEPS)
-    by = scores.where("held and entropy is not null").groupBy("key").agg(F.sum(step).alias("s"), F.count("*").alias("n"))
+    """Mean log-perplexity of unseen trusted documents by language key, and of
+    all of them in the row with a null key (sums of whole steps: exact)."""
+    step = F.floor(F.col("unseen") * STEPS)
+    by = scores.where("unseen is not null").groupBy("key").agg(F.sum(step).alias("s"), F.count("*").alias("n"))
     both = by.union(by.agg(F.lit(None).cast("string"), F.sum("s"), F.sum("n")))
     return both.select("key", (F.col("s") / F.col("n") / STEPS).alias("mean"))
 
 
 def thresholds(scores: DataFrame, low: float, high: float) -> DataFrame:
-    """The ``low`` and ``high`` quantiles of the held-out trusted documents'
+    """The ``low`` and ``high`` quantiles of the unseen trusted documents'
     ``level`` by language key, and of all of them in the row with a null key:
     the steps of 1/STEPS at which the cumulative count passes the share."""
-    steps = scores.where("held and level is not null").groupBy("key", F.floor(F.col("level") * STEPS).alias("step")).agg(F.count("*").alias("n"))
+    steps = scores.where("teaches and level is not null").groupBy("key", F.floor(F.col("level") * STEPS).alias("step")).agg(F.count("*").alias("n"))
     both = steps.union(steps.groupBy("step").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("key"), "step", "n"))
     by = Window.partitionBy("key")
     run = both.withColumn("upto", F.sum("n").over(by.orderBy("step"))).withColumn("total", F.sum("n").over(by))
@@ -335,12 +379,13 @@ def thresholds(scores: DataFrame, low: float, high: float) -> DataFrame:
         F.min(F.when(F.col("upto") >= F.col("total") * high, (F.col("step") + 1) / STEPS)).alias("hi"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, low: float | None = None, high: float = 0.998, **how) -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, low: float | None = None, high: float = 0.99, **how) -> DataFrame:
     """One row per document: doc_id, lang, tokens, perplexity (a token), level
     (log-perplexity with the language's prior), lower and upper (the bounds of
-    its language's levels) and kept. Without ``low`` there is no lower bound,
-    so copies of trusted text are not rejected."""
-    scores = perplexities(docs, trusted, **how).withColumn("key", _language())
+    its language's levels) and kept. A trusted document goes by the model that
+    has not seen it. Without ``low`` there is no lower bound, so copies of
+    trusted text are not rejected."""
+    scores = perplexities(docs, trusted, seen=False, **how).withColumn("entropy", F.coalesce("unseen", "entropy")).withColumn("key", _language())
     scores = _by_language(scores, means(scores), ["mean"])
     level = (F.col("entropy") * F.col("tokens") + F.lit(PRIOR) * F.coalesce("mean", "entropy")) / (F.col("tokens") + PRIOR)
     scores = scores.withColumn("level", level)

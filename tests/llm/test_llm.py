@@ -340,3 +340,21 @@ def test_vectors_match_brute_force(spark):
     for i in range(240):
         assert got[i] == (link[i].sum(), component[i], component[i] == i)
     assert all(got[i] == (0, i, True) for i in range(240, 246))
+
+
+def test_every_trusted_text_is_scored_unseen(spark):
+    rng, words = np.random.default_rng(12), vocabulary(12, 60)
+    texts = [" ".join(rng.choice(words, 12)) for _ in range(20)]
+    docs = table(spark, [*texts, texts[0], "zzz qqq", None])
+    trusted = docs.where("doc_id < 21 or doc_id = 22").select("doc_id")
+    rows = docs.selectExpr("doc_id", f"pmod(xxhash64({quality.HELD}, text), {quality.HELD}) as fold").collect()
+    fold = {r.doc_id: r.fold for r in rows}
+    scores = {r.doc_id: r for r in quality.perplexities(docs, trusted, order=3, batch_bytes=200, shards=3).collect()}
+    every = [*texts, texts[0]]
+    assert [scores[i].entropy for i in range(22)] == pytest.approx(brute_entropy([*every, "zzz qqq"], every, 3), rel=1e-5)
+    for i in range(21):     # by the model of all other folds; a copy shares its text's fold
+        want = brute_entropy([every[i]], [t for j, t in enumerate(every) if fold[j] != fold[i]], 3)[0]
+        assert scores[i].teaches and scores[i].unseen == pytest.approx(want, rel=1e-5)
+    assert scores[21].unseen is None and scores[22].unseen is None and scores[22].entropy is None
+    rows = {r.doc_id: r for r in quality.classify(docs, trusted, high=1.0, order=3).collect()}
+    assert all(rows[i].kept for i in range(21)) and max(rows[i].level for i in range(21)) >= rows[0].upper - 1 / quality.STEPS
