@@ -12,29 +12,45 @@ outside its language's bounds.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from probelab.llm import hyperminhash, mixing, packing, pii, quality
 from probelab.llm.shared import join_keys, written
 from probelab.session import ship_package
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` written with a key of its own for each row, so that rows with
+    a null or shared doc_id are decided one by one."""
+    return written(docs.withColumn("row_key", F.monotonically_increasing_id()))
+
+
+def _by_key(keyed: DataFrame) -> DataFrame:
+    return keyed.withColumn("doc_id", F.col("row_key"))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
-    rejected = quality.classify(docs, trusted).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return join_keys(docs.where("text is not null"), written(rejected), "doc_id", "left_anti").select(docs.columns)
+    keyed = _keyed(docs)
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    trusted = join_keys(keyed, good, "doc_id", "left_semi").select(F.col("row_key").alias("doc_id"))
+    rejected = quality.classify(_by_key(keyed), trusted).where("not kept").select(F.col("doc_id").alias("row_key"))
+    return join_keys(keyed.where("text is not null"), written(rejected), "row_key", "left_anti").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the row with the smallest doc_id stays
+    (nulls last, then by text)."""
     ship_package(spark)
-    found = hyperminhash.near_duplicates(docs)
-    dropped = written(found.where("not kept").select("doc_id").distinct())
-    kept = join_keys(docs, dropped, "doc_id", "left_anti").select(docs.columns)
-    repeated = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return kept
-    once = join_keys(kept, repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return join_keys(kept, repeated, "doc_id", "left_anti").select(docs.columns).union(once)
+    keyed = _keyed(docs)
+    found = written(hyperminhash.near_duplicates(_by_key(keyed)).select(F.col("doc_id").alias("row_key"), "component_id", "kept"))
+    groups = written(found.where("not kept").select("component_id").distinct())
+    rows = join_keys(found, groups, "component_id", "left_semi").join(
+        keyed.select("row_key", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"), "row_key").alias("rank")), "row_key")
+    rows = written(rows.select("row_key", "component_id", "rank"))
+    first = rows.groupBy("component_id").agg(F.min("rank").alias("first"))
+    dropped = written(rows.join(first, "component_id").where("row_key <> first.row_key").select("row_key"))
+    return join_keys(keyed, dropped, "row_key", "left_anti").select(docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -358,3 +358,20 @@ def test_every_trusted_text_is_scored_unseen(spark):
     assert scores[21].unseen is None and scores[22].unseen is None and scores[22].entropy is None
     rows = {r.doc_id: r for r in quality.classify(docs, trusted, high=1.0, order=3).collect()}
     assert all(rows[i].kept for i in range(21)) and max(rows[i].level for i in range(21)) >= rows[0].upper - 1 / quality.STEPS
+
+
+def test_pipeline_decides_each_row_by_its_own_text(spark, tmp_path):
+    import corpus_pipeline
+    rng, words = np.random.default_rng(13), vocabulary(13, 300)
+    draw = lambda n: " ".join(rng.choice(words, n))
+    texts = [draw(60) for _ in range(30)]
+    copy, junk = draw(60), "7#% " * 60
+    rows = [(i, t) for i, t in enumerate(texts)] + [(40, copy), (None, copy), (None, copy), (None, draw(60)), (41, draw(60)), (41, draw(60)), (41, junk), (None, junk)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'a' as source")
+    spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality long").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([*rows[:31], *rows[33:37]], key=str)       # the second junk row is a copy of the first
+    good = corpus_pipeline.quality_classifier(spark, docs, str(tmp_path))
+    found = [(r.doc_id, r.text) for r in good.collect()]
+    assert junk not in [t for _, t in found] and sum(i == 41 for i, _ in found) >= 1
