@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,3 +134,21 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
 
 def texts(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def scaled_vectors(column: pa.Array, scale: int, offset: int = 0):
+    """(row numbers, floor(scale * x) + offset as int64) for every length of
+    the vectors of a list column. Null vectors and those that hold null or
+    non-finite entries are left out; what no long holds takes the nearest one."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    start = np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0)
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)     # a null entry becomes NaN
+    for n in np.unique(size[size >= 0]).tolist():
+        rows = np.flatnonzero(size == n)
+        with np.errstate(over="ignore", invalid="ignore"):
+            x = flat[start[rows][:, None] + np.arange(n)]
+            good = np.isfinite(x).all(axis=1)
+            whole = np.clip(np.floor(x[good] * scale) + offset, -2.0 ** 63, 2.0 ** 63 - 1024)
+        yield rows[good], whole.astype(np.int64)
