@@ -13,7 +13,7 @@ upper bound is the sum of its processed segments' impacts and, for each other
 dimension, the largest impact left there. The vectors with the highest bounds
 are scored exactly and give, with the best of the shards before, a score that
 k rows reach. Only vectors whose bound reaches it are possible members. While
-these are many, the impact is halved and more segments are processed; once
+these are many, the impact is lowered and more segments are processed; once
 they are few, or no segment is left, that is the proof and the search stops.
 Possible members are rescored exactly, so quantising costs nothing but work.
 
@@ -87,11 +87,9 @@ class Shard:
         return own.open()
 
     def open(self) -> Shard:
-        """Ready to search: each posting's impact for a weight of 1 and of -1."""
-        self.order = self.order.astype(np.int64)
-        span = (self.high.astype(float) - self.low)[:, None]
-        self.rise = np.minimum((self.level + 1.0) * self.width[:, None] - 1, span)
-        self.fall = span - self.level * self.width[:, None]
+        """Ready to search: the postings of all dimensions end to end, and the
+        lengths of their segments."""
+        self.vectors, self.length = self.order.astype(np.int64).ravel(), np.diff(self.start, axis=1)
         return self
 
 
@@ -114,11 +112,18 @@ def bounds(shard: Shard, q: np.ndarray, least: float) -> tuple[np.ndarray, bool]
                     np.where(last < len(shard.ids), a * (span - (hi + 1) * shard.width), 0.0))
     left = np.where(some, np.maximum(left, 0.0), 0.0)
     base = float(np.where(up, q * shard.low.astype(float), np.where(some, q * shard.high.astype(float), 0.0)).sum())
-    upper = np.full(len(shard.ids), base + left.sum())
-    for j in np.flatnonzero(last > first):
-        own = slice(first[j], last[j])
-        upper[shard.order[j, own]] += a[j] * (shard.rise if up[j] else shard.fall)[j, own] - left[j]
-    return upper, bool(((last - first == len(shard.ids)) | ~some).all())
+    # what a vector of a processed segment has over the largest impact left in its dimension
+    segment = np.arange(levels)
+    rise = np.minimum((segment + 1.0) * shard.width[:, None] - 1, span[:, None])
+    fall = span[:, None] - segment * shard.width[:, None]
+    over = a[:, None] * np.where(up[:, None], rise, fall) - left[:, None]
+    processed = some[:, None] & np.where(up[:, None], segment >= lo[:, None], segment <= hi[:, None])
+    n = len(shard.ids)
+    own = [shard.vectors[j * n + first[j]:j * n + last[j]] for j in np.flatnonzero(last > first)]
+    upper = np.full(n, base + left.sum())
+    if own:
+        upper += np.bincount(np.concatenate(own), np.repeat(over.ravel(), (shard.length * processed).ravel()), n)
+    return upper, bool(((last - first == n) | ~some).all())
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple:
@@ -135,7 +140,7 @@ class Search:
 
     def add(self, shard: Shard, few: int | None = None) -> None:
         k, q = self.k, self.q
-        few = max(4 * k, len(shard.ids) // 16) if few is None else few
+        few = max(4 * k, len(shard.ids) // 8) if few is None else few
         span = shard.high.astype(float) - shard.low
         slack = np.ldexp(float((np.abs(q.astype(float)) * (np.abs(shard.low.astype(float)) + np.abs(shard.high.astype(float)) + span)).sum()), -40)
         if self.least is None:
@@ -150,7 +155,7 @@ class Search:
             possible = np.flatnonzero((upper >= least - slack) & other)
             if whole or len(possible) <= few:
                 break
-            self.least = self.least / 2 if self.least >= 1 else 0.0
+            self.least = self.least * 0.75 if self.least >= 1 else 0.0
         own = shard.w[possible], shard.ids[possible], shard.rows[possible]
         self.best = _best(*(np.concatenate(p) for p in zip(self.best, (inner(own[0], q), own[1], own[2]))), k)
 
