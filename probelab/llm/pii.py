@@ -3,8 +3,8 @@
 Base identifiers are found in the text as it stands. A chain of transducers
 then rewrites the text - homoglyphs and full-width forms to ASCII, invisible
 characters to nothing, spelled digits to digits, written-out at and dot to
-``@`` and ``.`` - and every step keeps, for each output character, the source
-range it stands for. Identifiers found after any step are mapped back through
+``@`` and ``.`` - and every step keeps, for each stretch of its output, the
+source range it stands for. Identifiers found after any step are mapped back through
 these ranges to source characters. Base spans stay as they are; a mapped span
 is added unless a base span of its kind covers it, so an address of which only
 a part is plain is found whole, beside its plain part. Redaction covers the
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -127,31 +128,45 @@ _SPOKEN = [(re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(\x20{at}
            for at, dot in (("arobase", "(?:point|dot)"), ("(?:at|ät)", "(?:punkt|dot)"), ("arroba", "(?:punto|dot)"))]
 
 
-
 class Tape:
-    """A rewritten text and, of each of its characters, the source range."""
+    """A rewritten text and the source range that each stretch of it stands
+    for: ``begin`` holds where stretches begin, ``stands`` their source start
+    and, where the stretch replaces its source as a whole, the source end.
+    What is kept grows with the edits, not with the text."""
 
     def __init__(self, text: str):
-        self.text, self.start, self.end = text, None, None
+        self.text, self.begin, self.stands = text, [0], [(0, None)]
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace ranges [lo, hi) of the present text, ascending and disjoint."""
         if not edits:
             return
-        if self.start is None:
-            self.start, self.end = list(range(len(self.text))), list(range(1, len(self.text) + 1))
-        text, start, end, at = [], [], [], 0
-        for lo, hi, new in edits:
-            text += [self.text[at:lo], new]
-            start += self.start[at:lo] + [self.start[lo]] * len(new)
-            end += self.end[at:lo] + [self.end[hi - 1]] * len(new)
+        text, begin, stands, at, length, i = [], [], [], 0, 0, 0
+        limits = [*self.begin[1:], len(self.text)]
+        for lo, hi, new in [*edits, (len(self.text), len(self.text), "")]:
+            while at < lo:
+                while limits[i] <= at:
+                    i += 1
+                stop, (start, end) = min(lo, limits[i]), self.stands[i]
+                begin.append(length)
+                stands.append((start + at - self.begin[i], None) if end is None else (start, end))
+                length += stop - at
+                text.append(self.text[at:stop])
+                at = stop
+            if new:
+                begin.append(length)
+                stands.append(self.source(lo, hi))
+                length += len(new)
+                text.append(new)
             at = hi
-        self.text = "".join(text) + self.text[at:]
-        self.start = start + self.start[at:]
-        self.end = end + self.end[at:]
+        self.text, self.begin, self.stands = "".join(text), begin or [0], stands or [(0, None)]
 
     def source(self, lo: int, hi: int) -> tuple[int, int]:
-        return (lo, hi) if self.start is None else (self.start[lo], self.end[hi - 1])
+        i, j = bisect_right(self.begin, lo) - 1, bisect_right(self.begin, hi - 1) - 1
+        start, whole = self.stands[i]
+        last, end = self.stands[j]
+        return (start + lo - self.begin[i] if whole is None else start,
+                last + hi - self.begin[j] if end is None else end)
 
 
 def normalised(text: str) -> Iterator[Tape]:
@@ -194,11 +209,17 @@ def _in_number(text: str, m: re.Match) -> bool:
 def added(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that only the rewritten text shows, in source characters: those
     that no base span and no longer added span of their kind covers."""
-    found = {(kind, *tape.source(lo, hi)) for tape in normalised(text) for kind, lo, hi in identifiers(tape.text)}
-    out = []
-    for kind, s, e in sorted(found.difference(base), key=lambda x: (x[0], x[1] - x[2], x[1])):
-        if not any(k == kind and a <= s and e <= b for k, a, b in base + out):
-            out.append((kind, s, e))
+    found = {(kind, *tape.source(lo, hi)) for tape in normalised(text) for kind, lo, hi in identifiers(tape.text)}.difference(base)
+    if not found:
+        return []
+    out, kind, reached = [], None, -1
+    # by kind and start, longer spans first: a span is covered exactly if one before it reaches its end
+    for span in sorted([*found, *base], key=lambda x: (x[0], x[1], -x[2])):
+        if span[0] != kind:
+            kind, reached = span[0], -1
+        if span[2] > reached and span in found:
+            out.append(span)
+        reached = max(reached, span[2])
     return _ordered(out)
 
 
