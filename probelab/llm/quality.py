@@ -6,7 +6,8 @@ documents holds few distinct n-grams. A document is padded with N - 1 start
 marks and one end mark (bytes that UTF-8 never uses).
 
 1. Batches: documents are packed, compressed, into rows of about
-   ``batch_bytes`` of text. Each row also lists its distinct n-grams.
+   ``batch_bytes`` of text of one fold; trusted ones are dealt by fold first,
+   so that a batch is full. Each row also lists its distinct n-grams.
 2. Counting: the n-grams of trusted documents are counted per batch and
    summed by key and fold. Trusted texts fall into ``HELD`` folds by a hash of
    the text, so copies share a fold. Model 0 takes all folds, model f all but
@@ -112,27 +113,70 @@ def _unpack_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64)[:, 0])
 
 
-def _batches_of(order: int, batch_bytes: int):
+def _sealed(tables: list) -> bytes:
+    """Rows of documents, compressed."""
+    table = pa.Table.from_batches(tables)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return zstandard.compress(sink.getvalue().to_pybytes(), 9)
+
+
+def _opened(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.decompress(raw)).read_all()
+
+
+def _gathered(parts, size: int):
+    """(fold, record batches) of about ``size`` characters from (fold, record
+    batch) in any order; what is left of each fold at the end."""
+    held, sizes = {}, {}
+    for fold, b in parts:
+        for lo, some in _chunks(b.column("text").to_pylist(), size):
+            held.setdefault(fold, []).append(b.slice(lo, len(some)))
+            sizes[fold] = sizes.get(fold, 0) + sum(len(t or "") + 8 for t in some)
+            if sizes[fold] >= size:
+                sizes.pop(fold)
+                yield fold, held.pop(fold)
+    for fold in sorted(held):
+        yield fold, held[fold]
+
+
+def _by_fold(batches):
+    for b in batches:
+        folds = b.column("fold").to_numpy()
+        for fold in np.unique(folds).tolist():
+            yield fold, b.filter(pa.array(folds == fold))
+
+
+def _bundles(batches):
+    """Rows (bundle, fold, docs): each task's documents of a fold, compressed,
+    on their way to a batch of their fold."""
+    from pyspark import TaskContext
+    part = TaskContext.get().partitionId()
+    for n, (fold, tables) in enumerate(_gathered(_by_fold(batches), CHUNK)):
+        yield pa.RecordBatch.from_arrays([pa.array([part << 32 | n]), pa.array([fold]), pa.array([_sealed(tables)], pa.binary())], ["bundle", "fold", "docs"])
+
+
+def _unbundled(batches):
+    for b in batches:
+        for fold, raw in zip(b.column("fold").to_pylist(), b.column("docs").to_pylist()):
+            for part in _opened(raw).to_batches():
+                yield fold, part
+
+
+def _batches_of(order: int, batch_bytes: int, bundled: bool):
     """Rows (batch, fold, docs, top, learnt, counts): compressed documents of
     one fold (0: not trusted), their distinct n-grams, and those of the
     documents that teach, with counts."""
     def run(batches):
         from pyspark import TaskContext
-        part, number, held, size = TaskContext.get().partitionId(), 0, {}, {}
-
-        def packed(fold):
-            nonlocal number
-            table = pa.Table.from_batches(held.pop(fold))
-            size.pop(fold)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as w:
-                w.write_table(table)
-            texts, teaching = table.column("text").to_pylist(), table.column("teaches").to_pylist()
+        part = TaskContext.get().partitionId()
+        for number, (fold, tables) in enumerate(_gathered(_unbundled(batches) if bundled else _by_fold(batches), batch_bytes)):
+            texts = [t for b in tables for t in b.column("text").to_pylist()]
             every, keys, counts = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for lo, some in _chunks(texts):
-                good = [t for t, y in zip(some, teaching[lo:lo + len(some)]) if y and t is not None]
-                rest = [t for t, y in zip(some, teaching[lo:lo + len(some)]) if not (y and t is not None)]
-                for group, teaches in ((good, True), (rest, False)):
+            for _, some in _chunks(texts):
+                # a null text is scored like an empty one but teaches nothing
+                for group, teaches in (([t for t in some if t is not None], fold > 0), ([t for t in some if t is None], False)):
                     k = np.sort(ngrams(group, order)[0])
                     first = np.flatnonzero(np.diff(k, prepend=-1))
                     every.append(k[first])
@@ -142,20 +186,9 @@ def _batches_of(order: int, batch_bytes: int):
                         counts = np.bincount(inv, np.concatenate([counts, n]), len(u)).astype(np.int64)
                         keys = u
             top = np.unique(np.concatenate(every))
-            number += 1
-            return {"batch": part << 32 | number - 1, "fold": fold, "docs": zstandard.compress(sink.getvalue().to_pybytes(), 9),
-                    "top": _pack_keys(top), "learnt": _pack_keys(keys), "counts": zstandard.compress(counts.tobytes(), 3)}
-        for b in batches:
-            folds = b.column("fold").to_numpy()
-            for fold in np.unique(folds).tolist():
-                own = b.filter(pa.array(folds == fold))
-                for lo, some in _chunks(own.column("text").to_pylist(), batch_bytes):
-                    held.setdefault(fold, []).append(own.slice(lo, len(some)))
-                    size[fold] = size.get(fold, 0) + sum(len(t or "") + 8 for t in some)
-                    if size[fold] >= batch_bytes:
-                        yield pa.RecordBatch.from_pylist([packed(fold)], schema=_BATCH)
-        for fold in sorted(held):
-            yield pa.RecordBatch.from_pylist([packed(fold)], schema=_BATCH)
+            yield pa.RecordBatch.from_pylist([{
+                "batch": part << 32 | number << 1 | bundled, "fold": fold, "docs": _sealed(tables), "top": _pack_keys(top),
+                "learnt": _pack_keys(keys), "counts": zstandard.compress(counts.tobytes(), 3)}], schema=_BATCH)
     return run
 
 
@@ -300,7 +333,7 @@ def _scored(order: int, seen: bool):
     def run(batches):
         for b in batches:
             for fold, docs, answers in zip(*(c.to_pylist() for c in b.columns)):
-                table = pa.ipc.open_stream(zstandard.decompress(docs)).read_all()
+                table = _opened(docs)
                 texts = table.column("text").to_pylist()
                 models = _lookup(order, _models(fold, seen), answers)
                 total, tokens = {m: np.zeros(len(texts)) for m in models}, np.zeros(len(texts))
@@ -329,7 +362,14 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, batch_
     flags = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
     fold = F.when(F.col("trusted"), F.pmod(F.xxhash64(F.lit(HELD), "text"), F.lit(HELD)) + 1).otherwise(0)
     rows = join_keys(rows, flags, "doc_id", "left").select("doc_id", "text", "lang", fold.cast("long").alias("fold"), F.col("trusted").isNotNull().alias("teaches"))
-    packed = bucketed(rows.mapInArrow(_batches_of(order, batch_bytes), "batch long, fold long, docs binary, top binary, learnt binary, counts binary"), "batch")
+    # trusted texts meet those of their fold, compressed, so that batches are full whatever a task holds of a fold
+    good = rows.where("fold > 0")
+    salts = max(1, -(-(good.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (HELD * batch_bytes)))
+    bundles = (good.mapInArrow(_bundles, "bundle long, fold long, docs binary")
+               .repartition(HELD * salts, "fold", F.pmod(F.xxhash64("bundle"), F.lit(salts))).select("fold", "docs"))
+    fields = "batch long, fold long, docs binary, top binary, learnt binary, counts binary"
+    packed = bucketed(bundles.mapInArrow(_batches_of(order, batch_bytes, True), fields)
+                      .union(rows.where("fold = 0").mapInArrow(_batches_of(order, batch_bytes, False), fields)), "batch")
     learnt = packed.where("fold > 0").select("fold", "learnt", "counts").mapInArrow(_learnt, "fold long, key long, n long")
     counts = leave_one_out(learnt, HELD)
     model = written(kneser_ney(counts, order))
