@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, threshold: int = 80, roun
     component = written(components(links)).withColumnRenamed("node", "id")
     left = None
     for zones, sets in stars:
-        some = _beside(zones, sets, component, threshold)
+        some = written(_beside(zones, sets, component, threshold))      # one plan a star
         left = some if left is None else left.union(some)
     if "zone" in active.columns:
         # what no star has settled: members far from every head of their bucket

@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from probelab.llm.shared import bucketed, join_keys, written
+from probelab.llm.shared import bucketed, discard, join_keys, noted, written
 
 ORDER, BATCH_BYTES, CHUNK = 5, 16 << 20, 4 << 20
 START, END = 0xFF, 0xFE
@@ -362,26 +362,31 @@ def perplexities(docs: DataFrame, trusted: DataFrame, order: int = ORDER, batch_
     flags = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
     fold = F.when(F.col("trusted"), F.pmod(F.xxhash64(F.lit(HELD), "text"), F.lit(HELD)) + 1).otherwise(0)
     rows = join_keys(rows, flags, "doc_id", "left").select("doc_id", "text", "lang", fold.cast("long").alias("fold"), F.col("trusted").isNotNull().alias("teaches"))
-    # trusted texts meet those of their fold, compressed, so that batches are full whatever a task holds of a fold
-    good = rows.where("fold > 0")
-    salts = max(1, -(-(good.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (HELD * batch_bytes)))
-    bundles = (good.mapInArrow(_bundles, "bundle long, fold long, docs binary")
-               .repartition(HELD * salts, "fold", F.pmod(F.xxhash64("bundle"), F.lit(salts))).select("fold", "docs"))
-    fields = "batch long, fold long, docs binary, top binary, learnt binary, counts binary"
-    packed = bucketed(bundles.mapInArrow(_batches_of(order, batch_bytes, True), fields)
-                      .union(rows.where("fold = 0").mapInArrow(_batches_of(order, batch_bytes, False), fields)), "batch")
-    learnt = packed.where("fold > 0").select("fold", "learnt", "counts").mapInArrow(_learnt, "fold long, key long, n long")
-    counts = leave_one_out(learnt, HELD)
-    model = written(kneser_ney(counts, order))
-    if shards is None:
-        # a shard holds about a million entries, one value a model, and the questions of about 16 batches
-        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), model.count() >> 20, packed.count() // 16) | 1
-    asked = packed.select("batch", "fold", "top").mapInArrow(_questions(order, shards), "shard long, batch long, fold long, keys binary")
-    sharded = model.withColumn("shard", F.pmod("key", F.lit(shards)))
-    answers = asked.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(_answers(seen), "batch long, shard long, keys binary, values binary")
-    per_batch = answers.groupBy("batch").agg(F.collect_list(F.struct("keys", "values")).alias("answers"))
-    return written(packed.select("batch", "fold", "docs").join(per_batch, "batch").select("fold", "docs", "answers")
-                   .mapInArrow(_scored(order, seen), "doc_id long, lang string, teaches boolean, entropy double, unseen double, tokens long"))
+    with noted() as made:
+        # trusted texts meet those of their fold, compressed, so that batches are full whatever a task holds of a fold
+        good = rows.where("fold > 0")
+        salts = max(1, -(-(good.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (HELD * batch_bytes)))
+        bundles = (good.mapInArrow(_bundles, "bundle long, fold long, docs binary")
+                   .repartition(HELD * salts, "fold", F.pmod(F.xxhash64("bundle"), F.lit(salts))).select("fold", "docs"))
+        fields = "batch long, fold long, docs binary, top binary, learnt binary, counts binary"
+        packed = bucketed(bundles.mapInArrow(_batches_of(order, batch_bytes, True), fields)
+                          .union(rows.where("fold = 0").mapInArrow(_batches_of(order, batch_bytes, False), fields)), "batch")
+        learnt = packed.where("fold > 0").select("fold", "learnt", "counts").mapInArrow(_learnt, "fold long, key long, n long")
+        with noted() as levels:
+            entries = kneser_ney(leave_one_out(learnt, HELD), order)
+        model = written(entries)
+        discard(spark, levels)
+        if shards is None:
+            # a shard holds about a million entries, one value a model, and the questions of about 16 batches
+            shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), model.count() >> 20, packed.count() // 16) | 1
+        asked = packed.select("batch", "fold", "top").mapInArrow(_questions(order, shards), "shard long, batch long, fold long, keys binary")
+        sharded = model.withColumn("shard", F.pmod("key", F.lit(shards)))
+        answers = asked.groupBy("shard").cogroup(sharded.groupBy("shard")).applyInArrow(_answers(seen), "batch long, shard long, keys binary, values binary")
+        per_batch = answers.groupBy("batch").agg(F.collect_list(F.struct("keys", "values")).alias("answers"))
+    scored = written(packed.select("batch", "fold", "docs").join(per_batch, "batch").select("fold", "docs", "answers")
+                     .mapInArrow(_scored(order, seen), "doc_id long, lang string, teaches boolean, entropy double, unseen double, tokens long"))
+    discard(spark, made)
+    return scored
 
 
 def _language(lang: str = "lang"):

@@ -4,6 +4,8 @@ size-checked joins, connected components and word hashing."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,38 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+#: Where the tables that are being written are noted: (folder, table name or null).
+_NOTED: list[list[tuple[str, str | None]]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[tuple[str, str | None]]]:
+    """The tables that ``written`` and ``bucketed`` make meanwhile, for ``discard``."""
+    made: list[tuple[str, str | None]] = []
+    _NOTED.append(made)
+    try:
+        yield made
+    finally:
+        _NOTED.remove(made)
+
+
+def discard(spark: SparkSession, made: list[tuple[str, str | None]]) -> None:
+    """Delete tables that nothing reads any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while made:
+        folder, name = made.pop()
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(hadoop).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table written in the shared folder and read again: the
     lineage ends here and the files outlive any executor."""
     path = shared_dir(df.sparkSession)
+    for made in _NOTED:
+        made.append((path, None))
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -39,7 +69,10 @@ def bucketed(df: DataFrame, on: str) -> DataFrame:
     other side."""
     spark = df.sparkSession
     name, n = f"llm_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").option("compression", "zstd").option("path", shared_dir(spark)).bucketBy(n, on).saveAsTable(name)
+    path = shared_dir(spark)
+    for made in _NOTED:
+        made.append((path, name))
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, on).saveAsTable(name)
     return spark.table(name)
 
 
