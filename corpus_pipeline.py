@@ -11,13 +11,35 @@ outside its language's bounds.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probelab.llm import hyperminhash, mixing, packing, pii, quality
-from probelab.llm.shared import join_keys, written
+from probelab.llm.shared import discard, join_keys, noted, written
 from probelab.session import ship_package
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Tables that the stage before has left behind.
+_LEFT: list[tuple[str, str | None]] = []
+
+
+def _stage(work: Stage) -> Stage:
+    """A stage reads what the one before wrote as its result, so the tables
+    that one worked with are deleted first."""
+    @wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        discard(spark, _LEFT)
+        with noted() as made:
+            out = work(spark, docs, sf_dir)
+        _LEFT.extend(made)
+        return out
+    return run
+
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` written with a key of its own for each row, so that rows with
@@ -29,8 +51,8 @@ def _by_key(keyed: DataFrame) -> DataFrame:
     return keyed.withColumn("doc_id", F.col("row_key"))
 
 
+@_stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     keyed = _keyed(docs)
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     trusted = join_keys(keyed, good, "doc_id", "left_semi").select(F.col("row_key").alias("doc_id"))
@@ -38,10 +60,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return join_keys(keyed.where("text is not null"), written(rejected), "row_key", "left_anti").select(docs.columns)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest doc_id stays
     (nulls last, then by text)."""
-    ship_package(spark)
     keyed = _keyed(docs)
     found = written(hyperminhash.near_duplicates(_by_key(keyed)).select(F.col("doc_id").alias("row_key"), "component_id", "kept"))
     groups = written(found.where("not kept").select("component_id").distinct())
@@ -53,18 +75,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return join_keys(keyed, dropped, "row_key", "left_anti").select(docs.columns)
 
 
+@_stage
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     return pii.redacted(docs)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     return mixing.mix(docs).select("doc.*")
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
     return packing.best_fit(docs)
 
 
