@@ -36,9 +36,11 @@ def first_words(col, n: int = MAX_WORDS) -> Column:
     return F.regexp_extract(_c(col), f"^[^ ]*+(?: [^ ]*+){{0,{n - 1}}}+", 0)
 
 
-def clean_text(col, max_words: int = MAX_WORDS) -> Column:
-    """F1 -> F2 -> F3, the reference's truncation of one text."""
-    return first_words(collapse_whitespace(strip_breaks(col)), max_words)
+def clean_text(col, max_words: int | None = MAX_WORDS) -> Column:
+    """F1 -> F2 -> F3, the reference's truncation of one text; without
+    ``max_words`` the text stays whole."""
+    whole = collapse_whitespace(strip_breaks(col))
+    return whole if max_words is None else first_words(whole, max_words)
 
 
 def has_content(col) -> Column:

@@ -14,17 +14,32 @@ from pyspark.sql import functions as F
 LONG = ["dataset", "row_id", "qid", "value"]
 
 
+def element_ids(qids: Sequence[str], width: int) -> list[str]:
+    """Feature ids of ``width`` elements: the given ids, then ``element_<n>``
+    (counted from 1) for those beyond them."""
+    return [*qids[:width], *(f"element_{i + 1}" for i in range(len(qids), width))]
+
+
+def width_of(emb: DataFrame) -> int:
+    """The number of elements of the longest vector."""
+    return emb.agg(F.max(F.size("embedding"))).first()[0] or 0
+
+
 def embeddings_long(emb: DataFrame, qids: Sequence[str], dataset: str = "embeddings") -> DataFrame:
     """R2 on an array column: element i of ``embedding`` is the feature of
-    ``qids[i]`` (the first ``len(qids)`` elements are used)."""
+    ``qids[i]``, an element beyond them that of its ``element_<n>``."""
     names = F.array(*[F.lit(q) for q in qids])
-    return (emb.select(F.col("vec_id").alias("row_id"),
-                       F.posexplode(F.slice("embedding", 1, len(qids))).alias("pos", "v"))
+    return (emb.select(F.col("vec_id").alias("row_id"), F.posexplode("embedding").alias("pos", "v"))
                .select(F.lit(dataset).alias("dataset"), "row_id",
-                       F.element_at(names, F.col("pos") + 1).alias("qid"),
+                       F.coalesce(F.try_element_at(names, F.col("pos") + 1), F.concat(F.lit("element_"), F.col("pos") + 1)).alias("qid"),
                        F.col("v").cast("double").alias("value")))
 
 
+def embeddings_array(emb: DataFrame, dataset: str = "embeddings") -> DataFrame:
+    """The vectors as they are: ``(dataset, row_id, x ARRAY<DOUBLE>)``."""
+    return emb.select(F.lit(dataset).alias("dataset"), F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("x"))
+
+
 def embeddings_labels(emb: DataFrame, dataset: str = "embeddings") -> DataFrame:
     return emb.select(F.lit(dataset).alias("dataset"), F.col("vec_id").alias("row_id"),
                       F.col("label").cast("int").alias("label"))

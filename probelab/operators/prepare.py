@@ -73,7 +73,7 @@ def label_name(label: Column, names: Sequence[str] | None = None,
     return F.coalesce(*parts)
 
 
-def clean(df: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+def clean(df: DataFrame, max_words: int | None = MAX_WORDS) -> DataFrame:
     """P3 -> P4 -> F1/F2/F3: drop null text, drop text that cleaning would
     empty, clean and truncate. P4 is tested on the raw text (same rows as
     ``length(cleaned) > 0``): a filter on the cleaned column would be pushed

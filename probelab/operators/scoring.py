@@ -8,7 +8,7 @@ batches as zero-copy slices -> scorer -> feature.
 
 from __future__ import annotations
 
-import hashlib
+import json
 import time
 from collections.abc import Callable, Sequence
 
@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probelab.functions.logits import (NO_WORDS, YES_WORDS, hash_logit, logit_diff,
+from probelab.functions.lexical import LexicalScorer, characters, log_counts, logit_arrays, question_weights
+from probelab.functions.logits import (NO_WORDS, YES_WORDS, logit_diff, lse_array,
                                        np_lse, prob_diff_from_lse, variant_rows)
 from probelab.functions.prompts import length_proxy, rating_prompt, yes_no_prompt
 from probelab.functions.text import space_count
@@ -74,14 +75,64 @@ def rating_prompts(cat: DataFrame) -> DataFrame:
 
 # ---- logits tables (long form) -------------------------------------------------
 
-def hash_logits(prompts_df: DataFrame, answers: dict[str, Sequence[str]] | None = None) -> DataFrame:
-    """Stand-in logits in long form ``(dataset,row_id,qid,answer,token,logit)``."""
-    answers = answers or {"yes": YES_WORDS, "no": NO_WORDS}
-    v = F.array(*[F.struct(F.lit(a).alias("answer"), F.lit(t).alias("token"))
-                  for a, t, _ in variant_rows(answers)])
-    return (prompts_df.select(*KEY, F.explode(v).alias("v"))
-                      .select(*KEY, "v.answer", "v.token",
-                              hash_logit(F.col("row_id"), F.col("qid"), F.col("v.token")).alias("logit")))
+ANSWERS = {"yes": YES_WORDS, "no": NO_WORDS}
+
+
+def answer_logits(texts: DataFrame, cat: DataFrame, answers: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """J1 + F9 in array form: for every text and question the logits of each
+    answer's variants, ``(dataset, row_id, qid, <answer> ARRAY<DOUBLE>, ...)``.
+    Characters are counted once per text; the questions are a generator over
+    the size-checked catalogue: no join, no shuffle of prompts."""
+    answers = answers or ANSWERS
+    variants = variant_rows(answers)
+    chars = characters([t for _, t, _ in variants])
+    qs = local_list(cat)
+    design = [{"qid": q["qid"], "w": question_weights(q["question"], chars)} for q in qs]
+    arr = F.from_json(F.lit(json.dumps(design)), "array<struct<qid: string, w: array<int>>>")       # one literal, folded while planning
+    rows = spread_before_expansion(texts.select("dataset", "row_id", log_counts("text", chars).alias("logs")), len(qs)) \
+        .select("dataset", "row_id", "logs", F.explode(arr).alias("q"))
+    own = logit_arrays(variants, list(answers), chars, "q.w", "logs")
+    return rows.select("dataset", "row_id", F.col("q.qid").alias("qid"), *(F.expr(c).alias(a) for a, c in zip(answers, own)))
+
+
+def long_logits(logits: DataFrame, answers: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """The logits table in long form ``(dataset,row_id,qid,answer,token,logit)``."""
+    answers = answers or ANSWERS
+    variants = variant_rows(answers)
+    each = [F.struct(F.lit(a).alias("answer"), F.lit(t).alias("token"), F.element_at(a, [x for x in variants if x[0] == a].index((a, t, n)) + 1).alias("logit"))
+            for a, t, n in variants]
+    return logits.select(*KEY, F.explode(F.array(*each)).alias("v")).select(*KEY, "v.answer", "v.token", "v.logit")
+
+
+def feature_from_arrays(logits: DataFrame, mode: str = "logit", yes: str = "yes", no: str = "no") -> DataFrame:
+    """F10/F11 (or F12 with ``mode='prob'``) on the array form: no shuffle."""
+    y, n = F.col(yes), F.col(no)
+    value = prob_diff_from_lse(lse_array(y), lse_array(n)) if mode == "prob" else logit_diff(y, n)
+    return logits.select(*KEY, value.alias("value"))
+
+
+def probe_arrays(texts: DataFrame, cat: DataFrame) -> DataFrame:
+    """Every text's probe features in catalogue order, one row per text:
+    ``(dataset, row_id, x ARRAY<DOUBLE>)``, without expanding the text."""
+    variants = variant_rows(ANSWERS)
+    chars = characters([t for _, t, _ in variants])
+    weights = F.from_json(F.lit(json.dumps([question_weights(q["question"], chars) for q in local_list(cat)])), "array<array<int>>")
+
+    yes, no = logit_arrays(variants, list(ANSWERS), chars, "w", "logs")
+    # counted once per text: a generator keeps the counts from being inlined for every question
+    rows = texts.select("dataset", "row_id", F.explode_outer(F.array(log_counts("text", chars))).alias("logs"), weights.alias("weights"))
+    logits = F.expr(f"transform(weights, w -> named_struct('yes', {yes}, 'no', {no}))")
+    return rows.select("dataset", "row_id", F.transform(logits, lambda a: logit_diff(a["yes"], a["no"])).alias("x"))
+
+
+def rating_features(cat: DataFrame) -> DataFrame:
+    """The rating prompt of each predicate through the same rule; there
+    is no question apart from it."""
+    variants = variant_rows(ANSWERS)
+    chars = characters([t for _, t, _ in variants])
+    own = logit_arrays(variants, list(ANSWERS), chars, "w", "logs")
+    rows = rating_prompts(cat).select("qid", log_counts("prompt", chars).alias("logs"), F.expr(f"array_repeat(1, {len(chars)})").alias("w"))
+    return rows.select("qid", logit_diff(*map(F.expr, own)).alias("value"))
 
 
 def feature_from_logits(logits: DataFrame, mode: str = "logit",
@@ -92,7 +143,6 @@ def feature_from_logits(logits: DataFrame, mode: str = "logit",
         F.collect_list(F.when(F.col("answer") == yes, F.col("logit"))).alias("ys"),
         F.collect_list(F.when(F.col("answer") == no, F.col("logit"))).alias("ns"))
     if mode == "prob":
-        from probelab.functions.logits import lse_array
         value = prob_diff_from_lse(lse_array(F.col("ys")), lse_array(F.col("ns")))
     else:
         value = logit_diff(F.col("ys"), F.col("ns"))
@@ -114,23 +164,6 @@ def top_tokens(logits: DataFrame, k: int = 5) -> DataFrame:
 
 # ---- scorer path (mapInArrow) -----------------------------------------------
 
-class HashScorer:
-    """Stand-in scorer with the scorer contract: ``(batch, tokens) -> logits``
-    where ``batch`` is a ``pyarrow.RecordBatch`` of prompts (one budget batch:
-    ``dataset, row_id, qid, prompt, prompt_len``) and the result is an array
-    ``num_rows x len(tokens)``. A model scorer reads ``prompt``; this one
-    reads only the key columns, so prompt strings never become Python
-    objects."""
-
-    def __call__(self, batch, tokens: Sequence[str]) -> np.ndarray:
-        keys = [f"{r}:{q}:" for r, q in zip(batch.column("row_id").to_pylist(),
-                                            batch.column("qid").to_pylist())]
-        md5 = hashlib.md5
-        u = np.array([[int(md5((k + t).encode()).hexdigest()[:8], 16) for t in tokens] for k in keys],
-                     dtype=np.float64).reshape(len(keys), len(tokens))
-        return u / 4294967296.0 * 20.0 - 10.0
-
-
 def budget_batches(lengths: Sequence[int], budget: int = TOKEN_BUDGET) -> list[int]:
     """Batch number of each row of a length-sorted run: a batch grows
     while rows x longest <= budget; a single row above the budget is its own
@@ -219,7 +252,7 @@ def score(prompts_df: DataFrame, scorer: Callable | None = None,
     no padding and cost a shuffle of every prompt text; M12 forms budget
     batches in that order (an open batch carries over Arrow batches); the
     scorer sees one batch at a time."""
-    scorer = scorer or HashScorer()
+    scorer = scorer or LexicalScorer()
     from probelab.session import ship_package
     ship_package(prompts_df.sparkSession)
     yes_tokens = yes_tokens or [t for a, t, _ in variant_rows({"yes": YES_WORDS})]

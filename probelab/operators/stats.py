@@ -29,9 +29,17 @@ def average_rank(keys: Sequence[str], value: str, digits: int = TIE_DIGITS) -> C
     return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
 
 
+def correlation(x: str, y: str) -> Column:
+    """Correlation of the pairs without a null; null where a side is constant."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x).cast("double")), F.when(both, F.col(y).cast("double"))
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.covar_pop(a, b) / F.when(spread > 0, spread)
+
+
 def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str, with_p: bool = True) -> DataFrame:
     """R and n per key; two-sided p from the t distribution."""
-    out = df.groupBy(*keys).agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+    out = df.groupBy(*keys).agg(correlation(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
     if with_p:
         ship_package(df.sparkSession)
     return out.withColumn("p", corr_p_udf("r", "n")) if with_p else out
@@ -40,7 +48,7 @@ def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str, with_p: bool = T
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, with_p: bool = True) -> DataFrame:
     """Pearson correlation of average ranks."""
     ranked = df.withColumn("_rx", average_rank(keys, x)).withColumn("_ry", average_rank(keys, y))
-    out = ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    out = ranked.groupBy(*keys).agg(correlation("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
     if with_p:
         ship_package(df.sparkSession)
     return out.withColumn("p", corr_p_udf("rho", "n")) if with_p else out
@@ -50,7 +58,8 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, group: str,
                  first, with_p: bool = True) -> DataFrame:
     """Two-sided Mann-Whitney U between ``group == first`` and the rest;
     normal approximation with tie correction and continuity correction.
-    ``u_first`` is U of the first sample; the test uses max(U1, U2)."""
+    ``u_first`` is U of the first sample; the test uses max(U1, U2). Where all
+    values are equal or a sample is empty, z is null and p is 1."""
     ranked = df.withColumn("_r", average_rank(keys, value))
     ties = (df.groupBy(*keys, F.round(F.col(value), TIE_DIGITS).alias("_v")).agg(F.count(F.lit(1)).alias("_t"))
               .groupBy(*keys).agg(F.sum(F.col("_t") ** 3 - F.col("_t")).alias("_tie")))
@@ -62,12 +71,13 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, group: str,
     n = F.col("n1") + F.col("n2")
     u1 = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0
     u2 = F.col("n1") * F.col("n2") - u1
-    sigma = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("_tie") / (n * (n - 1))))
-    z = (F.greatest(u1, u2) - F.col("n1") * F.col("n2") / 2.0 - 0.5) / sigma
+    spread = (n + 1) - F.col("_tie") / F.when(n > 1, n * (n - 1))
+    sigma = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * spread)
+    z = F.when(sigma > 0, (F.greatest(u1, u2) - F.col("n1") * F.col("n2") / 2.0 - 0.5) / F.when(sigma > 0, sigma))
     out = s.select(*keys, u1.alias("u_first"), u2.alias("u_second"), z.alias("z"))
     if with_p:
         ship_package(df.sparkSession)
-    return out.withColumn("p", normal_p_udf("z")) if with_p else out
+    return out.withColumn("p", F.when(F.col("z").isNull(), 1.0).otherwise(normal_p_udf("z"))) if with_p else out
 
 
 def linear_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, grid: int = 50,

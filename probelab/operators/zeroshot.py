@@ -3,9 +3,9 @@
 Config table ``(dataset, instr, opt_idx, label_text, display)``: the
 instruction and, per class, the display name shown as an option. Options
 are the distinct display names in first-appearance order (P12), lettered
-A, B, ... Each text gets one prompt; the scorer's letter logits give one
-score per option (log-sum-exp over the letter's variants), the arg-max is
-the prediction (first option wins ties, W7).
+A, B, ... Each text gets one prompt; a scorer gives one score per option
+(log-sum-exp over the option's variants), the arg-max is the prediction
+(first option wins ties, W7).
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probelab.functions.logits import hash_logit, lse_array
+from probelab.functions.lexical import option_score
 from probelab.functions.prompts import LETTERS, mc_prompt, options_block
+from probelab.operators.joins import checked_broadcast_join
 
 ZS_SCHEMA = T.StructType([
     T.StructField("dataset", T.StringType(), False), T.StructField("instr", T.StringType(), False),
@@ -56,20 +57,21 @@ def prompts(texts: DataFrame, cfg: DataFrame) -> DataFrame:
                          mc_prompt(F.col("instr"), F.col("text"), F.col("block")).alias("prompt")))
 
 
-def hash_letter_scores(p: DataFrame, tag: str = "mc") -> DataFrame:
-    """Stand-in scorer: per option, log-sum-exp over the letter variants
-    {L, " " + L}: ``(dataset, row_id, label_text, scores ARRAY<DOUBLE>)``."""
-    letters = F.slice(F.array(*[F.lit(x) for x in LETTERS]), 1, F.col("n_options"))
-    scores = F.transform(letters, lambda L: lse_array(F.array(
-        hash_logit(F.col("row_id"), F.lit(tag), L), hash_logit(F.col("row_id"), F.lit(tag), F.concat(F.lit(" "), L)))))
-    return p.select("dataset", "row_id", "label_text", scores.alias("scores"))
+def option_scores(texts: DataFrame, cfg: DataFrame) -> DataFrame:
+    """Per text one score per option of its dataset, in option order, by the
+    character rule: ``(dataset, row_id, label_text, scores ARRAY<DOUBLE>)``.
+    The options are config-sized and joined by dataset."""
+    opts = (options(cfg).groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("option", "display"))).alias("_o"))
+            .select("dataset", F.transform("_o", lambda o: o["display"]).alias("_o")))
+    scores = F.transform("_o", lambda display: option_score("text", display))
+    return checked_broadcast_join(texts, opts, ["dataset"]).select("dataset", "row_id", "label_text", scores.alias("scores"))
 
 
 def predict(scored: DataFrame, cfg: DataFrame) -> DataFrame:
     """Arg-max option, the first of equal scores; joined to the gold option."""
     best = F.array_position(F.col("scores"), F.array_max("scores")) - 1
     return (scored.withColumn("pred", best.cast("int"))
-                  .join(F.broadcast(gold(cfg)), ["dataset", "label_text"])
+                  .transform(lambda d: checked_broadcast_join(d, gold(cfg), ["dataset", "label_text"]))
                   .select("dataset", "row_id", "label_text", "gold", "pred"))
 
 

@@ -3,8 +3,8 @@
 * ``lang``    : documents, label = language (4 classes)
 * ``quality`` : documents joined with labels, label = quality (names low/high)
 * ``role``    : conversation turns, label = speaker role
-* ``embeddings`` : the numeric feature matrix (50 of its 64 elements are
-  the probe features, in catalogue order), label = its 10-class label
+* ``embeddings`` : the numeric feature matrix (its first elements are the
+  probe features, in catalogue order), label = its 10-class label
 """
 
 from __future__ import annotations
@@ -46,3 +46,8 @@ def raw_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prepared_all(spark: SparkSession, sf_dir: str, n_total: int = P.N_TOTAL) -> DataFrame:
     return P.prepare(raw_all(spark, sf_dir), n_total=n_total)
+
+
+def described_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of every dataset, cleaned and whole: what the reports describe."""
+    return P.index_labels(P.clean(raw_all(spark, sf_dir), None))

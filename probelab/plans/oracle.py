@@ -3,8 +3,11 @@ rounded to 6 digits). Shared fragments are Python string templates."""
 
 from __future__ import annotations
 
-# Cleaning of one text: F1 -> F2 -> F3 (RE2 \s is ASCII; the driver tables
-# hold no other whitespace).
+import re
+
+# Cleaning of one text: F1 -> F2 (RE2 \s is ASCII; the driver tables hold no
+# other whitespace); F3 keeps its first 300 words.
+WHOLE = "trim(regexp_replace(regexp_replace({t}, '<br\\s*/?>', ' ', 'g'), '\\s+', ' ', 'g'))"
 CLEAN = ("array_to_string(list_slice(string_split(trim(regexp_replace(regexp_replace("
          "{t}, '<br\\s*/?>', ' ', 'g'), '\\s+', ' ', 'g')), ' '), 1, 300), ' ')")
 
@@ -58,22 +61,26 @@ SQL["shuffle_key"] = f"SELECT dataset, row_id, label, shuffle_key FROM ({PREPARE
 
 SQL["label_names"] = f"SELECT dataset, row_id, label, label_text FROM ({RAW_QUALITY})"
 
+DESCRIBED = f"""
+  SELECT * FROM (SELECT dataset, row_id, {WHOLE.format(t='text')} AS text, label, label_text
+    FROM ({RAW_LANG} UNION ALL {RAW_QUALITY} UNION ALL {RAW_ROLE}) WHERE text IS NOT NULL) WHERE length(text) > 0"""
+
 SQL["class_distribution"] = f"""
-  SELECT dataset, label, label_text, count(*) AS n FROM ({PREPARED})
+  SELECT dataset, label, label_text, count(*) AS n FROM ({DESCRIBED})
   GROUP BY dataset, label, label_text"""
 
 SQL["chance"] = f"""
   SELECT dataset, round(max(n) / sum(n), 6) AS chance
-  FROM (SELECT dataset, label, count(*) AS n FROM ({PREPARED}) GROUP BY 1, 2) GROUP BY dataset"""
+  FROM (SELECT dataset, label, count(*) AS n FROM ({DESCRIBED}) GROUP BY 1, 2) GROUP BY dataset"""
 
 SQL["dataset_meta"] = f"""
-  WITH p AS ({PREPARED}),
+  WITH p AS ({DESCRIBED}),
   c AS (SELECT dataset, label_text, count(*) AS n FROM p GROUP BY 1, 2),
-  cls AS (SELECT dataset, array_to_string(list_sort(list(label_text)), '|') AS classes,
-                 count(*) AS n_classes FROM c GROUP BY dataset),
+  cls AS (SELECT dataset, string_agg(label_text, '|' ORDER BY label_text) AS classes,
+                 string_agg(label_text || '=' || n, '|' ORDER BY label_text) AS dist, count(*) AS n_classes FROM c GROUP BY dataset),
   s AS (SELECT dataset, count(*) AS n, avg(len(string_split(text, ' '))) AS mean_words
         FROM p GROUP BY dataset)
-  SELECT s.dataset, s.n, cls.classes, cls.n_classes, round(s.mean_words, 6) AS mean_words
+  SELECT s.dataset, s.n, cls.classes, cls.n_classes, cls.dist, round(s.mean_words, 6) AS mean_words
   FROM s JOIN cls ON s.dataset = cls.dataset"""
 
 
@@ -102,7 +109,7 @@ ALL_QIDS = [r[1] for r in __import__("probelab.sources.catalog", fromlist=["x"])
 
 TEXTS = f"""
   SELECT dataset, row_id, text FROM (
-    SELECT dataset, row_id, {CLEAN.format(t='text')} AS text FROM ({RAW_LANG}) WHERE text IS NOT NULL)
+    SELECT dataset, row_id, {WHOLE.format(t='text')} AS text FROM ({RAW_LANG}) WHERE text IS NOT NULL)
   WHERE length(text) > 0"""
 
 PROMPTS = f"""
@@ -111,54 +118,62 @@ PROMPTS = f"""
          'Answer with only ''yes'' or ''no''.' AS prompt
   FROM ({TEXTS}) t CROSS JOIN {CAT} c"""
 
-VARIANTS = ("(SELECT * FROM (VALUES ('yes','yes'),('yes',' yes'),('yes','Yes'),('yes',' Yes'),"
-            "('yes','YES'),('yes',' YES'),('no','no'),('no',' no'),('no','No'),('no',' No'),"
-            "('no','NO'),('no',' NO')) AS v(answer, token))")
+# The character rule: the mean over a token's characters of (1 + count in the
+# question) * ln(1 + count in the text).
+TOKENS = {"yes": ["yes", " yes", "Yes", " Yes", "YES", " YES"], "no": ["no", " no", "No", " No", "NO", " NO"]}
+CHARS = sorted(set("".join(t for ts in TOKENS.values() for t in ts)))
 
 
-def hash_logit_sql(*parts: str) -> str:
-    key = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT / 4294967296.0 * 20 - 10)"
+def _counts(text: str) -> str:
+    return ", ".join(f"ln(1 + length({text}) - length(replace({text}, '{c}', ''))) AS l{i}" for i, c in enumerate(CHARS))
 
 
-def hash_unit_sql(*parts: str) -> str:
-    key = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT / 4294967296.0)"
+def _token(token: str, weight) -> str:
+    return "(" + " + ".join(f"{weight(CHARS.index(c))} * l{CHARS.index(c)}" for c in token) + f") / {len(token)}.0"
 
 
-LOGITS = f"""
-  SELECT t.dataset, t.row_id, c.qid, v.answer, v.token,
-         {hash_logit_sql('t.row_id', 'c.qid', 'v.token')} AS logit
-  FROM ({TEXTS}) t CROSS JOIN {CAT} c CROSS JOIN {VARIANTS} v"""
+def _lse(items: str) -> str:
+    return f"(list_max({items}) + ln(list_sum(list_transform({items}, lambda z: exp(z - list_max({items}))))))"
+
+
+def _weights_sql() -> str:
+    from probelab.sources.catalog import default_rows
+    rows = ", ".join(f"({r[0]}, {_lit(r[1])}, " + ", ".join(str(1 + r[4].count(c)) for c in CHARS) + ")" for r in default_rows())
+    return f"(SELECT * FROM (VALUES {rows}) AS w(q_idx, qid, " + ", ".join(f"w{i}" for i in range(len(CHARS))) + "))"
+
+
+LOGS = f"SELECT dataset, row_id, {_counts('text')} FROM ({TEXTS})"
 
-LSE = f"""
-  SELECT dataset, row_id, qid, answer, max(m) + ln(sum(exp(logit - m))) AS lse
-  FROM (SELECT *, max(logit) OVER (PARTITION BY dataset, row_id, qid, answer) AS m FROM ({LOGITS}))
-  GROUP BY dataset, row_id, qid, answer"""
+ARRAYS = f"""
+  SELECT t.dataset, t.row_id, c.q_idx, c.qid, """ + ", ".join(
+    "[" + ", ".join(_token(t, lambda i: f"c.w{i}") for t in ts) + f"] AS {'ys' if a == 'yes' else 'ns'}" for a, ts in TOKENS.items()) + f"""
+  FROM ({LOGS}) t CROSS JOIN {_weights_sql()} c"""
+
+LOGITS = f"""
+  SELECT dataset, row_id, qid, unnest([{", ".join(_lit(t) for ts in TOKENS.values() for t in ts)}]) AS token, unnest(ys || ns) AS logit
+  FROM ({ARRAYS})"""
 
-YN = f"""
-  SELECT dataset, row_id, qid, max(lse) FILTER (WHERE answer = 'yes') AS ly,
-         max(lse) FILTER (WHERE answer = 'no') AS ln
-  FROM ({LSE}) GROUP BY dataset, row_id, qid"""
+YN = f"SELECT dataset, row_id, q_idx, qid, {_lse('ys')} AS ly, {_lse('ns')} AS ln FROM ({ARRAYS})"
 
 SQL["catalog_sets"] = f"""
   WITH e AS (SELECT vec_id, embedding FROM embeddings),
   l AS (SELECT c.set, c.sense, CAST(e.embedding[c.q_idx + 1] AS DOUBLE) AS value
         FROM e CROSS JOIN {CAT} c
-        WHERE c.set IN ('SYN_LOW', 'SYN_HIGH') AND NOT starts_with(c.qid, 'gib_'))
+        WHERE c.q_idx < len(e.embedding) AND c.set IN ('SYN_LOW', 'SYN_HIGH') AND NOT starts_with(c.qid, 'gib_'))
   SELECT set, sense, count(*) AS n_values, round(avg(value), 6) AS mean_value FROM l GROUP BY set, sense"""
 
 SQL["prompts"] = f"""
   SELECT dataset, row_id, qid, prompt, CAST(len(string_split(prompt, ' ')) AS BIGINT) AS prompt_len
   FROM ({PROMPTS})"""
 
-SQL["rating_prompts"] = f"""
+RATING_PROMPTS = f"""
   SELECT c.qid, 'When the adjective "' || c.predicate || '" is used in everyday English, is it often '
          || 'used figuratively or metaphorically to describe something non-physical (for example a '
-         || 'mood, a person, or a situation)?' || chr(10) || 'Answer with only ''yes'' or ''no''.' AS prompt,
-         (SELECT count(*) FROM embeddings) AS n_values
+         || 'mood, a person, or a situation)?' || chr(10) || 'Answer with only ''yes'' or ''no''.' AS prompt
   FROM {CAT} c"""
 
+SQL["rating_prompts"] = f"SELECT *, (SELECT count(*) FROM embeddings) AS n_values FROM ({RATING_PROMPTS})"
+
 SQL["logsumexp_diff"] = f"SELECT dataset, row_id, qid, round(ly - ln, 6) AS value FROM ({YN})"
 
 SQL["prob_diff"] = f"""
@@ -177,13 +192,16 @@ SQL["top_tokens"] = f"""
 
 SQL["features_long"] = SQL["logsumexp_diff"]
 
+# 64 elements: the width of the vectors of the driver's table
+WIDTH = 64
+IDS = ALL_QIDS + [f"element_{i + 1}" for i in range(len(ALL_QIDS), WIDTH)]
 EMB_LONG = f"""
-  SELECT 'embeddings' AS dataset, e.vec_id AS row_id, c.qid, CAST(e.embedding[c.q_idx + 1] AS DOUBLE) AS value
-  FROM embeddings e CROSS JOIN {CAT} c"""
+  SELECT 'embeddings' AS dataset, vec_id AS row_id, [{", ".join(_lit(q) for q in IDS)}][i] AS qid, CAST(embedding[i] AS DOUBLE) AS value
+  FROM embeddings CROSS JOIN (SELECT unnest(range(1, {WIDTH + 1})) AS i)"""
 
 SQL["features_wide"] = ("SELECT 'embeddings' AS dataset, vec_id AS row_id, " +
                         ", ".join(f'round(CAST(embedding[{i + 1}] AS DOUBLE), 6) AS "{q}"'
-                                  for i, q in enumerate(ALL_QIDS)) + " FROM embeddings")
+                                  for i, q in enumerate(IDS)) + " FROM embeddings")
 
 SQL["unpivot"] = f"SELECT dataset, row_id, qid, round(value, 6) AS value FROM ({EMB_LONG})"
 
@@ -242,27 +260,44 @@ SQL["feature_orders"] = f"""
   FROM g"""
 
 
-# ---- stand-in predictions: metrics, curves, statistics -------------------------
+# ---- predictions: metrics, curves, statistics ----------------------------------
+# Out-of-fold nearest centroids on standardised features, in whole millionths.
+
+FOLDED = folds_sql(LABELLED)
+
+FEATURES = f"""
+  SELECT 'embeddings' AS dataset, vec_id AS row_id, i - 1 AS pos, CAST(floor(CAST(embedding[i] AS DOUBLE) * 1000000.0 + 0.5) AS BIGINT) AS v
+  FROM embeddings CROSS JOIN (SELECT unnest(range(1, {WIDTH + 1})) AS i)
+  UNION ALL SELECT dataset, row_id, q_idx, CAST(floor((ly - ln) * 1000000.0 + 0.5) AS BIGINT) FROM ({YN})"""
 
-FOLDED = f"""
-  SELECT f.*, k.n_classes FROM ({folds_sql(LABELLED)}) f
-  JOIN (SELECT dataset, count(DISTINCT label) AS n_classes FROM ({LABELLED}) GROUP BY dataset) k
-  ON f.dataset = k.dataset"""
+APART = f"""
+  WITH f AS MATERIALIZED ({FOLDED}),
+  x AS MATERIALIZED (SELECT f.*, x.pos, x.v FROM f JOIN ({FEATURES}) x ON f.dataset = x.dataset AND f.row_id = x.row_id),
+  per AS (SELECT dataset, fold, label, pos, count(*) AS n, sum(v) AS s, sum(v * v) AS ss FROM x GROUP BY ALL),
+  tr AS (SELECT p.dataset, h.held, p.label, p.pos, sum(n) AS n, sum(s) AS s, sum(ss) AS ss
+         FROM per p JOIN (SELECT unnest(range(0, 5)) AS held) h ON h.held <> p.fold GROUP BY ALL),
+  sc AS (SELECT dataset, held, pos, CAST(sum(n) * sum(ss) - sum(s) * sum(s) AS DOUBLE) AS q, sum(n) AS n FROM tr GROUP BY ALL)
+  SELECT x.dataset, x.row_id, x.fold, x.label, x.pos, tr.label AS cls,
+         pow((x.v - tr.s / tr.n) / CASE WHEN sc.q > 0 THEN sqrt(sc.q) / sc.n ELSE 1.0 END, 2) AS d
+  FROM x JOIN tr ON tr.dataset = x.dataset AND tr.held = x.fold AND tr.pos = x.pos
+  JOIN sc ON sc.dataset = x.dataset AND sc.held = x.fold AND sc.pos = x.pos"""
 
 
-def hash_pred_sql(keys: list[str]) -> str:
-    arr = ", ".join(_lit(k) for k in keys)
+def pred_sql(configs: list[tuple]) -> str:
+    """Predictions of configs (key, columns), which every dataset has, or
+    (key, columns, dataset)."""
+    rows = ", ".join(f"({_lit(d + '|' + c[0])}, {_lit(d)}, {i})" for c in configs for d in ("embeddings", "lang") if len(c) < 3 or c[2] == d for i in c[1])
     return f"""
-  SELECT f.dataset || '|' || q.key AS config_id, f.dataset, q.key, f.row_id, f.fold, f.label,
-         CAST(floor({hash_unit_sql('f.dataset', 'q.key', 'f.row_id')} * f.n_classes) AS INTEGER) AS pred
-  FROM ({FOLDED}) f CROSS JOIN (SELECT unnest([{arr}]) AS key) q"""
+  SELECT config_id, dataset, row_id, fold, label, arg_min(cls, struct_pack(d := d, cls := cls)) AS pred FROM (
+    SELECT c.config_id, a.dataset, a.row_id, a.fold, a.label, a.cls, sum(a.d) AS d
+    FROM ({APART}) a JOIN (VALUES {rows}) AS c(config_id, dataset, pos) ON a.dataset = c.dataset AND a.pos = c.pos GROUP BY ALL) GROUP BY ALL"""
 
 
 def conf_sql(pred: str) -> str:
     return f"SELECT config_id, fold, label, pred, count(*) AS n FROM ({pred}) GROUP BY config_id, fold, label, pred"
 
 
-QCONF = conf_sql(hash_pred_sql(ALL_QIDS))
+QCONF = conf_sql(pred_sql([(q, [i]) if i < len(ALL_QIDS) else (q, [i], "embeddings") for i, q in enumerate(IDS)]))
 
 
 def fold_acc_sql(conf: str) -> str:
@@ -299,15 +334,17 @@ ORDERS = f"""
         CROSS JOIN (SELECT unnest([{", ".join(_lit(q) for q in LOW_QIDS)}]) AS qid) q)
   SELECT dataset, CAST(perm AS INTEGER) AS perm,
          CAST(row_number() OVER (PARTITION BY dataset, perm
-              ORDER BY md5('0:' || dataset || ':' || CAST(perm AS VARCHAR) || ':' || qid), qid) AS INTEGER) AS k
+              ORDER BY md5('0:' || dataset || ':' || CAST(perm AS VARCHAR) || ':' || qid), qid) AS INTEGER) AS k,
+         list_position([{", ".join(_lit(q) for q in ALL_QIDS)}], qid) - 1 AS pos
   FROM g"""
 
 CURVES = f"""
-  WITH o AS ({ORDERS}), f AS ({FOLDED}),
-  p AS (SELECT f.dataset || '|' || CAST(o.perm AS VARCHAR) || '|' || CAST(o.k AS VARCHAR) AS config_id,
-               f.fold, f.label,
-               CAST(floor({hash_unit_sql('f.dataset', 'o.perm', 'o.k', 'f.row_id')} * f.n_classes) AS INTEGER) AS pred
-        FROM f JOIN o ON f.dataset = o.dataset),
+  WITH o AS ({ORDERS}),
+  u AS (SELECT a.dataset, o.perm, o.k, a.row_id, a.fold, a.label, a.cls,
+               sum(a.d) OVER (PARTITION BY a.dataset, o.perm, a.row_id, a.cls ORDER BY o.k) AS d
+        FROM ({APART}) a JOIN o ON a.dataset = o.dataset AND a.pos = o.pos),
+  p AS (SELECT dataset || '|' || perm || '|' || k AS config_id, fold, label, arg_min(cls, struct_pack(d := d, cls := cls)) AS pred
+        FROM u GROUP BY dataset, perm, k, row_id, fold, label),
   a AS ({cv_acc_sql(conf_sql('SELECT * FROM p'))})
   SELECT split_part(config_id, '|', 1) AS dataset, CAST(split_part(config_id, '|', 2) AS INTEGER) AS perm,
          CAST(split_part(config_id, '|', 3) AS INTEGER) AS k, acc FROM a"""
@@ -334,12 +371,9 @@ UNI = f"""
   FROM ({cv_acc_sql(QCONF)}) a JOIN ({CHANCE_F}) c ON split_part(a.config_id, '|', 1) = c.dataset"""
 
 RATING = f"""
-  WITH l AS (SELECT c.qid, v.answer, {hash_logit_sql('-1', 'c.qid', 'v.token')} AS logit
-             FROM {CAT} c CROSS JOIN {VARIANTS} v),
-  m AS (SELECT *, max(logit) OVER (PARTITION BY qid, answer) AS mx FROM l),
-  s AS (SELECT qid, answer, max(mx) + ln(sum(exp(logit - mx))) AS lse FROM m GROUP BY qid, answer)
-  SELECT qid, max(lse) FILTER (WHERE answer = 'yes') - max(lse) FILTER (WHERE answer = 'no') AS llm_metaphoricity
-  FROM s GROUP BY qid"""
+  SELECT qid, {_lse('ys')} - {_lse('ns')} AS llm_metaphoricity FROM (SELECT qid, """ + ", ".join(
+    "[" + ", ".join(_token(t, lambda i: "1") for t in ts) + f"] AS {'ys' if a == 'yes' else 'ns'}" for a, ts in TOKENS.items()) + f"""
+  FROM (SELECT qid, {_counts('prompt')} FROM ({RATING_PROMPTS})))"""
 
 UTILITY = f"""
   WITH u AS ({UNI}),
@@ -367,14 +401,34 @@ PAIRS = f"""
   SELECT 'a_priori' AS covariate, metaphoricity AS x, utility AS y, set FROM ({UTILITY})
   UNION ALL SELECT 'llm', llm_metaphoricity, utility, set FROM ({UTILITY})"""
 
-SQL["pearson"] = f"SELECT covariate, round(corr(x, y), 6) AS r, count(*) AS n FROM ({PAIRS}) GROUP BY covariate"
+def _simpson(f: str, upper: str, steps: int = 2000) -> str:
+    """The integral of f(u), an expression of ``u``, from 0 to ``upper``."""
+    at = re.sub(r"\bu\b", f"({upper} * i / {steps}.0)", f)
+    return f"({upper} / {3 * steps}.0 * list_sum(list_transform(range(0, {steps + 1}), lambda i: CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {at})))"
+
+
+def corr_p(r: str, n: str) -> str:
+    """Two-sided p of a correlation: with t = tan(a) sqrt(n - 2) the t density
+    is proportional to cos(a) to the power n - 3."""
+    f = f"pow(greatest(cos(u), 0), {n} - 3)"
+    return f"CASE WHEN {n} < 3 OR {r} IS NULL THEN NULL WHEN abs({r}) >= 1 THEN 0.0 ELSE 1 - {_simpson(f, f'asin(abs({r}))')} / {_simpson(f, '(pi() / 2)')} END"
+
+
+def normal_p(z: str) -> str:
+    return f"CASE WHEN {z} IS NULL THEN 1.0 ELSE least(1.0, 1 - 2 / sqrt(2 * pi()) * {_simpson('exp(-u * u / 2)', z)}) END"
+
+
+SQL["pearson"] = f"""
+  SELECT covariate, round(r, 6) AS r, n, round({corr_p('r', 'n')}, 6) AS p
+  FROM (SELECT covariate, corr(x, y) AS r, count(*) AS n FROM ({PAIRS}) GROUP BY covariate)"""
 
 SQL["spearman"] = f"""
-  SELECT covariate, round(corr(rx, ry), 6) AS rho, count(*) AS n FROM (
+  SELECT covariate, round(rho, 6) AS rho, n, round({corr_p('rho', 'n')}, 6) AS p FROM (
+  SELECT covariate, corr(rx, ry) AS rho, count(*) AS n FROM (
     SELECT covariate,
            rank() OVER (PARTITION BY covariate ORDER BY round(x, 12)) + (count(*) OVER (PARTITION BY covariate, round(x, 12)) - 1) / 2.0 AS rx,
            rank() OVER (PARTITION BY covariate ORDER BY round(y, 12)) + (count(*) OVER (PARTITION BY covariate, round(y, 12)) - 1) / 2.0 AS ry
-    FROM ({PAIRS})) GROUP BY covariate"""
+    FROM ({PAIRS})) GROUP BY covariate)"""
 
 SQL["mann_whitney"] = f"""
   WITH u AS (SELECT utility, set FROM ({UTILITY}) WHERE set IN ('SYN_LOW', 'SYN_HIGH')),
@@ -383,24 +437,26 @@ SQL["mann_whitney"] = f"""
   s AS (SELECT sum(CASE WHEN set = 'SYN_LOW' THEN 1 ELSE 0 END) AS n1,
                sum(CASE WHEN set = 'SYN_LOW' THEN 0 ELSE 1 END) AS n2,
                sum(CASE WHEN set = 'SYN_LOW' THEN rk ELSE 0 END) AS r1 FROM r),
-  v AS (SELECT n1, n2, r1 - n1 * (n1 + 1) / 2.0 AS u1, tie FROM s, t)
-  SELECT 'low_vs_high' AS test, round(u1, 6) AS u_low, round(n1 * n2 - u1, 6) AS u_high,
-         round((greatest(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5) /
-               sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie / ((n1 + n2) * (n1 + n2 - 1)))), 6) AS z
-  FROM v"""
+  v AS (SELECT n1, n2, r1 - n1 * (n1 + 1) / 2.0 AS u1, tie FROM s, t),
+  w AS (SELECT *, sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie / nullif((n1 + n2) * (n1 + n2 - 1), 0))) AS sigma FROM v),
+  y AS (SELECT *, CASE WHEN sigma > 0 THEN (greatest(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5) / sigma END AS z FROM w)
+  SELECT 'low_vs_high' AS test, round(u1, 6) AS u_low, round(n1 * n2 - u1, 6) AS u_high, round(z, 6) AS z, round({normal_p('z0')}, 6) AS p
+  FROM (SELECT *, z AS z0 FROM y)"""
 
 SQL["linear_fit"] = f"""
   WITH f AS (SELECT covariate, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept,
                     min(x) AS lo, max(x) AS hi FROM ({PAIRS}) GROUP BY covariate),
   g AS (SELECT f.*, CAST(unnest(range(0, 50)) AS INTEGER) AS i FROM f)
-  SELECT covariate, i, round(lo + (hi - lo) * i / 49.0, 6) AS x,
-         round(intercept + slope * (lo + (hi - lo) * i / 49.0), 6) AS y FROM g"""
+  SELECT covariate, i, round(round(lo + (hi - lo) * i / 49.0, 12), 6) AS x,
+         round(round(intercept + slope * (lo + (hi - lo) * i / 49.0), 12), 6) AS y FROM g"""
 
 SENSES = ["sight", "taste", "touch", "hearing", "smell"]
+ROWS = __import__("probelab.sources.catalog", fromlist=["x"]).default_rows()
+SENSE_COLUMNS = {x: [r[0] for r in ROWS if r[2] == x and r[5] == "SYN_LOW"] for x in SENSES}
 SENSE_ACC = f"""
   SELECT split_part(a.config_id, '|', 1) AS dataset, split_part(a.config_id, '|', 2) AS sense,
          a.acc - c.chance AS v
-  FROM ({cv_acc_sql(conf_sql(hash_pred_sql(SENSES)))}) a
+  FROM ({cv_acc_sql(conf_sql(pred_sql([(x, SENSE_COLUMNS[x]) for x in SENSES])))}) a
   JOIN ({CHANCE_F}) c ON split_part(a.config_id, '|', 1) = c.dataset"""
 SQL["sense_matrix"] = (f"SELECT dataset, " + ", ".join(
     f"round(max(v) FILTER (WHERE sense = '{s}'), 6) AS {s}" for s in SENSES) +
@@ -413,7 +469,8 @@ SQL["dataset_correlations"] = f"""
                rank() OVER (PARTITION BY dataset ORDER BY round(x, 12)) + (count(*) OVER (PARTITION BY dataset, round(x, 12)) - 1) / 2.0 AS rx,
                rank() OVER (PARTITION BY dataset ORDER BY round(y, 12)) + (count(*) OVER (PARTITION BY dataset, round(y, 12)) - 1) / 2.0 AS ry
         FROM d)
-  SELECT p.dataset, round(p.r, 6) AS pearson_r, round(s.rho, 6) AS spearman_r, p.n FROM
+  SELECT p.dataset, round(p.r, 6) AS pearson_r, round({corr_p('p.r', 'p.n')}, 6) AS pearson_p,
+         round(s.rho, 6) AS spearman_r, round({corr_p('s.rho', 'p.n')}, 6) AS spearman_p, p.n FROM
     (SELECT dataset, corr(x, y) AS r, count(*) AS n FROM d GROUP BY dataset) p
     JOIN (SELECT dataset, corr(rx, ry) AS rho FROM r GROUP BY dataset) s ON p.dataset = s.dataset"""
 
@@ -423,16 +480,14 @@ ZS_OPTS = ("(SELECT * FROM (VALUES ('en', 'English', 0, 'A'), ('fr', 'French', 1
            "('de', 'German', 2, 'C'), ('es', 'Spanish', 3, 'D')) AS o(label_text, display, option, letter))")
 
 
-def _lse2(a: str, b: str) -> str:
-    return f"(greatest({a}, {b}) + ln(exp({a} - greatest({a}, {b})) + exp({b} - greatest({a}, {b}))))"
+def _mean_log(word: str) -> str:
+    return f"(list_sum(list_transform(string_split({word}, ''), lambda c: ln(1 + length(t.text) - length(replace(t.text, c, ''))))) / length({word}))"
 
 
 ZS_SCORES = f"""
-  SELECT t.dataset, t.row_id, l.label_text, o.option,
-         {_lse2(hash_logit_sql('t.row_id', "'mc'", 'o.letter'), hash_logit_sql('t.row_id', "'mc'", "' ' || o.letter"))} AS score
-  FROM ({TEXTS}) t JOIN documents l0 ON t.row_id = l0.doc_id
-  JOIN (SELECT doc_id, lang AS label_text FROM documents) l ON t.row_id = l.doc_id
-  CROSS JOIN {ZS_OPTS} o"""
+  SELECT dataset, row_id, label_text, option, {_lse('pair')} AS score FROM (
+  SELECT t.dataset, t.row_id, l.lang AS label_text, o.option, [{_mean_log('o.display')}, {_mean_log("(' ' || o.display)")}] AS pair
+  FROM ({TEXTS}) t JOIN documents l ON t.row_id = l.doc_id CROSS JOIN {ZS_OPTS} o)"""
 
 ZS_PRED = f"""
   WITH s AS ({ZS_SCORES}),
@@ -449,14 +504,14 @@ SQL["zero_shot_hist"] = f"""
 SQL["comparison"] = f"""
   WITH zs AS (SELECT dataset, avg(CASE WHEN pred = gold THEN 1.0 ELSE 0.0 END) AS zero_shot
               FROM ({ZS_PRED}) GROUP BY dataset),
-  g AS ({cv_acc_sql(conf_sql(hash_pred_sql(['SYN_LOW', 'SYN_ALL'])))}),
+  g AS ({cv_acc_sql(conf_sql(pred_sql([('SYN_LOW', [r[0] for r in ROWS if r[5] == 'SYN_LOW']), ('SYN_ALL', [r[0] for r in ROWS if r[5] != 'GIB'])])))}),
   gp AS (SELECT split_part(config_id, '|', 1) AS dataset,
                 max(acc) FILTER (WHERE split_part(config_id, '|', 2) = 'SYN_LOW') AS low_acc,
                 max(acc) FILTER (WHERE split_part(config_id, '|', 2) = 'SYN_ALL') AS all_acc
          FROM g GROUP BY 1)
   SELECT c.dataset, round(c.chance, 6) AS chance, round(zs.zero_shot, 6) AS zero_shot,
          round(gp.low_acc, 6) AS low_acc, round(gp.all_acc, 6) AS all_acc
-  FROM ({CHANCE_F}) c JOIN zs ON c.dataset = zs.dataset JOIN gp ON c.dataset = gp.dataset"""
+  FROM ({CHANCE_F}) c LEFT JOIN zs ON c.dataset = zs.dataset JOIN gp ON c.dataset = gp.dataset"""
 
 # ---- TF-IDF ---------------------------------------------------------------------------
 
@@ -491,8 +546,7 @@ SQL["tfidf_weights"] = f"""
         FROM c JOIN v ON c.dataset = v.dataset AND c.term = v.term),
   n AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY dataset, held, row_id)) AS weight FROM w),
   d AS (SELECT dataset, row_id, h.range AS held
-        FROM (SELECT dataset, row_id, {CLEAN.format(t='text')} AS text FROM ({RAW_LANG}) WHERE text IS NOT NULL),
-             range(5) h WHERE length(text) > 0)
+        FROM ({TEXTS}), range(5) h)
   SELECT d.dataset, CAST(d.held AS INTEGER) AS held, d.row_id, count(n.weight) AS n_terms,
          round(coalesce(sum(n.weight), 0), 6) AS weight_sum, round(coalesce(sum(n.weight * n.weight), 0), 6) AS norm2
   FROM d LEFT JOIN n ON n.dataset = d.dataset AND n.held = d.held AND n.row_id = d.row_id

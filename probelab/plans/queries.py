@@ -24,7 +24,7 @@ from probelab.operators import stats as ST
 from probelab.operators import tfidf as TF
 from probelab.operators import zeroshot as ZS
 from probelab.operators import selection as SEL
-from probelab.functions.logits import hash_unit
+from probelab.operators import centroid as CE
 
 R = 6  # rounding digits of every double in a registered query
 
@@ -64,18 +64,19 @@ def label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def class_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.class_distribution(inputs.prepared_all(spark, sf_dir))
+    return P.class_distribution(inputs.described_all(spark, sf_dir))
 
 
 def chance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = P.chance(inputs.prepared_all(spark, sf_dir))
+    c = P.chance(inputs.described_all(spark, sf_dir))
     return c.select("dataset", _r(F.col("chance"), "chance"))
 
 
 def dataset_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = P.dataset_meta(inputs.prepared_all(spark, sf_dir))
+    m = P.dataset_meta(inputs.described_all(spark, sf_dir))
+    dist = F.transform(F.array_sort(F.map_entries("dist")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return m.select("dataset", "n", F.array_join("classes", "|").alias("classes"), "n_classes",
-                    _r(F.col("mean_words"), "mean_words"))
+                    F.array_join(dist, "|").alias("dist"), _r(F.col("mean_words"), "mean_words"))
 
 
 
@@ -90,14 +91,18 @@ def _qids(spark=None):
 
 
 def _texts(spark, sf_dir):
-    """All cleaned documents (whole table, no sampling)."""
-    return P.clean(inputs.raw_lang(spark, sf_dir))
+    """All cleaned documents, whole texts."""
+    return P.clean(inputs.raw_lang(spark, sf_dir), None)
 
 
 def _emb_long(spark, sf_dir):
     return FE.embeddings_long(read_table(spark, sf_dir, "embeddings"), _qids())
 
 
+def _element_ids(spark, sf_dir):
+    return FE.element_ids(_qids(), FE.width_of(read_table(spark, sf_dir, "embeddings")))
+
+
 def catalog_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = C.select_qids(_cat(spark), sets=[C.LOW, C.HIGH], exclude_prefix="gib_")
     j = _emb_long(spark, sf_dir).join(F.broadcast(cat.select("qid", "set", "sense")), "qid")
@@ -117,39 +122,40 @@ def rating_prompts_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(n, "qid").select("qid", "prompt", "n_values")
 
 
-def _hash_logits(spark, sf_dir):
-    return S.hash_logits(S.prompts(_texts(spark, sf_dir), _cat(spark)))
+def _logits(spark, sf_dir):
+    return S.answer_logits(_texts(spark, sf_dir), _cat(spark))
 
 
 def logsumexp_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = S.feature_from_logits(_hash_logits(spark, sf_dir))
+    f = S.feature_from_arrays(_logits(spark, sf_dir))
     return f.select(*S.KEY, _r(F.col("value"), "value"))
 
 
 def prob_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = S.feature_from_logits(_hash_logits(spark, sf_dir), mode="prob")
+    """F12 on the logits table in long form."""
+    f = S.feature_from_logits(S.long_logits(_logits(spark, sf_dir)), mode="prob")
     return f.select(*S.KEY, _r(F.col("value"), "value"))
 
 
 def top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = S.top_tokens(_hash_logits(spark, sf_dir), 5)
+    t = S.top_tokens(S.long_logits(_logits(spark, sf_dir)), 5)
     return t.select(*S.KEY, F.col("rank").cast("bigint").alias("rank"), "token", _r(F.col("prob"), "prob"))
 
 
 def features_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M11 through the scorer contract (mapInPandas, budget batches)."""
+    """M11 through the scorer contract (mapInArrow, budget batches)."""
     f = S.score(S.prompts(_texts(spark, sf_dir), _cat(spark)))
     return f.select(*S.KEY, _r(F.col("value"), "value"))
 
 
 def features_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    qids = _qids()
+    qids = _element_ids(spark, sf_dir)
     w = FE.to_wide(_emb_long(spark, sf_dir), qids)
     return w.select("dataset", "row_id", *[_r(F.col(f"`{q}`"), q) for q in qids])
 
 
 def unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    qids = _qids()
+    qids = _element_ids(spark, sf_dir)
     emb = read_table(spark, sf_dir, "embeddings")
     wide = emb.select(F.lit("embeddings").alias("dataset"), F.col("vec_id").alias("row_id"),
                       *[F.col("embedding")[i].cast("double").alias(q) for i, q in enumerate(qids)])
@@ -165,12 +171,9 @@ def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A previous run wrote the English documents; only the rest is pending."""
-    texts = _texts(spark, sf_dir)
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "lang")
-    p = S.prompts(texts, _cat(spark))
-    done = S.feature_from_logits(S.hash_logits(p.join(docs.filter(F.col("lang") == "en"), "row_id")
-                                               .select(*S.KEY)))
-    return S.pending(p, done).select(*S.KEY)
+    texts, cat = _texts(spark, sf_dir), _cat(spark)
+    done = S.feature_from_arrays(S.answer_logits(texts.filter(F.col("label_text") == "en"), cat))
+    return S.pending(S.prompts(texts, cat), done).select(*S.KEY)
 
 
 def feature_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,29 +212,40 @@ def feature_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-# ---- stand-in predictions: metrics, curves, statistics -------------------------
-# A fixed md5 "classifier" stands in for model output where a SQL twin is
-# needed: pred = floor(md5unit(dataset:key:row_id) * n_classes). The real
-# classifiers run in the cv_* / greedy / random_order queries (no SQL twin).
+# ---- predictions: metrics, curves, statistics ----------------------------------
+# Out-of-fold nearest-centroid predictions on the embeddings' elements and on
+# the documents' probe features: SQL can state them row by row. The logistic
+# models run in the cv_* / greedy / random_order queries.
 
 def _folded(spark, sf_dir):
-    rows = _labelled_rows(spark, sf_dir)
-    k = rows.groupBy("dataset").agg(F.countDistinct("label").alias("n_classes"))
-    return FO.stratified_folds(rows).join(k, "dataset")
+    return FO.stratified_folds(_labelled_rows(spark, sf_dir))
+
+
+def _matrix(spark, sf_dir):
+    """Features in catalogue order, labels and folds of both datasets."""
+    x = FE.embeddings_array(read_table(spark, sf_dir, "embeddings")) \
+        .unionByName(S.probe_arrays(_texts(spark, sf_dir), _cat(spark)))
+    return _folded(spark, sf_dir).join(x, ["dataset", "row_id"])
+
 
+DATASETS = ("embeddings", "lang")
 
-def _hash_predictions(folded, keys: list[str], tag_cols=None):
-    """One prediction per (row, key): ``config_id = dataset|key``."""
-    arr = F.array(*[F.lit(x) for x in keys])
-    p = folded.withColumn("key", F.explode(arr))
-    pred = F.floor(hash_unit(F.col("dataset"), F.col("key"), F.col("row_id")) * F.col("n_classes")).cast("int")
-    return p.select(F.concat_ws("|", "dataset", "key").alias("config_id"), "dataset", "key",
-                    "row_id", "fold", "label", pred.alias("pred"))
+
+def _confusion(spark, sf_dir, configs):
+    """Confusion counts of configs (key, columns), which every dataset has, or
+    (key, columns, dataset); ``config_id = dataset|key``."""
+    rows = [(f"{d}|{c[0]}", d, c[1]) for c in configs for d in DATASETS if len(c) < 3 or c[2] == d]
+    return M.confusion_from_predictions(CE.predictions(_matrix(spark, sf_dir), rows))
 
 
 def _qid_conf(spark, sf_dir):
-    pred = _hash_predictions(_folded(spark, sf_dir), _qids())
-    return M.confusion_from_predictions(pred)
+    ids = _element_ids(spark, sf_dir)
+    n = len(_qids())
+    return _confusion(spark, sf_dir, [(q, [i]) if i < n else (q, [i], "embeddings") for i, q in enumerate(ids)])
+
+
+def _low_columns():
+    return {r["qid"]: r["q_idx"] for r in _cat_rows() if r["set"] == C.LOW}
 
 
 def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,15 +263,11 @@ def macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _curves(spark, sf_dir):
-    folded = _folded(spark, sf_dir)
-    low = [r[1] for r in C.default_rows() if r[5] == C.LOW]
-    orders = FO.feature_orders(folded, low)
-    configs = orders.select("dataset", "perm", "k")
-    p = folded.join(configs, "dataset")
-    pred = F.floor(hash_unit(F.col("dataset"), F.col("perm"), F.col("k"), F.col("row_id"))
-                   * F.col("n_classes")).cast("int")
-    p = p.select(F.concat_ws("|", "dataset", "perm", "k").alias("config_id"), "fold", "label", pred.alias("pred"))
-    acc = M.cv_accuracy(M.confusion_from_predictions(p))
+    """M8: accuracy of every prefix of the random orders of the LOW features."""
+    low = _low_columns()
+    orders = FO.feature_orders(_labelled_rows(spark, sf_dir), list(low))
+    conf = M.confusion_from_predictions(CE.predictions(_matrix(spark, sf_dir), SEL.random_order_configs(orders, low)))
+    acc = M.cv_accuracy(conf)
     parts = F.split("config_id", r"\|")
     return acc.select(parts[0].alias("dataset"), parts[1].cast("int").alias("perm"),
                       parts[2].cast("int").alias("k"), "acc")
@@ -284,7 +294,7 @@ def _chance_of(folded):
 
 
 def _uni(spark, sf_dir):
-    """M5 stand-in: per (dataset, qid) CV accuracy, chance and over-chance."""
+    """M5: per (dataset, qid) CV accuracy, chance and over-chance."""
     folded = _folded(spark, sf_dir)
     acc = M.cv_accuracy(_qid_conf(spark, sf_dir))
     parts = F.split("config_id", r"\|")
@@ -293,9 +303,8 @@ def _uni(spark, sf_dir):
 
 
 def _rating(spark):
-    """M14 with the stand-in scorer: covariate per predicate."""
-    f = S.feature_from_logits(S.hash_logits(S.rating_prompts(_cat(spark))))
-    return f.select("qid", F.col("value").alias("llm_metaphoricity"))
+    """The covariate that the scorer gives each predicate."""
+    return S.rating_features(_cat(spark)).select("qid", F.col("value").alias("llm_metaphoricity"))
 
 
 def _utility(spark, sf_dir):
@@ -340,30 +349,31 @@ def _pairs(spark, sf_dir):
 
 
 def pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = ST.pearson(_pairs(spark, sf_dir), ["covariate"], "x", "y", with_p=False)
-    return r.select("covariate", _r(F.col("r"), "r"), "n")
+    r = ST.pearson(_pairs(spark, sf_dir), ["covariate"], "x", "y")
+    return r.select("covariate", _r(F.col("r"), "r"), "n", _r(F.col("p"), "p"))
 
 
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = ST.spearman(_pairs(spark, sf_dir), ["covariate"], "x", "y", with_p=False)
-    return r.select("covariate", _r(F.col("rho"), "rho"), "n")
+    r = ST.spearman(_pairs(spark, sf_dir), ["covariate"], "x", "y")
+    return r.select("covariate", _r(F.col("rho"), "rho"), "n", _r(F.col("p"), "p"))
 
 
 def mann_whitney(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = _utility(spark, sf_dir).filter(F.col("set").isin(C.LOW, C.HIGH)).withColumn("test", F.lit("low_vs_high"))
-    m = ST.mann_whitney(u, ["test"], "utility", "set", C.LOW, with_p=False)
-    return m.select("test", _r(F.col("u_first"), "u_low"), _r(F.col("u_second"), "u_high"), _r(F.col("z"), "z"))
+    m = ST.mann_whitney(u, ["test"], "utility", "set", C.LOW)
+    return m.select("test", _r(F.col("u_first"), "u_low"), _r(F.col("u_second"), "u_high"), _r(F.col("z"), "z"), _r(F.col("p"), "p"))
 
 
 def linear_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, pts = ST.linear_fit(_pairs(spark, sf_dir), ["covariate"], "x", "y")
-    return pts.select("covariate", F.col("i").cast("int").alias("i"), _r(F.col("x"), "x"), _r(F.col("y"), "y"))
+    return pts.select("covariate", F.col("i").cast("int").alias("i"), _r(F.round("x", 12), "x"), _r(F.round("y", 12), "y"))
 
 
 def sense_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-sense accuracy over chance, one column per sense."""
     folded = _folded(spark, sf_dir)
-    acc = M.cv_accuracy(M.confusion_from_predictions(_hash_predictions(folded, list(C.SENSES))))
+    senses = [(sense, [r["q_idx"] for r in _cat_rows() if r["sense"] == sense and r["set"] == C.LOW]) for sense in C.SENSES]
+    acc = M.cv_accuracy(_confusion(spark, sf_dir, senses))
     parts = F.split("config_id", r"\|")
     a = acc.select(parts[0].alias("dataset"), parts[1].alias("sense"), "acc").join(_chance_of(folded), "dataset")
     m = a.groupBy("dataset").pivot("sense", list(C.SENSES)).agg(F.first(F.col("acc") - F.col("chance")))
@@ -374,10 +384,10 @@ def dataset_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per dataset, covariate vs over-chance utility of the 40 probes."""
     cat = _cat(spark).select("qid", F.col("a_priori_metaphoricity").alias("x"))
     d = _uni(spark, sf_dir).join(F.broadcast(cat), "qid").filter(F.col("x").isNotNull())
-    p = ST.pearson(d, ["dataset"], "x", "over", with_p=False)
-    s = ST.spearman(d, ["dataset"], "x", "over", with_p=False)
-    return p.join(s.drop("n"), "dataset").select("dataset", _r(F.col("r"), "pearson_r"),
-                                                 _r(F.col("rho"), "spearman_r"), "n")
+    p = ST.pearson(d, ["dataset"], "x", "over").withColumnRenamed("p", "pearson_p")
+    s = ST.spearman(d, ["dataset"], "x", "over").withColumnRenamed("p", "spearman_p")
+    return p.join(s.drop("n"), "dataset").select("dataset", _r(F.col("r"), "pearson_r"), _r(F.col("pearson_p"), "pearson_p"),
+                                                 _r(F.col("rho"), "spearman_r"), _r(F.col("spearman_p"), "spearman_p"), "n")
 
 
 # ---- zero-shot ------------------------------------------------------------------
@@ -391,8 +401,7 @@ def _zs_config(spark):
 
 def _zs_pred(spark, sf_dir):
     cfg = _zs_config(spark)
-    texts = P.clean(inputs.raw_lang(spark, sf_dir))
-    return ZS.predict(ZS.hash_letter_scores(ZS.prompts(texts, cfg)), cfg)
+    return ZS.predict(ZS.option_scores(_texts(spark, sf_dir), cfg), cfg)
 
 
 def zero_shot_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -404,14 +413,16 @@ def zero_shot_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chance, zero-shot accuracy and group accuracies per dataset."""
+    """Chance, zero-shot accuracy (where the dataset has options) and group
+    accuracies per dataset."""
     folded = _folded(spark, sf_dir)
     zs = M.accuracy(_zs_pred(spark, sf_dir)).select("dataset", F.col("acc").alias("zero_shot"))
-    acc = M.cv_accuracy(M.confusion_from_predictions(_hash_predictions(folded, [C.LOW, "SYN_ALL"])))
+    cols = SEL.columns_by_set(_cat_rows())
+    acc = M.cv_accuracy(_confusion(spark, sf_dir, [(g, cols[g]) for g in (C.LOW, "SYN_ALL")]))
     parts = F.split("config_id", r"\|")
     g = acc.select(parts[0].alias("dataset"), parts[1].alias("grp"), "acc") \
            .groupBy("dataset").pivot("grp", [C.LOW, "SYN_ALL"]).agg(F.first("acc"))
-    out = _chance_of(folded).join(zs, "dataset").join(g, "dataset")
+    out = _chance_of(folded).join(zs, "dataset", "left").join(g, "dataset")
     return out.select("dataset", _r(F.col("chance"), "chance"), _r(F.col("zero_shot"), "zero_shot"),
                       _r(F.col(C.LOW), "low_acc"), _r(F.col("SYN_ALL"), "all_acc"))
 
@@ -419,7 +430,7 @@ def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- TF-IDF -------------------------------------------------------------------------
 
 def _tfidf_docs(spark, sf_dir):
-    texts = P.clean(inputs.raw_lang(spark, sf_dir))
+    texts = _texts(spark, sf_dir)
     folds = FO.stratified_folds(P.index_labels(inputs.raw_lang(spark, sf_dir)))
     return texts.join(folds.select("dataset", "row_id", "fold"), ["dataset", "row_id"])
 
@@ -470,10 +481,9 @@ def _cat_rows():
 
 
 def _emb_matrix(spark, sf_dir):
-    from probelab.operators import evaluate as EV
     emb = read_table(spark, sf_dir, "embeddings")
     folds = FO.stratified_folds(FE.embeddings_labels(emb))
-    return EV.build_matrix(FE.embeddings_long(emb, _qids()), folds, _qids())
+    return folds.join(FE.embeddings_array(emb), ["dataset", "row_id"])
 
 
 def cv_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,8 +49,9 @@ def local_session(cores: int | None = None, partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a fresh scratch folder is made and set.
+    ``spark.checkpoint.dir`` is read from the session; where it is unset, a
+    local session (tests) gets a fresh scratch folder, and a cluster, whose
+    executors would not share it, an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -58,6 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="probelab-ckpt-", dir="/tmp")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir() or named

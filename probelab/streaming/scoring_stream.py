@@ -28,7 +28,7 @@ def score_stream(spark: SparkSession, texts: DataFrame, cat: DataFrame, out_path
     from probelab.session import ship_package
     ship_package(spark)
     prompts = S.prompts(texts, cat).select(*S.KEY, "prompt", "prompt_len")
-    scorer = scorer or S.HashScorer()
+    scorer = scorer or S.LexicalScorer()
     yes = [t for _, t, _ in S.variant_rows({"yes": S.YES_WORDS})]
     no = [t for _, t, _ in S.variant_rows({"no": S.NO_WORDS})]
     scored = prompts.mapInArrow(S._score_partitions(scorer, yes, no, budget, "logit"), S.SCORED_SCHEMA) \

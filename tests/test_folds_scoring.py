@@ -96,7 +96,7 @@ def test_scoring_batches_within_budget(spark):
     for r in rows:
         assert r.batch_rows == 1 or r.batch_rows * r.batch_maxlen <= 400
     # scorer path equals the logits-table path
-    ref = {(r.row_id, r.qid): r.value for r in S.feature_from_logits(S.hash_logits(p)).collect()}
+    ref = {(r.row_id, r.qid): r.value for r in S.feature_from_arrays(S.answer_logits(texts, C.catalogue(spark))).collect()}
     assert max(abs(ref[(r.row_id, r.qid)] - r.value) for r in rows) < 1e-9
 
 

@@ -52,7 +52,7 @@ def test_stream_scoring_matches_batch(spark):
                         os.path.join(root, "out"), os.path.join(root, "ckpt"))
     q.awaitTermination(300)
     got = {(r.row_id, r.qid): r.value for r in spark.read.parquet(os.path.join(root, "out")).collect()}
-    want = {(r.row_id, r.qid): r.value for r in S.feature_from_logits(S.hash_logits(S.prompts(texts, cat))).collect()}
+    want = {(r.row_id, r.qid): r.value for r in S.feature_from_arrays(S.answer_logits(texts, cat)).collect()}
     assert got.keys() == want.keys()
     assert max(abs(got[k] - want[k]) for k in got) < 1e-9
     # a rerun with no new files adds nothing
