@@ -41,38 +41,41 @@ def _stage(work: Stage) -> Stage:
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` written with a key of its own for each row, so that rows with
-    a null or shared doc_id are decided one by one."""
-    return written(docs.withColumn("row_key", F.monotonically_increasing_id()))
+    a null or shared doc_id are decided one by one, and the key's name, which
+    no column of ``docs`` has."""
+    key = "row_key"
+    while key in (c.lower() for c in docs.columns):
+        key += "_"
+    return written(docs.withColumn(key, F.monotonically_increasing_id())), key
 
 
-def _by_key(keyed: DataFrame) -> DataFrame:
-    return keyed.withColumn("doc_id", F.col("row_key"))
+def _by_key(keyed: DataFrame, key: str) -> DataFrame:
+    return keyed.withColumn("doc_id", F.col(key))
 
 
 @_stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keyed = _keyed(docs)
+    keyed, key = _keyed(docs)
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    trusted = join_keys(keyed, good, "doc_id", "left_semi").select(F.col("row_key").alias("doc_id"))
-    rejected = quality.classify(_by_key(keyed), trusted).where("not kept").select(F.col("doc_id").alias("row_key"))
-    return join_keys(keyed.where("text is not null"), written(rejected), "row_key", "left_anti").select(docs.columns)
+    trusted = join_keys(keyed, good, "doc_id", "left_semi").select(F.col(key).alias("doc_id"))
+    rejected = quality.classify(_by_key(keyed, key), trusted).where("not kept").select(F.col("doc_id").alias(key))
+    return join_keys(keyed.where("text is not null"), written(rejected), key, "left_anti").select(docs.columns)
 
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest doc_id stays
     (nulls last, then by text)."""
-    keyed = _keyed(docs)
-    found = written(hyperminhash.near_duplicates(_by_key(keyed)).select(F.col("doc_id").alias("row_key"), "component_id", "kept"))
+    keyed, key = _keyed(docs)
+    found = written(hyperminhash.near_duplicates(_by_key(keyed, key)).select(F.col("doc_id").alias("key"), "component_id", "kept"))
     groups = written(found.where("not kept").select("component_id").distinct())
-    rows = join_keys(found, groups, "component_id", "left_semi").join(
-        keyed.select("row_key", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"), "row_key").alias("rank")), "row_key")
-    rows = written(rows.select("row_key", "component_id", "rank"))
+    rank = keyed.select(F.col(key).alias("key"), F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"), F.col(key).alias("key")).alias("rank"))
+    rows = written(join_keys(found, groups, "component_id", "left_semi").join(rank, "key").select("key", "component_id", "rank"))
     first = rows.groupBy("component_id").agg(F.min("rank").alias("first"))
-    dropped = written(rows.join(first, "component_id").where("row_key <> first.row_key").select("row_key"))
-    return join_keys(keyed, dropped, "row_key", "left_anti").select(docs.columns)
+    dropped = written(rows.join(first, "component_id").where("key <> first.key").select(F.col("key").alias(key)))
+    return join_keys(keyed, dropped, key, "left_anti").select(docs.columns)
 
 
 @_stage
