@@ -59,7 +59,9 @@ def option_score(text, display: Column) -> Column:
         chars = F.split(word, "")
         total = F.aggregate(chars, F.lit(0.0), lambda acc, c: acc + F.log(1.0 + char_count(text, c)))
         return total / F.size(chars)
-    return lse_array(F.array(mean(display), mean(F.concat(F.lit(" "), display))))
+    # both means are the argument of a transform, so that they are computed once
+    pair = F.array(F.array(mean(display), mean(F.concat(F.lit(" "), display))))
+    return F.element_at(F.transform(pair, lse_array), 1)
 
 
 class LexicalScorer:
