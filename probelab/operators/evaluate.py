@@ -1,65 +1,70 @@
-"""Many cross-validated classifiers over one distributed feature matrix (M3).
+"""Many cross-validated classifiers over one distributed feature matrix
+(M1, M2, M3, M10).
 
 Input
-  matrix  ``(dataset, row_id, label INT, fold INT, x ARRAY<DOUBLE>)``
+  matrix  ``(dataset, row_id, label INT, fold INT, x ARRAY<DOUBLE>)``; all
+          vectors of a dataset have the same length. Rows with a null label,
+          fold or vector, or a null or non-finite element, are left out.
   configs ``(config_id STRING, dataset STRING, cols ARRAY<INT>)`` - which
           elements of ``x`` a model uses; every config is fitted once per
-          held-out fold (a *fit*).
+          held-out fold (a *fit*). Configs of a dataset without rows give
+          no result.
 Output
   confusion counts ``(config_id, fold, label, pred, n)`` - every metric
   (fold accuracy, macro F1, histograms) is SQL on this table - or, with
-  ``output='oof'``, one out-of-fold prediction per row and config.
-
-Two physical strategies, chosen by a size check of the matrix:
-
-* ``broadcast`` (matrix <= ``small_bytes``): the matrix is shipped once to
-  every executor and the fits are spread over tasks; each task fits whole
-  models. This is the regime of the published experiments (hundreds of
-  rows, thousands of fits).
-* ``distributed`` (any size): Newton iterations where every task adds
-  gradient and Hessian of its rows for every active fit; partial sums are
-  reduced per fit on executors (``applyInPandas``); only the step (one
-  vector per fit) reaches the driver. Rows are never grouped by config and
-  never collected. Fits are processed in chunks whose Hessians fit a
-  memory budget.
+  ``output='oof'``, one out-of-fold prediction per row and config, or, with
+  ``output='acc'``, ``(config_id, acc, acc_std, n_folds)``.
+
+One logistic path at every size. The model is the L2 form
+``min 0.5/C |coef|^2 + sum of losses`` on standardised columns with an
+unpenalised intercept: one weight vector for two classes, one per class
+otherwise. The rows lie in blocks of numbers on the executors. Two passes add
+the counts, sums and centred cross-products of each fold; from these come the
+scaling of every fit (total less held fold) and a fixed upper bound of its
+curvature. Then every pass adds the gradients of all open fits, a vector per
+block of fits and task, summed by Spark's vector aggregate; the driver holds
+weights and the last steps of each fit and moves them by L-BFGS preconditioned
+with the bound. No row reaches the driver, no size picks another algorithm.
+``STATE_BYTES`` bounds what the driver holds at once: fits beyond it are
+fitted one group after the other, with the same results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probelab.operators import solver as SV
+from probelab.session import ship_package
 
-SMALL_BYTES = 256 << 20
-HESSIAN_BUDGET = 64 << 20
-# Newton ships partitions x sum(p^2) doubles per step; above this, L-BFGS (p doubles)
-NEWTON_SHUFFLE_BUDGET = 2 << 30
+#: Bytes of weights, steps and curvature bounds the driver holds at once.
+STATE_BYTES = 256 << 20
+#: Numbers in one gradient vector, and in one task's table of scores.
+SLICE_VALUES = 1 << 16
+SCORE_VALUES = 1 << 20
+#: Steps an L-BFGS direction remembers, and the expected relative gain at which a fit ends.
+MEMORY = 8
+TOL = 1e-16
+MAX_PASSES = 200
+#: Keeps the multinomial intercepts, which a common shift leaves equal, in place.
+INTERCEPT_RIDGE = 1e-9
 
 CONFIG_SCHEMA = T.StructType([
     T.StructField("config_id", T.StringType(), False),
     T.StructField("dataset", T.StringType(), False),
     T.StructField("cols", T.ArrayType(T.IntegerType()), False),
 ])
-CONFUSION_SCHEMA = T.StructType([
-    T.StructField("config_id", T.StringType()), T.StructField("fold", T.IntegerType()),
-    T.StructField("label", T.IntegerType()), T.StructField("pred", T.IntegerType()),
-    T.StructField("n", T.LongType()),
-])
-FOLD_ACC_SCHEMA = T.StructType([
-    T.StructField("config_id", T.StringType()), T.StructField("fold", T.IntegerType()),
-    T.StructField("acc", T.DoubleType()),
-])
-OOF_SCHEMA = T.StructType([
-    T.StructField("config_id", T.StringType()), T.StructField("dataset", T.StringType()),
-    T.StructField("row_id", T.LongType()), T.StructField("fold", T.IntegerType()),
-    T.StructField("label", T.IntegerType()), T.StructField("pred", T.IntegerType()),
-])
+CONFUSION_SCHEMA = "config_id string, fold int, label int, pred int, n bigint"
+OOF_SCHEMA = "config_id string, dataset string, row_id bigint, fold int, label int, pred int"
+BLOCK_SCHEMA = "dataset string, fold int, n int, x binary, y binary, ids binary"
+SUM_SCHEMA = "dataset string, part int, sub int, v array<double>"
 
 
 def config_frame(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
@@ -74,469 +79,461 @@ def build_matrix(long: DataFrame, folds: DataFrame, qids: Sequence[str]) -> Data
                                      ["dataset", "row_id"])
 
 
-def _emit(config_id, fold, y, pred, row_ids, dataset, output):
-    if output == "oof":
-        return pd.DataFrame({"config_id": config_id, "dataset": dataset, "row_id": row_ids,
-                             "fold": fold, "label": y.astype(np.int32), "pred": pred.astype(np.int32)})
-    if len(y) == 0:
-        return pd.DataFrame({"config_id": [], "fold": [], "label": [], "pred": [], "n": []})
-    pairs, counts = np.unique(np.stack([y, pred], axis=1), axis=0, return_counts=True)
-    return pd.DataFrame({"config_id": config_id, "fold": fold, "label": pairs[:, 0].astype(np.int32),
-                         "pred": pairs[:, 1].astype(np.int32), "n": counts.astype(np.int64)})
-
-
-def _fit_predict(X, y, fold, held, cols, classifier, C, mlp_kw):
-    """One fit: scale on the training folds, fit, predict the held fold."""
-    tr, te = fold != held, fold == held
-    Xtr, Xte = X[tr][:, cols], X[te][:, cols]
-    classes = np.unique(y[tr])
-    if len(classes) == 0:
-        return np.zeros(te.sum(), dtype=np.int64)
-    mu, sc = SV.standardize_fit(Xtr)
-    Ztr, Zte = (Xtr - mu) / sc, (Xte - mu) / sc
-    if len(classes) == 1:
-        return np.full(te.sum(), classes[0])
-    yi = np.searchsorted(classes, y[tr])
-    K = len(classes)
-    if classifier == "mlp":
-        params = SV.fit_mlp(Ztr, yi, K, **(mlp_kw or {}))
-        return classes[SV.predict_mlp(params, Zte, K)]
-    w = SV.fit_logreg(Ztr, yi, K, C=C)
-    return classes[SV.predict_index(w, Zte, K)]
-
-
-def broadcast_matrix(matrix: DataFrame, small_bytes: int = SMALL_BYTES):
-    """Ship a size-checked matrix to the executors once; reuse the handle
-    across many ``evaluate_many`` calls (e.g. greedy rounds). Raises when
-    the matrix is above the limit - use the distributed strategy then."""
-    spark = matrix.sparkSession
-    from probelab.session import ship_package
-    ship_package(spark)
-    m = matrix.select("dataset", "row_id", "label", "fold", "x").persist()   # check and ship read it once
-    try:
-        nbytes = _matrix_bytes(m)
-        if nbytes > small_bytes:
-            raise ValueError(f"matrix of ~{nbytes} bytes exceeds the broadcast limit {small_bytes}")
-        pdf = m.toPandas()
-    finally:
-        m.unpersist()
-    data = {}
-    for ds, g in pdf.groupby("dataset"):
-        data[ds] = (np.stack(g["x"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy()),
-                    g["label"].to_numpy(np.int64), g["fold"].to_numpy(np.int64),
-                    g["row_id"].to_numpy(np.int64))
-    return spark.sparkContext.broadcast(data)
-
-
-def _matrix_bytes(matrix: DataFrame) -> int:
-    sz = matrix.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).collect()
-    return sum(int(r["n"]) * (int(r["d"] or 0) + 4) * 8 for r in sz)
-
-
-def _broadcast_path(matrix, fits, classifier, C, output, mlp_kw, num_tasks, bc=None):
-    spark = matrix.sparkSession
-    from probelab.session import ship_package
-    ship_package(spark)
-    if bc is None:
-        bc = broadcast_matrix(matrix, small_bytes=1 << 62)
-
-    def run(it):
-        local = bc.value
-        for part in it:
-            outs = []
-            for r in part.itertuples(index=False):
-                if r.dataset not in local:
-                    continue
-                X, y, fold, rid = local[r.dataset]
-                cols = np.asarray(r.cols, dtype=np.int64)
-                pred = _fit_predict(X, y, fold, int(r.held), cols, classifier, C, mlp_kw)
-                te = fold == int(r.held)
-                outs.append(_emit(r.config_id, int(r.held), y[te], pred, rid[te], r.dataset, output))
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
-
-    def run_acc(it):
-        # one accuracy per fit; fits stay spread round-robin for balance
-        local = bc.value
-        for part in it:
-            ids, folds, accs = [], [], []
-            for r in part.itertuples(index=False):
-                if r.dataset not in local:
-                    continue
-                X, y, fold, rid = local[r.dataset]
-                cols = np.asarray(r.cols, dtype=np.int64)
-                pred = _fit_predict(X, y, fold, int(r.held), cols, classifier, C, mlp_kw)
-                te = fold == int(r.held)
-                if te.any():
-                    ids.append(r.config_id)
-                    folds.append(int(r.held))
-                    accs.append(float(np.mean(pred == y[te])))
-            if ids:
-                yield pd.DataFrame({"config_id": ids, "fold": np.asarray(folds, np.int32), "acc": accs})
-
-    n = num_tasks or max(1, spark.sparkContext.defaultParallelism * 2)
-    if output == "acc":
-        per_fold = fits.repartition(n).mapInPandas(run_acc, FOLD_ACC_SCHEMA)
-        return per_fold.groupBy("config_id").agg(F.avg("acc").alias("acc"), F.stddev_pop("acc").alias("acc_std"),
-                                                 F.count(F.lit(1)).alias("n_folds"))
-    schema = OOF_SCHEMA if output == "oof" else CONFUSION_SCHEMA
-    return fits.repartition(n).mapInPandas(run, schema)
-
-
-# ---- distributed Newton --------------------------------------------------------
-
-def _scaling_stats(matrix, k):
-    """Per (dataset, held fold, element) training mean and scale, from one
-    grouped pass per (dataset, fold, element) pooled on the driver (the
-    table is datasets x folds x elements)."""
-    per = (matrix.select("dataset", "fold", F.posexplode("x").alias("pos", "v"))
-                 .groupBy("dataset", "fold", "pos")
-                 .agg(F.count("v").alias("n"), F.avg("v").alias("mu"),
-                      (F.var_pop("v") * F.count("v")).alias("m2"))).toPandas()
-    out = {}
-    for ds, g in per.groupby("dataset"):
-        d = int(g["pos"].max()) + 1
-        for held in range(k):
-            h = g[g["fold"] != held]
-            n = h.groupby("pos")["n"].sum().reindex(range(d)).to_numpy(float)
-            mu = (h.assign(s=h["n"] * h["mu"]).groupby("pos")["s"].sum().reindex(range(d)).to_numpy()) / n
-            hm = h.merge(pd.DataFrame({"pos": range(d), "mean": mu}), on="pos")
-            m2 = (hm["m2"] + hm["n"] * (hm["mu"] - hm["mean"]) ** 2).groupby(hm["pos"]).sum() \
-                .reindex(range(d)).to_numpy()
-            sd = np.sqrt(np.maximum(m2, 0) / n)
-            scale = np.where(sd > 1e-12 * np.maximum(1.0, np.abs(mu)), sd, 1.0)
-            out[(ds, held)] = (mu, scale)
-    return out
-
-
-PARTIAL_SCHEMA = T.StructType([
-    T.StructField("fit_id", T.IntegerType()), T.StructField("loss", T.DoubleType()),
-    T.StructField("g", T.BinaryType()), T.StructField("h", T.BinaryType()),
-])
-STEP_SCHEMA = T.StructType([
-    T.StructField("fit_id", T.IntegerType()), T.StructField("f", T.DoubleType()),
-    T.StructField("step", T.BinaryType()), T.StructField("gstep", T.DoubleType()),
-])
+def usable(matrix: DataFrame) -> DataFrame:
+    """The rows a model can use."""
+    finite = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    return (matrix.select("dataset", "row_id", F.col("label").cast("int").alias("label"),
+                          F.col("fold").cast("int").alias("fold"), F.col("x").cast("array<double>").alias("x"))
+            .where(F.col("label").isNotNull() & F.col("fold").isNotNull() & F.col("x").isNotNull() & finite))
 
 
-def _distributed_path(matrix, fits_pd, k, C, output, tol=1e-9, max_iter=60, solver="auto"):
-    spark = matrix.sparkSession
-    from probelab.session import ship_package
-    ship_package(spark)
-    sc = spark.sparkContext
-    classes = {r["dataset"]: np.array(sorted(r["cls"])) for r in
-               matrix.groupBy("dataset").agg(F.collect_set("label").alias("cls")).collect()}
-    stats = _scaling_stats(matrix, k)
-    lam = 1.0 / C
-    fits = []
-    for i, r in enumerate(fits_pd.itertuples(index=False)):
-        K = len(classes[r.dataset])
-        cols = np.asarray(r.cols, dtype=np.int64)
-        fits.append(dict(fit_id=i, config_id=r.config_id, dataset=r.dataset, held=int(r.held),
-                         cols=cols, K=K, p=SV.n_params(len(cols), K)))
-    # chunks of fits whose Hessians fit the budget
-    chunks, cur, used = [], [], 0
-    for f in fits:
-        b = f["p"] ** 2 * 8
-        if cur and used + b > HESSIAN_BUDGET:
-            chunks.append(cur)
-            cur, used = [], 0
-        cur.append(f)
-        used += b
-    if cur:
-        chunks.append(cur)
-
-    cached = matrix.select("dataset", "row_id", "label", "fold", "x").persist()
-    final_w = {}
-    try:
-        n_parts = cached.rdd.getNumPartitions()
-        for chunk in chunks:
-            volume = n_parts * sum(f["p"] ** 2 for f in chunk) * 8
-            use = solver if solver != "auto" else ("newton" if volume <= NEWTON_SHUFFLE_BUDGET else "lbfgs")
-            if use == "newton":
-                final_w.update(_newton_chunk(cached, chunk, classes, stats, lam, tol, max_iter, sc))
-            else:
-                final_w.update(_lbfgs_chunk(cached, chunk, classes, stats, lam, tol, 20 * max_iter, sc))
-        bw = sc.broadcast(final_w)
-        meta = sc.broadcast({f["fit_id"]: f for f in fits})
-        bst = sc.broadcast(stats)
-        bcl = sc.broadcast(classes)
-
-        def predict(it):
-            acc = {}
-            for pdf in it:
-                for ds, g in pdf.groupby("dataset"):
-                    X = np.stack(g["x"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-                    y, fold, rid = g["label"].to_numpy(), g["fold"].to_numpy(), g["row_id"].to_numpy()
-                    for f in meta.value.values():
-                        if f["dataset"] != ds:
-                            continue
-                        te = fold == f["held"]
-                        if not te.any():
-                            continue
-                        mu, s = bst.value[(ds, f["held"])]
-                        Z = (X[te][:, f["cols"]] - mu[f["cols"]]) / s[f["cols"]]
-                        pred = bcl.value[ds][SV.predict_index(bw.value[f["fit_id"]], Z, f["K"])]
-                        out = _emit(f["config_id"], f["held"], y[te], pred, rid[te], ds, output)
-                        if output == "oof":
-                            yield out
-                        else:
-                            for row in out.itertuples(index=False):
-                                key = (row.config_id, row.fold, row.label, row.pred)
-                                acc[key] = acc.get(key, 0) + int(row.n)
-            if output != "oof" and acc:
-                keys = list(acc)
-                yield pd.DataFrame({"config_id": [a[0] for a in keys], "fold": [a[1] for a in keys],
-                                    "label": [a[2] for a in keys], "pred": [a[3] for a in keys],
-                                    "n": [acc[a] for a in keys]}).astype(
-                    {"fold": np.int32, "label": np.int32, "pred": np.int32, "n": np.int64})
-
-        schema = OOF_SCHEMA if output == "oof" else CONFUSION_SCHEMA
-        res = cached.mapInPandas(predict, schema)
-        if output != "oof":
-            res = res.groupBy("config_id", "fold", "label", "pred").agg(F.sum("n").alias("n"))
-        return res
-    finally:
-        pass
+# ---- blocks and sums -----------------------------------------------------------
+
+def _to_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for (ds, fold), g in pdf.groupby(["dataset", "fold"]):
+            x = np.stack(g["x"].to_numpy()).astype(np.float64)
+            yield pd.DataFrame({"dataset": [ds], "fold": [fold], "n": [len(g)], "x": [x.tobytes()],
+                                "y": [g["label"].to_numpy(np.int64).tobytes()],
+                                "ids": [g["row_id"].to_numpy(np.int64).tobytes()]})
+
+
+def _blocks(batches: Iterator[pd.DataFrame]):
+    """``(dataset, fold, X, y, row ids)`` of each block."""
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            yield (r.dataset, int(r.fold), np.frombuffer(r.x).reshape(r.n, -1),
+                   np.frombuffer(r.y, np.int64), np.frombuffer(r.ids, np.int64))
 
 
-def _pass_fn(meta, bst, bcl, bw, hessian):
-    """One data pass: per partition, loss / gradient (/ Hessian) of its
-    training rows for every active fit."""
-    def partial(it):
+def _summed(blocks: DataFrame, partial) -> dict[tuple[str, int, int], np.ndarray]:
+    """Sums by ``(dataset, part, sub)`` of the vectors that ``partial(block)``
+    yields as ``(part, sub, vector)``: added within a task, then by the vector
+    aggregate, which holds one vector a key whatever the number of tasks."""
+    def run(batches):
         acc = {}
-        W = bw.value
-        for pdf in it:
-            for ds, g in pdf.groupby("dataset"):
-                X = np.stack(g["x"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-                y, fold = g["label"].to_numpy(), g["fold"].to_numpy()
-                for fid, w in W.items():
-                    f = meta.value[fid]
-                    if f["dataset"] != ds:
-                        continue
-                    tr = fold != f["held"]
-                    if not tr.any():
-                        continue
-                    mu, s = bst.value[(ds, f["held"])]
-                    Z = (X[tr][:, f["cols"]] - mu[f["cols"]]) / s[f["cols"]]
-                    yi = np.searchsorted(bcl.value[ds], y[tr])
-                    A = np.hstack([Z, np.ones((Z.shape[0], 1))])
-                    loss, gr, H = SV.data_terms(w, A, yi, f["K"], hessian=hessian)
-                    if fid in acc:
-                        a = acc[fid]
-                        acc[fid] = (a[0] + loss, a[1] + gr, a[2] + H if hessian else None)
-                    else:
-                        acc[fid] = (loss, gr, H)
-        if acc:
-            yield pd.DataFrame({"fit_id": list(acc), "loss": [v[0] for v in acc.values()],
-                                "g": [v[1].tobytes() for v in acc.values()],
-                                "h": [v[2].tobytes() if hessian else b"" for v in acc.values()]}
-                               ).astype({"fit_id": np.int32})
-    return partial
-
-
-def _newton_chunk(cached, chunk, classes, stats, lam, tol, max_iter, sc):
-    state = {}
-    for f in chunk:
-        state[f["fit_id"]] = dict(w_cur=np.zeros(f["p"]), w_acc=None, f_acc=None, dir=None,
-                                  gdir=None, t=1.0)
-    meta = sc.broadcast({f["fit_id"]: f for f in chunk})
-    bst = sc.broadcast(stats)
-    bcl = sc.broadcast(classes)
-    active = set(state)
-    out = {}
-    for _ in range(max_iter):
-        if not active:
+        for block in _blocks(batches):
+            for part, sub, v in partial(block):
+                key = (block[0], part, sub)
+                acc[key] = acc[key] + v if key in acc else v
+        for (ds, part, sub), v in acc.items():
+            yield pd.DataFrame({"dataset": [ds], "part": [part], "sub": [sub], "v": [v]})
+
+    rows = (blocks.mapInPandas(run, SUM_SCHEMA).groupBy("dataset", "part", "sub")
+            .agg(Summarizer.sum(array_to_vector("v")).alias("v")).collect())
+    return {(r["dataset"], r["part"], r["sub"]): r["v"].toArray() for r in rows}
+
+
+@dataclass
+class Shape:
+    """What the fits of a dataset share; every array is design-sized."""
+    classes: np.ndarray                       # ascending
+    centre: np.ndarray                        # mean of all rows, subtracted before summing
+    n: dict[int, float] = field(default_factory=dict)             # by held fold: training rows,
+    priors: dict[int, np.ndarray] = field(default_factory=dict)   # training rows of each class,
+    mean: dict[int, np.ndarray] = field(default_factory=dict)     # training mean less centre,
+    scale: dict[int, np.ndarray] = field(default_factory=dict)    # population std, 1 where constant,
+    gram: dict[int, np.ndarray] = field(default_factory=dict)     # cross-products of standardised columns
+
+    @property
+    def outputs(self) -> int:
+        return 1 if len(self.classes) == 2 else len(self.classes)
+
+
+@dataclass
+class Prepared:
+    """A matrix in blocks with its shapes; made once, used by many calls."""
+    matrix: DataFrame
+    blocks: DataFrame
+    shapes: dict[str, Shape]
+    k: int
+
+    def release(self) -> None:
+        self.blocks.unpersist()
+
+
+def prepare(matrix: DataFrame, k: int = 5) -> Prepared:
+    """Lay the matrix out in blocks and add up what the fits share (M1)."""
+    ship_package(matrix.sparkSession)
+    rows = usable(matrix)
+    blocks = rows.mapInPandas(_to_blocks, BLOCK_SCHEMA).persist()
+
+    def first(block):
+        _, fold, x, y, _ = block
+        for c in np.unique(y):
+            at = y == c
+            yield fold, int(c), np.concatenate([[at.sum()], x[at].sum(axis=0)])
+
+    sums = _summed(blocks, first)
+    shapes, counts = {}, {}
+    for ds in {key[0] for key in sums}:
+        own = {key[1:]: v for key, v in sums.items() if key[0] == ds}
+        total = sum(own.values())
+        shapes[ds] = Shape(np.array(sorted({c for _, c in own})), total[1:] / total[0])
+        counts[ds] = own
+    centres = {ds: s.centre for ds, s in shapes.items()}
+
+    def second(block):
+        ds, fold, x, _, _ = block
+        x = x - centres[ds]
+        yield fold, 0, np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
+
+    cross = _summed(blocks, second)
+    for ds, s in shapes.items():
+        d = len(s.centre)
+        for held in range(k):
+            parts = [v for key, v in cross.items() if key[0] == ds and key[1] != held]
+            if not parts:
+                continue
+            total = sum(parts)
+            n, mean = total[0], total[1:d + 1] / total[0]
+            cov = total[d + 1:].reshape(d, d) / n - np.outer(mean, mean)
+            std = np.sqrt(np.maximum(np.diag(cov), 0))
+            scale = np.where(std > 1e-12 * np.maximum(1.0, np.abs(mean + s.centre)), std, 1.0)
+            s.n[held], s.mean[held], s.scale[held] = n, mean, scale
+            s.gram[held] = n * cov / np.outer(scale, scale)
+            s.priors[held] = np.array([sum(v[0] for (f, c), v in counts[ds].items() if f != held and c == cls)
+                                       for cls in s.classes])
+    return Prepared(matrix, blocks, shapes, k)
+
+
+# ---- fits ----------------------------------------------------------------------
+
+class Fits:
+    """Fits of one dataset. Weights are kept for all elements (0 where a
+    config doesn't use one), so that a block scores all fits in one product."""
+
+    def __init__(self, shape: Shape, keys: list[tuple[str, int, tuple[int, ...]]], lam: float,
+                 start: Mapping[tuple[str, int], np.ndarray]):
+        self.shape, self.keys, self.lam = shape, keys, lam
+        count, d, q = len(keys), len(shape.centre), shape.outputs
+        self.d, self.q = d, q
+        self.held = np.array([h for _, h, _ in keys])
+        self.mask = np.zeros((count, d))
+        for i, (_, _, cols) in enumerate(keys):
+            self.mask[i, list(cols)] = 1.0
+        self.mean = np.stack([shape.mean[h] for h in self.held])
+        self.scale = np.stack([shape.scale[h] for h in self.held])
+        self.penalty = np.full(d + 1, lam)
+        self.penalty[d] = 0.0 if q == 1 else INTERCEPT_RIDGE
+        bound = 0.25 if q == 1 else 0.5
+        self.inverse = np.empty((count, d, d))
+        for i in range(count):
+            used = self.mask[i]
+            a = bound * shape.gram[self.held[i]] * np.outer(used, used) + np.diag(np.where(used > 0, lam, 1.0))
+            self.inverse[i] = np.linalg.inv(a) * np.outer(used, used)
+        rows = np.array([shape.n[h] for h in self.held])
+        self.inverse_intercept = 1.0 / (bound * rows + INTERCEPT_RIDGE)
+        self.w = np.zeros((count, q, d + 1))
+        for i, (config, h, _) in enumerate(keys):
+            prior = np.log(np.maximum(shape.priors[h], 0.5))
+            self.w[i, :, d] = prior[-1] - prior[0] if q == 1 else prior - prior.mean()
+            known = start.get((config, h))
+            if known is not None:
+                self.w[i] = known
+        size = q * (d + 1)
+        self.accepted = self.w.copy()
+        self.value = np.full(count, np.inf)
+        self.grad = np.zeros((count, q, d + 1))
+        self.step = np.zeros((count, q, d + 1))
+        self.length = np.ones(count)
+        self.moves = np.zeros((count, MEMORY, size))
+        self.turns = np.zeros((count, MEMORY, size))
+        self.open = np.full(count, len(shape.classes) > 1)
+
+    @staticmethod
+    def state_bytes(shape: Shape) -> int:
+        d, size = len(shape.centre), shape.outputs * (len(shape.centre) + 1)
+        return 8 * (d * d + size * (2 * MEMORY + 6))
+
+    def raw(self, at: np.ndarray) -> np.ndarray:
+        """Weights for centred, unscaled columns; the intercept is last."""
+        u = self.w[at, :, :self.d] * (self.mask[at] / self.scale[at])[:, None, :]
+        shift = self.w[at, :, self.d] - np.einsum("fqd,fd->fq", u, self.mean[at])
+        return np.concatenate([u, shift[:, :, None]], axis=2)
+
+    def precondition(self, at: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out = np.empty_like(v)
+        out[:, :, :self.d] = np.einsum("fde,fqe->fqd", self.inverse[at], v[:, :, :self.d])
+        out[:, :, self.d] = v[:, :, self.d] * self.inverse_intercept[at][:, None]
+        return out
+
+    def direction(self, at: np.ndarray) -> np.ndarray:
+        """L-BFGS direction of the fits ``at``; forgotten steps are zeros."""
+        g = self.grad[at]
+        size = self.q * (self.d + 1)
+        flat = g.reshape(len(at), size).copy()
+        s, y = self.moves[at], self.turns[at]
+        sy = np.einsum("fmp,fmp->fm", s, y)
+        rho = np.where(sy > 0, 1.0 / np.where(sy > 0, sy, 1.0), 0.0)
+        alphas = np.zeros((len(at), MEMORY))
+        for m in range(MEMORY - 1, -1, -1):
+            alphas[:, m] = rho[:, m] * np.einsum("fp,fp->f", s[:, m], flat)
+            flat -= alphas[:, m, None] * y[:, m]
+        last = self.precondition(at, y[:, -1].reshape(g.shape)).reshape(len(at), size)
+        curved = np.einsum("fp,fp->f", y[:, -1], last)
+        gamma = np.where(curved > 0, sy[:, -1] / np.where(curved > 0, curved, 1.0), 1.0)
+        flat = self.precondition(at, flat.reshape(g.shape)).reshape(len(at), size) * gamma[:, None]
+        for m in range(MEMORY):
+            beta = rho[:, m] * np.einsum("fp,fp->f", y[:, m], flat)
+            flat += (alphas[:, m] - beta)[:, None] * s[:, m]
+        return -flat.reshape(g.shape)
+
+    def move(self, at: np.ndarray, sums: np.ndarray) -> None:
+        """Take the data terms at the tried weights: accept or halve the step,
+        close what has come to its end, set the next weights to try."""
+        d, q = self.d, self.q
+        raw = sums[:, :-1].reshape(len(at), q, d + 1)
+        w = self.w[at]
+        grad = raw.copy()
+        grad[:, :, :d] = ((raw[:, :, :d] - self.mean[at][:, None, :] * raw[:, :, d:])
+                          * (self.mask[at] / self.scale[at])[:, None, :])
+        grad += self.penalty * w
+        value = sums[:, -1] + 0.5 * np.sum(self.penalty * w * w, axis=(1, 2))
+        slope = np.sum(self.grad[at] * self.step[at], axis=(1, 2))
+        fits = (~np.isfinite(self.value[at])
+                | (value <= self.value[at] + 1e-4 * self.length[at] * slope + 1e-14 * np.abs(value)))
+        tiny = self.length[at] < 1e-10
+        self.open[at[tiny & ~fits]] = False                    # no decrease left in double precision
+        back = at[~fits & ~tiny]
+        self.length[back] *= 0.5
+        ok = at[fits]
+        size = q * (d + 1)
+        s = (self.w[ok] - self.accepted[ok]).reshape(len(ok), size)
+        y = (grad[fits] - self.grad[ok]).reshape(len(ok), size)
+        learnt = np.isfinite(self.value[ok]) & (np.einsum("fp,fp->f", s, y) > 1e-300)
+        push = ok[learnt]
+        self.moves[push] = np.concatenate([self.moves[push][:, 1:], s[learnt][:, None]], axis=1)
+        self.turns[push] = np.concatenate([self.turns[push][:, 1:], y[learnt][:, None]], axis=1)
+        self.accepted[ok], self.grad[ok], self.value[ok], self.length[ok] = self.w[ok], grad[fits], value[fits], 1.0
+        self.step[ok] = self.direction(ok)
+        gain = -np.sum(self.grad[ok] * self.step[ok], axis=(1, 2))
+        self.open[ok[gain <= TOL * np.maximum(1.0, value[fits])]] = False
+        self.w[at] = self.accepted[at] + self.length[at][:, None, None] * self.step[at]
+        shut = at[~self.open[at]]
+        self.w[shut] = self.accepted[shut]
+
+
+def _scores(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """(rows, fits, outputs) of centred rows."""
+    fits, q, width = weights.shape
+    flat = weights.reshape(fits * q, width)
+    return (x @ flat[:, :-1].T + flat[:, -1]).reshape(len(x), fits, q)
+
+
+def _data_terms(x: np.ndarray, yi: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Per fit the gradient by output and column (intercept last) and the loss."""
+    e = _scores(x, weights)
+    rows, fits, q = e.shape
+    if q == 1:
+        target = (yi == 1).astype(float)[:, None]
+        loss = (np.logaddexp(0.0, e[:, :, 0]) - target * e[:, :, 0]).sum(axis=0)
+        r = (0.5 * (1.0 + np.tanh(0.5 * e[:, :, 0])) - target)[:, :, None]
+    else:
+        e = e - e.max(axis=2, keepdims=True)
+        p = np.exp(e)
+        total = p.sum(axis=2, keepdims=True)
+        loss = (np.log(total[:, :, 0]) - e[np.arange(rows), :, yi]).sum(axis=0)
+        r = p / total
+        r[np.arange(rows), :, yi] -= 1.0
+    flat = r.reshape(rows, fits * q)
+    grad = np.concatenate([flat.T @ x, flat.sum(axis=0)[:, None]], axis=1).reshape(fits, -1)
+    return np.concatenate([grad, loss[:, None]], axis=1)
+
+
+def _one_pass(prep: Prepared, groups: Mapping[str, Fits]) -> bool:
+    """One gradient pass over all open fits; false when none is open."""
+    todo = {ds: np.flatnonzero(f.open) for ds, f in groups.items()}
+    todo = {ds: at for ds, at in todo.items() if len(at)}
+    if not todo:
+        return False
+    design = {ds: (prep.shapes[ds].centre, prep.shapes[ds].classes, groups[ds].held[at], groups[ds].raw(at))
+              for ds, at in todo.items()}
+    sent = prep.blocks.sparkSession.sparkContext.broadcast(design)    # bounded by STATE_BYTES
+
+    def partial(block):
+        ds, fold, x, y, _ = block
+        if ds not in sent.value:
+            return
+        centre, classes, held, weights = sent.value[ds]
+        x, yi = x - centre, np.searchsorted(classes, y)
+        fits, q, width = weights.shape
+        per_slice = max(1, SLICE_VALUES // (q * width + 1))
+        per_rows = max(1, SCORE_VALUES // (min(per_slice, fits) * q))
+        for sub in range(0, fits, per_slice):
+            at = np.flatnonzero(held[sub:sub + per_slice] != fold)
+            if not len(at):
+                continue
+            v = np.zeros((min(per_slice, fits - sub), q * width + 1))
+            for r in range(0, len(x), per_rows):
+                v[at] += _data_terms(x[r:r + per_rows], yi[r:r + per_rows], weights[sub + at])
+            yield 0, sub, v.ravel()
+
+    sums = _summed(prep.blocks, partial)
+    sent.unpersist()
+    for ds, at in todo.items():
+        f = groups[ds]
+        width = f.q * (f.d + 1) + 1
+        f.move(at, np.concatenate([sums[key].reshape(-1, width) for key in sorted(sums) if key[0] == ds]))
+    return True
+
+
+def _fit(prep: Prepared, fits: list[tuple], lam: float, start: Mapping) -> dict[str, Fits]:
+    """Fit ``(config_id, dataset, held, cols)`` together."""
+    by_dataset: dict[str, list] = {}
+    for config, ds, held, cols in fits:
+        by_dataset.setdefault(ds, []).append((config, held, cols))
+    groups = {ds: Fits(prep.shapes[ds], keys, lam, start) for ds, keys in by_dataset.items()}
+    for _ in range(MAX_PASSES):
+        if not _one_pass(prep, groups):
             break
-        bw = sc.broadcast({i: state[i]["w_cur"] for i in active})
-
-        def reduce(pdf):
-            fid = int(pdf["fit_id"].iloc[0])
-            f = meta.value[fid]
-            w = bw.value[fid]
-            loss = float(pdf["loss"].sum())
-            g = np.sum([np.frombuffer(b) for b in pdf["g"]], axis=0)
-            H = np.sum([np.frombuffer(b).reshape(f["p"], f["p"]) for b in pdf["h"]], axis=0)
-            d = len(f["cols"])
-            step, G = SV.newton_direction(w, g, H, d, f["K"], lam)
-            pen = SV._penalty_diag(d, f["K"], lam)
-            fval = loss + 0.5 * float(np.sum(pen * w * w))
-            return pd.DataFrame({"fit_id": [fid], "f": [fval], "step": [step.tobytes()],
-                                 "gstep": [float(G @ step)]}).astype({"fit_id": np.int32})
-
-        rows = (cached.mapInPandas(_pass_fn(meta, bst, bcl, bw, True), PARTIAL_SCHEMA)
-                      .groupBy("fit_id").applyInPandas(reduce, STEP_SCHEMA).collect())
-        bw.unpersist()
-        for r in rows:
-            st = state[r["fit_id"]]
-            step = np.frombuffer(r["step"])
-            if st["w_acc"] is None or r["f"] <= st["f_acc"] - 1e-4 * st["t"] * st["gdir"] or st["t"] < 1e-10:
-                moved = 0.0 if st["w_acc"] is None else float(np.max(np.abs(st["w_cur"] - st["w_acc"])))
-                if st["w_acc"] is not None and (moved < tol or abs(st["f_acc"] - r["f"]) <= 1e-15 * max(1.0, abs(r["f"]))):
-                    out[r["fit_id"]] = st["w_cur"]
-                    active.discard(r["fit_id"])
-                    continue
-                st.update(w_acc=st["w_cur"], f_acc=r["f"], dir=step, gdir=r["gstep"], t=1.0)
-            else:
-                st["t"] *= 0.5
-            st["w_cur"] = st["w_acc"] - st["t"] * st["dir"]
-    for i in active:
-        out[i] = state[i]["w_cur"]
-    return out
-
-
-GRAD_SCHEMA = T.StructType([
-    T.StructField("fit_id", T.IntegerType()), T.StructField("f", T.DoubleType()),
-    T.StructField("g", T.BinaryType()),
-])
+    for f in groups.values():
+        f.w = f.accepted
+    return groups
 
 
-def _lbfgs_chunk(cached, chunk, classes, stats, lam, tol, max_iter, sc, memory=10, gtol=1e-7):
-    """Gradient-only passes: each partition ships ``p`` numbers per fit (no
-    Hessian), so the shuffle per pass is partitions x sum(p) doubles. Armijo
-    backtracking is lagged across passes like the Newton strategy."""
-    state = {f["fit_id"]: dict(w_cur=np.zeros(f["p"]), w_acc=None, f_acc=None, g_acc=None, d=None,
-                               t=1.0, S=[], Y=[]) for f in chunk}
-    meta = sc.broadcast({f["fit_id"]: f for f in chunk})
-    bst = sc.broadcast(stats)
-    bcl = sc.broadcast(classes)
-    active = set(state)
-    out = {}
-    for _ in range(max_iter):
-        if not active:
-            break
-        bw = sc.broadcast({i: state[i]["w_cur"] for i in active})
-
-        def reduce(pdf):
-            fid = int(pdf["fit_id"].iloc[0])
-            f = meta.value[fid]
-            w = bw.value[fid]
-            pen = SV._penalty_diag(len(f["cols"]), f["K"], lam)
-            g = np.sum([np.frombuffer(b) for b in pdf["g"]], axis=0) + pen * w
-            fval = float(pdf["loss"].sum()) + 0.5 * float(np.sum(pen * w * w))
-            return pd.DataFrame({"fit_id": [fid], "f": [fval], "g": [g.tobytes()]}).astype({"fit_id": np.int32})
-
-        rows = (cached.mapInPandas(_pass_fn(meta, bst, bcl, bw, False), PARTIAL_SCHEMA)
-                      .groupBy("fit_id").applyInPandas(reduce, GRAD_SCHEMA).collect())
-        bw.unpersist()
-        for r in rows:
-            fid, st = r["fit_id"], state[r["fit_id"]]
-            g = np.frombuffer(r["g"]).copy()
-            f_cur = r["f"]
-            if st["w_acc"] is not None and not (f_cur <= st["f_acc"] + 1e-4 * st["t"] * float(st["g_acc"] @ st["d"])
-                                               or st["t"] < 1e-12):
-                st["t"] *= 0.5                                   # backtrack
-                st["w_cur"] = st["w_acc"] + st["t"] * st["d"]
+def _predict(prep: Prepared, groups: Mapping[str, Fits], output: str) -> DataFrame:
+    """Predictions of the held folds; ties go to the lowest class."""
+    design = {ds: (prep.shapes[ds].centre, prep.shapes[ds].classes, f.held, [c for c, _, _ in f.keys],
+                   f.raw(np.arange(len(f.held)))) for ds, f in groups.items()}
+    sent = prep.blocks.sparkSession.sparkContext.broadcast(design)
+
+    def run(batches):
+        counts: dict[tuple, int] = {}
+        for ds, fold, x, y, ids in _blocks(batches):
+            if ds not in sent.value:
                 continue
-            if st["w_acc"] is not None:
-                s_vec, y_vec = st["w_cur"] - st["w_acc"], g - st["g_acc"]
-                if float(s_vec @ y_vec) > 1e-12:
-                    st["S"].append(s_vec)
-                    st["Y"].append(y_vec)
-                    if len(st["S"]) > memory:
-                        st["S"].pop(0)
-                        st["Y"].pop(0)
-                done = (float(np.max(np.abs(g))) < gtol * max(1.0, abs(f_cur))
-                        or float(np.max(np.abs(s_vec))) < tol
-                        or abs(st["f_acc"] - f_cur) <= 1e-15 * max(1.0, abs(f_cur)))
-                if done:
-                    out[fid] = st["w_cur"]
-                    active.discard(fid)
-                    continue
-            st.update(w_acc=st["w_cur"], f_acc=f_cur, g_acc=g, t=1.0)
-            st["d"] = SV.two_loop(g, st["S"], st["Y"])
-            st["w_cur"] = st["w_acc"] + st["d"]
-    for i in active:
-        out[i] = state[i]["w_acc"] if state[i]["w_acc"] is not None else state[i]["w_cur"]
-    return out
-
-
-def _spark_ml_mlp_path(matrix, fits_pd, k, output, mlp_kw, parallelism: int = 4):
-    """M10 above the broadcast limit: Spark ML's data-parallel perceptron
-    (sigmoid hidden layer, L-BFGS) per fit, on training rows standardised
-    with the pooled fold statistics; independent fits are submitted
-    concurrently. Same output as the other strategies."""
+            centre, classes, held, names, weights = sent.value[ds]
+            at = np.flatnonzero(held == fold)
+            x, size = x - centre, max(1, SCORE_VALUES // max(1, len(x) * weights.shape[1]))
+            for sub in range(0, len(at), size):
+                some = at[sub:sub + size]
+                e = _scores(x, weights[some])
+                if len(classes) == 2:
+                    picked = (e[:, :, 0] > 0).astype(np.int64)
+                else:
+                    picked = np.argmax(e, axis=2)
+                for j, i in enumerate(some):
+                    pred = classes[picked[:, j]]
+                    if output == "oof":
+                        yield pd.DataFrame({"config_id": names[i], "dataset": ds, "row_id": ids, "fold": fold,
+                                            "label": y, "pred": pred})
+                        continue
+                    pairs, n = np.unique(np.stack([y, pred]), axis=1, return_counts=True)
+                    for label, p, m in zip(*pairs.tolist(), n.tolist()):
+                        key = (names[i], fold, label, p)
+                        counts[key] = counts.get(key, 0) + m
+        if counts:
+            yield pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["config_id", "fold", "label", "pred", "n"])
+
+    if output == "oof":
+        return prep.blocks.mapInPandas(run, OOF_SCHEMA)
+    return (prep.blocks.mapInPandas(run, CONFUSION_SCHEMA)
+            .groupBy("config_id", "fold", "label", "pred").agg(F.sum("n").alias("n")))
+
+
+def fit_and_predict(prep: Prepared, configs: Sequence[tuple], C: float = 1.0, output: str = "confusion",
+                    start: Mapping[tuple[str, int], np.ndarray] | None = None,
+                    state_bytes: int | None = None) -> tuple[DataFrame, dict[tuple[str, int], np.ndarray]]:
+    """All fits of ``configs`` (rows ``(config_id, dataset, cols)``), in groups
+    whose state fits ``state_bytes``. Returns predictions or counts and the
+    weights by ``(config_id, held fold)``, with which a later call may start."""
+    spark = prep.blocks.sparkSession
+    budget = state_bytes or STATE_BYTES
+    fits = [(c, ds, held, tuple(cols)) for c, ds, cols in configs if ds in prep.shapes
+            for held in range(prep.k) if held in prep.shapes[ds].n]
+    out, weights, group, used = [], {}, [], 0
+    for f in [*fits, None]:
+        size = Fits.state_bytes(prep.shapes[f[1]]) if f else 0
+        if group and (f is None or used + size > budget):
+            done = _fit(prep, group, 1.0 / C, start or {})
+            out.append(_predict(prep, done, output))
+            for d in done.values():
+                weights.update({(c, h): d.w[i] for i, (c, h, _) in enumerate(d.keys)})
+            group, used = [], 0
+        if f:
+            group.append(f)
+            used += size
+    if not out:
+        return spark.createDataFrame([], OOF_SCHEMA if output == "oof" else CONFUSION_SCHEMA), weights
+    res = out[0]
+    for more in out[1:]:
+        res = res.unionByName(more)
+    return res, weights
+
+
+# ---- perceptron ----------------------------------------------------------------
+
+def _perceptron(prep: Prepared, configs: Sequence[tuple], output: str, mlp_kw: Mapping, parallelism: int = 4) -> DataFrame:
+    """Spark ML's data-parallel perceptron (one hidden layer, L-BFGS) per
+    fit, on rows standardised by the fit's training folds; independent fits
+    are submitted side by side."""
     from concurrent.futures import ThreadPoolExecutor
 
     from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.functions import array_to_vector
 
-    classes = {r["dataset"]: sorted(r["cls"]) for r in
-               matrix.groupBy("dataset").agg(F.collect_set("label").alias("cls")).collect()}
-    stats = _scaling_stats(matrix, k)
-    cached = matrix.select("dataset", "row_id", "label", "fold", "x").persist()
+    rows_all = usable(prep.matrix).persist()
     hidden = int(mlp_kw.get("hidden", 64))
 
-    def fit_one(r):
-        ds, held, cols = r.dataset, int(r.held), [int(c) for c in r.cols]
-        mu, sc = stats[(ds, held)]
-        cls = classes[ds]
+    def fit_one(fit):
+        config, ds, cols, held = fit
+        s = prep.shapes[ds]
+        mu, sc = s.mean[held] + s.centre, s.scale[held]
+        cls = [int(c) for c in s.classes]
+        known = F.array(*[F.lit(c) for c in cls])
         feats = array_to_vector(F.array(*[(F.col("x")[c] - float(mu[c])) / float(sc[c]) for c in cols]))
-        idx = (F.array_position(F.array(*[F.lit(c) for c in cls]), F.col("label")) - 1).cast("double")
-        rows = cached.filter(F.col("dataset") == ds).select("row_id", "label", "fold", feats.alias("features"),
-                                                            idx.alias("y"))
+        rows = rows_all.where(F.col("dataset") == ds).select(
+            "row_id", "label", "fold", feats.alias("features"),
+            (F.array_position(known, F.col("label")) - 1).cast("double").alias("y"))
+        # the network has two outputs at least; a single class is then output 0
         model = MultilayerPerceptronClassifier(featuresCol="features", labelCol="y",
-                                               layers=[len(cols), hidden, len(cls)],
-                                               maxIter=int(mlp_kw.get("max_iter", 1000)),
-                                               seed=int(mlp_kw.get("seed", 0))).fit(rows.filter(F.col("fold") != held))
-        cls_of = F.array(*[F.lit(c) for c in cls])
-        pred = (model.transform(rows.filter(F.col("fold") == held))
-                     .select(F.lit(r.config_id).alias("config_id"), F.lit(ds).alias("dataset"), "row_id",
+                                               layers=[len(cols), hidden, max(2, len(cls))],
+                                               maxIter=int(mlp_kw.get("max_iter", 200)),
+                                               seed=int(mlp_kw.get("seed", 0))).fit(rows.where(F.col("fold") != held))
+        return (model.transform(rows.where(F.col("fold") == held))
+                     .select(F.lit(config).alias("config_id"), F.lit(ds).alias("dataset"), "row_id",
                              F.lit(held).alias("fold"), "label",
-                             F.element_at(cls_of, F.col("prediction").cast("int") + 1).alias("pred")))
-        return pred
-
-    with ThreadPoolExecutor(max_workers=max(1, min(len(fits_pd), parallelism))) as ex:
-        preds = list(ex.map(fit_one, list(fits_pd.itertuples(index=False))))
-    out = preds[0]
-    for p in preds[1:]:
+                             F.element_at(known, F.col("prediction").cast("int") + 1).alias("pred")))
+
+    fits = [(c, ds, [int(i) for i in cols], h) for c, ds, cols in configs if ds in prep.shapes
+            for h in range(prep.k) if h in prep.shapes[ds].n]
+    with ThreadPoolExecutor(max_workers=max(1, min(len(fits), parallelism))) as ex:
+        preds = list(ex.map(fit_one, fits))
+    rows_all.unpersist()
+    out = prep.blocks.sparkSession.createDataFrame([], OOF_SCHEMA)
+    for p in preds:
         out = out.unionByName(p)
     if output == "oof":
-        return out.select("config_id", "dataset", "row_id", "fold", "label", "pred")
+        return out
     return out.groupBy("config_id", "fold", "label", "pred").agg(F.count(F.lit(1)).alias("n"))
 
 
-def evaluate_many(matrix: DataFrame, configs: DataFrame, *, k: int = 5, classifier: str = "logreg",
-                  C: float = 1.0, output: str = "confusion", strategy: str | None = None,
-                  small_bytes: int = SMALL_BYTES, mlp_kw: dict | None = None,
-                  num_tasks: int | None = None, local=None, solver: str = "auto",
-                  materialize: bool = True) -> DataFrame:
+def evaluate_many(matrix: DataFrame | None, configs: DataFrame, *, k: int = 5, classifier: str = "logreg",
+                  C: float = 1.0, output: str = "confusion", prepared: Prepared | None = None,
+                  state_bytes: int | None = None, mlp_kw: dict | None = None) -> DataFrame:
     """M3: fit every config on k-1 folds and predict the held fold, for all k.
 
-    ``output``: ``confusion`` (default), ``oof`` (one prediction per row and
-    config) or ``acc`` (``config_id, acc, acc_std, n_folds``; in the broadcast
-    strategy each fit emits its fold accuracy, reduced in one small aggregate).
-
-    ``local`` is a handle from ``broadcast_matrix`` (skips the size check and
-    the shipping)."""
-    fits = configs.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    if local is not None:
-        strategy = "broadcast"
-    if strategy is None:
-        try:
-            local = broadcast_matrix(matrix, small_bytes)
-            strategy = "broadcast"
-        except ValueError:
-            strategy = "distributed"
-    acc_from_confusion = output == "acc" and strategy != "broadcast"
-    if acc_from_confusion:
-        output = "confusion"
-    if classifier == "mlp" and strategy != "broadcast":
-        res = _spark_ml_mlp_path(matrix, fits.toPandas(), k, output, mlp_kw or {})
-    elif strategy == "broadcast":
-        res = _broadcast_path(matrix, fits, classifier, C, output, mlp_kw, num_tasks, local)
-        if output == "acc":
-            return res
-    elif classifier == "logreg":
-        fits_pd = fits.toPandas()   # design table: configs x folds
-        res = _distributed_path(matrix, fits_pd, k, C, output, solver=solver)
-    if acc_from_confusion:
+    ``prepared`` is a handle from ``prepare``, for several calls over one
+    matrix; the caller releases it."""
+    if classifier not in ("logreg", "mlp"):
+        raise ValueError(f"unknown classifier {classifier!r}: logreg or mlp")
+    prep = prepared or prepare(matrix, k)
+    try:
+        rows = [(r["config_id"], r["dataset"], r["cols"]) for r in configs.collect()]     # design table
+        kind = "oof" if output == "oof" else "confusion"
+        if classifier == "mlp":
+            res = _perceptron(prep, rows, kind, mlp_kw or {})
+        else:
+            res = fit_and_predict(prep, rows, C, kind, state_bytes=state_bytes)[0]
+        if kind == "confusion":
+            # configs x folds x classes^2 rows whatever the row count: made
+            # once, so that accuracy and F1 don't predict again
+            res = res.persist()
+            res.count()
+    finally:
+        if prepared is None:
+            prep.release()
+    if output == "acc":
         from probelab.operators.metrics import cv_accuracy
         return cv_accuracy(res)
-    if output in ("oof", "acc") or not materialize:
-        return res
-    # Confusion counts are configs x folds x classes^2 rows whatever the row
-    # count; materialise them once so accuracy and F1 do not refit.
-    res = res.persist()
-    res.count()
     return res

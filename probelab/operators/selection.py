@@ -56,46 +56,62 @@ def split_id(df: DataFrame, names=("dataset", "item")) -> DataFrame:
                      *[c for c in df.columns if c != "config_id"])
 
 
-def run_configs(matrix: DataFrame, rows, **kw) -> DataFrame:
+def _session(matrix: DataFrame | None, prepared: EV.Prepared | None = None, **_):
+    return (prepared.blocks if prepared is not None else matrix).sparkSession
+
+
+def run_configs(matrix: DataFrame | None, rows, **kw) -> DataFrame:
     """M3 + A11 + A12 over a list of configs: ``config_id, acc, acc_std, n_folds, f1``."""
-    spark = matrix.sparkSession
+    spark = _session(matrix, **kw)
     conf = EV.evaluate_many(matrix, EV.config_frame(spark, rows), **kw)
     return M.cv_summary(conf)
 
 
-def greedy_forward(matrix: DataFrame, chains: dict[tuple[str, str], Sequence[int]],
-                   qid_of: dict[int, str], max_k: int | None = None, **kw) -> DataFrame:
+def greedy_forward(matrix: DataFrame | None, chains: dict[tuple[str, str], Sequence[int]],
+                   qid_of: dict[int, str], max_k: int | None = None, *, k: int = 5,
+                   prepared: EV.Prepared | None = None, C: float = 1.0) -> DataFrame:
     """M7: for every chain (dataset, set) with candidate columns, the full
     forward path ``(dataset, set, k, acc, qid)``; ties go to the earliest
-    candidate (W8)."""
-    spark = matrix.sparkSession
-    if "local" not in kw and kw.get("strategy") in (None, "broadcast"):
-        try:
-            kw["local"] = EV.broadcast_matrix(matrix)      # one size check, one shipment
-        except ValueError:
-            kw["strategy"] = "distributed"
+    candidate (W8).
+
+    The fold sums and cross-products are added once for all rounds, and the
+    candidates of a round start from the weights of the last winner, so a
+    round is a few gradient passes over all candidates of all chains."""
+    prep = prepared or EV.prepare(matrix, k)
+    spark = prep.blocks.sparkSession
     chosen = {c: [] for c in chains}
     remaining = {c: list(v) for c, v in chains.items()}
+    won: dict[tuple[str, str], dict] = {c: {} for c in chains}
     curve = []
-    limit = max_k or max(len(v) for v in chains.values())
-    for _ in range(limit):
-        rows = []
-        for (ds, st), rem in remaining.items():
-            if not rem or len(chosen[(ds, st)]) >= limit:
-                continue
-            for pos, j in enumerate(rem):
-                rows.append((f"{ds}|{st}|{j}|{pos}", ds, chosen[(ds, st)] + [j]))
-        if not rows:
-            break
-        acc = EV.evaluate_many(matrix, EV.config_frame(spark, rows), output="acc", **kw)
-        parts = F.split(F.col("config_id"), r"\|")
-        scored = acc.select(parts[0].alias("dataset"), parts[1].alias("set"),
-                            parts[2].cast("int").alias("col"), parts[3].cast("int").alias("col_idx"), "acc")
-        for r in M.best_candidate(scored, ["dataset", "set"]).collect():
-            key = (r["dataset"], r["set"])
-            chosen[key].append(r["col"])
-            remaining[key].remove(r["col"])
-            curve.append((r["dataset"], r["set"], len(chosen[key]), float(r["acc"]), qid_of[r["col"]]))
+    limit = max_k or max((len(v) for v in chains.values()), default=0)
+    try:
+        for _ in range(limit):
+            rows, start = [], {}
+            for (ds, st), rem in remaining.items():
+                for pos, j in enumerate(rem):
+                    config = f"{ds}|{st}|{j}|{pos}"
+                    rows.append((config, ds, chosen[(ds, st)] + [j]))
+                    start.update({(config, held): w for held, w in won[(ds, st)].items()})
+            if not rows:
+                break
+            conf, weights = EV.fit_and_predict(prep, rows, C, start=start)
+            parts = F.split(F.col("config_id"), r"\|")
+            scored = M.cv_accuracy(conf).select(
+                "config_id", parts[0].alias("dataset"), parts[1].alias("set"),
+                parts[2].cast("int").alias("col"), parts[3].cast("int").alias("col_idx"), "acc")
+            found = {(r["dataset"], r["set"]): r for r in M.best_candidate(scored, ["dataset", "set"]).collect()}
+            for key in remaining:
+                r = found.get(key)
+                if r is None:                       # no rows, or no candidate left
+                    remaining[key] = []
+                    continue
+                won[key] = {held: w for (c, held), w in weights.items() if c == r["config_id"]}
+                chosen[key].append(r["col"])
+                remaining[key].remove(r["col"])
+                curve.append((*key, len(chosen[key]), float(r["acc"]), qid_of[r["col"]]))
+    finally:
+        if prepared is None:
+            prep.release()
     return spark.createDataFrame(curve, "dataset string, set string, k int, acc double, qid string")
 
 
@@ -111,10 +127,10 @@ def random_order_configs(orders: DataFrame, q_idx_of: dict[str, int]):
     return out
 
 
-def random_order_curves(matrix: DataFrame, orders: DataFrame, q_idx_of: dict[str, int], **kw) -> DataFrame:
+def random_order_curves(matrix: DataFrame | None, orders: DataFrame, q_idx_of: dict[str, int], **kw) -> DataFrame:
     """M8: CV accuracy of every prefix of every random order:
     ``(dataset, perm, k, acc)``."""
-    spark = matrix.sparkSession
+    spark = _session(matrix, **kw)
     acc = M.cv_accuracy(EV.evaluate_many(matrix, EV.config_frame(spark, random_order_configs(orders, q_idx_of)), **kw))
     parts = F.split(F.col("config_id"), r"\|")
     return acc.select(parts[0].alias("dataset"), parts[1].cast("int").alias("perm"),

@@ -527,9 +527,11 @@ def mlp_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     from probelab.operators import evaluate as EV
     m = _emb_matrix(spark, sf_dir)
     cfg = [c for c in SEL.group_configs(["embeddings"], _cat_rows(), groups=(C.LOW, "SYN_ALL"))]
-    lr = M.cv_accuracy(EV.evaluate_many(m, EV.config_frame(spark, cfg))).withColumn("model", F.lit("lr"))
-    mlp = M.cv_accuracy(EV.evaluate_many(m, EV.config_frame(spark, cfg), classifier="mlp")) \
-           .withColumn("model", F.lit("mlp"))
+    prep = EV.prepare(m)
+    lr = EV.evaluate_many(None, EV.config_frame(spark, cfg), output="acc", prepared=prep).withColumn("model", F.lit("lr"))
+    mlp = (EV.evaluate_many(None, EV.config_frame(spark, cfg), classifier="mlp", output="acc", prepared=prep)
+           .withColumn("model", F.lit("mlp")))
+    prep.release()
     return SEL.split_id(lr.unionByName(mlp), ("dataset", "grp"))
 
 

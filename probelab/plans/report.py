@@ -34,30 +34,27 @@ def analyse(long: DataFrame, labelled: DataFrame, cat: DataFrame, *, greedy: boo
     cat_rows = [r.asDict() for r in cat.orderBy("q_idx").collect()]      # design table
     qids = [r["qid"] for r in cat_rows]
     folds = FO.stratified_folds(labelled, k=k)
-    matrix = EV.build_matrix(long, folds, qids).persist()
-    datasets = [r.dataset for r in matrix.select("dataset").distinct().collect()]
-    local = None
-    try:
-        local = EV.broadcast_matrix(matrix)
-    except ValueError:
-        pass
-    kw = {"local": local} if local is not None else {"strategy": "distributed"}
+    prep = EV.prepare(EV.build_matrix(long, folds, qids), k)
+    datasets = sorted(prep.shapes)
+    kw = {"prepared": prep}
     chance = chance_table(labelled)
     out = {"chance": chance}
-    out["groups"] = SEL.split_id(SEL.run_configs(matrix, SEL.group_configs(datasets, cat_rows), **kw),
+    out["groups"] = SEL.split_id(SEL.run_configs(None, SEL.group_configs(datasets, cat_rows), **kw),
                                  ("dataset", "grp"))
-    uni = SEL.split_id(SEL.run_configs(matrix, SEL.univariate_configs(datasets, cat_rows), **kw),
+    uni = SEL.split_id(SEL.run_configs(None, SEL.univariate_configs(datasets, cat_rows), **kw),
                        ("dataset", "qid"))
     out["uni"] = uni
-    out["per_sense"] = SEL.split_id(SEL.run_configs(matrix, SEL.sense_configs(datasets, cat_rows), **kw),
+    out["per_sense"] = SEL.split_id(SEL.run_configs(None, SEL.sense_configs(datasets, cat_rows), **kw),
                                     ("dataset", "sense"))
     cols = SEL.columns_by_set(cat_rows)
     if greedy:
         chains = {(d, s): cols[s] for d in datasets for s in (LOW, HIGH)}
-        out["curves"] = SEL.greedy_forward(matrix, chains, {r["q_idx"]: r["qid"] for r in cat_rows}, **kw)
-    orders = FO.feature_orders(matrix.select("dataset").distinct(), [r["qid"] for r in cat_rows if r["set"] == LOW],
+        out["curves"] = SEL.greedy_forward(None, chains, {r["q_idx"]: r["qid"] for r in cat_rows}, **kw)
+    named = spark.createDataFrame([(d,) for d in datasets], "dataset string")
+    orders = FO.feature_orders(named, [r["qid"] for r in cat_rows if r["set"] == LOW],
                                n_perm=n_perm)
-    band = CV.curve_band(SEL.random_order_curves(matrix, orders, {r["qid"]: r["q_idx"] for r in cat_rows}, **kw))
+    band = CV.curve_band(SEL.random_order_curves(None, orders, {r["qid"]: r["q_idx"] for r in cat_rows}, **kw))
+    prep.release()
     out["random_band"] = band
     out["random_gain"] = CV.gain_summary(CV.marginal_gain(band))
     meta = cat.select("qid", "set", "sense", "predicate", F.col("a_priori_metaphoricity").alias("metaphoricity"))

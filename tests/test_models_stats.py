@@ -9,32 +9,51 @@ from pyspark.sql import functions as F
 from probelab.functions.scalar import corr_pvalue, normal_two_sided
 from probelab.operators import evaluate as EV
 from probelab.operators import metrics as M
-from probelab.operators import solver as SV
 from probelab.operators import stats as ST
 
 
-def _grad_norm(w, Z, yi, K, C=1.0):
+def _newton(Z, yi, K, C=1.0):
+    """Plain NumPy statement of M2: full Newton steps, halved until the
+    objective falls; the weights of one class (two classes) or of each."""
     A = np.hstack([Z, np.ones((len(Z), 1))])
-    _, g, _ = SV.data_terms(w, A, yi, K, hessian=False)
-    pen = SV._penalty_diag(Z.shape[1], K, 1.0 / C)
-    return np.max(np.abs(g + pen * w))
-
-
-@pytest.mark.parametrize("K", [2, 3, 6])
-def test_logreg_reaches_optimum(K):
-    rng = np.random.default_rng(K)
-    Z = rng.normal(size=(300, 5))
-    yi = rng.integers(0, K, 300)
-    Z[:, 0] += yi          # some signal
-    w = SV.fit_logreg(Z, yi, K)
-    assert _grad_norm(w, Z, yi, K) < 1e-6
-
-
-def test_standardize_constant_column():
-    X = np.c_[np.ones(10), np.arange(10.0)]
-    mu, sc = SV.standardize_fit(X)
-    Z = (X - mu) / sc
-    assert np.all(Z[:, 0] == 0) and abs(Z[:, 1].std() - 1) < 1e-12
+    p, q = A.shape[1], 1 if K == 2 else K
+    pen = np.tile(np.r_[np.full(p - 1, 1.0 / C), 0.0 if q == 1 else 1e-9], q)
+    hot = np.eye(K)[yi]
+
+    def terms(w):
+        e = A @ w.reshape(q, p).T
+        if q == 1:
+            e = np.hstack([np.zeros_like(e), e])
+        top = e.max(axis=1, keepdims=True)
+        P = np.exp(e - top)
+        norm = P.sum(axis=1, keepdims=True)
+        f = float((np.log(norm[:, 0]) + top[:, 0] - (e * hot).sum(axis=1)).sum()) + 0.5 * float(pen @ (w * w))
+        P = P / norm
+        keep = [1] if q == 1 else range(K)
+        g = np.concatenate([A.T @ (P[:, c] - hot[:, c]) for c in keep]) + pen * w
+        H = np.block([[(A.T * (P[:, c] * ((c == e2) - P[:, e2]))) @ A for e2 in keep] for c in keep]) + np.diag(pen)
+        return f, g, H
+
+    w = np.zeros(p * q)
+    for _ in range(60):
+        f, g, H = terms(w)
+        step, t = np.linalg.solve(H, g), 1.0
+        while terms(w - t * step)[0] > f and t > 1e-8:
+            t /= 2
+        w = w - t * step
+        if np.max(np.abs(t * step)) < 1e-11:
+            break
+    return w.reshape(q, p)
+
+
+def _newton_predict(w, Z, K):
+    e = np.hstack([Z, np.ones((len(Z), 1))]) @ w.T
+    return (e[:, 0] > 0).astype(int) if K == 2 else e.argmax(axis=1)
+
+
+def _scaled(X, train):
+    sd = X[train].std(axis=0)
+    return (X - X[train].mean(axis=0)) / np.where(sd > 1e-12, sd, 1.0)
 
 
 def _matrix(spark, n=240, d=6, K=3, seed=0):
@@ -47,34 +66,111 @@ def _matrix(spark, n=240, d=6, K=3, seed=0):
     return spark.createDataFrame(rows, "dataset string, row_id long, label int, fold int, x array<double>"), X, y
 
 
-def test_broadcast_and_distributed_agree(spark):
-    m, X, y = _matrix(spark)
-    cfg = EV.config_frame(spark, [("a", "d", [0, 1]), ("b", "d", [1, 2, 3, 5]), ("c", "d", [5])])
-    r1 = {(r.config_id, r.fold, r.label, r.pred): r.n for r in EV.evaluate_many(m, cfg, strategy="broadcast").collect()}
-    r2 = {(r.config_id, r.fold, r.label, r.pred): r.n for r in EV.evaluate_many(m, cfg, strategy="distributed").collect()}
-    assert r1 == r2
-    # every row is predicted once per config
-    assert sum(v for (c, *_), v in r1.items() if c == "a") == len(y)
+CONFIGS = [("a", "d", [0, 1]), ("b", "d", [1, 2, 3, 5]), ("c", "d", [5]), ("all", "d", [0, 1, 2, 3, 4, 5])]
 
 
-def test_oof_matches_local_fit(spark):
-    m, X, y = _matrix(spark, seed=3)
-    cfg = EV.config_frame(spark, [("a", "d", [0, 1, 2])])
-    oof = {r.row_id: r.pred for r in EV.evaluate_many(m, cfg, output="oof").collect()}
+def _counts(df):
+    return {(r.config_id, r.fold, r.label, r.pred): r.n for r in df.collect()}
+
+
+@pytest.mark.parametrize("K", [2, 3, 6])
+def test_weights_and_predictions_equal_numpy(spark, K):
+    m, X, y = _matrix(spark, K=K, seed=K)
+    prep = EV.prepare(m)
+    oof, weights = EV.fit_and_predict(prep, CONFIGS, output="oof")
+    got = {(r.config_id, r.row_id): r.pred for r in oof.collect()}
+    assert len(got) == len(CONFIGS) * len(y)
     fold = np.arange(len(y)) % 5
-    for held in range(5):
-        tr, te = fold != held, fold == held
-        mu, sc = SV.standardize_fit(X[tr][:, :3])
-        w = SV.fit_logreg((X[tr][:, :3] - mu) / sc, y[tr], 3)
-        pred = SV.predict_index(w, (X[te][:, :3] - mu) / sc, 3)
-        assert [oof[i] for i in np.where(te)[0]] == list(pred)
+    for name, _, cols in CONFIGS:
+        for held in range(5):
+            Z = _scaled(X[:, cols], fold != held)
+            w = _newton(Z[fold != held], y[fold != held], K)
+            mine = weights[name, held][:, [*cols, X.shape[1]]].copy()
+            if K > 2:                       # a shift of all intercepts is no difference
+                mine[:, -1] -= mine[:, -1].mean()
+                w[:, -1] -= w[:, -1].mean()
+            assert np.allclose(mine, w, atol=1e-6)
+            at = np.flatnonzero(fold == held)
+            e = np.sort(np.c_[np.zeros(len(at)), np.c_[Z[at], np.ones(len(at))] @ w.T][:, 0 if K == 2 else 1:], axis=1)
+            clear = e[:, -1] - e[:, -2] > 1e-6          # equal scores may go either way in NumPy
+            assert (np.array([got[name, i] for i in at]) == _newton_predict(w, Z[at], K))[clear].all()
+    prep.release()
+
+
+def test_partitions_and_state_bound_change_nothing(spark, monkeypatch):
+    """The same fits over 1 and 13 partitions, and one fit at a time with one
+    fit a vector and one row a score table."""
+    m, X, y = _matrix(spark, K=4, seed=11)
+    cfg = EV.config_frame(spark, CONFIGS)
+    want = _counts(EV.evaluate_many(m.repartition(1), cfg))
+    assert sum(n for (c, *_), n in want.items() if c == "a") == len(y)
+    assert _counts(EV.evaluate_many(m.repartition(13), cfg)) == want
+    monkeypatch.setattr(EV, "SLICE_VALUES", 1)
+    monkeypatch.setattr(EV, "SCORE_VALUES", 1)
+    one = EV.config_frame(spark, CONFIGS[:1])
+    assert _counts(EV.evaluate_many(m, one, state_bytes=1)) == {k: n for k, n in want.items() if k[0] == "a"}
+
+
+def test_warm_start_reaches_the_same_weights(spark):
+    prep = EV.prepare(_matrix(spark, seed=4)[0])
+    _, small = EV.fit_and_predict(prep, [("s", "d", [0, 1])])
+    more = [("t", "d", [0, 1, 3])]
+    _, cold = EV.fit_and_predict(prep, more)
+    _, warm = EV.fit_and_predict(prep, more, start={("t", h): w for (_, h), w in small.items()})
+    assert all(np.allclose(cold[k], warm[k], atol=1e-6) for k in cold)
+    prep.release()
+
+
+def test_edge_matrices(spark):
+    schema = "dataset string, row_id long, label int, fold int, x array<double>"
+    cfg = EV.config_frame(spark, [("a", "d", [0]), ("z", "absent", [0])])
+    empty = spark.createDataFrame([], schema)
+    assert EV.evaluate_many(empty, cfg).count() == 0
+    assert EV.evaluate_many(empty, cfg, output="oof").count() == 0
+    # one class: always predicted; rows that no model can use are left out
+    rows = [("d", i, 7, i % 5, [float(i), 1.0]) for i in range(10)]
+    bad = [("d", 100, None, 0, [1.0, 1.0]), ("d", 101, 7, None, [1.0, 1.0]), ("d", 102, 7, 0, None),
+           ("d", 103, 7, 0, [None, 1.0]), ("d", 104, 7, 0, [float("nan"), 1.0])]
+    got = EV.evaluate_many(spark.createDataFrame(rows + bad, schema), cfg, output="oof").collect()
+    assert sorted((r.row_id, r.pred) for r in got) == [(i, 7) for i in range(10)]
+    # a class that only the held fold has is not predicted, and nothing breaks
+    only = rows + [("d", 50 + i, 8, 0, [float(i), 2.0]) for i in range(3)]
+    got = EV.evaluate_many(spark.createDataFrame(only, schema), cfg, output="oof").collect()
+    assert all(r.pred == 7 for r in got if r.fold == 0) and len(got) == 13
+    with pytest.raises(ValueError):
+        EV.evaluate_many(empty, cfg, classifier="forest")
+
+
+def test_greedy_forward_equals_brute_force(spark):
+    from probelab.operators import selection as SEL
+    m, X, y = _matrix(spark, n=150, K=3, seed=8)
+    got = SEL.greedy_forward(m, {("d", "S"): [0, 1, 2, 4], ("none", "S"): [0, 1]}, {i: f"q{i}" for i in range(6)})
+    path = [(r.k, r.qid, round(r.acc, 12)) for r in got.orderBy("k").collect()]
+    fold, chosen, rest, want = np.arange(len(y)) % 5, [], [0, 1, 2, 4], []
+
+    def accuracy(cols):
+        accs = []
+        for held in range(5):
+            Z = _scaled(X[:, cols], fold != held)
+            w = _newton(Z[fold != held], y[fold != held], 3)
+            accs.append(np.mean(_newton_predict(w, Z[fold == held], 3) == y[fold == held]))
+        return round(float(np.mean(accs)), 12)
+
+    while rest:
+        best = max(rest, key=lambda j: (accuracy(chosen + [j]), -rest.index(j)))
+        want.append((len(chosen) + 1, f"q{best}", accuracy(chosen + [best])))
+        chosen.append(best)
+        rest.remove(best)
+    assert path == want
 
 
 def test_mlp_runs(spark):
     m, X, y = _matrix(spark, n=150)
     cfg = EV.config_frame(spark, [("a", "d", [0, 1])])
-    acc = M.cv_accuracy(EV.evaluate_many(m, cfg, classifier="mlp", mlp_kw={"max_iter": 50})).first()
-    assert 0.0 <= acc.acc <= 1.0 and acc.n_folds == 5
+    conf = EV.evaluate_many(m, cfg, classifier="mlp", mlp_kw={"max_iter": 50})
+    acc = M.cv_accuracy(conf).first()
+    assert 1 / 3 < acc.acc <= 1.0 and acc.n_folds == 5          # column 1 carries the class
+    assert sum(r.n for r in conf.collect()) == 150
 
 
 def _conf(spark, rows):
@@ -173,24 +269,6 @@ def test_golden_p_values():
     assert abs(normal_two_sided(z) - 4.600727270090418e-4) < 1e-12
 
 
-def test_lbfgs_strategy_agrees(spark):
-    m, X, y = _matrix(spark, n=200, seed=5)
-    cfg = EV.config_frame(spark, [("a", "d", [0, 1]), ("b", "d", [1, 2, 3, 5])])
-    r1 = {(r.config_id, r.fold, r.label, r.pred): r.n for r in EV.evaluate_many(m, cfg, strategy="broadcast").collect()}
-    r2 = {(r.config_id, r.fold, r.label, r.pred): r.n
-          for r in EV.evaluate_many(m, cfg, strategy="distributed", solver="lbfgs").collect()}
-    assert r1 == r2
-
-
-def test_mlp_above_broadcast_limit_uses_spark_ml(spark):
-    m, X, y = _matrix(spark, n=150)
-    cfg = EV.config_frame(spark, [("a", "d", [0, 1])])
-    conf = EV.evaluate_many(m, cfg, classifier="mlp", strategy="distributed", mlp_kw={"max_iter": 50})
-    acc = M.cv_accuracy(conf).first()
-    assert 0.0 <= acc.acc <= 1.0 and acc.n_folds == 5
-    assert sum(r.n for r in conf.collect()) == 150
-
-
 @pytest.mark.parametrize("K", [2, 3])
 def test_tfidf_classifier_predicts_every_document(spark, K):
     from probelab.operators import tfidf as TF
@@ -207,20 +285,14 @@ def test_tfidf_classifier_predicts_every_document(spark, K):
     assert sorted(got) == list(range(n))
     for h in range(2):
         train, held = np.arange(n) % 2 != h, np.flatnonzero(np.arange(n) % 2 == h)
-        want = SV.predict_index(SV.fit_logreg(dense[train], y[train], K), dense[held], K)
+        want = _newton_predict(_newton(dense[train], y[train], K), dense[held], K)
         assert [got[i].pred for i in held] == want.tolist()
         assert all(got[i].held == h and got[i].label == y[i] for i in held)
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "distributed"])
-def test_acc_output_equals_confusion_metrics(spark, strategy):
+def test_acc_output_equals_confusion_metrics(spark):
     m, X, y = _matrix(spark, seed=7)
     cfg = EV.config_frame(spark, [("a", "d", [0, 1]), ("b", "d", [1, 2, 3])])
-    direct = {r.config_id: (r.acc, r.acc_std, r.n_folds)
-              for r in EV.evaluate_many(m, cfg, output="acc", strategy=strategy).collect()}
-    via = {r.config_id: (r.acc, r.acc_std, r.n_folds)
-           for r in M.cv_accuracy(EV.evaluate_many(m, cfg, strategy="broadcast")).collect()}
-    assert direct.keys() == via.keys()
-    for c in via:
-        assert abs(direct[c][0] - via[c][0]) < 1e-12 and abs(direct[c][1] - via[c][1]) < 1e-12
-        assert direct[c][2] == via[c][2] == 5
+    direct = {r.config_id: tuple(r) for r in EV.evaluate_many(m, cfg, output="acc").collect()}
+    via = {r.config_id: tuple(r) for r in M.cv_accuracy(EV.evaluate_many(m, cfg)).collect()}
+    assert direct == via and set(via) == {"a", "b"}
