@@ -2,7 +2,9 @@
 
 Input is a long table of pairs ``(*keys, x, y)`` (or values with a group
 label for Mann-Whitney). Every statistic is an aggregate per key; p-values
-are computed on the one-row-per-key result.
+are computed on the one-row-per-key result. Ranks come from the table of
+distinct values with their counts, cut into even ranges of (key, value) and
+completed by prefix sums, so that no key has to fit one task.
 """
 
 from __future__ import annotations
@@ -13,20 +15,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probelab.functions.scalar import corr_p_udf, normal_p_udf
-from probelab.session import ship_package
-
+from probelab.session import cut_lineage, ship_package
 
 TIE_DIGITS = 12
 
 
-def average_rank(keys: Sequence[str], value: str, digits: int = TIE_DIGITS) -> Column:
-    """1-based rank where ties share the mean of their ranks. Values are
-    compared at ``digits`` decimals, so values equal up to summation order
-    (accuracies averaged in a different order) count as ties."""
-    v = F.round(F.col(value), digits)
-    w = Window.partitionBy(*keys).orderBy(v)
-    ties = Window.partitionBy(*keys, v)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
+def value_ranks(counts: DataFrame, keys: Sequence[str], value: str, n: str) -> DataFrame:
+    """``counts`` has a row per ``(*keys, value)`` seen ``n`` times; adds
+    ``rank``, the 1-based rank of the value where ties share the mean of their
+    ranks, and ``total``, the sum of ``n`` in the key. Null keys are a key.
+
+    The ranges depend on a sample, so rows and range numbers are written once
+    and both the prefix sums and the rows read what was written. A key has one
+    prefix sum a range; the running sum inside a range is of one task."""
+    dealt = cut_lineage(counts.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "_part").agg(F.sum(n).alias("_sum"))
+    of_key = Window.partitionBy(*keys)
+    sums = sums.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_part").alias("_p"),
+                       F.sum("_sum").over(of_key).alias("total"),
+                       (F.sum("_sum").over(of_key.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    upto = F.sum(n).over(Window.partitionBy(*keys, "_part").orderBy(value))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return (dealt.withColumn("_upto", upto).join(sums, [F.col("_part") == F.col("_p"), *same])
+            .withColumn("rank", F.col("_before") + F.col("_upto") - (F.col(n) - 1) / 2.0)
+            .drop("_part", "_p", "_upto", "_before", *(f"_k{i}" for i in range(len(keys)))))
+
+
+def _rounded(value: str) -> Column:
+    """Values are compared at TIE_DIGITS decimals, so values equal up to
+    summation order (accuracies averaged in a different order) count as ties."""
+    return F.round(F.col(value).cast("double"), TIE_DIGITS)
 
 
 def correlation(x: str, y: str) -> Column:
@@ -37,18 +55,39 @@ def correlation(x: str, y: str) -> Column:
     return F.covar_pop(a, b) / F.when(spread > 0, spread)
 
 
+def _pairs_seen(x: str, y: str) -> Column:
+    return F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1))
+
+
 def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str, with_p: bool = True) -> DataFrame:
-    """R and n per key; two-sided p from the t distribution."""
-    out = df.groupBy(*keys).agg(correlation(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+    """R and n (pairs without a null) per key; two-sided p from the t
+    distribution. Where a side is constant r and p are null."""
+    out = df.groupBy(*keys).agg(correlation(x, y).alias("r"), _pairs_seen(x, y).alias("n"))
     if with_p:
         ship_package(df.sparkSession)
     return out.withColumn("p", corr_p_udf("r", "n")) if with_p else out
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, with_p: bool = True) -> DataFrame:
-    """Pearson correlation of average ranks."""
-    ranked = df.withColumn("_rx", average_rank(keys, x)).withColumn("_ry", average_rank(keys, y))
-    out = ranked.groupBy(*keys).agg(correlation("_rx", "_ry").alias("rho"), F.count(F.lit(1)).alias("n"))
+    """Pearson correlation of average ranks over the pairs without a
+    null (``n`` of them). Equal pairs are counted first; ranks are joined to
+    distinct pairs, less the mean rank, which is (n + 1) / 2 in every key."""
+    seen = F.count(F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), 1))
+    pairs = (df.select(*keys, _rounded(x).alias("_x"), _rounded(y).alias("_y"))
+             .groupBy(*keys, "_x", "_y").agg(seen.alias("_w")))
+    ranked = pairs
+    for side in ("_x", "_y"):
+        counts = pairs.where("_w > 0").groupBy(*keys, side).agg(F.sum("_w").alias("_n"))
+        ranks = value_ranks(counts, keys, side, "_n")
+        ranks = ranks.select(*(F.col(k).alias(f"_k{i}{side}") for i, k in enumerate(keys)), F.col(side).alias(f"_v{side}"),
+                             (F.col("rank") - (F.col("total") + 1) / 2.0).alias(f"_r{side}"))
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}{side}")) for i, k in enumerate(keys)]
+        ranked = ranked.join(ranks, [F.col(side) == F.col(f"_v{side}"), F.col("_w") > 0, *same], "left")
+    a, b, w = F.col("_r_x"), F.col("_r_y"), F.col("_w")
+    sums = ranked.groupBy(*keys).agg(F.sum(w * a * b).alias("_ab"), F.sum(w * a * a).alias("_aa"),
+                                     F.sum(w * b * b).alias("_bb"), F.sum(w).alias("n"))
+    spread = F.sqrt(F.col("_aa")) * F.sqrt(F.col("_bb"))
+    out = sums.select(*keys, (F.col("_ab") / F.when(spread > 0, spread)).alias("rho"), "n")
     if with_p:
         ship_package(df.sparkSession)
     return out.withColumn("p", corr_p_udf("rho", "n")) if with_p else out
@@ -58,16 +97,16 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, group: str,
                  first, with_p: bool = True) -> DataFrame:
     """Two-sided Mann-Whitney U between ``group == first`` and the rest;
     normal approximation with tie correction and continuity correction.
-    ``u_first`` is U of the first sample; the test uses max(U1, U2). Where all
-    values are equal or a sample is empty, z is null and p is 1."""
-    ranked = df.withColumn("_r", average_rank(keys, value))
-    ties = (df.groupBy(*keys, F.round(F.col(value), TIE_DIGITS).alias("_v")).agg(F.count(F.lit(1)).alias("_t"))
-              .groupBy(*keys).agg(F.sum(F.col("_t") ** 3 - F.col("_t")).alias("_tie")))
-    is1 = F.col(group) == F.lit(first)
-    s = ranked.groupBy(*keys).agg(
-        F.sum(F.when(is1, 1).otherwise(0)).alias("n1"), F.sum(F.when(is1, 0).otherwise(1)).alias("n2"),
-        F.sum(F.when(is1, F.col("_r")).otherwise(0.0)).alias("r1"))
-    s = s.join(ties, list(keys))
+    ``u_first`` is U of the first sample; the test uses max(U1, U2). Rows with
+    a null value are left out. Where all values are equal or a sample is
+    empty, z is null and p is 1. Everything is a sum over distinct values."""
+    is1 = F.coalesce(F.col(group) == F.lit(first), F.lit(False))
+    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, _rounded(value).alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(is1, 1)).alias("_n1")))
+    t = F.col("_n").cast("double")
+    s = value_ranks(counts, keys, "_v", "_n").groupBy(*keys).agg(
+        F.sum("_n1").alias("n1"), F.sum(F.col("_n") - F.col("_n1")).alias("n2"),
+        F.sum(F.col("_n1") * F.col("rank")).alias("r1"), F.sum(t * t * t - t).alias("_tie"))
     n = F.col("n1") + F.col("n2")
     u1 = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0
     u2 = F.col("n1") * F.col("n2") - u1

@@ -247,6 +247,43 @@ def test_mann_whitney_no_ties(spark):
     assert r.u_first == u1 and r.u_second == 400 - u1
 
 
+def test_ranks_of_one_key_over_many_ranges(spark):
+    """Two keys and a null one, one with nearly all values: ranks equal NumPy's,
+    and no range holds a large part of the key."""
+    rng = np.random.default_rng(2)
+    big = np.round(rng.normal(size=4000), 2)
+    rows = [("a", float(v)) for v in big] + [("b", 1.0), ("b", 1.0), ("b", -3.0), (None, 5.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    counts = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = ST.value_ranks(counts, ["k"], "v", "n").collect()
+        dealt = counts.repartitionByRange("k", "v").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    got = {(r.k, r.v): (r["rank"], r.total) for r in ranked}
+    want = dict(zip(big.tolist(), _ranks(big)))
+    assert all(got["a", v] == (r, 4000) for v, r in want.items())
+    assert got["b", -3.0] == (1.0, 3) and got["b", 1.0] == (2.5, 3) and got[None, 5.0] == (1.0, 1)
+    assert len(got) == len(want) + 3
+    assert len(dealt) > 2 and max(r["count"] for r in dealt) < len(got) / 2
+
+
+def test_rank_statistics_leave_nulls_out(spark):
+    pairs = [("k", 1.0, 2.0), ("k", 2.0, 1.0), ("k", 3.0, 9.0), ("k", None, 5.0), ("k", 7.0, None), ("c", 1.0, 1.0),
+             ("c", 1.0, 2.0), ("e", None, None)]
+    df = spark.createDataFrame(pairs, "g string, x double, y double")
+    got = {r.g: r for r in ST.spearman(df, ["g"], "x", "y").collect()}
+    assert abs(got["k"].rho - 0.5) < 1e-12 and got["k"].n == 3
+    assert got["c"].rho is None and got["c"].n == 2 and got["e"].rho is None and got["e"].n == 0
+    m = spark.createDataFrame([("t", 1.0, "A"), ("t", 2.0, "B"), ("t", None, "A"), ("s", 1.0, "A"), ("s", 1.0, "B")],
+                              "k string, v double, g string")
+    res = {r.k: r for r in ST.mann_whitney(m, ["k"], "v", "g", "A").collect()}
+    assert res["t"].u_first == 0 and res["t"].u_second == 1 and res["s"].z is None and res["s"].p == 1
+    assert ST.spearman(df.where("false"), ["g"], "x", "y").count() == 0
+
+
 def test_linear_fit_grid(spark):
     df = spark.createDataFrame([("k", float(x), 2.0 * x + 1) for x in range(10)], "g string, x double, y double")
     fit, pts = ST.linear_fit(df, ["g"], "x", "y")
