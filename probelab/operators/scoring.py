@@ -29,16 +29,28 @@ KEY = ["dataset", "row_id", "qid"]
 TOKEN_BUDGET = 24000
 
 
-def prompts(texts: DataFrame, cat: DataFrame) -> DataFrame:
+def prompts(texts: DataFrame, cat: DataFrame, done: DataFrame | None = None) -> DataFrame:
     """J1 + F5: every text with every question. The catalogue is a design
     table (size-checked on the driver), so the product is a map-side
-    generator: no join, no shuffle."""
+    generator: no join, no shuffle.
+
+    S9: ``done(dataset, row_id, qid)`` leaves out what is answered. A row's
+    answered questions, at most as many as were ever asked, are a set that
+    the generator reads, so keys and texts are joined, never prompts."""
     qs = local_list(cat)
+    if done is not None:
+        answered = (done.select(F.col("dataset").cast("string").alias("_d"), F.col("row_id").alias("_i"), "qid")
+                    .groupBy("_d", "_i").agg(F.collect_set("qid").alias("_done")))
+        texts = (texts.join(answered, (F.col("dataset") == F.col("_d")) & (F.col("row_id") == F.col("_i")), "left")
+                 .where(F.coalesce(~F.forall(F.array(*[F.lit(q["qid"]) for q in qs]),
+                                             lambda q: F.array_contains("_done", q)), F.lit(True))))
     texts = spread_before_expansion(texts, len(qs))
     # pieces of the prompt = spaces + 1; the text's spaces are counted once
     # per text, the template's once per question (no per-prompt scan)
     arr = F.array(*[F.struct(F.lit(q["qid"]).alias("qid"), F.lit(q["question"]).alias("question"),
                              F.lit(template_spaces(q["question"])).alias("sp")) for q in qs])
+    if done is not None:
+        arr = F.filter(arr, lambda q: ~F.coalesce(F.array_contains("_done", q["qid"]), F.lit(False)))
     return (texts.select("dataset", "row_id", "text", space_count(F.col("text")).alias("_sp"),
                          F.explode(arr).alias("q"))
                  .select("dataset", "row_id", F.col("q.qid").alias("qid"),
@@ -135,31 +147,54 @@ def rating_features(cat: DataFrame) -> DataFrame:
     return rows.select("qid", logit_diff(*map(F.expr, own)).alias("value"))
 
 
+#: Width of a bin of logits: e^16 is far from a double's range, and few bins hold a prompt's logits.
+LSE_STEP = 16.0
+
+
+def log_masses(logits: DataFrame, answers: Sequence[str]) -> DataFrame:
+    """F10 on a long logits table of any number of tokens a prompt:
+    ``(dataset, row_id, qid, lse ARRAY<DOUBLE>)``, the log-sum-exp of each of
+    ``answers`` and, last, of all tokens; null where there is none.
+
+    A bin's state (its number, the sum of ``exp(logit - bin start)``) adds up,
+    so each task sends a row per prompt and bin, not its tokens; the bins of a
+    prompt are few and are put together relative to the highest. Null and
+    non-finite logits have no mass."""
+    finite = F.col("logit").isNotNull() & ~F.isnan("logit") & (F.abs("logit") < F.lit(float("inf")))
+    own = logits.where(finite).withColumn("_b", F.floor(F.col("logit") / LSE_STEP).cast("double"))
+    mass = F.exp(F.col("logit") - F.col("_b") * LSE_STEP)
+    masses = [F.sum(F.when(F.col("answer") == a, mass)).alias(f"_m{i}") for i, a in enumerate(answers)]
+    bins = own.groupBy(*KEY, "_b").agg(*masses, F.sum(mass).alias(f"_m{len(answers)}"))
+    kept = bins.groupBy(*KEY).agg(F.collect_list(F.struct(
+        "_b", F.array(*[f"_m{i}" for i in range(len(answers) + 1)]).alias("m"))).alias("_s"))
+
+    def lse(i):
+        of = F.filter("_s", lambda s: s["m"][i].isNotNull())
+        top = F.array_max(F.transform(of, lambda s: s["_b"]))
+        total = F.aggregate(F.array_sort(of), F.lit(0.0),
+                            lambda acc, s: acc + s["m"][i] * F.exp((s["_b"] - top) * LSE_STEP))
+        return F.when(F.size(of) > 0, top * LSE_STEP + F.log(total))
+
+    return kept.select(*KEY, F.array(*[lse(i) for i in range(len(answers) + 1)]).alias("lse"))
+
+
 def feature_from_logits(logits: DataFrame, mode: str = "logit",
                         yes: str = "yes", no: str = "no") -> DataFrame:
-    """F10/F11 (or F12 with ``mode='prob'``) on a long logits table: one
-    grouped pass; the arrays are bounded by the answer-variant count."""
-    g = logits.groupBy(*KEY).agg(
-        F.collect_list(F.when(F.col("answer") == yes, F.col("logit"))).alias("ys"),
-        F.collect_list(F.when(F.col("answer") == no, F.col("logit"))).alias("ns"))
-    if mode == "prob":
-        value = prob_diff_from_lse(lse_array(F.col("ys")), lse_array(F.col("ns")))
-    else:
-        value = logit_diff(F.col("ys"), F.col("ns"))
-    return g.select(*KEY, value.alias("value"))
+    """F10/F11 on a long logits table; with ``mode='prob'`` F12 over the two
+    answers' tokens, with ``mode='full'`` F12 over all tokens of the table."""
+    ly, ln, every = (F.col("lse")[i] for i in range(3))
+    value = {"logit": ly - ln, "prob": prob_diff_from_lse(ly, ln), "full": prob_diff_from_lse(ly, ln, every)}[mode]
+    return log_masses(logits, [yes, no]).select(*KEY, value.alias("value"))
 
 
 def top_tokens(logits: DataFrame, k: int = 5) -> DataFrame:
     """T2 + F13: the k most likely scored tokens of each prompt (softmax over
-    the scored tokens). Window groups are one prompt's tokens; the rank
-    filter is a literal, so Spark limits before the shuffle."""
+    the scored tokens). The rank filter is a literal, so a task sends at most
+    k tokens a prompt, and the denominator comes from ``log_masses``."""
     from pyspark.sql import Window
-    w = Window.partitionBy(*KEY)
-    ranked = (logits.withColumn("_m", F.max("logit").over(w))
-                    .withColumn("_s", F.sum(F.exp(F.col("logit") - F.col("_m"))).over(w))
-                    .withColumn("prob", F.exp(F.col("logit") - F.col("_m")) / F.col("_s"))
-                    .withColumn("rank", F.row_number().over(w.orderBy(F.desc("logit"), "token"))))
-    return ranked.filter(F.col("rank") <= k).select(*KEY, "rank", "token", "prob")
+    ranked = logits.withColumn("rank", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("logit"), "token")))
+    return (ranked.where(F.col("rank") <= k).join(log_masses(logits, []), KEY)
+            .select(*KEY, "rank", "token", F.exp(F.col("logit") - F.element_at("lse", -1)).alias("prob")))
 
 
 # ---- scorer path (mapInArrow) -----------------------------------------------
@@ -292,6 +327,22 @@ def run_resumable(prompts_df: DataFrame, out_path: str, scorer: Callable | None
     return spark.read.parquet(out_path)
 
 
+FEATURE_SCHEMA = "row_id bigint, qid string, value double, dataset string"
+
+
+def run_missing(texts: DataFrame, cat: DataFrame, out_path: str, scorer: Callable | None = None, **kw) -> None:
+    """S9 from texts: score the questions that ``out_path`` does not hold for a
+    row and append them, partitioned by dataset. A row key that ``texts``
+    repeats counts once, with the smallest text. Running it again, after a
+    failure too, gives no key twice: what was committed is left out, what was
+    not is scored again. One writer at a time."""
+    spark = texts.sparkSession
+    done = spark.read.schema(FEATURE_SCHEMA).parquet(out_path) if _exists(spark, out_path) else None
+    once = texts.groupBy("dataset", "row_id").agg(F.min("text").alias("text"))
+    scored = score(prompts(once, cat, done), scorer, **kw).select(*KEY, "value")
+    scored.write.mode("append").partitionBy("dataset").parquet(out_path)
+
+
 def _exists(spark, path: str) -> bool:
     """Whether an output path exists (any Hadoop file system)."""
     jvm = spark.sparkContext._jvm

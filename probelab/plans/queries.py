@@ -132,8 +132,8 @@ def logsumexp_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prob_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F12 on the logits table in long form."""
-    f = S.feature_from_logits(S.long_logits(_logits(spark, sf_dir)), mode="prob")
+    """F12 on the logits table in long form, over all its tokens."""
+    f = S.feature_from_logits(S.long_logits(_logits(spark, sf_dir)), mode="full")
     return f.select(*S.KEY, _r(F.col("value"), "value"))
 
 
@@ -173,7 +173,7 @@ def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A previous run wrote the English documents; only the rest is pending."""
     texts, cat = _texts(spark, sf_dir), _cat(spark)
     done = S.feature_from_arrays(S.answer_logits(texts.filter(F.col("label_text") == "en"), cat))
-    return S.pending(S.prompts(texts, cat), done).select(*S.KEY)
+    return S.prompts(texts, cat, done).select(*S.KEY)
 
 
 def feature_spread(spark: SparkSession, sf_dir: str) -> DataFrame:

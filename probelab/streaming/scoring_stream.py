@@ -1,12 +1,11 @@
 """The scoring job as an incremental stream.
 
-Texts arriving as files are crossed with the catalogue (stateless map-side
-generator), scored by the scorer contract in ``mapInArrow`` batches and
-appended to the feature store. ``trigger(availableNow=True)`` processes
-what has arrived and stops; the checkpoint records which input files are
-done, so a rerun scores only new texts (the stream form of S9).
-Length-sorting across a micro-batch is not possible in a stream; batches
-are formed in arrival order within each partition.
+Each micro-batch of texts goes through the job's own resumable write
+(``scoring.run_missing``) in ``foreachBatch``: rows and questions that the
+feature store holds, from a batch run, an earlier file or the same micro-batch
+before a failure, are left out, so a stream and batch runs may fill one store
+and no key comes twice. ``trigger(availableNow=True)`` processes what has
+arrived and stops; the checkpoint records which input files are done.
 """
 
 from __future__ import annotations
@@ -25,14 +24,8 @@ def texts_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 def score_stream(spark: SparkSession, texts: DataFrame, cat: DataFrame, out_path: str,
                  checkpoint: str, scorer=None, budget: int = S.TOKEN_BUDGET):
     """Start the availableNow scoring query; returns the StreamingQuery."""
-    from probelab.session import ship_package
-    ship_package(spark)
-    prompts = S.prompts(texts, cat).select(*S.KEY, "prompt", "prompt_len")
-    scorer = scorer or S.LexicalScorer()
-    yes = [t for _, t, _ in S.variant_rows({"yes": S.YES_WORDS})]
-    no = [t for _, t, _ in S.variant_rows({"no": S.NO_WORDS})]
-    scored = prompts.mapInArrow(S._score_partitions(scorer, yes, no, budget, "logit"), S.SCORED_SCHEMA) \
-                    .select(*S.KEY, "value")
-    return (scored.writeStream.format("parquet").option("path", out_path)
-                  .option("checkpointLocation", checkpoint).partitionBy("dataset")
-                  .outputMode("append").trigger(availableNow=True).start())
+    def write(batch: DataFrame, _: int) -> None:
+        S.run_missing(batch, cat, out_path, scorer, budget=budget)
+
+    return (texts.select("dataset", "row_id", "text").writeStream.foreachBatch(write)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from conftest import SMOKE
@@ -62,6 +64,68 @@ def test_stream_scoring_matches_batch(spark):
     assert spark.read.parquet(os.path.join(root, "out")).count() == 100
 
 
+def test_stream_and_batch_runs_share_one_store(spark):
+    """A batch run, a stream with repeated and new rows, a longer catalogue and
+    a micro-batch that runs again: no key twice, and the values of one run."""
+    root = tempfile.mkdtemp(dir="/tmp")
+    src, out = os.path.join(root, "in"), os.path.join(root, "out")
+    schema = "dataset string, row_id long, text string"
+    texts = spark.createDataFrame([("1", i, f"some text {i}") for i in range(12)] + [("1", None, "no id")], schema)
+    few, cat = C.catalogue(spark).limit(3), C.catalogue(spark).limit(5)
+    S.run_missing(texts.where("row_id < 4"), few, out)
+    texts.where("row_id < 9").unionAll(texts.where("row_id = 2")).write.parquet(src)
+    stream = SS.score_stream(spark, SS.texts_stream(spark, src, texts.schema), cat, out, os.path.join(root, "c1"))
+    stream.awaitTermination(300)
+    # another checkpoint knows no file: every micro-batch runs again
+    again = SS.score_stream(spark, SS.texts_stream(spark, src, texts.schema), cat, out, os.path.join(root, "c2"))
+    again.awaitTermination(300)
+    S.run_missing(texts.where("row_id is not null"), cat, out)
+    rows = spark.read.schema(S.FEATURE_SCHEMA).parquet(out).collect()
+    assert len(rows) == len({(r.row_id, r.qid) for r in rows}) == 12 * 5
+    want = {(r.row_id, r.qid): r.value for r in S.feature_from_arrays(S.answer_logits(texts, cat)).collect()}
+    assert max(abs(r.value - want[r.row_id, r.qid]) for r in rows) < 1e-9
+
+
+def test_prompts_leave_out_what_is_done(spark):
+    texts = spark.createDataFrame([("d", 1, "a"), ("d", 2, "b"), ("d", 3, "c"), ("e", None, "x")],
+                                  "dataset string, row_id long, text string")
+    cat = C.catalogue(spark).limit(4)
+    qids = [r.qid for r in cat.collect()]
+    done = spark.createDataFrame([("d", 1, q) for q in qids] + [("d", 2, qids[1]), ("d", 2, qids[1]), ("d", 9, qids[0]),
+                                                                 ("e", None, qids[0]), ("d", 2, "other")],
+                                 "dataset string, row_id long, qid string")
+    key = lambda df: sorted((r.dataset, str(r.row_id), r.qid, r.prompt, r.prompt_len) for r in df.collect())
+    full = S.prompts(texts, cat)
+    left = key(S.prompts(texts, cat, done))
+    assert left == key(S.pending(full, done))
+    assert sum(1 for r in left if r[1] == "2") == 3 and not any(r[1] == "1" for r in left)
+    assert key(S.prompts(texts, cat, done.where("false"))) == key(full)
+
+
+def test_long_logits_of_many_tokens(spark):
+    """States of bins against NumPy: wide ranges, one answer missing, logits
+    without mass, a prompt over many partitions."""
+    rng = np.random.default_rng(0)
+    wide = rng.normal(size=3000) * 200
+    rows = [("d", 1, "q", ("yes", "no", "other")[i % 3], f"t{i:04d}", float(v)) for i, v in enumerate(wide)]
+    rows += [("d", 2, "q", "yes", "a", 800.0), ("d", 2, "q", "no", "b", 799.0), ("d", 2, "q", "other", "c", 801.0),
+             ("d", 2, "q", "no", "x", None), ("d", 2, "q", "no", "y", float("nan")), ("d", 2, "q", "no", "z", float("-inf")),
+             ("d", 3, "q", "yes", "a", 0.5)]
+    df = spark.createDataFrame(rows, "dataset string, row_id long, qid string, answer string, token string, logit double").repartition(7)
+    lse = lambda v: v.max() + np.log(np.exp(v - v.max()).sum())
+    got = {r.row_id: r.lse for r in S.log_masses(df, ["yes", "no"]).collect()}
+    assert np.allclose(got[1], [lse(wide[0::3]), lse(wide[1::3]), lse(wide)], rtol=1e-13)
+    assert np.allclose(got[2], [800, 799, lse(np.array([800.0, 799, 801]))]) and got[3][1] is None
+    full = {r.row_id: r.value for r in S.feature_from_logits(df, mode="full").collect()}
+    e = np.exp([-1.0, -2.0, 0.0])
+    assert abs(full[2] - (e[0] - e[1]) / e.sum()) < 1e-12 and full[3] is None
+    top = [r for r in S.top_tokens(df.where("row_id = 1"), 3).orderBy("rank").collect()]
+    order = np.argsort(-wide)[:3]
+    assert [r.token for r in top] == [f"t{i:04d}" for i in order]
+    assert np.allclose([r.prob for r in top], np.exp(wide[order] - lse(wide)))
+    assert S.log_masses(df.where("false"), ["yes", "no"]).count() == 0
+
+
 def test_sinks_and_readers_round_trip(spark):
     from probelab.sources.tables import read_json, read_parquet
     out = tempfile.mkdtemp(dir="/tmp")
