@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from probelab.operators import evaluate as EV
 from probelab.operators import metrics as M
+from probelab.operators.stats import TIE_DIGITS
 from probelab.sources.catalog import CONTROL, HIGH, LOW, SENSES
 
 
@@ -98,8 +99,9 @@ def greedy_forward(matrix: DataFrame | None, chains: dict[tuple[str, str], Seque
             parts = F.split(F.col("config_id"), r"\|")
             scored = M.cv_accuracy(conf).select(
                 "config_id", parts[0].alias("dataset"), parts[1].alias("set"),
-                parts[2].cast("int").alias("col"), parts[3].cast("int").alias("col_idx"), "acc")
-            found = {(r["dataset"], r["set"]): r for r in M.best_candidate(scored, ["dataset", "set"]).collect()}
+                parts[2].cast("int").alias("col"), parts[3].cast("int").alias("col_idx"), "acc",
+                F.round("acc", TIE_DIGITS).alias("tied"))      # equal up to the order of adding the folds
+            found = {(r["dataset"], r["set"]): r for r in M.best_candidate(scored, ["dataset", "set"], "tied").collect()}
             for key in remaining:
                 r = found.get(key)
                 if r is None:                       # no rows, or no candidate left
