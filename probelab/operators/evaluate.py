@@ -42,13 +42,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probelab.session import ship_package
+from probelab.session import cut_lineage, ship_package, spread
 
 #: Bytes of weights, steps and curvature bounds the driver holds at once.
 STATE_BYTES = 256 << 20
 #: Numbers in one gradient vector, and in one task's table of scores.
 SLICE_VALUES = 1 << 16
-SCORE_VALUES = 1 << 20
+SCORE_VALUES = 1 << 17
 #: Steps an L-BFGS direction remembers, and the expected relative gain at which a fit ends.
 MEMORY = 8
 TOL = 1e-16
@@ -155,7 +155,9 @@ class Prepared:
 def prepare(matrix: DataFrame, k: int = 5) -> Prepared:
     """Lay the matrix out in blocks and add up what the fits share (M1)."""
     ship_package(matrix.sparkSession)
-    rows = usable(matrix)
+    # few bytes a row, but every pass computes all fits on it; the sums that are
+    # shuffled are a vector a fit and task, so tasks don't grow with the rows
+    rows = spread(usable(matrix), "row_id", "fold")
     blocks = rows.mapInPandas(_to_blocks, BLOCK_SCHEMA).persist()
 
     def first(block):
@@ -200,27 +202,31 @@ def prepare(matrix: DataFrame, k: int = 5) -> Prepared:
 # ---- fits ----------------------------------------------------------------------
 
 class Fits:
-    """Fits of one dataset. Weights are kept for all elements (0 where a
-    config doesn't use one), so that a block scores all fits in one product."""
+    """Fits of one dataset. Weights are kept for the elements ``cols`` that any
+    of its configs uses (0 where a config doesn't use one), so that a block
+    scores all fits in one product."""
 
     def __init__(self, shape: Shape, keys: list[tuple[str, int, tuple[int, ...]]], lam: float,
                  start: Mapping[tuple[str, int], np.ndarray]):
         self.shape, self.keys, self.lam = shape, keys, lam
-        count, d, q = len(keys), len(shape.centre), shape.outputs
+        self.cols = np.array(sorted({c for _, _, cols in keys for c in cols}), dtype=np.int64)
+        self.centre = shape.centre[self.cols]
+        place = {int(c): i for i, c in enumerate(self.cols)}
+        count, d, q = len(keys), len(self.cols), shape.outputs
         self.d, self.q = d, q
         self.held = np.array([h for _, h, _ in keys])
         self.mask = np.zeros((count, d))
         for i, (_, _, cols) in enumerate(keys):
-            self.mask[i, list(cols)] = 1.0
-        self.mean = np.stack([shape.mean[h] for h in self.held])
-        self.scale = np.stack([shape.scale[h] for h in self.held])
+            self.mask[i, [place[c] for c in cols]] = 1.0
+        self.mean = np.stack([shape.mean[h][self.cols] for h in self.held])
+        self.scale = np.stack([shape.scale[h][self.cols] for h in self.held])
         self.penalty = np.full(d + 1, lam)
         self.penalty[d] = 0.0 if q == 1 else INTERCEPT_RIDGE
         bound = 0.25 if q == 1 else 0.5
         self.inverse = np.empty((count, d, d))
         for i in range(count):
             used = self.mask[i]
-            a = bound * shape.gram[self.held[i]] * np.outer(used, used) + np.diag(np.where(used > 0, lam, 1.0))
+            a = bound * shape.gram[self.held[i]][np.ix_(self.cols, self.cols)] * np.outer(used, used) + np.diag(np.where(used > 0, lam, 1.0))
             self.inverse[i] = np.linalg.inv(a) * np.outer(used, used)
         rows = np.array([shape.n[h] for h in self.held])
         self.inverse_intercept = 1.0 / (bound * rows + INTERCEPT_RIDGE)
@@ -230,7 +236,7 @@ class Fits:
             self.w[i, :, d] = prior[-1] - prior[0] if q == 1 else prior - prior.mean()
             known = start.get((config, h))
             if known is not None:
-                self.w[i] = known
+                self.w[i] = known[:, [*self.cols, -1]]
         size = q * (d + 1)
         self.accepted = self.w.copy()
         self.value = np.full(count, np.inf)
@@ -246,6 +252,12 @@ class Fits:
         d, size = len(shape.centre), shape.outputs * (len(shape.centre) + 1)
         return 8 * (d * d + size * (2 * MEMORY + 6))
 
+    def full(self, i: int) -> np.ndarray:
+        """Weights of a fit for all elements of the dataset."""
+        out = np.zeros((self.q, len(self.shape.centre) + 1))
+        out[:, [*self.cols, -1]] = self.w[i]
+        return out
+
     def raw(self, at: np.ndarray) -> np.ndarray:
         """Weights for centred, unscaled columns; the intercept is last."""
         u = self.w[at, :, :self.d] * (self.mask[at] / self.scale[at])[:, None, :]
@@ -315,30 +327,32 @@ class Fits:
 
 
 def _scores(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """(rows, fits, outputs) of centred rows."""
+    """(outputs, fits, rows) of centred rows: what is added or compared lies
+    along the rows."""
     fits, q, width = weights.shape
-    flat = weights.reshape(fits * q, width)
-    return (x @ flat[:, :-1].T + flat[:, -1]).reshape(len(x), fits, q)
+    flat = weights.transpose(1, 0, 2).reshape(q * fits, width)
+    return (flat[:, :-1] @ x.T + flat[:, -1:]).reshape(q, fits, len(x))
 
 
 def _data_terms(x: np.ndarray, yi: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Per fit the gradient by output and column (intercept last) and the loss."""
     e = _scores(x, weights)
-    rows, fits, q = e.shape
+    q, fits, rows = e.shape
     if q == 1:
-        target = (yi == 1).astype(float)[:, None]
-        loss = (np.logaddexp(0.0, e[:, :, 0]) - target * e[:, :, 0]).sum(axis=0)
-        r = (0.5 * (1.0 + np.tanh(0.5 * e[:, :, 0])) - target)[:, :, None]
+        target = (yi == 1).astype(float)
+        loss = (np.logaddexp(0.0, e[0]) - target * e[0]).sum(axis=1)
+        r = (0.5 * (1.0 + np.tanh(0.5 * e[0])) - target)[None]
     else:
-        e = e - e.max(axis=2, keepdims=True)
-        p = np.exp(e)
-        total = p.sum(axis=2, keepdims=True)
-        loss = (np.log(total[:, :, 0]) - e[np.arange(rows), :, yi]).sum(axis=0)
-        r = p / total
-        r[np.arange(rows), :, yi] -= 1.0
-    flat = r.reshape(rows, fits * q)
-    grad = np.concatenate([flat.T @ x, flat.sum(axis=0)[:, None]], axis=1).reshape(fits, -1)
-    return np.concatenate([grad, loss[:, None]], axis=1)
+        e -= e.max(axis=0)
+        own = e[yi, :, np.arange(rows)]                 # (rows, fits)
+        r = np.exp(e, out=e)
+        total = r.sum(axis=0)
+        loss = np.log(total).sum(axis=1) - own.sum(axis=0)
+        r /= total
+        r[yi, :, np.arange(rows)] -= 1.0
+    flat = r.reshape(q * fits, rows)
+    grad = np.concatenate([flat @ x, flat.sum(axis=1)[:, None]], axis=1).reshape(q, fits, -1)
+    return np.concatenate([grad.transpose(1, 0, 2).reshape(fits, -1), loss[:, None]], axis=1)
 
 
 def _one_pass(prep: Prepared, groups: Mapping[str, Fits]) -> bool:
@@ -347,7 +361,7 @@ def _one_pass(prep: Prepared, groups: Mapping[str, Fits]) -> bool:
     todo = {ds: at for ds, at in todo.items() if len(at)}
     if not todo:
         return False
-    design = {ds: (prep.shapes[ds].centre, prep.shapes[ds].classes, groups[ds].held[at], groups[ds].raw(at))
+    design = {ds: (groups[ds].cols, groups[ds].centre, prep.shapes[ds].classes, groups[ds].held[at], groups[ds].raw(at))
               for ds, at in todo.items()}
     sent = prep.blocks.sparkSession.sparkContext.broadcast(design)    # bounded by STATE_BYTES
 
@@ -355,8 +369,8 @@ def _one_pass(prep: Prepared, groups: Mapping[str, Fits]) -> bool:
         ds, fold, x, y, _ = block
         if ds not in sent.value:
             return
-        centre, classes, held, weights = sent.value[ds]
-        x, yi = x - centre, np.searchsorted(classes, y)
+        cols, centre, classes, held, weights = sent.value[ds]
+        x, yi = x[:, cols] - centre, np.searchsorted(classes, y)
         fits, q, width = weights.shape
         per_slice = max(1, SLICE_VALUES // (q * width + 1))
         per_rows = max(1, SCORE_VALUES // (min(per_slice, fits) * q))
@@ -394,7 +408,7 @@ def _fit(prep: Prepared, fits: list[tuple], lam: float, start: Mapping) -> dict[
 
 def _predict(prep: Prepared, groups: Mapping[str, Fits], output: str) -> DataFrame:
     """Predictions of the held folds; ties go to the lowest class."""
-    design = {ds: (prep.shapes[ds].centre, prep.shapes[ds].classes, f.held, [c for c, _, _ in f.keys],
+    design = {ds: (f.cols, f.centre, prep.shapes[ds].classes, f.held, [c for c, _, _ in f.keys],
                    f.raw(np.arange(len(f.held)))) for ds, f in groups.items()}
     sent = prep.blocks.sparkSession.sparkContext.broadcast(design)
 
@@ -403,26 +417,27 @@ def _predict(prep: Prepared, groups: Mapping[str, Fits], output: str) -> DataFra
         for ds, fold, x, y, ids in _blocks(batches):
             if ds not in sent.value:
                 continue
-            centre, classes, held, names, weights = sent.value[ds]
+            cols, centre, classes, held, names, weights = sent.value[ds]
             at = np.flatnonzero(held == fold)
-            x, size = x - centre, max(1, SCORE_VALUES // max(1, len(x) * weights.shape[1]))
+            x, size = x[:, cols] - centre, max(1, SCORE_VALUES // max(1, len(x) * weights.shape[1]))
             for sub in range(0, len(at), size):
                 some = at[sub:sub + size]
                 e = _scores(x, weights[some])
                 if len(classes) == 2:
-                    picked = (e[:, :, 0] > 0).astype(np.int64)
+                    picked = (e[0] > 0).astype(np.int64)
                 else:
-                    picked = np.argmax(e, axis=2)
+                    picked = np.argmax(e, axis=0)
                 for j, i in enumerate(some):
-                    pred = classes[picked[:, j]]
+                    pred = classes[picked[j]]
                     if output == "oof":
                         yield pd.DataFrame({"config_id": names[i], "dataset": ds, "row_id": ids, "fold": fold,
                                             "label": y, "pred": pred})
                         continue
-                    pairs, n = np.unique(np.stack([y, pred]), axis=1, return_counts=True)
-                    for label, p, m in zip(*pairs.tolist(), n.tolist()):
-                        key = (names[i], fold, label, p)
-                        counts[key] = counts.get(key, 0) + m
+                    many = len(classes)
+                    n = np.bincount(np.searchsorted(classes, y) * many + picked[j], minlength=many * many)
+                    for pair in np.flatnonzero(n):
+                        key = (names[i], fold, int(classes[pair // many]), int(classes[pair % many]))
+                        counts[key] = counts.get(key, 0) + int(n[pair])
         if counts:
             yield pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["config_id", "fold", "label", "pred", "n"])
 
@@ -449,7 +464,7 @@ def fit_and_predict(prep: Prepared, configs: Sequence[tuple], C: float = 1.0, ou
             done = _fit(prep, group, 1.0 / C, start or {})
             out.append(_predict(prep, done, output))
             for d in done.values():
-                weights.update({(c, h): d.w[i] for i, (c, h, _) in enumerate(d.keys)})
+                weights.update({(c, h): d.full(i) for i, (c, h, _) in enumerate(d.keys)})
             group, used = [], 0
         if f:
             group.append(f)
@@ -472,7 +487,8 @@ def _perceptron(prep: Prepared, configs: Sequence[tuple], output: str, mlp_kw: M
 
     from pyspark.ml.classification import MultilayerPerceptronClassifier
 
-    rows_all = usable(prep.matrix).persist()
+    # dealt over all cores and written once: fits and predictions read it many times
+    rows_all = cut_lineage(spread(usable(prep.matrix), "row_id", "fold"))
     hidden = int(mlp_kw.get("hidden", 64))
 
     def fit_one(fit):
@@ -499,7 +515,6 @@ def _perceptron(prep: Prepared, configs: Sequence[tuple], output: str, mlp_kw: M
             for h in range(prep.k) if h in prep.shapes[ds].n]
     with ThreadPoolExecutor(max_workers=max(1, min(len(fits), parallelism))) as ex:
         preds = list(ex.map(fit_one, fits))
-    rows_all.unpersist()
     out = prep.blocks.sparkSession.createDataFrame([], OOF_SCHEMA)
     for p in preds:
         out = out.unionByName(p)
