@@ -10,7 +10,8 @@ map-side aggregates, so a class of any size is never in one task; what a held
 fold needs is the total less the fold's own sums, so no row is read k times.
 Values are whole millionths, so the sums are exact and the same in any order.
 The centroids are a table of datasets x folds x classes x elements, whatever
-the number of rows; a second pass reads each row once for all configs.
+the number of rows, which every task gets; a second pass reads each row once
+for all configs.
 
 A null element does not count in its centroid and adds no distance. A class
 without training rows is not predicted; a fold that holds all rows of its
@@ -19,17 +20,20 @@ dataset is not predicted at all. Constant elements have scale 1.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probelab.operators.joins import checked_broadcast_join
-from probelab.session import cut_lineage
+from probelab.session import cut_lineage, ship_package, spread
 
 #: Values are compared as whole numbers of 1 / UNIT.
 UNIT = 1_000_000
+#: Rows whose distances a task holds at a time.
+ROWS_AT_ONCE = 2048
 
 
 def whole_values(matrix: DataFrame) -> DataFrame:
@@ -68,25 +72,100 @@ def centroids(sums: DataFrame, k: int = 5) -> DataFrame:
     return classes.join(scales, ["dataset", "held"])
 
 
-def predictions(matrix: DataFrame, configs: Sequence[tuple], k: int = 5) -> DataFrame:
+def _design(model: DataFrame, configs: Sequence[tuple]) -> dict:
+    """By (dataset, fold): labels, centroids (classes, elements) and scales,
+    NaN where there is none; and by dataset its configs."""
+    own: dict[str, list] = {}
+    for c, ds, cols in configs:
+        own.setdefault(ds, []).append((c, tuple(int(i) for i in cols)))
+    known = {}
+    for r in model.toLocalIterator():           # datasets x folds rows
+        if r["dataset"] not in own:
+            continue
+        width = 1 + max([len(r["scale"]) - 1, *(i for _, cols in own[r["dataset"]] for i in cols)])
+        fill = lambda v: np.array([*(np.nan if x is None else x for x in v), *[np.nan] * (width - len(v))])  # noqa: E731, B023
+        known[r["dataset"], r["fold"]] = ([c["label"] for c in r["classes"]], np.array([fill(c["m"]) for c in r["classes"]]), fill(r["scale"]))
+    return {"models": known, "configs": own}
+
+
+def _vectors(lists, width: int) -> np.ndarray:
+    """(elements, rows) of a list array, NaN for a null or missing element."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)        # null: NaN
+    row = np.repeat(np.arange(len(lists)), lengths)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    x = np.full((width, len(lists)), np.nan)
+    kept = at < width
+    x[at[kept], row[kept]] = flat[kept]
+    return x
+
+
+def _nearest(design: dict, rb):
+    """For the rows of each dataset and fold of a batch and each config:
+    ``(config id, dataset, fold, rows, labels of the classes, place of the
+    nearest one)``. Distances are added element by element in the config's
+    order; a config that goes on from the one before adds to its distances."""
+    ids = rb.column("dataset").to_numpy(zero_copy_only=False), rb.column("fold").to_pandas().to_numpy()
+    for ds, fold in {(d, f) for d, f in zip(*ids)}:
+        if (ds, fold) not in design["models"]:
+            continue
+        labels, m, scale = design["models"][ds, fold]
+        rows = np.flatnonzero((ids[0] == ds) & (ids[1] == fold))
+        x = _vectors(rb.column("x").take(pa.array(rows)), len(scale))
+        for sub in range(0, len(rows), ROWS_AT_ONCE):
+            part = x[:, sub:sub + ROWS_AT_ONCE]
+            z: dict[int, np.ndarray] = {}
+            before, d = (), None
+            for config, cols in design["configs"][ds]:
+                if d is None or cols[:len(before)] != before:
+                    before, d = (), np.zeros((len(labels), part.shape[1]))
+                for i in cols[len(before):]:
+                    if i not in z:
+                        apart = (part[i] - m[:, i, None]) / scale[i]
+                        z[i] = np.nan_to_num(apart * apart, nan=0.0)
+                    d = d + z[i]
+                before = cols
+                yield config, ds, int(fold), rows[sub:sub + ROWS_AT_ONCE], labels, np.argmin(d, axis=0)
+
+
+def predictions(matrix: DataFrame, configs: Sequence[tuple], k: int = 5, output: str = "oof") -> DataFrame:
     """``(config_id, dataset, row_id, fold, label, pred)`` for every row and
-    every config ``(config_id, dataset, cols)`` of its dataset."""
-    whole = cut_lineage(whole_values(matrix))       # both passes read it
-    model = cut_lineage(centroids(fold_sums(whole), k).withColumnRenamed("held", "fold"))       # read by the size check and by the join
-    rows = checked_broadcast_join(whole, model, ["dataset", "fold"])
-    # squared distances to each class by element, once for all configs
-    apart = F.transform("classes", lambda c: F.struct(c["label"].alias("label"), F.transform("x", lambda v, i: F.coalesce(
-        F.pow((v.cast("double") - F.try_element_at(c["m"], i + 1)) / F.try_element_at("scale", i + 1), F.lit(2.0)), F.lit(0.0))).alias("z")))
-    cases = None
-    for dataset in sorted({d for _, d, _ in configs}):
-        design = [{"id": c, "cols": [int(i) + 1 for i in cols]} for c, d, cols in configs if d == dataset]
-        own = F.from_json(F.lit(json.dumps(design)), "array<struct<id: string, cols: array<int>>>")     # one literal, folded while planning
-        here = F.col("dataset") == dataset
-        cases = F.when(here, own) if cases is None else cases.when(here, own)
-    nearest = lambda z, cols: F.array_min(F.transform(z, lambda c: F.struct(
-        F.aggregate(cols, F.lit(0.0), lambda acc, j: acc + F.coalesce(F.try_element_at(c["z"], j), F.lit(0.0))).alias("d"), c["label"].alias("label"))))["label"]
-    # the generator keeps the distances from being inlined, and so computed again, for every config
-    found = rows.select("dataset", "row_id", "fold", "label", cases.alias("configs"), F.explode_outer(F.array(apart)).alias("z")).where("configs is not null")
-    found = found.select("dataset", "row_id", "fold", "label", F.explode_outer(F.transform(
-        "configs", lambda g: F.struct(g["id"].alias("config_id"), nearest(F.col("z"), g["cols"]).alias("pred")))).alias("found"))
-    return found.select("found.config_id", "dataset", "row_id", "fold", "label", "found.pred")
+    every config ``(config_id, dataset, cols)`` of its dataset; with
+    ``output='confusion'`` their counts ``(config_id, fold, label, pred, n)``,
+    added up in each task, so that no row is multiplied by the configs."""
+    spark = matrix.sparkSession
+    ship_package(spark)
+    whole = cut_lineage(spread(whole_values(matrix), "row_id"))       # both passes read it
+    sent = spark.sparkContext.broadcast(_design(centroids(fold_sums(whole), k).withColumnRenamed("held", "fold"), configs))
+
+    def rows_of(batches):
+        for rb in batches:
+            for config, ds, fold, rows, labels, at in _nearest(sent.value, rb):
+                own = pa.array(rows)
+                n, pred = len(rows), pa.array(labels, pa.int32()).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array([config] * n), pa.array([ds] * n), rb.column("row_id").take(own), pa.array([fold] * n, pa.int32()),
+                                                  rb.column("label").take(own), pred], ["config_id", "dataset", "row_id", "fold", "label", "pred"])
+
+    def counts_of(batches):
+        n: dict[tuple, int] = {}
+        for rb in batches:
+            coded = pc.dictionary_encode(rb.column("label"), null_encoding="encode")
+            names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+            for config, _, fold, rows, labels, at in _nearest(sent.value, rb):
+                pairs = np.bincount(code[rows] * len(labels) + at, minlength=len(names) * len(labels))
+                for p in np.flatnonzero(pairs):
+                    key = (config, fold, names[p // len(labels)], labels[p % len(labels)])
+                    n[key] = n.get(key, 0) + int(pairs[p])
+        if n:
+            columns = list(zip(*n))
+            types = [pa.string(), pa.int32(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types)), pa.array(list(n.values()), pa.int64())],
+                                             ["config_id", "fold", "label", "pred", "n"])
+
+    rows = whole.select("dataset", "row_id", F.col("fold").cast("int").alias("fold"), F.col("label").cast("int").alias("label"), "x") \
+        .where("dataset is not null and fold is not null")
+    if output == "oof":
+        return rows.mapInArrow(rows_of, "config_id string, dataset string, row_id bigint, fold int, label int, pred int")
+    # configs x folds x classes^2 rows, read by every metric on it: made once
+    return cut_lineage(rows.mapInArrow(counts_of, "config_id string, fold int, label int, pred int, n bigint")
+                       .groupBy("config_id", "fold", "label", "pred").agg(F.sum("n").alias("n")))
