@@ -23,9 +23,13 @@ def fold_accuracy(conf: DataFrame) -> DataFrame:
 
 
 def cv_accuracy(conf: DataFrame) -> DataFrame:
-    """Mean of the fold accuracies (not pooled) and their population std."""
+    """Mean of the fold accuracies (not pooled) and their population std.
+    They are added in the order of the folds, so that configs with equal folds
+    have equal means however the rows are dealt."""
+    by_fold = F.array_sort(F.collect_list(F.struct("fold", "acc")))
+    total = F.aggregate(by_fold, F.lit(0.0), lambda s, f: s + f["acc"])
     return fold_accuracy(conf).groupBy("config_id").agg(
-        F.avg("acc").alias("acc"), F.stddev_pop("acc").alias("acc_std"),
+        (total / F.count("acc")).alias("acc"), F.stddev_pop("acc").alias("acc_std"),
         F.count(F.lit(1)).alias("n_folds"))
 
 
