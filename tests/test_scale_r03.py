@@ -55,3 +55,29 @@ def test_documents_are_not_shuffled_for_their_weights(spark):
     docs = spark.createDataFrame([("d", 1, 0, "aa bb"), ("d", 2, 1, "aa bb")], DOCS)
     plan = TF.vectors(docs, TF.vocabulary(TF.term_counts(docs), docs, k=2), 2)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+def documents(spark, folder):
+    rows = [(1, "a <br/> yes  No", "en", "s", 1), (2, None, "en", "s", 1), (3, " <br> ", "de", "s", 1), (None, "noes", "fr", "s", 1),
+            (1, "a <br/> yes  No", "en", "s", 1), (4, "Sey yes", None, "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_texts_are_dealt_before_they_are_cleaned(spark, tmp_path):
+    from probelab.plans import queries as Q
+    sf = documents(spark, tmp_path)
+    assert sorted(r.text for r in Q._texts(spark, sf).collect()) == ["Sey yes", "a yes No", "a yes No", "noes"]
+    for df in (Q._texts(spark, sf), Q.prompts_q(spark, sf), Q.prob_diff(spark, sf)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        above, _, below = plan.partition("Exchange ")
+        assert "regexp_replace" in above and "regexp_replace" not in below and "Exchange " not in below
+
+
+def test_spaces_are_counted_below_the_generator(spark, tmp_path):
+    from probelab.plans import queries as Q
+    prompts = Q.prompts_q(spark, documents(spark, tmp_path))
+    plan = prompts._jdf.queryExecution().executedPlan().toString()
+    assert "replace(text" not in plan[:plan.index("Generate explode([[")]
+    rows = prompts.collect()
+    assert len(rows) == 4 * 50 and all(r.prompt_len == len(r.prompt.split(" ")) for r in rows)
