@@ -279,6 +279,20 @@ def _beside(zones: DataFrame, sets: DataFrame, component: DataFrame, threshold:
     return shared.union(within)
 
 
+def _stars(active: DataFrame) -> DataFrame:
+    """``active(bucket, id)`` to (bucket, id, head) of every member but the
+    heads: a bucket's head is the member that meets the most others in its
+    buckets, the smallest id of equal ones. A text that a group was copied from
+    shares more with each copy than they with one another, so it heads nearly
+    all buckets of the group: one pair a copy, and what a copy has that the
+    head lacks is its own."""
+    sizes = active.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(active.join(sizes, "bucket"))
+    score = met.groupBy("id").agg((-F.sum("n")).alias("least"))
+    heads = met.select("bucket", "id").join(score, "id").groupBy("bucket").agg(F.min(F.struct("least", "id")).getField("id").alias("head"))
+    return met.select("bucket", "id").join(heads, "bucket").where("id <> head")
+
+
 def near_duplicates(docs: DataFrame, n_words: int = 5, threshold: int = 80, rounds: int = ROUNDS) -> DataFrame:
     """``docs(doc_id long, text string, ...)`` to one row per document:
     doc_id, n_shingles, component_id, kept. Links are pairs with
@@ -290,8 +304,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, threshold: int = 80, roun
     active = written(classes.select("id", "sketch").mapInArrow(_bands, "bucket long, id long"))
     stars, links = [], None
     while True:
-        heads = written(active.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head"))
-        members = written(active.select("bucket", "id").join(heads, "bucket").where("id <> head"))
+        members = written(_stars(active.select("bucket", "id")))
         zones, sets = _compared(members.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), classes, docs, n_words, threshold)
         stars.append((zones, sets))
         found = zones.where("zone = 'link'").select("a", "b")
