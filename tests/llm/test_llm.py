@@ -94,6 +94,26 @@ def test_prefix_index_loses_no_link(spark, threshold):
     assert all((a % 2, b % 2) in ((0, 1), (1, 0)) for a, b in hyperminhash._far_pairs(apart, table(spark, texts).select("doc_id", "text"), 3, threshold).collect())
 
 
+def test_copies_of_one_text_have_it_as_their_head(spark, monkeypatch):
+    rng, words, n = np.random.default_rng(9), vocabulary(9, 4000), 200
+    base, texts = rng.choice(words, 120), []
+    for _ in range(n):
+        t = base.copy()
+        t[rng.choice(120, 4, replace=False)] = rng.choice(words, 4)
+        texts.append(" ".join(t))
+    texts.append(" ".join(base))            # the largest id
+    pairs = []
+
+    def compared(members, *_):
+        pairs.extend(tuple(r) for r in members.select("a", "b").collect())
+        raise InterruptedError
+    monkeypatch.setattr(hyperminhash, "_compared", compared)
+    with pytest.raises(InterruptedError):
+        hyperminhash.near_duplicates(table(spark, texts), 5, 80)
+    assert len({b for a, b in pairs if a == n}) > 0.98 * n, len(pairs)
+    assert len(pairs) < 5 * n
+
+
 def test_near_duplicates_of_nothing(spark):
     assert hyperminhash.near_duplicates(table(spark, [])).count() == 0
 
