@@ -11,7 +11,8 @@ Steps, all distributed:
 1. sketch and set key of every document (one scan, narrow result);
 2. equal sets form a class, of which the smallest doc_id goes on;
 3. bands of registers are bucket keys; within a bucket, every member is
-   compared with the smallest one, its head: a star, linear in the bucket. The
+   compared with the one that meets the most others in its buckets, its head:
+   a star, linear in the bucket. The
    members not linked to the head form a star of their own, ``ROUNDS`` times;
 4. a collision-corrected Jaccard estimate of the sketches settles the pairs
    that are far apart, the full shingle sets decide all others;
