@@ -13,11 +13,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from probelab.functions.logits import lse_array
-from probelab.functions.text import _c
+from probelab.session import ship_package
 
 ASK = "\n\nQuestion: "
 
@@ -27,12 +30,6 @@ def characters(tokens: Sequence[str]) -> list[str]:
     return sorted(set("".join(tokens)))
 
 
-def char_count(text, char) -> Column:
-    """How often a character occurs."""
-    c = _c(text)
-    return F.length(c) - F.length(F.replace(c, char if isinstance(char, Column) else F.lit(char), F.lit("")))
-
-
 def log_counts(text: str, chars: Sequence[str]) -> Column:
     """``ln(1 + count)`` of each character, once per text."""
     quoted = [c.replace("\\", "\\\\").replace("'", "\\'") for c in chars]
@@ -52,16 +49,53 @@ def logit_arrays(variants: Sequence[tuple], answers: Sequence[str], chars: Seque
     return ["array(" + ", ".join(logit(t) for a, t, _ in variants if a == answer) + ")" for answer in answers]
 
 
-def option_score(text, display: Column) -> Column:
-    """Log-sum-exp over an option's two spellings, with and without a leading
-    space, of the mean ``ln(1 + count)`` of its characters in the text."""
-    def mean(word: Column) -> Column:
-        chars = F.split(word, "")
-        total = F.aggregate(chars, F.lit(0.0), lambda acc, c: acc + F.log(1.0 + char_count(text, c)))
-        return total / F.size(chars)
-    # both means are the argument of a transform, so that they are computed once
-    pair = F.array(F.array(mean(display), mean(F.concat(F.lit(" "), display))))
-    return F.element_at(F.transform(pair, lse_array), 1)
+def _counted(texts: pa.Array, chars: Sequence[str]) -> np.ndarray:
+    """How often each character occurs in each text (0 in a null one)."""
+    out = np.zeros((len(texts), len(chars)), np.int32)
+    one = [i for i, c in enumerate(chars) if len(c.encode()) == 1]
+    code = np.array([ord(chars[i]) for i in one], np.int64)
+    _, offsets, data = texts.buffers()
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(offsets, kind)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else []
+    octets = np.frombuffer(data or b"", np.uint8)
+    for i, (a, e) in enumerate(zip(at[:-1], at[1:])):
+        if e > a:                       # UTF-8: a byte below 128 is a character of its own
+            out[i, one] = np.bincount(octets[a:e], minlength=256)[code]
+    for i in set(range(len(chars))) - set(one):
+        out[:, i] = pc.fill_null(pc.count_substring(texts, chars[i]), 0).to_numpy(zero_copy_only=False)
+    return out
+
+
+def count_characters(df: DataFrame, text: str, chars: Sequence[str], out: str = "counts") -> DataFrame:
+    """``df`` with the counts of the characters in place of the text: one pass
+    over each text, whatever the number of characters."""
+    ship_package(df.sparkSession)
+    rest = [f for f in df.schema.fields if f.name != text]
+
+    def run(batches):
+        for rb in batches:
+            n = _counted(rb.column(text), chars)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(chars)), pa.array(n.ravel()),
+                                             mask=rb.column(text).is_null())
+            yield pa.RecordBatch.from_arrays([*(rb.column(f.name) for f in rest), lists], [*(f.name for f in rest), out])
+
+    return df.mapInArrow(run, T.StructType([*rest, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+
+
+def character_places(word: Column, chars: Sequence[str]) -> Column:
+    """The place of each character of a word in ``chars``, from 1; 0: elsewhere."""
+    known = F.array(*[F.lit(c) for c in chars])
+    return F.transform(F.split(word, ""), lambda c: F.array_position(known, c).cast("int"))
+
+
+def option_score(logs: Column, spellings: Column) -> Column:
+    """Log-sum-exp over an option's spellings (``character_places``) of the mean
+    ``ln(1 + count)`` of its characters in the text; ``logs`` begins with that
+    of a character which is not counted, 0."""
+    def mean(places: Column) -> Column:
+        return F.aggregate(places, F.lit(0.0), lambda acc, i: acc + F.element_at(logs, i + 1)) / F.size(places)
+    # the means are the argument of a transform, so that they are computed once
+    return F.element_at(F.transform(F.array(F.transform(spellings, mean)), lse_array), 1)
 
 
 class LexicalScorer:

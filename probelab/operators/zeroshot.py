@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probelab.functions.lexical import option_score
+from probelab.functions.lexical import character_places, characters, count_characters, option_score
 from probelab.functions.prompts import LETTERS, mc_prompt, options_block
 from probelab.operators.joins import checked_broadcast_join
 
@@ -59,12 +59,21 @@ def prompts(texts: DataFrame, cfg: DataFrame) -> DataFrame:
 
 def option_scores(texts: DataFrame, cfg: DataFrame) -> DataFrame:
     """Per text one score per option of its dataset, in option order, by the
-    character rule: ``(dataset, row_id, label_text, scores ARRAY<DOUBLE>)``.
-    The options are config-sized and joined by dataset."""
-    opts = (options(cfg).groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("option", "display"))).alias("_o"))
-            .select("dataset", F.transform("_o", lambda o: o["display"]).alias("_o")))
-    scores = F.transform("_o", lambda display: option_score("text", display))
-    return checked_broadcast_join(texts, opts, ["dataset"]).select("dataset", "row_id", "label_text", scores.alias("scores"))
+    character rule: ``(dataset, row_id, label_text, scores ARRAY<DOUBLE>)``. An
+    option is spelled with and without a leading space. The characters of all
+    options are counted in one pass over each text; the options are config-sized
+    and joined by dataset."""
+    opts = options(cfg)
+    chars = characters([" ", *(r["c"] for r in opts.select(F.explode(F.split("display", "")).alias("c")).distinct().collect())])
+    spelled = F.array(character_places(F.col("display"), chars), character_places(F.concat(F.lit(" "), F.col("display")), chars))
+    opts = (opts.select("dataset", "option", spelled.alias("spelled")).groupBy("dataset")
+            .agg(F.sort_array(F.collect_list(F.struct("option", "spelled"))).alias("_o"))
+            .select("dataset", F.transform("_o", lambda o: o["spelled"]).alias("_o")))
+    counted = count_characters(texts.select("dataset", "row_id", "label_text", "text"), "text", chars)
+    logs = F.concat(F.array(F.lit(0.0)), F.transform("counts", lambda n: F.log(1.0 + n)))
+    scores = F.transform("_o", lambda spellings: option_score(F.col("logs"), spellings))
+    return (checked_broadcast_join(counted.select("dataset", "row_id", "label_text", logs.alias("logs")), opts, ["dataset"])
+            .select("dataset", "row_id", "label_text", scores.alias("scores")))
 
 
 def predict(scored: DataFrame, cfg: DataFrame) -> DataFrame:

@@ -1,13 +1,18 @@
-"""Work that scales: texts tokenised once, all folds fitted in the same passes."""
+"""Work that scales: texts tokenised once, all folds fitted in the same passes,
+characters counted in one pass."""
 
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from probelab.functions import lexical as LX
 from probelab.operators import sparse as SP
 from probelab.operators import tfidf as TF
+from probelab.operators import zeroshot as ZS
 
 DOCS = "dataset string, row_id long, fold int, labels array<int>, text string"
 COLUMNS = ["dataset", "held", "term", "tf", "df", "n_train", "rank"]
@@ -86,3 +91,29 @@ def test_weights_are_the_minimum(spark):
         fit.take(-np.log(p[np.arange(n), y]).sum(), np.concatenate([r.T @ x, r.sum(axis=0)[:, None]], axis=1), 1e-12)
         steps += 1
     assert np.abs(fit.grad).max() < 1e-4 and steps < 100
+
+
+def test_characters_are_counted_in_one_pass():
+    texts = pa.array(["skipped", "", "Été à l’été", None, "a b  c", "e" * 5000], pa.string())
+    chars = [" ", "a", "e", "é", "’", "𝄞"]
+    for column in (texts[1:], texts[1:].cast(pa.large_string()), texts[:0]):
+        want = [[(t or "").count(c) for c in chars] for t in column.to_pylist()]
+        assert LX._counted(column, chars).tolist() == want
+
+
+def test_option_scores_follow_the_character_rule(spark):
+    cfg = spark.createDataFrame([("d", "?", 0, "x", "Aé"), ("d", "?", 1, "y", "bb c"), ("d", "?", 2, "z", "Aé"), ("e", "?", 0, "x", "q")], ZS.ZS_SCHEMA)
+    texts = ["", "Aé bbb", "c c c", "é" * 9, None]
+    rows = [("d", i, "x", t) for i, t in enumerate(texts)] + [("e", 9, "x", "qq"), ("f", 1, "x", "no options")]
+    df = ZS.option_scores(spark.createDataFrame(rows, "dataset string, row_id long, label_text string, text string"), cfg)
+    assert "replace(" not in df._jdf.queryExecution().optimizedPlan().toString()      # a pass over the text for each character
+
+    def score(text, word):
+        means = [sum(math.log(1 + text.count(c)) for c in w) / len(w) for w in (word, " " + word)]
+        return math.log(sum(math.exp(m) for m in means))
+
+    got = {(r.dataset, r.row_id): r.scores for r in df.collect()}
+    assert sorted(got) == [("d", i) for i in range(5)] + [("e", 9)]
+    for i, t in enumerate(texts[:4]):
+        assert got["d", i] == pytest.approx([score(t, "Aé"), score(t, "bb c")])
+    assert got["d", 4] == [None, None] and got["e", 9] == pytest.approx([score("qq", "q")])
